@@ -111,7 +111,7 @@ PARCEL_CLASSES = {"1": "residential", "2": "commercial", "3": "manufacturing",
                   "4": "agricultural", "5": "undeveloped", "5M": "agricultural forest",
                   "6": "productive forest", "7": "other", "8": "tax-exempt"}
 OWNER_SEARCH_MAX = 50
-RADAR_STALE_MINUTES = 90
+RADAR_STALE_MINUTES = 30
 
 # ---- fixed values: quota and health -------------------------------------------------
 QUOTA_WARN_AT = 0.8

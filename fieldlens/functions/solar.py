@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.constants import (CLOSE_AFTER_SUNSET_MIN, MONTHLY_NORMAL_F, MOON_NAMES,
@@ -46,31 +46,32 @@ def day_start_ms(day: Column) -> Column:
     return F.unix_date(day) * F.lit(DAY_MS)
 
 
-def sun_times(ms: Column, lat: Column, lng: Column) -> Column:
-    """Sunrise, sunset and noon near an instant: {sunrise, sunset, noon} in ms.
+def with_sun(df: DataFrame, ms: Column, lat: Column, lng: Column) -> DataFrame:
+    """Add sunrise, sunset and noon (ms) near an instant; no sunrise leaves nulls.
 
-    The low-precision sunrise equation; a day without sunrise has null times.
+    The low-precision sunrise equation, one projection per step: each step is used
+    several times by the next, so nesting them in one expression would multiply work.
     """
-    julian_2000 = ms / DAY_MS + (2440588 - 2451545 - 0.5)
-    n = half_up(julian_2000 + 0.0008)
-    mean_noon = n - lng / 360.0
-    anomaly = (F.lit(357.5291) + 0.98560028 * mean_noon) % 360.0
-    centre = (1.9148 * F.sin(F.radians(anomaly)) + 0.02 * F.sin(F.radians(2 * anomaly))
-              + 0.0003 * F.sin(F.radians(3 * anomaly)))
-    ecliptic = (anomaly + centre + 180.0 + 102.9372) % 360.0
-    transit = (mean_noon + 0.0053 * F.sin(F.radians(anomaly))
-               - 0.0069 * F.sin(F.radians(2 * ecliptic)))
-    declination = F.asin(F.sin(F.radians(ecliptic)) * math.sin(math.radians(23.44)))
-    cos_half_day = ((math.sin(math.radians(-0.833)) - F.sin(F.radians(lat)) * F.sin(declination))
-                    / (F.cos(F.radians(lat)) * F.cos(declination)))
-    lit = (cos_half_day >= -1) & (cos_half_day <= 1)
-    half_day = F.when(lit, F.degrees(F.acos(cos_half_day)) / 360.0)
-
-    def to_ms(j):
-        return (j + (2451545 + 0.5 - 2440588)) * DAY_MS
-
-    return F.struct(to_ms(transit - half_day).alias("sunrise"),
-                    to_ms(transit + half_day).alias("sunset"), to_ms(transit).alias("noon"))
+    n = half_up(ms / DAY_MS + (2440588 - 2451545 - 0.5) + 0.0008)
+    out = df.withColumn("_noon", n - lng / 360.0)
+    out = out.withColumn("_anomaly", (F.lit(357.5291) + 0.98560028 * F.col("_noon")) % 360.0)
+    m = F.radians("_anomaly")
+    centre = 1.9148 * F.sin(m) + 0.02 * F.sin(2 * m) + 0.0003 * F.sin(3 * m)
+    out = out.withColumn("_ecliptic", (F.col("_anomaly") + centre + 180.0 + 102.9372) % 360.0)
+    e = F.radians("_ecliptic")
+    out = (out.withColumn("_transit", F.col("_noon") + 0.0053 * F.sin(m) - 0.0069 * F.sin(2 * e))
+           .withColumn("_decl", F.asin(F.sin(e) * math.sin(math.radians(23.44)))))
+    d, phi = F.col("_decl"), F.radians(lat)
+    out = out.withColumn("_cos", (math.sin(math.radians(-0.833)) - F.sin(phi) * F.sin(d))
+                         / (F.cos(phi) * F.cos(d)))
+    half = F.when(F.col("_cos").between(-1, 1), F.degrees(F.acos("_cos")) / 360.0)
+    back = 2451545 + 0.5 - 2440588
+    t = F.col("_transit")
+    return (out.withColumn("_half", half)
+            .withColumns({"sunrise": (t - F.col("_half") + back) * DAY_MS,
+                          "sunset": (t + F.col("_half") + back) * DAY_MS,
+                          "noon": (t + back) * DAY_MS})
+            .drop("_noon", "_anomaly", "_ecliptic", "_transit", "_decl", "_cos", "_half"))
 
 
 def band_from_sun(ms: Column, sunrise: Column, sunset: Column) -> Column:
@@ -83,10 +84,11 @@ def band_from_sun(ms: Column, sunrise: Column, sunset: Column) -> Column:
             .otherwise("night"))
 
 
-def light_band(ms: Column, lat: Column, lng: Column) -> Column:
-    """Band from the sun of the instant's own UTC day."""
-    sun = sun_times(ms, lat, lng)
-    return band_from_sun(ms, sun["sunrise"], sun["sunset"])
+def with_light_band(df: DataFrame, ms: Column, lat: Column, lng: Column) -> DataFrame:
+    """Add `band` from the sun of the instant's own UTC day."""
+    out = with_sun(df, ms, lat, lng)
+    return (out.withColumn("band", band_from_sun(ms, F.col("sunrise"), F.col("sunset")))
+            .drop("sunrise", "sunset", "noon"))
 
 
 def solar_noon_ms(ms: Column, lng: Column) -> Column:
@@ -94,11 +96,11 @@ def solar_noon_ms(ms: Column, lng: Column) -> Column:
     return F.floor((ms + off) / DAY_MS) * DAY_MS + DAY_MS / 2 - off
 
 
-def solar_band(ms: Column, lat: Column, lng: Column) -> Column:
-    """Band from the sun of the camera's solar day."""
-    sun = sun_times(solar_noon_ms(ms, lng), lat, lng)
-    return F.when(ms.isNull(), "unknown").otherwise(
-        band_from_sun(ms, sun["sunrise"], sun["sunset"]))
+def with_solar_band(df: DataFrame, ms: Column, lat: Column, lng: Column) -> DataFrame:
+    """Add `band` from the sun of the camera's solar day."""
+    out = with_sun(df, solar_noon_ms(ms, lng), lat, lng)
+    return (out.withColumn("band", F.when(ms.isNull(), "unknown").otherwise(
+        band_from_sun(ms, F.col("sunrise"), F.col("sunset")))).drop("sunrise", "sunset", "noon"))
 
 
 def is_daylight(band: Column) -> Column:
