@@ -51,10 +51,13 @@ def assign_visits(photos: DataFrame, gap_seconds: int = VISIT_GAP_SECONDS) -> Da
 
 def grouping_counts(photos: DataFrame, gap_seconds: int = VISIT_GAP_SECONDS) -> DataFrame:
     """{visits, grouped, ungrouped} in one row."""
-    made = _slots(photos, gap_seconds).agg(F.sum("opens").alias("visits"))
-    counted = photos.agg(F.count("taken_at").alias("grouped"),
-                         F.count_if(F.col("taken_at").isNull()).alias("ungrouped"))
-    return made.join(counted)
+    made = _slots(photos, gap_seconds).select(F.col("opens").cast("bigint").alias("visits"),
+                                              F.col("photos").alias("grouped"),
+                                              F.lit(0).cast("bigint").alias("ungrouped"))
+    left = photos.where(F.col("taken_at").isNull()).select(
+        *[F.lit(v).cast("bigint").alias(c) for c, v in (("visits", 0), ("grouped", 0), ("ungrouped", 1))])
+    return made.unionByName(left).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+                                        for c in ("visits", "grouped", "ungrouped")])
 
 
 def span_seconds(started: Column, ended: Column) -> Column:

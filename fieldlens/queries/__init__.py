@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rates"]
+MODULES = ["rates", "statistics"]
 
 
 def load() -> dict:

@@ -61,7 +61,7 @@ table_sql("sit", """SELECT o_orderkey AS sit_id, o_custkey % 10 AS stand_id,
 
 table_sql("tele", """SELECT l_suppkey AS animal, l_returnflag AS sex,
   (l_orderkey * 7 + l_linenumber) % 24 AS hour, l_extendedprice AS rate, l_quantity AS temp,
-  l_shipdate AS at FROM lineitem""")
+  l_shipdate AS seen_at FROM lineitem""")
 
 table_sql("reading", """SELECT l_partkey AS field_id, CAST(l_shipdate AS DATE) AS date,
   round(max(l_discount) * 9 + 0e0, 6) AS ndvi FROM lineitem GROUP BY 1, 2""")

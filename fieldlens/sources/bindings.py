@@ -134,3 +134,48 @@ class Bindings:
         return self.table("embeddings").select(
             F.col("vec_id").alias("photo_id"), F.col("label").cast("bigint").alias("camera_id"),
             F.concat(F.lit("d1:"), F.array_join(digit, "")).alias("phash"))
+
+    # ---- stands, properties and fields ----------------------------------------------
+
+    def properties(self) -> DataFrame:
+        return self.table("region").select(F.col("r_regionkey").cast("bigint").alias("property_id"),
+                                           F.col("r_name").alias("property_name"))
+
+    def stands(self) -> DataFrame:
+        from fieldlens.constants import COMPASS, STAND_TYPES
+        k = F.col("c_custkey")
+        points, types = F.array(*map(F.lit, COMPASS)), F.array(*map(F.lit, STAND_TYPES))
+        winds = F.array(F.get(points, (k % 5 * 3).cast("int")), F.get(points, (k % 3 * 4 + 1).cast("int")))
+        return self.table("customer").select(
+            k.alias("stand_id"), F.col("c_name").alias("stand_name"), *self.place(k),
+            (F.col("c_nationkey") % 7).cast("bigint").alias("property_id"),
+            F.get(types, (k % 6).cast("int")).alias("type"),
+            F.when(k % 4 != 0, F.array_join(F.array_distinct(winds), ",")).alias("good_winds"))
+
+    def fleet(self) -> DataFrame:
+        """Registered cameras with health figures."""
+        k = F.col("s_suppkey")
+        return self.table("supplier").select(
+            k.alias("camera_id"), F.col("s_name").alias("camera_name"), *self.place(k),
+            (F.col("s_nationkey") % 7).cast("bigint").alias("property_id"),
+            F.when(k % 9 != 0, F.floor(F.col("s_acctbal") / 110)).cast("bigint").alias("battery"),
+            F.when(k % 8 != 0, (k * 37) % 1001).alias("photo_count"),
+            F.when(k % 5 != 0, F.lit(1000).cast("bigint")).alias("photo_limit"),
+            F.date_add(F.lit("2024-01-01").cast("date"), (k % 20).cast("int")).alias("cycle_start"),
+            F.date_add(F.lit("2024-01-31").cast("date"), (k % 20).cast("int")).alias("cycle_end"),
+            F.when(k % 11 != 0, F.timestamp_seconds(F.lit(1706227200) - (k * 13 % 45) * 86400 - k % 7 * 3600))
+            .alias("last_seen"))
+
+    def fields(self) -> DataFrame:
+        """Crop fields: a small quadrilateral per part around its place."""
+        from fieldlens.constants import CROP_KINDS
+        k = F.col("p_partkey")
+        lat, lng = self.place(k)
+        d = F.lit(0.0005) + (F.col("p_size") % 7).cast("double") * 0.0001
+        at = [(lng - d, lat - d), (lng + d, lat - d), (lng + d * 1.5, lat + d), (lng - d, lat + d)]
+        ring = F.array(*[F.struct(x.alias("lng"), y.alias("lat")) for x, y in at])
+        crops = F.array(*map(F.lit, CROP_KINDS))
+        return self.table("part").select(
+            k.alias("field_id"), F.get(crops, (F.col("p_size") % 9).cast("int")).alias("crop"),
+            F.when(k % 3 != 0, F.date_add(F.lit("2023-09-20").cast("date"), (k % 60).cast("int")))
+            .alias("cut_date"), ring.alias("ring"))
