@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.constants import (FEET_PER_METRE, HAVERSINE_RADIUS_M, M2_PER_ACRE,
                                  MEAN_RADIUS_M)
-from fieldlens.functions.num import finite, half_up, half_up_to, wrap360
+from fieldlens.functions.num import at_most, finite, half_up, half_up_to, wrap360
 
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -17,7 +17,7 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     s_lat = F.sin(F.radians(lat2 - lat1) / 2)
     s_lng = F.sin(F.radians(lng2 - lng1) / 2)
     h = s_lat * s_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s_lng * s_lng
-    return F.lit(2 * HAVERSINE_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * HAVERSINE_RADIUS_M) * F.asin(at_most(F.sqrt(h), 1.0))
 
 
 def bearing_deg(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -34,8 +34,17 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / den.cast("double"))
 
 
+def at_least(x: Column, low) -> Column:
+    """max(x, low) that keeps unknown unknown (`greatest` would skip the null)."""
+    return F.when(x < low, F.lit(low)).otherwise(x)
+
+
+def at_most(x: Column, high) -> Column:
+    return F.when(x > high, F.lit(high)).otherwise(x)
+
+
 def clamp(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
 
 
 def round6(x: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rates", "statistics"]
+MODULES = ["rates", "statistics", "relational"]
 
 
 def load() -> dict:

@@ -179,3 +179,12 @@ class Bindings:
             k.alias("field_id"), F.get(crops, (F.col("p_size") % 9).cast("int")).alias("crop"),
             F.when(k % 3 != 0, F.date_add(F.lit("2023-09-20").cast("date"), (k % 60).cast("int")))
             .alias("cut_date"), ring.alias("ring"))
+
+    def markers(self) -> DataFrame:
+        from fieldlens.constants import MARKER_LABELS
+        k = F.col("p_partkey")
+        kinds = F.array(*map(F.lit, MARKER_LABELS))
+        found = F.lit(1685577600) + (k % 200) * 86400 + (k % 24) * 3600
+        return self.table("part").select(
+            k.alias("marker_id"), F.get(kinds, (F.col("p_size") % 8).cast("int")).alias("kind"),
+            *self.place(k), F.when(k % 6 != 0, F.timestamp_seconds(found)).alias("found_at"))
