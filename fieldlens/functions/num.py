@@ -47,5 +47,10 @@ def clamp(x: Column, low, high) -> Column:
     return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
 
 
-def round6(x: Column) -> Column:
-    return F.round(x, 6)
+def round6(x) -> Column:
+    """Six decimals, halves away from zero, in plain double arithmetic.
+
+    `round` goes through decimal text and can land on the other side of a tie.
+    """
+    c = F.col(x) if isinstance(x, str) else x
+    return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6

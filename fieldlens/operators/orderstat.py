@@ -15,28 +15,48 @@ from pyspark.sql import functions as F
 ACCURACY = 10000
 
 
-def order_statistic(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
-                    name: str = "stat") -> DataFrame:
-    """Per group: the element at index floor(n * q) of the ascending values, and n.
-
-    q = 0.5 is the upper median. Null values are ignored; groups without values vanish.
-    """
+def _bracket_counts(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """Distinct values near rank q with how many rows lie at or below each (`_upto`)."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     margin = 20.0 / ACCURACY
     low, high = max(0.0, q - margin), min(1.0, q + margin)
-    bracket = rows.groupBy(*keys).agg(
+    sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.approx_percentile("_v", F.array(F.lit(low), F.lit(high)), F.lit(ACCURACY)).alias("_b"))
-    bracket = bracket.select(
-        *keys, "n", F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("_k"),
-        (F.col("_min") if low == 0.0 else F.col("_b")[0]).alias("_lo"),
-        (F.col("_max") if high == 1.0 else F.col("_b")[1]).alias("_hi"))
+    bracket = sketch.select(*keys, "n", (F.col("_min") if low == 0.0 else F.col("_b")[0]).alias("_lo"),
+                            (F.col("_max") if high == 1.0 else F.col("_b")[1]).alias("_hi"))
+    # without keys the bracket is a single row, so broadcasting it is bounded by construction
     tagged = rows.join(bracket, keys) if keys else rows.join(F.broadcast(bracket))
-    counts = (tagged.groupBy(*keys, "n", "_k", F.when(
-        F.col("_v") < F.col("_lo"), None).otherwise(F.least("_v", "_hi")).alias("_c"),
-        (F.col("_v") > F.col("_hi")).alias("_above")).agg(F.count("*").alias("_m")))
+    below, above = F.col("_v") < F.col("_lo"), F.col("_v") > F.col("_hi")
+    counts = (tagged.groupBy(*keys, "n", above.alias("_above"), F.when(~below & ~above, F.col("_v")).alias("_c"))
+              .agg(F.count("*").alias("_m")))
     w = W.partitionBy(*keys).orderBy(F.col("_above"), F.col("_c").asc_nulls_first())
-    upto = F.sum("_m").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return (counts.withColumn("_upto", upto)
-            .where(~F.col("_above") & F.col("_c").isNotNull() & (F.col("_upto") > F.col("_k")))
-            .groupBy(*keys, "n").agg(F.min("_c").alias(name)))
+    return (counts.withColumn("_upto", F.sum("_m").over(w.rowsBetween(W.unboundedPreceding, 0)))
+            .where(~F.col("_above") & F.col("_c").isNotNull()))
+
+
+def _first_past(index):
+    return F.min(F.when(F.col("_upto") > index, F.col("_c")))
+
+
+def order_statistic(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
+                    name: str = "stat") -> DataFrame:
+    """Per group: the element at index floor(n * q) of the ascending values, and n.
+
+    q = 0.5 is the upper median. Null values are ignored; groups without values vanish.
+    """
+    index = F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+    return _bracket_counts(df, keys, value, q).groupBy(*keys, "n").agg(_first_past(index).alias(name))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """Per group: the mean of the two middle values (the middle one for odd n), and n."""
+    lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return _bracket_counts(df, keys, value, 0.5).groupBy(*keys, "n").agg(
+        ((_first_past(lower) + _first_past(upper)) / 2).alias(name))
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+    """Per group: the element at index round(q * (n - 1)), halves rounded up."""
+    index = F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)
+    return _bracket_counts(df, keys, value, q).groupBy(*keys, "n").agg(_first_past(index).alias(name))

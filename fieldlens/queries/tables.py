@@ -74,7 +74,7 @@ table_sql("pin", """SELECT 'c' || c_custkey AS pin_id, 'stand' AS kind,
   -90e0 - CAST(s_suppkey % 89 AS DOUBLE) * 0.012e0, NULL FROM supplier""")
 
 table_sql("hash", """SELECT vec_id AS photo_id, CAST(label AS BIGINT) AS camera_id,
-  'd1:' || array_to_string(list_transform(embedding, v -> substr('0123456789abcdef',
+  'd1:' || array_to_string(list_transform(embedding, lambda v: substr('0123456789abcdef',
     1 + CASE WHEN CAST(v AS DOUBLE) > -0.1e0 THEN 8 ELSE 0 END
       + CASE WHEN CAST(v AS DOUBLE) > 0e0 THEN 4 ELSE 0 END
       + CASE WHEN CAST(v AS DOUBLE) > 0.05e0 THEN 2 ELSE 0 END

@@ -188,3 +188,63 @@ class Bindings:
         return self.table("part").select(
             k.alias("marker_id"), F.get(kinds, (F.col("p_size") % 8).cast("int")).alias("kind"),
             *self.place(k), F.when(k % 6 != 0, F.timestamp_seconds(found)).alias("found_at"))
+
+    # ---- numbered photos, bursts, imagery -------------------------------------------
+
+    def numbered_photos(self) -> DataFrame:
+        """Photos whose document carries a file name with the camera's own counter."""
+        n = F.lpad((F.col("event_id") % 3000).cast("string"), 4, "0")
+        name = F.when(F.col("event_id") % 17 != 0, F.concat(F.lit("DCIM/PICT"), n, F.lit(".JPG"))).otherwise("odd.JPG")
+        return self._events().select(
+            "camera_id", F.col("at").alias("taken_at"),
+            F.to_json(F.struct(name.alias("originName"), F.col("event_id").alias("id"))).alias("raw"))
+
+    def bursts(self) -> DataFrame:
+        """Bursts of four frames: a block of set bits moving over a noisy background."""
+        v = F.col("vec_id")
+        step = (v % 4).cast("int")
+        kind = F.floor(v / 4) % 3
+        block = F.when(kind == 0, step).when(kind == 1, 3 - step).otherwise(1)
+        digit = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(
+            (k >= 16) & (k < 48) & (k % 4 == block), "f").when(
+            (k >= 60) & (F.get("embedding", k).cast("double") > 0.2), "1").otherwise("0"))
+        return self.table("embeddings").select(
+            v.alias("photo_id"), F.floor(v / 4).alias("visit_id"), F.col("label").cast("bigint").alias("camera_id"),
+            F.timestamp_seconds(F.lit(1704067200) + v * 7).alias("taken_at"),
+            F.concat(F.lit("d1:"), F.array_join(digit, "")).alias("phash"))
+
+    def crop_history(self) -> DataFrame:
+        kinds = F.array(*[F.lit(x) for x in ("corn", "soybeans", "alfalfa", None, "corn")])
+        return (self.table("lineitem").groupBy(F.col("l_partkey").alias("field_id"),
+                                               F.year("l_shipdate").alias("year"))
+                .agg(F.get(kinds, (F.sum("l_quantity").cast("bigint") % 5).cast("int")).alias("crop")))
+
+    @staticmethod
+    def spread(key: Column) -> list[Column]:
+        """A place that stays distinct for far more keys than `place`."""
+        return [(F.lit(30.0) + (key % 2000).cast("double") * 0.01).alias("lat"),
+                (F.lit(-120.0) + (F.floor(key / 2000) % 12500).cast("double") * 0.0048).alias("lng")]
+
+    def spread_fields(self) -> DataFrame:
+        k = F.col("p_partkey")
+        lat, lng = self.spread(k)
+        d = F.lit(0.0005) + (F.col("p_size") % 7).cast("double") * 0.0001
+        at = [(lng - d, lat - d), (lng + d, lat - d), (lng + d * 1.5, lat + d), (lng - d, lat + d)]
+        return self.table("part").select(k.alias("field_id"), F.array(*[
+            F.struct(x.alias("lng"), y.alias("lat")) for x, y in at]).alias("ring"))
+
+    def pixels(self) -> DataFrame:
+        lat, lng = self.spread(F.col("l_partkey"))
+        n = F.col("l_linenumber").cast("double")
+        return self.table("lineitem").select(
+            F.col("l_linestatus").alias("scene"), (lat + (n - 4.0) * 0.00017).alias("lat"),
+            (lng + (n - 3.0) * 0.00021).alias("lng"),
+            F.when(F.col("l_quantity") != 50, F.col("l_tax") * 1000 + 100).alias("red"),
+            (F.col("l_discount") * 5000 + 150).alias("nir"), (F.col("l_quantity") % 12).cast("int").alias("klass"))
+
+    def scenes(self) -> DataFrame:
+        """Imagery catalogue entries: one per shipment of a part."""
+        return self.table("lineitem").select(
+            F.col("l_partkey").alias("field_id"), (F.col("l_suppkey") % 3).cast("string").alias("tile"),
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("scene_id"),
+            F.to_date("l_shipdate").alias("date"), (F.col("l_discount") * 700).alias("cloud"))
