@@ -248,3 +248,49 @@ class Bindings:
             F.col("l_partkey").alias("field_id"), (F.col("l_suppkey") % 3).cast("string").alias("tile"),
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("scene_id"),
             F.to_date("l_shipdate").alias("date"), (F.col("l_discount") * 700).alias("cloud"))
+
+    # ---- ground, routes and walks ---------------------------------------------------
+
+    def spread_stands(self) -> DataFrame:
+        k = F.col("c_custkey")
+        return self.table("customer").select(k.alias("stand_id"), F.col("c_name").alias("stand_name"),
+                                             F.col("c_nationkey").cast("bigint").alias("ground_id"), *self.spread(k))
+
+    def routes(self) -> DataFrame:
+        """A walk of six points up to each stand from its south-west."""
+        k = F.col("c_custkey")
+        lat, lng = self.spread(k)
+        points = [F.struct((lng - 0.0004 * i).alias("lng"), (lat - 0.0006 * i + (k % 5).cast("double") * 0.0002).alias("lat"))
+                  for i in range(5, -1, -1)]
+        return self.table("customer").select(k.alias("route_id"), k.alias("stand_id"),
+                                             F.array(*points).alias("points"))
+
+    def route_winds(self) -> DataFrame:
+        k = F.col("c_custkey")
+        return self.table("customer").select(k.alias("route_id"), F.when(k % 10 != 0, (k * 37 % 360).cast("double"))
+                                             .alias("wind_from_deg"))
+
+    def fixes(self) -> DataFrame:
+        """Recorded walks: one track per user, with poor fixes and wild jumps in it."""
+        e = F.col("event_id")
+        return self.table("events").select(
+            F.col("user_id").alias("track_id"), e.alias("seq"),
+            (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("t_ms"),
+            (F.lit(44.0) + (e % 500).cast("double") * 0.0002 + F.when(e % 23 == 0, 1.0).otherwise(0.0)).alias("lat"),
+            (F.lit(-90.0) + (e * 7 % 11).cast("double") * 0.00002).alias("lng"),
+            F.when(e % 31 != 0, (e % 60 + 3).cast("double")).alias("acc"))
+
+    def raw_parcels(self) -> DataFrame:
+        """Parcel features as a land office sends them, blanks and all."""
+        k = F.col("p_partkey")
+        lat, lng = self.spread(k)
+        d = F.lit(0.0006) + (F.col("p_size") % 7).cast("double") * 0.0001
+        ring = F.array(*[F.struct(x.alias("lng"), y.alias("lat")) for x, y in (
+            (lng - d, lat - d), (lng + d, lat - d), (lng + d, lat + d), (lng - d, lat + d))])
+        codes = F.array(*[F.lit(c) for c in ("1", "4,5M", "6, 6", "99", None, "2 8")])
+        return self.table("part").select(
+            F.when(k % 13 != 0, k.cast("string")).otherwise(" ").alias("parcel_id"), F.array(ring).alias("rings"),
+            F.when(k % 7 != 0, F.col("p_name")).otherwise("None").alias("owner_1"),
+            F.when(k % 5 == 0, F.concat(F.lit(" "), F.col("p_brand"))).otherwise("").alias("owner_2"),
+            (F.col("p_retailprice") / 7).alias("acres"), F.col("p_type").alias("county"),
+            F.get(codes, (F.col("p_size") % 6).cast("int")).alias("class_code"))
