@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rates", "statistics", "relational", "sequences", "crops", "space"]
+MODULES = ["rates", "statistics", "relational", "sequences", "crops", "space", "rasters"]
 
 
 def load() -> dict:

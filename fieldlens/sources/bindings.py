@@ -294,3 +294,25 @@ class Bindings:
             F.when(k % 5 == 0, F.concat(F.lit(" "), F.col("p_brand"))).otherwise("").alias("owner_2"),
             (F.col("p_retailprice") / 7).alias("acres"), F.col("p_type").alias("county"),
             F.get(codes, (F.col("p_size") % 6).cast("int")).alias("class_code"))
+
+    # ---- elevation ------------------------------------------------------------------
+
+    GRID_SIDE = 20
+
+    def elevation_cells(self) -> DataFrame:
+        """Parts as 20 x 20 elevation patches with a saddle in the middle and some holes."""
+        n = self.GRID_SIDE
+        k = F.col("p_partkey")
+        at = k % (n * n)
+        c, r = (at % n).cast("int"), F.floor(at / n).cast("int")
+        x, y = c.cast("double") - 10.0, r.cast("double") - 9.0
+        z = F.lit(200.0) + (x * x - y * y) * 0.4 + x * y * 0.15 + F.col("p_size").cast("double") * 0.02
+        return self.table("part").select(F.floor(k / (n * n)).alias("grid_id"), c.alias("c"), r.alias("r"),
+                                         F.when(k % 97 != 0, z).alias("z"))
+
+    def elevation_grids(self) -> DataFrame:
+        n = self.GRID_SIDE
+        g = F.col("grid_id").cast("double")
+        return self.table("part").select(F.floor(F.col("p_partkey") / (n * n)).alias("grid_id")).distinct().select(
+            "grid_id", (F.lit(-90.0) + g * 0.01).alias("west"), F.lit(44.0).alias("south"), F.lit(0.0002).alias("d_lng"),
+            F.lit(0.00015).alias("d_lat"), F.lit(n).alias("cols"), F.lit(n).alias("rows"), F.lit(12.0).alias("spacing_m"))
