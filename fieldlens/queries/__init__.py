@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rates", "statistics", "relational", "sequences", "crops", "space", "rasters"]
+MODULES = ["rates", "statistics", "relational", "sequences", "crops", "space", "rasters", "planning"]
 
 
 def load() -> dict:
