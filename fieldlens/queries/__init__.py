@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rates", "statistics", "relational", "sequences", "crops", "space", "rasters", "planning"]
+MODULES = ["rates", "statistics", "relational", "sequences", "crops", "space", "rasters", "planning",
+           "stores", "documents", "scalars", "streams"]
 
 
 def load() -> dict:

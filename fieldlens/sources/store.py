@@ -159,7 +159,7 @@ def path_rules(least: int, what: str) -> list[tuple[Column, str]]:
 
 
 def sit_rules(windows: list[str]) -> list[tuple[Column, str]]:
-    dated = F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("date", F.lit("yyyy-MM-dd")).isNotNull()
+    dated = F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd").isNotNull()
     return [(~F.coalesce(dated, F.lit(False)), "needs a date"),
             (F.col("window").isNull() | ~F.col("window").isin(windows), "window must be AM or PM")]
 
