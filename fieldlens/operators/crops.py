@@ -85,19 +85,24 @@ def reference_curves(points: DataFrame, labels: DataFrame, key: str = "field_id"
 def best_shifts(points: DataFrame, references: DataFrame, key: str = "field_id") -> DataFrame:
     """Smallest penalised distance of every field's curve to every reference over shifts.
 
-    Shifted positions meet the reference on equal index; four common positions at least.
+    The references are few, so they are laid out once with all their shifts side by side;
+    a field's points then meet each crop once and fold into one row of sums per shift.
+    Four common positions at least.
     """
     span = MAX_SHIFT_DAYS // CURVE_STEP_DAYS
-    moved = (points.withColumn("s", F.explode(F.sequence(F.lit(-span), F.lit(span))))
-             .withColumn("j", F.col("i") - F.col("s")))
-    refs = references.select("crop", F.col("i").alias("j"), F.col("v").alias("ref"))
-    d = F.col("v") - F.col("ref")
-    fits = (moved.join(refs, "j").groupBy(key, "crop", "s")
-            .agg(F.count("*").alias("n"), F.sum(d * d).alias("ss")).where(F.col("n") >= 4))
-    days = F.col("s") * CURVE_STEP_DAYS
-    rmse = F.sqrt(F.col("ss") / F.col("n")) * (1.0 + SHIFT_PENALTY * F.abs(days) / MAX_SHIFT_DAYS)
-    return (fits.withColumn("rmse", rmse).groupBy(key, "crop")
-            .agg(F.min(F.struct("rmse", "s")).alias("m"))
+    shifts = list(range(-span, span + 1))
+    moved = references.withColumn("s", F.explode(F.sequence(F.lit(-span), F.lit(span))))
+    wide = moved.groupBy("crop", (F.col("i") + F.col("s")).alias("i")).agg(*[
+        F.max(F.when(F.col("s") == s, F.col("v"))).alias(f"r{k}") for k, s in enumerate(shifts)])
+    gap = [F.col("v") - F.col(f"r{k}") for k in range(len(shifts))]
+    sums = (points.join(wide, "i").groupBy(key, "crop")
+            .agg(*[F.struct(F.count(g).alias("n"), F.sum(g * g).alias("ss")).alias(f"f{k}") for k, g in enumerate(gap)]))
+    fits = F.array(*[F.when(F.col(f"f{k}.n") >= 4, F.struct(
+        (F.sqrt(F.col(f"f{k}.ss") / F.col(f"f{k}.n"))
+         * (1.0 + SHIFT_PENALTY * abs(s * CURVE_STEP_DAYS) / MAX_SHIFT_DAYS)).alias("rmse"), F.lit(s).alias("s")))
+        for k, s in enumerate(shifts)])
+    best = F.array_min(F.array_compact(fits))
+    return (sums.select(key, "crop", best.alias("m")).where(F.col("m").isNotNull())
             .select(key, "crop", F.col("m.rmse").alias("rmse"), (F.col("m.s") * CURVE_STEP_DAYS).alias("shift_days")))
 
 

@@ -4,7 +4,7 @@ Both tests only need counts of distinct values: the permutation of ratings again
 animal counts is a random table with fixed margins, and drawing from a pool with
 replacement is a multinomial over its distinct hours. Spark reduces the rows to those
 counts, spreads the iterations over tasks, and numpy draws inside each task from a
-generator seeded by (seed, iteration), so a retried task repeats its draws.
+generator seeded by (seed, block), so a retried task repeats its draws.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ def permutation_p(sits: DataFrame, iterations: int = ITERATIONS, seed: int = 1)
                 va = (rows * a * a).sum() - (rows * a).sum() ** 2 / n
                 vb = (cols * b * b).sum() - (cols * b).sum() ** 2 / n
                 hits = 0
-                for it in range(r.start, r.stop):
-                    rng = np.random.default_rng([seed, it])
+                rng = np.random.default_rng([seed, r.start])
+                for _ in range(r.start, r.stop):
                     left, cross = cols.copy(), 0.0
                     for i in range(len(rows) - 1):
                         took = rng.multivariate_hypergeometric(left, rows[i], method="marginals")
@@ -116,10 +116,9 @@ def stratified_test(observed: DataFrame, pool: DataFrame, keys: list[str],
             for r in batch.to_dict("records"):
                 v, k = np.asarray(r["values"], float), np.asarray(r["counts"], float)
                 its = np.arange(r["start"], r["stop"])
-                sums = np.empty(len(its))
-                for j, it in enumerate(its):
-                    rng = np.random.default_rng([seed, int(it), r["salt"] & 0xFFFFFFFF])
-                    sums[j] = (rng.multinomial(r["need"], k / k.sum()) * v).sum()
+                rng = np.random.default_rng([seed, int(r["start"]), r["salt"] & 0xFFFFFFFF])
+                sums = np.concatenate([rng.multinomial(r["need"], k / k.sum(), size=len(part)) @ v
+                                       for part in np.array_split(its, max(1, len(its) * len(v) // 2_000_000 + 1))])
                 yield pd.DataFrame({**{c: r[c] for c in keys}, "iteration": its, "drawn": sums})
 
     draws = _iteration_blocks(work, iterations).mapInPandas(run, f"{schema}, iteration int, drawn double")

@@ -96,10 +96,19 @@ def ground_of_points(b):
     return grounds.ground_at(b.stands().select("stand_id", "lat", "lng"), g).select("stand_id", "ground_id")
 
 
-@query("weather_locations")
+WEATHER_PLACES = """WITH RECURSIVE o AS (SELECT s_suppkey AS camera_id, (s_suppkey * 2654435761) % 4294967296 AS seen,
+    floor((44e0 + CAST(s_suppkey % 97 AS DOUBLE) * 0.01e0) * 10000 + 0.5) / 10000 AS lat, floor((-90e0 - CAST(s_suppkey % 89 AS DOUBLE) * 0.012e0) * 10000 + 0.5) / 10000 AS lng,
+    row_number() OVER (ORDER BY (s_suppkey * 2654435761) % 4294967296) AS i FROM supplier),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(seen BIGINT, lat DOUBLE, lng DOUBLE)[]) AS held, CAST(NULL AS BIGINT) AS camera_id, CAST(NULL AS BIGINT) AS loc
+  UNION ALL SELECT o.i, CASE WHEN n.seen IS NULL THEN list_append(st.held, {{'seen': o.seen, 'lat': o.lat, 'lng': o.lng}}) ELSE st.held END, o.camera_id, coalesce(n.seen, o.seen)
+  FROM st JOIN o ON o.i = st.i + 1, LATERAL (SELECT list_sort(list_filter(list_transform(st.held, lambda h: {{'m': {d}, 'seen': h.seen}}), lambda x: x.m <= 2000))[1].seen AS seen) n)
+SELECT camera_id, loc AS loc_order FROM st WHERE i > 0""".format(d=haversine_sql("o.lat", "o.lng", "h.lat", "h.lng"))
+
+
+@query("weather_locations", sql=WEATHER_PLACES)
 def weather_locations(b):
-    out = grounds.leader_locations(b.fleet().select("camera_id", "lat", "lng"), "camera_id")
-    return out.select("camera_id", "loc_order", round6("loc_lat").alias("loc_lat"), round6("loc_lng").alias("loc_lng"))
+    cams = b.fleet().select("camera_id", (F.col("camera_id") * 2654435761 % 4294967296).alias("seen"), "lat", "lng")
+    return grounds.leader_locations(cams, "seen").select("camera_id", "loc_order")
 
 
 @query("finest_grid_at", needs=("stand",), sql="""
