@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.constants import ITERATIONS, MIN_SIGHTINGS
 from fieldlens.operators.journal import contingency, spearman
+from fieldlens.session import cut_lineage
 
 BLOCK = 250
 
@@ -74,38 +75,44 @@ def permutation_p(sits: DataFrame, iterations: int = ITERATIONS, seed: int = 1)
     return out.groupBy("rho").agg(((F.sum("hits") + 1) / (F.sum("runs") + 1)).alias("p"))
 
 
-def stratified_means(observed: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
-    """Observed and expected mean per test, refused when a stratum's pool is thin.
+def strata(observed: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """Per test and stratum: what was observed and the pool's distinct values with counts.
 
-    observed(*keys, stratum, value), pool(*keys, stratum, value). Expected is the pool mean
-    weighted by how often each stratum was observed. A stratum with fewer pool values than
-    twice its observations makes the test unanswerable (`ok` false).
+    A pool of hours has at most one distinct value per hour on record, however many cameras
+    shared it, so the arrays are bounded by the calendar.
     """
     need = (observed.where(F.col("value").isNotNull()).groupBy(*keys, "stratum")
             .agg(F.count("*").alias("need"), F.sum("value").alias("observed_sum")))
-    have = (pool.where(F.col("value").isNotNull()).groupBy(*keys, "stratum")
-            .agg(F.count("*").alias("have"), F.avg("value").alias("pool_mean")))
-    both = need.join(have, keys + ["stratum"], "left").na.fill(0, ["have"])
-    return both.groupBy(*keys).agg(
+    dist = (pool.where(F.col("value").isNotNull()).groupBy(*keys, "stratum", "value")
+            .agg(F.count("*").alias("k")).groupBy(*keys, "stratum")
+            .agg(F.sum("k").alias("have"), (F.sum(F.col("value") * F.col("k")) / F.sum("k")).alias("pool_mean"),
+                 F.array_sort(F.collect_list(F.struct("value", "k"))).alias("d")))
+    return need.join(dist, keys + ["stratum"], "left").na.fill(0, ["have"])
+
+
+def _means(table: DataFrame, keys: list[str]) -> DataFrame:
+    return table.groupBy(*keys).agg(
         F.sum("need").alias("n"), (F.sum("observed_sum") / F.sum("need")).alias("observed"),
         (F.sum(F.col("need") * F.col("pool_mean")) / F.sum("need")).alias("expected"),
         (F.bool_and(F.col("have") >= 2 * F.col("need")) & (F.sum("need") >= 2)).alias("ok"))
 
 
-def stratified_test(observed: DataFrame, pool: DataFrame, keys: list[str],
-                    iterations: int = ITERATIONS, seed: int = 1) -> DataFrame:
-    """Adds p to `stratified_means`: how often a draw matched on stratum is as far out.
+def stratified_means(observed: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """Observed and expected mean per test, refused when a stratum's pool is thin.
 
-    A stratum's pool travels as its distinct values and their counts; a pool of hours has
-    at most one distinct value per hour on record, however many cameras shared it.
+    observed(*keys, stratum, value), pool(*keys, stratum, value). Expected is the pool mean
+    weighted by how often each stratum was observed. A stratum with fewer pool values than
+    twice its observations makes the test unanswerable (`ok` false).
     """
-    means = stratified_means(observed, pool, keys)
-    need = (observed.where(F.col("value").isNotNull()).groupBy(*keys, "stratum")
-            .agg(F.count("*").alias("need")))
-    dist = (pool.where(F.col("value").isNotNull()).groupBy(*keys, "stratum", "value")
-            .agg(F.count("*").alias("k")).groupBy(*keys, "stratum")
-            .agg(F.array_sort(F.collect_list(F.struct("value", "k"))).alias("d")))
-    work = (need.join(dist, keys + ["stratum"]).join(means.where("ok").select(*keys), keys)
+    return _means(strata(observed, pool, keys), keys)
+
+
+def stratified_test(observed: DataFrame, pool: DataFrame, keys: list[str],
+                    iterations: int = ITERATIONS, seed: int = 1) -> DataFrame:
+    """Adds p to `stratified_means`: how often a draw matched on stratum is as far out."""
+    table = cut_lineage(strata(observed, pool, keys))
+    means = _means(table, keys)
+    work = (table.join(means.where("ok").select(*keys), keys)
             .select(*keys, "stratum", "need", F.transform("d", lambda s: s["value"]).alias("values"),
                     F.transform("d", lambda s: s["k"]).alias("counts"),
                     F.hash(*keys, "stratum").alias("salt")))
@@ -118,7 +125,7 @@ def stratified_test(observed: DataFrame, pool: DataFrame, keys: list[str],
                 its = np.arange(r["start"], r["stop"])
                 rng = np.random.default_rng([seed, int(r["start"]), r["salt"] & 0xFFFFFFFF])
                 sums = np.concatenate([rng.multinomial(r["need"], k / k.sum(), size=len(part)) @ v
-                                       for part in np.array_split(its, max(1, len(its) * len(v) // 2_000_000 + 1))])
+                                       for part in np.array_split(its, len(its) * len(v) // 2_000_000 + 1)])
                 yield pd.DataFrame({**{c: r[c] for c in keys}, "iteration": its, "drawn": sums})
 
     draws = _iteration_blocks(work, iterations).mapInPandas(run, f"{schema}, iteration int, drawn double")
