@@ -52,9 +52,10 @@ def camera_day_upsert(target: str) -> Callable[[DataFrame, int], None]:
         except Exception:                       # nothing stored yet
             held = None
         if held is not None:
-            touched = rows.select("day").distinct()
+            # the small list of touched days prunes partitions before anything else is read
+            held = held.join(F.broadcast(rows.select("day").distinct()), "day", "left_semi")
             newest = held.groupBy("day").agg(F.max("version").alias("version"))
-            current = held.join(newest, ["day", "version"], "left_semi").join(touched, "day", "left_semi").drop("version")
+            current = held.join(newest, ["day", "version"], "left_semi").drop("version")
             rows = merge_camera_days(rows.unionByName(current))
         rows.withColumn("version", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("day", "version").parquet(target)
