@@ -113,19 +113,25 @@ def ring_box_centre(points: Column) -> Column:
                     ((b["west"] + b["east"]) / 2).alias("lng"))
 
 
-def ring_contains(ring: Column, lng: Column, lat: Column) -> Column:
-    """Even-odd rule against one ring."""
-    crossings = F.filter(_steps(closed_ring(ring)), lambda s: (
+def ring_edges(rings: Column) -> Column:
+    """Every edge {a, b} of every ring in one array; compute it once per polygon."""
+    return F.flatten(F.transform(rings, lambda r: _steps(closed_ring(r))))
+
+
+def edges_contain(edges: Column, lng: Column, lat: Column) -> Column:
+    """Even-odd rule: an odd number of edges lies east of the point.
+
+    Parity over all rings together, so holes and islands need no special case.
+    """
+    crossed = F.filter(edges, lambda s: (
         (s["a"]["lat"] > lat) != (s["b"]["lat"] > lat))
         & (lng < (s["b"]["lng"] - s["a"]["lng"]) * (lat - s["a"]["lat"])
            / (s["b"]["lat"] - s["a"]["lat"]) + s["a"]["lng"]))
-    return F.size(crossings) % 2 == 1
+    return F.size(crossed) % 2 == 1
 
 
 def rings_contain(rings: Column, lng: Column, lat: Column) -> Column:
-    """Even-odd over every ring, so holes and islands need no special case."""
-    inside = F.filter(rings, lambda r: ring_contains(r, lng, lat))
-    return F.size(inside) % 2 == 1
+    return edges_contain(ring_edges(rings), lng, lat)
 
 
 def point_segment_m(p_lat: Column, p_lng: Column, a_lat: Column, a_lng: Column,

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlens.constants import COUNTER_RESET_DROP, GAP_RECENT_DAYS
-from fieldlens.operators.chunked import day_chunk, with_previous, with_running_sum
 
 COUNTER_BLOCK = 10_000
 
@@ -18,32 +18,60 @@ def counter_of(name: Column) -> Column:
     return F.when(F.size(runs) > 0, F.element_at(runs, -1).try_cast("bigint"))
 
 
-def numbered(photos: DataFrame) -> DataFrame:
-    """photos(camera_id, taken_at, n) with the counter epoch of each usable row.
+def _day_epochs(photos: DataFrame) -> DataFrame:
+    """Usable rows with the epoch they fall in, counted from the start of their own day."""
+    w = W.partitionBy("camera_id", "day").orderBy("taken_at", "n")
+    rows = (photos.where(F.col("n").isNotNull() & F.col("taken_at").isNotNull())
+            .select("camera_id", F.to_date("taken_at").alias("day"), "taken_at", "n"))
+    reset = F.coalesce(F.col("n") < F.lag("n").over(w) - COUNTER_RESET_DROP, F.lit(False))
+    return rows.withColumn("reset", reset.cast("int")).withColumn(
+        "local", F.sum("reset").over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _day_offsets(rows: DataFrame) -> DataFrame:
+    """How many epochs a camera had started before each day: one row per camera-day."""
+    order = F.struct("taken_at", "n")
+    days = rows.groupBy("camera_id", "day").agg(
+        F.min_by("n", order).alias("first_n"), F.max_by("n", order).alias("last_n"), F.max("local").alias("inner"))
+    w = W.partitionBy("camera_id").orderBy("day")
+    edge = F.coalesce(F.col("first_n") < F.lag("last_n").over(w) - COUNTER_RESET_DROP, F.lit(False)).cast("int")
+    started = (days.withColumn("edge", edge)
+               .withColumn("before", F.coalesce(F.sum(F.col("inner") + F.col("edge")).over(
+                   w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
+    return started.select("camera_id", "day", (F.col("before") + F.col("edge")).alias("offset"), "inner")
+
 
-    A drop of more than the reset limit against the previous photo starts an epoch.
+def first_arrivals(photos: DataFrame) -> DataFrame:
+    """Earliest instant of every counter of every epoch.
+
+    The ordered work is one window per camera-day; what crosses midnight is carried by a
+    table with one row per camera-day. A drop of more than the reset limit against the
+    photo before starts an epoch.
     """
-    rows = (photos.where(F.col("n").isNotNull() & F.col("taken_at").isNotNull())
-            .select("camera_id", "taken_at", "n", day_chunk(F.col("taken_at")).alias("day")))
-    # equal (time, counter) rows change nothing in the order, so keep one of each
-    rows = rows.distinct()
-    seen = with_previous(rows, ["camera_id"], "day", ["taken_at", "n"], {"n": "prev_n"})
-    reset = F.coalesce(F.col("n") < F.col("prev_n") - COUNTER_RESET_DROP, F.lit(False))
-    return with_running_sum(seen.withColumn("reset", reset.cast("int")), ["camera_id"], "day",
-                            ["taken_at", "n"], "reset", "epoch")
+    rows = _day_epochs(photos)
+    daily = rows.groupBy("camera_id", "day", "local", "n").agg(F.min("taken_at").alias("at"))
+    return (daily.join(_day_offsets(rows), ["camera_id", "day"])
+            .groupBy("camera_id", (F.col("offset") + F.col("local")).alias("epoch"), "n")
+            .agg(F.min("at").alias("at")))
 
 
 def counter_gaps(photos: DataFrame) -> DataFrame:
-    """One row per hole: the counters either side, when they were taken, how many are missing."""
-    firsts = (numbered(photos).groupBy("camera_id", "epoch", "n")
-              .agg(F.min("taken_at").alias("at"))
-              .withColumn("block", F.floor(F.col("n") / COUNTER_BLOCK)))
-    pairs = with_previous(firsts, ["camera_id", "epoch"], "block", ["n"],
-                          {"n": "after_n", "at": "after_at"})
-    return (pairs.where(F.col("n") - F.col("after_n") > 1)
-            .select("camera_id", "epoch", "after_n", "after_at", F.col("n").alias("before_n"),
-                    F.col("at").alias("before_at"),
-                    (F.col("n") - F.col("after_n") - 1).alias("missing")))
+    """One row per hole: the counters either side, when they were taken, how many are missing.
+
+    Counters are ordered inside blocks; the hole between two blocks comes from the blocks'
+    own first and last counters.
+    """
+    firsts = first_arrivals(photos).withColumn("block", F.floor(F.col("n") / COUNTER_BLOCK))
+    group = ["camera_id", "epoch"]
+    w = W.partitionBy(*group, "block").orderBy("n")
+    here = F.struct("n", "at")
+    inside = firsts.select(*group, F.lag(here).over(w).alias("a"), here.alias("b"))
+    ends = firsts.groupBy(*group, "block").agg(F.min(here).alias("b"), F.max(here).alias("top"))
+    across = ends.select(*group, F.lag("top").over(W.partitionBy(*group).orderBy("block")).alias("a"), "b")
+    pairs = inside.unionByName(across).where(F.col("b.n") - F.col("a.n") > 1)
+    return pairs.select(*group, F.col("a.n").alias("after_n"), F.col("a.at").alias("after_at"),
+                        F.col("b.n").alias("before_n"), F.col("b.at").alias("before_at"),
+                        (F.col("b.n") - F.col("a.n") - 1).alias("missing"))
 
 
 def gap_summary(photos: DataFrame, now: Column) -> DataFrame:
@@ -51,7 +79,8 @@ def gap_summary(photos: DataFrame, now: Column) -> DataFrame:
     base = photos.groupBy("camera_id").agg(
         F.count_if(F.col("n").isNotNull() & F.col("taken_at").isNotNull()).alias("counted"),
         F.count_if(F.col("n").isNull() | F.col("taken_at").isNull()).alias("skipped"))
-    resets = numbered(photos).groupBy("camera_id").agg(F.sum("reset").alias("resets"))
+    resets = _day_offsets(_day_epochs(photos)).groupBy("camera_id").agg(
+        F.max(F.col("offset") + F.col("inner")).alias("resets"))
     fresh = F.unix_micros(now) - F.unix_micros("before_at") <= GAP_RECENT_DAYS * 86_400_000_000
     gaps = counter_gaps(photos).groupBy("camera_id").agg(
         F.count("*").alias("gaps"), F.sum("missing").alias("missing"),

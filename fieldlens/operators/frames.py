@@ -10,6 +10,7 @@ from fieldlens.constants import (MIN_DRIFT_COLS, MIN_FRAMES_SELF, MIN_SUBJECT_BI
 from fieldlens.functions import hashes
 from fieldlens.functions.num import wrap360
 from fieldlens.operators.chunked import with_running_sum
+from fieldlens.session import cut_lineage
 
 BANDS = 16
 
@@ -83,9 +84,10 @@ def crossings(frames: DataFrame) -> DataFrame:
     frames(visit_id, photo_id, taken_at, phash).
     """
     base = frames.groupBy("visit_id").agg(F.count_if(hashes.is_hash(F.col("phash"))).alias("frames"))
-    seen = (subject_columns(frames).where(F.col("bits") >= MIN_SUBJECT_BITS)
-            .join(frames.select("photo_id", "taken_at"), "photo_id")
-            .withColumn("hour", F.date_trunc("hour", "taken_at")).withColumn("one", F.lit(1)))
+    # one narrow row per frame with a subject: kept, because the steps below read it three times
+    seen = cut_lineage(subject_columns(frames).where(F.col("bits") >= MIN_SUBJECT_BITS)
+                       .join(frames.select("photo_id", "taken_at"), "photo_id")
+                       .withColumn("hour", F.date_trunc("hour", "taken_at")).withColumn("one", F.lit(1)))
     placed = with_running_sum(seen, ["visit_id"], "hour", ["taken_at", "photo_id"], "one", "nth")
     half = placed.join(seen.groupBy("visit_id").agg(F.count("*").alias("subjects")), "visit_id")
     first = F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("subjects") / 2))

@@ -175,9 +175,9 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, step: float) -> DataFra
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
     """Points joined to the polygons (`rings`) that contain them, even-odd rule."""
-    outer = F.flatten("rings")
-    boxed = polygons.withColumn("bounds", geo.ring_bounds(outer)).select(
-        *polygons.columns, "bounds.west", "bounds.south", "bounds.east", "bounds.north")
+    boxed = polygons.withColumns({"bounds": geo.ring_bounds(F.flatten("rings")),
+                                  "edges": geo.ring_edges(F.col("rings"))}).select(
+        *polygons.columns, "edges", "bounds.west", "bounds.south", "bounds.east", "bounds.north")
     return (points_in_boxes(points, boxed, step)
-            .where(geo.rings_contain(F.col("rings"), F.col("lng"), F.col("lat")))
-            .drop("west", "south", "east", "north"))
+            .where(geo.edges_contain(F.col("edges"), F.col("lng"), F.col("lat")))
+            .drop("west", "south", "east", "north", "edges"))
