@@ -106,3 +106,14 @@ def name_filter(name: Column, ident: Column, words: list[str]) -> Column:
     for w in words:
         test = test | F.lower(name).contains(w.lower()) | F.lower(ident).contains(w.lower())
     return test
+
+
+def camera_view_rows(cameras: DataFrame) -> DataFrame:
+    """Cameras as a reader wants them: effective point, drift, facing and its text.
+
+    cameras: camera_id, lat, lng, placed_lat, placed_lng, view {lng, lat, label, spread}.
+    """
+    from fieldlens.functions import lanes
+    placed = placement_drift(cameras)
+    return placed.withColumn("facing", lanes.camera_view(F.col("lat"), F.col("lng"), F.col("view"))).withColumn(
+        "facing_text", lanes.facing_line(F.col("facing")))

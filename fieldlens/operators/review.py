@@ -117,3 +117,22 @@ def store_counts(tables: dict[str, DataFrame]) -> DataFrame:
         row = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def photo_cards(photos: DataFrame) -> DataFrame:
+    """Photos for review: address, whether the file is here and whether it is hashed."""
+    from fieldlens.functions.hashes import is_hash
+    return photos.select("photo_id", "camera_id", "url", F.col("file_path").isNotNull().alias("downloaded"),
+                         is_hash(F.col("phash")).alias("hashed"))
+
+
+def detection_cards(detections: DataFrame) -> DataFrame:
+    """Detections for review: a machine claim carries the species it would mean, a person's row does not."""
+    return detections.withColumn("suggestion", F.when(F.col("source") == "camera-ai", house_species(F.col("species"))))
+
+
+def stand_rows(stands: DataFrame, lane_schema: str = "ARRAY<STRUCT<lng: DOUBLE, lat: DOUBLE, label: STRING, spread: DOUBLE>>") -> DataFrame:
+    """Stored stands with their comma list and lane JSON unpacked."""
+    none = F.array().cast("array<string>")
+    return stands.withColumn("winds", F.when(F.col("good_winds").isNotNull(), F.split("good_winds", ",")).otherwise(none)).withColumn(
+        "lanes", F.coalesce(F.from_json("lanes", lane_schema), F.array().cast(lane_schema)))

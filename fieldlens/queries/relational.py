@@ -345,3 +345,44 @@ def model_representatives(b):
     rows = b.table("part").select(F.col("p_partkey").alias("camera_id"),
                                   F.when(F.col("p_size") % 10 != 0, F.col("p_brand")).alias("model"))
     return health.one_per_model(rows, "camera_id")
+
+
+@query("camera_rows_for_readers", needs=("fleet",), sql="""
+SELECT camera_id, camera_id % 3 = 0 AS corrected, camera_id % 2 = 0 AS faces, CASE WHEN camera_id % 2 = 0 THEN 'N 0° · 111 m' END AS facing_text FROM fleet""")
+def camera_rows_for_readers(b):
+    k = F.col("camera_id")
+    lat = F.when(k % 3 == 0, F.col("lat") + 0.5).otherwise(F.col("lat"))
+    view = F.when(k % 2 == 0, F.struct(F.col("lng").alias("lng"), (lat + 0.001).alias("lat"), F.lit(None).cast("string").alias("label"),
+                                       F.lit(30.0).alias("spread")))
+    rows = b.fleet().select("camera_id", "lat", "lng", F.when(k % 3 == 0, lat).alias("placed_lat"), F.when(k % 3 == 0, F.col("lng")).alias("placed_lng"),
+                            view.alias("view"))
+    return health.camera_view_rows(rows).select("camera_id", "corrected", F.col("facing").isNotNull().alias("faces"), "facing_text")
+
+
+@query("photo_cards", needs=("hash",), sql="""
+SELECT photo_id, camera_id, photo_id % 4 <> 0 AS downloaded, photo_id % 5 <> 0 AS hashed FROM hash""")
+def photo_cards(b):
+    p = F.col("photo_id")
+    rows = b.hashes().select("photo_id", "camera_id", F.lit("u").alias("url"), F.when(p % 4 != 0, "f").alias("file_path"),
+                             F.when(p % 5 == 0, "none").otherwise(F.col("phash")).alias("phash"))
+    return review.photo_cards(rows).drop("url")
+
+
+@query("detection_cards", needs=("spoken",), sql=f"""
+SELECT photo_id, source, CASE WHEN source = 'camera-ai' THEN {HOUSE.format("word")} END AS suggestion FROM spoken""")
+def detection_cards(b):
+    return review.detection_cards(_spoken(b)).select("photo_id", "source", "suggestion")
+
+
+@query("stand_rows_unpacked", needs=("stand",), sql="""
+SELECT stand_id, CASE WHEN stand_id % 4 <> 0 THEN len(list_distinct([stand_id % 5 * 3, stand_id % 3 * 4 + 1])) ELSE 0 END AS winds, CASE stand_id % 3 WHEN 0 THEN 0 ELSE 1 END AS lanes FROM stand""")
+def stand_rows_unpacked(b):
+    lanes = F.when(F.col("stand_id") % 3 != 0, '[{"lng":-90.0,"lat":44.0,"label":"a","spread":12}]')
+    return review.stand_rows(b.stands().withColumn("lanes", lanes)).select(
+        "stand_id", F.size("winds").cast("bigint").alias("winds"), F.size("lanes").alias("lanes"))
+
+
+@query("visits_newest_first", needs=("visit",), sql="""
+SELECT camera_id, CAST(visit_no AS BIGINT) AS visit_no, photo_count FROM visit WHERE camera_id = 2 ORDER BY s DESC LIMIT 50""")
+def visits_newest_first(b):
+    return review.visit_queue(_reviewed(b), b.cameras(), camera_id=2, limit=50).select("camera_id", "visit_no", "photo_count")

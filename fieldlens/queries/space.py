@@ -359,3 +359,57 @@ SELECT c_custkey AS stand_id, CASE WHEN c_custkey % 4 > 0 THEN 'lanes' WHEN c_cu
 def stand_wind_sources(b):
     ticks = F.when(F.col("stand_id") % 3 == 0, F.array(F.lit("N"), F.lit("NE")))
     return _laned(b).select("stand_id", lanes.stand_winds(F.col("lanes"), ticks)["source"].alias("source"))
+
+
+@query("grid_covering_box", needs=("stand",), sql="""
+WITH g AS (SELECT s_suppkey AS grid_id, 5 + s_suppkey % 3 * 5 AS spacing, 44e0 + CAST(s_suppkey % 97 AS DOUBLE) * 0.01e0 - 0.015e0 AS south,
+  -90e0 - CAST(s_suppkey % 89 AS DOUBLE) * 0.012e0 - 0.02e0 AS west FROM supplier),
+k AS (SELECT s.stand_id, g.grid_id, row_number() OVER (PARTITION BY s.stand_id ORDER BY g.spacing, g.grid_id) AS r FROM stand s
+  JOIN g ON s.lat >= g.south AND s.lng >= g.west AND s.lat + 0.001e0 <= g.south + 0.03e0 AND s.lng + 0.001e0 <= g.west + 0.04e0 AND g.spacing <= 10)
+SELECT s.stand_id AS want_id, k.grid_id FROM stand s LEFT JOIN k ON k.stand_id = s.stand_id AND k.r = 1""")
+def grid_covering_box(b):
+    from fieldlens.sources.grids import grid_covering
+    k = F.col("s_suppkey")
+    lat, lng = b.place(k)
+    boxes = b.table("supplier").select(k.alias("grid_id"), (k % 3 * 5 + 5).alias("spacing_m"), (lat - 0.015).alias("south"),
+                                       (lng - 0.02).alias("west")).withColumns({
+        "north": F.col("south") + 0.03, "east": F.col("west") + 0.04})
+    wanted = b.stands().select(F.col("stand_id").alias("want_id"), F.col("lng").alias("west"), F.col("lat").alias("south"),
+                               (F.col("lng") + 0.001).alias("east"), (F.col("lat") + 0.001).alias("north"), F.lit(10).alias("spacing_m"))
+    return grid_covering(wanted, boxes).select("want_id", "grid_id")
+
+
+@query("planned_grids", needs=("stand",), sql="""
+SELECT stand_id, CAST(greatest(2, floor(0.004e0 / (12e0 / 110540e0) + 0.5) + 1) AS BIGINT) AS rows,
+  CAST(greatest(2, floor((lng + 0.006e0 - lng) / (12e0 / (111320e0 * cos(radians((lat + 0.004e0 + lat) / 2)))) + 0.5) + 1) AS BIGINT) AS cols FROM stand""")
+def planned_grids(b):
+    from fieldlens.sources.grids import plan_grids
+    want = b.stands().select("stand_id", F.col("lng").alias("west"), F.col("lat").alias("south"), (F.col("lng") + 0.006).alias("east"),
+                             (F.col("lat") + 0.004).alias("north"), F.lit(12.0).alias("spacing_m"))
+    return plan_grids(want).select("stand_id", "rows", "cols")
+
+
+@query("default_centre_and_coverage", needs=("pin",), sql="""
+SELECT CASE WHEN kind = 'camera' THEN 'camera' ELSE 'stand' END AS kind, count(*) AS pins, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM pin GROUP BY ROLLUP (1)""")
+def default_centre_and_coverage(b):
+    return b.pins().rollup("kind").agg(F.count("*").alias("pins"), round6(F.avg("lat")).alias("lat"), round6(F.avg("lng")).alias("lng"))
+
+
+@query("distinct_parcel_owners", needs=("parcel",), sql="""
+SELECT DISTINCT coalesce('id:' || parcel_id, 'owner:' || owner) AS key FROM parcel WHERE coalesce(parcel_id, owner) IS NOT NULL""")
+def distinct_parcel_owners(b):
+    land = parcels.normalise(b.raw_parcels())
+    return land.select(parcels.parcel_key(F.col("parcel_id"), F.col("owner")).alias("key")).where(F.col("key").isNotNull()).distinct()
+
+
+@query("winds_compared", needs=("lane",), sql=f"""
+WITH w AS (SELECT CAST(unnest(range(16)) AS INT) AS i), j AS (SELECT DISTINCT l.stand_id, w.i FROM lane l, w
+  WHERE abs({wrap_sql("((w.i * 22.5e0 + 180e0) % 360e0) - l.bearing + 180e0")} - 180e0) <= 30 + CASE WHEN l.spread IS NULL THEN 10e0 ELSE greatest(3e0, least(80e0, l.spread)) END),
+c AS (SELECT s.stand_id, w.i, NOT EXISTS (SELECT 1 FROM j WHERE j.stand_id = s.stand_id AND j.i = w.i) AS derived, w.i IN (0, 4, 8) AS ticked FROM (SELECT DISTINCT stand_id FROM lane) s, w)
+SELECT stand_id, count(*) FILTER (WHERE ticked AND NOT derived) = 0 AND count(*) FILTER (WHERE derived AND NOT ticked) = 0 AS agree,
+  count(*) FILTER (WHERE ticked AND NOT derived) AS only_ticked, count(*) FILTER (WHERE derived AND NOT ticked) AS only_derived FROM c GROUP BY 1""")
+def winds_compared(b):
+    ticked = F.array(F.lit("N"), F.lit("E"), F.lit("S"), F.lit("bogus"))
+    out = _laned(b).select("stand_id", lanes.winds_compared(lanes.huntable_winds(F.col("lanes")), ticked).alias("c")).where(F.col("c").isNotNull())
+    return out.select("stand_id", "c.agree", F.size("c.only_ticked").cast("bigint").alias("only_ticked"),
+                      F.size("c.only_derived").cast("bigint").alias("only_derived"))
