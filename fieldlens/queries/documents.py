@@ -176,7 +176,7 @@ def scene_projection(b):
 
 
 @query("position_audit", sql="""
-SELECT CAST(s_suppkey AS VARCHAR) AS camera_id, CASE WHEN s_suppkey % 6 = 0 OR s_suppkey % 10 = 9 THEN NULL WHEN s_suppkey % 2 = 1 THEN 1112 ELSE 0 END AS drift_m,
+SELECT CAST(s_suppkey AS VARCHAR) AS camera_id, CASE WHEN s_suppkey % 6 = 0 OR s_suppkey % 10 = 9 THEN NULL WHEN s_suppkey % 2 = 1 THEN CAST(1112 AS BIGINT) ELSE 0 END AS drift_m,
   CASE WHEN s_suppkey % 10 = 9 THEN 'not stored' WHEN s_suppkey % 6 = 0 THEN 'only the row has a position' WHEN s_suppkey % 2 = 1 THEN 'row is behind' ELSE 'agrees' END AS verdict FROM supplier""")
 def position_audit(b):
     k = F.col("s_suppkey")

@@ -71,11 +71,29 @@ def utm_zones(b):
     return _pairs(b).select("id", geo.utm_zone(F.col("lng") * 2.0).alias("zone"))
 
 
-@query("projections")
+@query("projections", needs=("pt",), sql="""
+WITH k AS (SELECT *, radians(lat) AS phi, 6378137e0 AS a, 0.0066943799901413165e0 AS e2, 0.0066943799901413165e0 / (1 - 0.0066943799901413165e0) AS ep2,
+  radians(lng) - radians(floor((((lng + 180) % 360 + 360) % 360) / 6) * 6 - 177) AS dl FROM pt),
+u AS (SELECT *, a / sqrt(1 - e2 * sin(phi) * sin(phi)) AS nu, tan(phi) * tan(phi) AS t, ep2 * cos(phi) * cos(phi) AS c, dl * cos(phi) AS aa,
+  a * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * phi - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * phi)
+    + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * phi) - 35 * pow(e2, 3) / 3072 * sin(6 * phi)) AS m FROM k),
+q AS (SELECT f.*, x.e AS e, (1 - x.z) * (sin(phi) / (1 - x.z * sin(phi) * sin(phi)) - ln((1 - x.e * sin(phi)) / (1 + x.e * sin(phi))) / (2 * x.e)) AS q,
+  x.z AS z FROM u f, (SELECT 0.00669438002290e0 AS z, sqrt(0.00669438002290e0) AS e) x),
+s AS (SELECT e, z, (1 - z) * (sin(radians(23e0)) / (1 - z * pow(sin(radians(23e0)), 2)) - ln((1 - e * sin(radians(23e0))) / (1 + e * sin(radians(23e0)))) / (2 * e)) AS q0,
+  (1 - z) * (sin(radians(29.5e0)) / (1 - z * pow(sin(radians(29.5e0)), 2)) - ln((1 - e * sin(radians(29.5e0))) / (1 + e * sin(radians(29.5e0)))) / (2 * e)) AS q1,
+  (1 - z) * (sin(radians(45.5e0)) / (1 - z * pow(sin(radians(45.5e0)), 2)) - ln((1 - e * sin(radians(45.5e0))) / (1 + e * sin(radians(45.5e0)))) / (2 * e)) AS q2,
+  cos(radians(29.5e0)) / sqrt(1 - z * pow(sin(radians(29.5e0)), 2)) AS m1, cos(radians(45.5e0)) / sqrt(1 - z * pow(sin(radians(45.5e0)), 2)) AS m2
+  FROM (SELECT 0.00669438002290e0 AS z, sqrt(0.00669438002290e0) AS e)),
+n AS (SELECT *, (m1 * m1 - m2 * m2) / (q2 - q1) AS n, m1 * m1 + (m1 * m1 - m2 * m2) / (q2 - q1) * q1 AS c FROM s)
+SELECT id, CAST(floor((0.9996e0 * nu * (aa + (1 - t + q.c) * pow(aa, 3) / 6 + (5 - 18 * t + t * t + 72 * q.c - 58 * ep2) * pow(aa, 5) / 120) + 500000) * 100 + 0.5) AS BIGINT) AS easting,
+  CAST(floor(0.9996e0 * (m + nu * tan(phi) * (aa * aa / 2 + (5 - t + 9 * q.c + 4 * q.c * q.c) * pow(aa, 4) / 24 + (61 - 58 * t + t * t + 600 * q.c - 330 * ep2) * pow(aa, 6) / 720)) * 100 + 0.5) AS BIGINT) AS northing,
+  CAST(floor(a * sqrt(n.c - n.n * q.q) / n.n * sin(n.n * (radians(lng) - radians(-96e0))) * 100 + 0.5) AS BIGINT) AS ax,
+  CAST(floor((a * sqrt(n.c - n.n * q0) / n.n - a * sqrt(n.c - n.n * q.q) / n.n * cos(n.n * (radians(lng) - radians(-96e0)))) * 100 + 0.5) AS BIGINT) AS ay FROM q, n""")
 def projections(b):
     u = geo.to_utm(F.col("lat"), F.col("lng"), geo.utm_zone(F.col("lng")))
     a = geo.to_albers(F.col("lat"), F.col("lng"))
-    return _pairs(b).select("id", round6(u["x"]).alias("easting"), round6(u["y"]).alias("northing"), round6(a["x"]).alias("ax"), round6(a["y"]).alias("ay"))
+    cm = {"easting": u["x"], "northing": u["y"], "ax": a["x"], "ay": a["y"]}
+    return _pairs(b).select("id", *[half_up(c * 100.0).alias(n) for n, c in cm.items()])
 
 
 @query("ring_measures", needs=("sfield",), sql=f"""

@@ -188,7 +188,7 @@ def normal_winds_query(b):
 
 
 @query("typed_counts", sql="""
-SELECT p_partkey AS sit_id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN p_size WHEN 2 THEN 0 ELSE p_size + 1 END AS deer FROM part""")
+SELECT p_partkey AS sit_id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(p_size AS BIGINT) WHEN 2 THEN 0 ELSE p_size + 1 END AS deer FROM part""")
 def typed_counts(b):
     s = F.col("p_size").cast("string")
     k = F.col("p_partkey") % 4

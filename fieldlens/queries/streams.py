@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import fieldlens.queries.sequences  # noqa: F401
 import fieldlens.queries.statistics  # noqa: F401
 from fieldlens.queries.registry import query
 from fieldlens.session import ensure_checkpoint_dir
@@ -38,18 +39,25 @@ def stream_first_seen(b):
     return _drain(b, jobs.first_seen(_photos(b))).groupBy("camera_id").agg(F.count("*").alias("photos"))
 
 
-@query("stream_visits")
+@query("stream_visits", needs=("visit", "photo"), sql="""
+SELECT camera_id, s AS start_us, e AS end_us, photo_count FROM visit WHERE e + 300000000 <= (SELECT max(us) FROM photo)""")
 def stream_visits(b):
-    """Visits closed by the watermark; each camera's last one is still open when the input ends."""
-    return _drain(b, jobs.visit_stream(_photos(b), late="0 seconds"))
+    """Visits closed by the watermark: those whose gap has passed when the input ends."""
+    out = _drain(b, jobs.visit_stream(_photos(b), late="0 seconds"))
+    return out.select("camera_id", F.unix_micros("started_at").alias("start_us"), F.unix_micros("ended_at").alias("end_us"), "photo_count")
 
 
-@query("stream_hourly_counts")
+@query("stream_hourly_counts", needs=("photo",), sql="""
+SELECT camera_id, us // 3600000000 AS hour_no, count(*) AS hits FROM photo GROUP BY 1, 2
+HAVING (us // 3600000000 + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 FROM photo)""")
 def stream_hourly_counts(b):
-    return _drain(b, jobs.hourly_counts(_photos(b), late="0 seconds"))
+    out = _drain(b, jobs.hourly_counts(_photos(b), late="0 seconds"))
+    return out.select("camera_id", F.floor(F.unix_seconds("hour_utc") / 3600).alias("hour_no"), "hits")
 
 
-@query("stream_counter_holes")
+@query("stream_counter_holes", needs=("epoched",), sql="""
+SELECT camera_id, after_n, n AS before_n, n - after_n - 1 AS missing FROM (SELECT *, lag(n) OVER (PARTITION BY camera_id, epoch ORDER BY us, n) AS after_n FROM epoched)
+WHERE n > after_n + 1""")
 def stream_counter_holes(b):
     numbered = _photos(b).select("camera_id", "taken_at", F.when(F.col("event_id") % 17 != 0, F.col("event_id") % 3000).alias("n"))
     return _drain(b, jobs.counter_monitor(numbered))
