@@ -33,10 +33,15 @@ def empty_matches(frames: DataFrame, baseline: DataFrame) -> DataFrame:
 
     distinct = (frames.where(hashes.is_hash(F.col("phash"))).select("camera_id", F.col("phash").alias("f"))
                 .distinct())
-    pairs = (banded(distinct, "f").join(banded(base.select("camera_id", F.col("phash").alias("b")), "b"),
-                                        ["camera_id", "band"]).select("camera_id", "f", "b"))
-    best = (pairs.groupBy("camera_id", "f").agg(F.min(hashes.hamming(F.col("f"), F.col("b"))).alias("bits"))
-            .where(F.col("bits") <= WIND_BITS).withColumnRenamed("f", "phash"))
+    known = base.select("camera_id", F.col("phash").alias("b"))
+    # a copy of an empty scene is zero bits away: settled by equality, it never meets a band
+    same = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_semi").withColumn(
+        "bits", F.lit(0))
+    other = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_anti")
+    pairs = (banded(other, "f").join(banded(known, "b"), ["camera_id", "band"]).select("camera_id", "f", "b"))
+    close = (pairs.groupBy("camera_id", "f").agg(F.min(hashes.hamming(F.col("f"), F.col("b"))).alias("bits"))
+             .where(F.col("bits") <= WIND_BITS))
+    best = same.unionByName(close).withColumnRenamed("f", "phash")
     return (frames.join(best, ["camera_id", "phash"], "left").join(size, "camera_id", "left")
             .withColumn("bits", F.when(F.col("of") >= WIND_MIN_BASELINE, F.col("bits")))
             .withColumn("of", F.when(F.col("bits").isNotNull(), F.col("of"))))

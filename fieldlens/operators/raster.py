@@ -17,6 +17,7 @@ from fieldlens.functions.num import half_up, half_up_to, wrap360
 from fieldlens.operators.iterate import (accumulate_downstream, connected_components,
                                          priority_independent_set)
 from fieldlens.operators.orderstat import nearest_rank, order_statistic
+from fieldlens.session import cut_lineage
 
 CELL = ["grid_id", "c", "r"]
 
@@ -131,13 +132,13 @@ def flow_accumulation(flow: DataFrame) -> DataFrame:
     return flow.join(accumulate_downstream(ones, ["grid_id"], "acc", "sum"), ["grid_id", "id"])
 
 
-def channels(cells: DataFrame, grids: DataFrame, invert: bool = False, min_area: float = 0.01,
-             min_cells: int = 6, min_drop_ft: float = 1.0, smooth: bool = True) -> DataFrame:
-    """Drainages (or ridges): one row per traced path with its length, drop and catchment.
+def channel_cells(cells: DataFrame, grids: DataFrame, invert: bool = False, min_area: float = 0.01,
+                  smooth: bool = True) -> DataFrame:
+    """Channel cells with the path they belong to: (grid, c, r, id, next, acc, head, z).
 
     Paths start at channel heads in cell order and stop where an earlier path already
     runs. A cell therefore belongs to the least head upstream of it, which is a minimum
-    carried down the flow; the junction cell closes the path.
+    carried down the flow. Along one path the accumulation only rises, so it gives the order.
     """
     work = smoothed(cells) if smooth else cells
     acc = flow_accumulation(flow_directions(work, invert))
@@ -152,12 +153,20 @@ def channels(cells: DataFrame, grids: DataFrame, invert: bool = False, min_area:
     big = F.lit((1 << 62)).cast("bigint")
     seeded = on.join(heads, ["grid_id", "id"], "left").withColumn("head", F.coalesce("head", big))
     owner = accumulate_downstream(seeded.select("grid_id", "id", "next", "head"), ["grid_id"], "head", "min")
-    owned = on.join(owner, ["grid_id", "id"]).join(work, CELL)
+    return on.join(owner, ["grid_id", "id"]).join(work, CELL)
+
+
+def channels(cells: DataFrame, grids: DataFrame, invert: bool = False, min_area: float = 0.01,
+             min_cells: int = 6, min_drop_ft: float = 1.0, smooth: bool = True) -> DataFrame:
+    """Drainages (or ridges): one row per traced path with its length, drop and catchment.
+
+    The cell where a path meets an earlier one closes it.
+    """
+    owned = cut_lineage(channel_cells(cells, grids, invert, min_area, smooth))
     ends = owned.select("grid_id", F.col("id").alias("next"), F.col("head").alias("next_head"),
                         F.col("z").alias("next_z"), F.col("acc").alias("next_acc"))
     tail = owned.join(ends, ["grid_id", "next"], "left").withColumn(
         "joins", F.col("next_head").isNotNull() & (F.col("next_head") != F.col("head")))
-    # the flow order along one path is the order of rising accumulation
     last = F.max_by(F.struct("joins", "z", "acc", "next_z", "next_acc"), F.col("acc"))
     paths = tail.groupBy("grid_id", "head").agg(
         F.count("*").alias("n"), F.min_by("z", F.col("acc")).alias("first_z"), last.alias("e"))

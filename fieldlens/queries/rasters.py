@@ -97,6 +97,23 @@ def terrain_drainages(b):
     return raster.channels(b.elevation_cells(), b.elevation_grids())
 
 
+def _channel_sql() -> str:
+    from fieldlens.queries.registry import with_tables
+    return with_tables(("flow",), """WITH f AS (SELECT grid_id, r * 4294967296 + c AS id, CASE WHEN dc IS NOT NULL THEN (r + dr) * 4294967296 + c + dc END AS nxt FROM flow),
+w AS (SELECT grid_id, id AS start, id AS spot FROM f UNION ALL SELECT w.grid_id, w.start, f.nxt FROM w JOIN f ON f.grid_id = w.grid_id AND f.id = w.spot WHERE f.nxt IS NOT NULL),
+acc AS (SELECT grid_id, spot AS id, count(*) AS acc FROM w GROUP BY 1, 2 HAVING count(*) >= 8),
+ch AS (SELECT acc.grid_id, acc.id, acc.acc, k.id AS nxt FROM acc JOIN f ON f.grid_id = acc.grid_id AND f.id = acc.id LEFT JOIN acc k ON k.grid_id = acc.grid_id AND k.id = f.nxt),
+hd AS (SELECT grid_id, id FROM ch WHERE NOT EXISTS (SELECT 1 FROM ch p WHERE p.grid_id = ch.grid_id AND p.nxt = ch.id)),
+dn AS (SELECT grid_id, id AS head, id AS spot FROM hd UNION ALL SELECT dn.grid_id, dn.head, ch.nxt FROM dn JOIN ch ON ch.grid_id = dn.grid_id AND ch.id = dn.spot WHERE ch.nxt IS NOT NULL)
+SELECT ch.grid_id, CAST(ch.id AS BIGINT) AS id, ch.acc, CAST(min(dn.head) AS BIGINT) AS head FROM ch JOIN dn ON dn.grid_id = ch.grid_id AND dn.spot = ch.id GROUP BY 1, 2, 3""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("terrain_channel_cells", sql=_channel_sql())
+def terrain_channel_cells(b):
+    out = raster.channel_cells(b.elevation_cells(), b.elevation_grids(), smooth=False)
+    return out.select("grid_id", "id", "acc", "head")
+
+
 @query("terrain_ridges")
 def terrain_ridges(b):
     return raster.channels(b.elevation_cells(), b.elevation_grids(), invert=True)

@@ -386,3 +386,12 @@ def stand_rows_unpacked(b):
 SELECT camera_id, CAST(visit_no AS BIGINT) AS visit_no, photo_count FROM visit WHERE camera_id = 2 ORDER BY s DESC LIMIT 50""")
 def visits_newest_first(b):
     return review.visit_queue(_reviewed(b), b.cameras(), camera_id=2, limit=50).select("camera_id", "visit_no", "photo_count")
+
+
+@query("pin_union", needs=("fleet", "stand"), sql="""
+SELECT 'camera' AS kind, CAST(camera_id AS VARCHAR) AS id, round(lat, 6) AS lat FROM fleet UNION ALL SELECT 'stand', CAST(stand_id AS VARCHAR), round(lat, 6) FROM stand
+UNION ALL SELECT 'marker', CAST(p_partkey AS VARCHAR), round(44e0 + CAST(p_partkey % 97 AS DOUBLE) * 0.01e0, 6) FROM part""")
+def pin_union(b):
+    from fieldlens.sources.store import union_all
+    parts = [(b.fleet(), "camera"), (b.stands(), "stand"), (b.markers(), "marker")]
+    return union_all([df.select(F.lit(k).alias("kind"), F.col(f"{k}_id").cast("string").alias("id"), round6("lat").alias("lat")) for df, k in parts])

@@ -297,3 +297,18 @@ def owner_terms(b):
     from fieldlens.operators.parcels import owner_term
     text = F.concat("p_name", F.lit(" #"), "p_brand", F.lit("! & Sons, Inc."))
     return b.table("part").select(F.col("p_partkey").alias("id"), owner_term(text).alias("term"))
+
+
+@query("tile_bounds", sql="""
+SELECT p_partkey AS id, round(p_partkey % 4096 * (2 * pi() * 6378137e0 / 4096) - pi() * 6378137e0, 2) AS west, round(pi() * 6378137e0 - p_size * (2 * pi() * 6378137e0 / 4096), 2) AS north FROM part""")
+def tile_bounds(b):
+    t = geo.tile_bounds_3857(F.col("p_partkey") % 4096, F.col("p_size"), 12)
+    return b.table("part").select(F.col("p_partkey").alias("id"), *[(F.signum(t[n]) * F.floor(F.abs(t[n]) * 100 + 0.5) / 100).alias(n)
+                                                                    for n in ("west", "north")])
+
+
+@query("views_from_bearings", needs=("pt",), sql="""
+SELECT id, round(lat + degrees(greatest(1e0, CAST(id % 60 AS DOUBLE)) * cos(radians(deg)) / 6371008.8e0), 6) AS to_lat FROM pt""")
+def views_from_bearings(b):
+    v = lanes.view_from_bearing(F.col("lat"), F.col("lng"), F.col("deg"), (F.col("id") % 60).cast("double"))
+    return _pairs(b).select("id", round6(v["lat"]).alias("to_lat"))
