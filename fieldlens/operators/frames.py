@@ -38,8 +38,11 @@ def empty_matches(frames: DataFrame, baseline: DataFrame) -> DataFrame:
     same = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_semi").withColumn(
         "bits", F.lit(0))
     other = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_anti")
-    pairs = (banded(other, "f").join(banded(known, "b"), ["camera_id", "band"]).select("camera_id", "f", "b"))
-    close = (pairs.groupBy("camera_id", "f").agg(F.min(hashes.hamming(F.col("f"), F.col("b"))).alias("bits"))
+    # hashes become words once per hash, not once per pair
+    left = banded(other, "f").withColumn("fw", hashes.words(F.col("f")))
+    right = banded(known, "b").withColumn("bw", hashes.words(F.col("b"))).drop("b")
+    close = (left.join(right, ["camera_id", "band"]).groupBy("camera_id", "f")
+             .agg(F.min(hashes.hamming_words(F.col("fw"), F.col("bw"))).alias("bits"))
              .where(F.col("bits") <= WIND_BITS))
     best = same.unionByName(close).withColumnRenamed("f", "phash")
     return (frames.join(best, ["camera_id", "phash"], "left").join(size, "camera_id", "left")
