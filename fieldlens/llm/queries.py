@@ -26,6 +26,25 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    from fieldlens.llm import piececount
+    return piececount.token_counts(read_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op5_bpe_digests")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    from fieldlens.llm import bpe
+    return bpe.digests(read_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 @query("op7_simhash_components")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
