@@ -21,8 +21,6 @@ from fieldlens.llm.presplit import Presplit, ship_file
 
 #: Chunks a task keeps counts of before it starts over; bounds memory only.
 KEPT_CHUNKS = 400_000
-#: Stands for the mark that closes a word; no byte letter and no text has it.
-CLOSE = ""
 
 
 class LongestMatch:
@@ -34,7 +32,7 @@ class LongestMatch:
     """
 
     def __init__(self, pieces, going_on: str = "", close: str = ""):
-        self.close = CLOSE if close else ""
+        self.close = close
         self.child: list[dict[str, int]] = [{}, {}]
         self.link: list[int] = [-1, -1]
         self.popped: list[int] = [0, 0]
@@ -44,10 +42,12 @@ class LongestMatch:
             root = self.first
             if going_on and piece.startswith(going_on):
                 root, piece = self.later, piece[len(going_on):]
-            if close and piece.endswith(close):
-                piece = piece[:-len(close)] + CLOSE
+            marked = bool(close) and piece.endswith(close) and piece != close
+            symbols = list(piece[:-len(close)] if marked else piece)
+            if marked:                                      # the last letter and the mark are one symbol
+                symbols[-1] += close
             node = root
-            for c in piece:
+            for c in symbols:
                 nxt = self.child[node].get(c)
                 if nxt is None:
                     nxt = len(self.child)
@@ -82,7 +82,7 @@ class LongestMatch:
         child, link, popped = self.child, self.link, self.popped
         u = self.first
         n = 0
-        for c in word + self.close:
+        for c in (*word[:-1], word[-1] + self.close):
             nxt = child[u].get(c)
             while nxt is None:
                 if link[u] < 0:
