@@ -50,3 +50,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from fieldlens.llm import simhash
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
+@query("op10_lattice_scores")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Word-model and piece-lattice log probability of every document."""
+    from fieldlens.llm import lattice
+    return lattice.score_documents(read_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
