@@ -57,3 +57,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Word-model and piece-lattice log probability of every document."""
     from fieldlens.llm import lattice
     return lattice.score_documents(read_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op8_exact_top_k", """
+    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    from fieldlens.llm import topk
+    return topk.top_k(read_table(spark, folder, "embeddings"))
