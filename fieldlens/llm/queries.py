@@ -38,6 +38,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return piececount.token_counts(read_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query("op3_language_mixture")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    from fieldlens.llm import langmix
+    docs = read_table(spark, folder, "documents")
+    return langmix.predict(docs, langmix.learn(docs))
+
+
 @query("op5_bpe_digests")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""

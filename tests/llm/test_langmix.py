@@ -1,0 +1,78 @@
+"""Language shares: held-out accuracy, planted mixtures, EM against a plain fit."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from fieldlens.llm import langmix
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{FOLDER}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return langmix.learn(docs)
+
+
+def test_held_out_accuracy(docs, model):
+    got = {r.doc_id: r for r in langmix.predict(docs, model).collect()}
+    held = [r for r in docs.collect() if got[r.doc_id].held_out]
+    assert len(held) > 100
+    assert sum(got[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_planted_mixture(docs, model):
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r.lang, []).append(r.text)
+    text = " ".join(by["en"])[:30_000] + " " + " ".join(by["de"])[:10_000]
+    share, _, _ = langmix.mixtures(model, [text])
+    shares = dict(zip(model.names, share[0]))
+    assert abs(shares["en"] - 0.75) < 0.05 and abs(shares["de"] - 0.25) < 0.05
+    assert shares["fr"] < 0.02 and shares["es"] < 0.02
+
+
+def test_shortcut_equals_trying_all_pairs(docs, model):
+    """What the slope bound settles is what fitting each further language would."""
+    texts = [r.text for r in docs.limit(60).collect()] + ["the and of die der und", "x"]
+    share, value, size = langmix.mixtures(model, texts)
+    for i, t in enumerate(texts):
+        if (share[i] > 0).sum() != 1:
+            continue
+        g = np.unique(langmix.buckets_of(t), return_counts=True)
+        a = int(share[i].argmax())
+        for b in range(len(model.names)):
+            if b == a:
+                continue
+            p = model.p[g[0]][:, [a, b]]
+            w = np.array([0.9, 0.1])
+            for _ in range(300):
+                part = p * w
+                w = (part * (g[1] / part.sum(1))[:, None]).sum(0) / g[1].sum()
+            gain = (g[1] * np.log(p @ w)).sum() - value[i]
+            assert gain <= langmix.PENALTY * np.log(size[i] + 1) + 0.05
+
+
+def test_nulls_and_letterless(spark, model):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "123 !? \n", "x"), (None, "the and with of that", "x"), (4, "the and with of that", "x"), (4, "the and with of that", "x")]
+    got = langmix.predict(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in got[:3]] == [("und", 0.0)] * 3
+    assert {r.lang_pred for r in got[3:]} == {"en"}
+    kept = langmix.keep_known(spark.createDataFrame(rows, "doc_id long, text string, score string"), model)
+    assert kept.columns == ["doc_id", "text", "score"] and kept.count() == 3
+
+
+def test_nothing_to_learn_from(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = langmix.learn(empty)
+    assert langmix.predict(empty, model).collect() == []
+    some = spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")
+    assert langmix.predict(some, langmix.learn(some)).first().lang_pred == "und"
+    assert langmix.keep_known(some, model).count() == 1
