@@ -38,6 +38,21 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return piececount.token_counts(read_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query("op2_warc_revisits", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    h AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY sha1(body)) AS first_id FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM h""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages archived, repeated payloads resolved to revisits, archives read back."""
+    from fieldlens.llm import warc
+    return warc.archive_pages(read_table(spark, folder, "pages")).drop("record_id", "url")
+
+
 @query("op3_language_mixture")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
@@ -68,9 +83,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("op8_exact_top_k", """
-    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-                 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 
+import compare
 from fieldlens.llm import topk
+from fieldlens.llm.queries import QUERIES, SQL
 
 
 def brute(rows, k, every):
@@ -53,3 +55,11 @@ def test_fewer_than_k_and_empty(spark):
     check(spark, [(0, [1.0], None, None)])
     check(spark, [(3, [1.0], None, None)])
     check(spark, [])
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["op8_exact_top_k"](spark, folder)
+    cur = compare.duck(folder).execute(SQL["op8_exact_top_k"])
+    want = compare.normal([d[0] for d in cur.description], cur.fetchall())
+    assert compare.normal(got.columns, got.collect()) == want
