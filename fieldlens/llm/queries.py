@@ -75,6 +75,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+@query("op9_benchmark_overlaps", r"""
+    WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+               FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)),
+    b AS (SELECT item_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+          FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)),
+    same AS (SELECT DISTINCT doc_id, item_id, size, d.pos - b.pos AS shift, b.pos AS pos FROM d JOIN b USING (word) WHERE size >= 8),
+    long AS (SELECT doc_id, item_id, size, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS n FROM same)
+    SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS matched FROM long WHERE n >= least(size, 11) AND (size >= 13 OR n = size) GROUP BY doc_id, item_id""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark passage, with the passage."""
+    from fieldlens.llm import decontam
+    return decontam.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 @query("op10_lattice_scores")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Word-model and piece-lattice log probability of every document."""
