@@ -61,6 +61,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return langmix.predict(docs, langmix.learn(docs))
 
 
+@query("op4_passage_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from labels of four fifths of them."""
+    from fieldlens.llm import milquality
+    docs = read_table(spark, folder, "documents")
+    return milquality.score(docs, milquality.learn(docs, read_table(spark, folder, "labels")))
+
+
 @query("op5_bpe_digests")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
