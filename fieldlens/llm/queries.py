@@ -76,6 +76,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query("op6_personal_data")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: fixed patterns and what the field adds."""
+    from fieldlens.llm import crfpii
+    return crfpii.personal_data(read_table(spark, folder, "documents"))
+
+
 @query("op7_simhash_components")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
