@@ -2,11 +2,11 @@
 
 The dimensions are divided into FRAGMENTS lists of local scores, each shifted by the least
 local score a query sees in it so that none is negative; a vector's score is the sum over
-its lists. Phase 1 gathers the best local scores of every list and block of vectors; sums over
-what was seen bound scores from below, and the k-th best sum is a safe cutoff. Phase 2 sends
-each query's cutoff to every block and collects all local scores of at least cutoff /
-FRAGMENTS: a vector with none is below the cutoff. Lower and upper bounds then drop what
-cannot reach the top. Phase 3 resolves the missing local scores of the rest exactly.
+its lists. Phase 1 gathers, from every block of vectors, the best entries of each list with
+their sums; the k-th best sum over all blocks is a safe cutoff. Phase 2 tells every block the
+cutoffs and collects, list by list, the entries of at least cutoff / FRAGMENTS: a vector with
+none is below the cutoff. Phase 3 resolves the other local scores of those vectors where they
+are and hands on exact scores of at least the cutoff, a few a query, for the final ranking.
 
 Equal vectors are one candidate that keeps its smallest k + 1 ids: with its own id left out a
 query needs no more of them. Queries meet vectors block by block; nothing is broadcast.
@@ -23,7 +23,7 @@ from fieldlens.llm.common import map_slices, stored
 
 FRAGMENTS = 2
 #: Vectors a block holds at most and at least (on average), and queries a block holds.
-BLOCK, LEAST_BLOCK, QUERY_BLOCK = 8192, 512, 2048
+BLOCK, LEAST_BLOCK, QUERY_BLOCK = 8192, 1024, 2048
 SALTS = 16
 EXACT = 2.0 ** 53
 
@@ -99,77 +99,56 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
         return left.groupBy("block", "ask").cogroup(spread.groupBy("block", "ask")).applyInArrow(work, schema)
 
-    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Phase 1: per query and list, the best local scores of this block and the least one."""
-        out: list[list] = [[], [], [], [], []]
+    def chunks(left: pa.Table, right: pa.Table):
+        """(queries, local scores of each list, vectors' ids) for some queries of a block at a time."""
         if left.num_rows and right.num_rows:
             q, c, cid = unpack(left["vec"]), unpack(right["vec"]), right["cid"].to_numpy()
-            qid, own = left["qid"].to_numpy(), left["own"].to_numpy()
-            for f, part in enumerate(cuts(q.shape[1])):
-                for a in range(0, len(q), 256):
-                    s = product(q[a:a + 256, part], c[:, part])
-                    n = min(need, len(c))
-                    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    got = np.take_along_axis(s, best, 1)
-                    for column, x in zip(out, (np.repeat(qid[a:a + 256], n), np.repeat(own[a:a + 256], n), cid[best].ravel(), got.ravel(), np.repeat(s.min(1), n))):
-                        column.append(x)
-                    out[4][-1] = np.stack([np.full(len(out[4][-1]), f), out[4][-1]], 1)
-        if not out[0]:
-            return pa.table({n: pa.array([], pa.int64()) for n in ("qid", "own", "cid", "s", "f", "least")})
-        last = np.concatenate(out[4])
-        return pa.table({"qid": np.concatenate(out[0]), "own": np.concatenate(out[1]), "cid": np.concatenate(out[2]),
-                         "s": np.concatenate(out[3]), "f": last[:, 0].copy(), "least": last[:, 1].copy()})
-    local = stored(meet(asked, gather, "qid long, own long, cid long, s long, f long, least long"), "local")
-    floors = local.groupBy("qid", "own", "f").agg(F.min("least").alias("floor"))
-    floors = floors.groupBy("qid", "own").agg(*[F.max(F.when(F.col("f") == f, F.col("floor"))).alias(f"floor{f}") for f in range(FRAGMENTS)])
-    floor_of = F.coalesce(*[F.when(F.col("f") == f, F.col(f"floor{f}")) for f in range(FRAGMENTS)])
+            for a in range(0, len(q), 256):
+                yield slice(a, a + 256), [product(q[a:a + 256, part], c[:, part]) for part in cuts(q.shape[1])], cid
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Phase 1: per query the least score of each list, and the best sums among the lists' best entries."""
+        rows: list[pa.Table] = []
+        for part, scores, _ in chunks(left, right):
+            total, listed = sum(scores), np.zeros(scores[0].shape, bool)
+            n = min(need, total.shape[1])
+            for s in scores:
+                np.put_along_axis(listed, np.argpartition(s, total.shape[1] - n, axis=1)[:, -n:], True, 1)
+            sums = np.where(listed, total, np.iinfo(np.int64).min)
+            sums = np.partition(sums, total.shape[1] - n, axis=1)[:, -n:]
+            rows.append(pa.table({"qid": left["qid"][part], "own": left["own"][part], "sums": pa.array(list(sums), pa.list_(pa.int64())),
+                                  **{f"floor{f}": s.min(1) for f, s in enumerate(scores)}}))
+        return pa.concat_tables(rows) if rows else pa.table(
+            {"qid": pa.array([], pa.int64()), "own": pa.array([], pa.int64()), "sums": pa.array([], pa.list_(pa.int64())), **{n: pa.array([], pa.int64()) for n in floor}})
+    floor = [f"floor{f}" for f in range(FRAGMENTS)]
+    local = stored(meet(asked, gather, "qid long, own long, sums array<long>, " + ", ".join(f"{n} long" for n in floor)), "local")
     by_query = Window.partitionBy("qid", "own")
-    sums = local.join(floors, ["qid", "own"]).groupBy("qid", "own", "cid").agg(F.sum(F.col("s") - floor_of).alias("low"))
-    cutoff = (sums.withColumn("at", F.row_number().over(by_query.orderBy(F.desc("low"), "cid"))).where(F.col("at") == need)
-              .select("qid", "own", F.col("low").alias("cutoff")))
+    floors = local.groupBy("qid", "own").agg(*[F.min(n).alias(n) for n in floor])
+    cutoff = (local.select("qid", "own", F.explode("sums").alias("cutoff"))
+              .withColumn("at", F.row_number().over(by_query.orderBy(F.desc("cutoff")))).where(F.col("at") == need).drop("at"))
     told = stored(asked.join(floors, ["qid", "own"]).join(cutoff, ["qid", "own"], "left"), "cutoffs")
 
     def collect(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Phase 2: all local scores of at least the uniform share of the cutoff (all, if there is none)."""
-        out: list[list] = [[], [], [], [], []]
+        """Phases 2 and 3: entries of at least the uniform share of the cutoff (all, if there is none), resolved exactly."""
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            q, c, cid = unpack(left["vec"]), unpack(right["vec"]), right["cid"].to_numpy()
-            qid, own = left["qid"].to_numpy(), left["own"].to_numpy()
-            cut = np.array([-1 if x is None else x for x in left["cutoff"].to_pylist()], np.int64)
-            for f, part in enumerate(cuts(q.shape[1])):
-                floor = left[f"floor{f}"].to_numpy()
-                for a in range(0, len(q), 256):
-                    s = product(q[a:a + 256, part], c[:, part]) - floor[a:a + 256, None]
-                    i, j = np.nonzero(s * FRAGMENTS >= cut[a:a + 256, None])
-                    for column, x in zip(out, (qid[a + i], own[a + i], cid[j], s[i, j], np.full(len(i), f))):
-                        column.append(x)
-        return pa.table({n: np.concatenate([np.empty(0, np.int64), *x]) for n, x in zip(("qid", "own", "cid", "s", "f"), out)})
-    entries = meet(told, collect, "qid long, own long, cid long, s long, f long")
-    bounds = (entries.groupBy("qid", "own", "cid").agg(F.sum("s").alias("low"), F.count("*").alias("seen"))
-              .join(told.select("qid", "own", F.coalesce("cutoff", F.lit(-1)).alias("cutoff"), *[f"floor{f}" for f in range(FRAGMENTS)]), ["qid", "own"]))
-    bounds = bounds.withColumn("high", F.col("low") * FRAGMENTS + (FRAGMENTS - F.col("seen")) * F.greatest(F.col("cutoff"), F.lit(0)))   # times FRAGMENTS
-    bounds = stored(bounds, "bounds")
-    second = (bounds.withColumn("at", F.row_number().over(by_query.orderBy(F.desc("low"), "cid"))).where(F.col("at") == need)
-              .select("qid", "own", F.col("low").alias("second")))
-    left_over = bounds.join(second, ["qid", "own"], "left").where(F.col("second").isNull() | (F.col("high") >= F.col("second") * FRAGMENTS))
-    base = sum(F.col(f"floor{f}") for f in range(FRAGMENTS))
-    settled = left_over.where(F.col("seen") == FRAGMENTS).select("qid", "own", "cid", (F.col("low") + base).alias("score"))
-    unsettled = (left_over.where(F.col("seen") < FRAGMENTS).select("qid", "own", "cid").join(asked.withColumnRenamed("vec", "qvec"), ["qid", "own"])
-                 .join(distinct.select("cid", F.col("vec").alias("cvec"), F.xxhash64("vec").alias("h")), "cid"))
-
-    def make():
-        """Phase 3: exact scores of what is still in reach."""
-        def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            rows = part.to_pylist()
-            score = []
-            if rows:
-                q = np.frombuffer(b"".join(r["qvec"] for r in rows), "<i8").reshape(len(rows), -1)
-                c = np.frombuffer(b"".join(r["cvec"] for r in rows), "<i8").reshape(len(rows), -1)
-                score = (q * c).sum(1)
-            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(score, pa.int64())], ["qid", "own", "cid", "score"])
-        return work
-    resolved = map_slices(unsettled.select("qid", "own", "cid", "qvec", "cvec"), make, "qid long, own long, cid long, score long")
-    groups = (settled.unionByName(resolved).withColumn("at", F.row_number().over(by_query.orderBy(F.desc("score"), "cid")))
+            qid, own, lows = left["qid"].to_numpy(), left["own"].to_numpy(), np.stack([left[n].to_numpy() for n in floor], 1)
+            told_cut = left["cutoff"].to_pylist()
+            least = np.array([np.iinfo(np.int64).min if x is None else x for x in told_cut], np.int64)
+            share = np.array([-1 if x is None else x - int(b) for x, b in zip(told_cut, lows.sum(1))], np.int64)    # shifted cutoff
+        for part, scores, cid in chunks(left, right):
+            enough = np.zeros(scores[0].shape, bool)
+            for f, s in enumerate(scores):
+                enough |= (s - lows[part, f, None]) * FRAGMENTS >= share[part, None]
+            i, j = np.nonzero(enough)
+            exact = sum(s[i, j] for s in scores)
+            keep = exact >= least[part][i]
+            i, j = i[keep], j[keep]
+            for column, x in zip(out, (qid[part][i], own[part][i], cid[j], exact[keep])):
+                column.append(x)
+        return pa.table({n: np.concatenate([np.empty(0, np.int64), *x]) for n, x in zip(("qid", "own", "cid", "score"), out)})
+    resolved = meet(told, collect, "qid long, own long, cid long, score long")
+    groups = (resolved.withColumn("at", F.row_number().over(by_query.orderBy(F.desc("score"), "cid")))
               .where(F.col("at") <= need).join(distinct.select("cid", "ids"), "cid")
               .select("qid", "own", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("qid")))
     return (groups.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
