@@ -110,7 +110,6 @@ SCAN_TTL_DAYS = 5
 PARCEL_CLASSES = {"1": "residential", "2": "commercial", "3": "manufacturing",
                   "4": "agricultural", "5": "undeveloped", "5M": "agricultural forest",
                   "6": "productive forest", "7": "other", "8": "tax-exempt"}
-OWNER_SEARCH_MAX = 50
 RADAR_STALE_MINUTES = 30
 
 # ---- fixed values: quota and health -------------------------------------------------
@@ -118,6 +117,7 @@ QUOTA_WARN_AT = 0.8
 QUOTA_MIN_ELAPSED_DAYS = 1
 QUOTA_PROJECTION_FLOOR_DAYS = 3
 GAP_RECENT_DAYS = 30
+SILENT_DAYS = 30                           # age from which a camera counts as silent
 COUNTER_RESET_DROP = 100
 
 # ---- fixed values: imagery and crops ------------------------------------------------
@@ -153,4 +153,4 @@ MIN_EPSILON_M = 4.0
 STRAY_M = 40.0
 
 # ---- fixed values: contours ---------------------------------------------------------
-CONTOUR_STEPS_FT = [1, 2, 5, 10, 20, 40, 100]
+CONTOUR_STEPS_FT = [1, 2, 5, 10, 20, 40, 100]     # goes on as 200, 500, 1000, ... for more relief

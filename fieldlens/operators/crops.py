@@ -95,7 +95,8 @@ def best_shifts(points: DataFrame, references: DataFrame, key: str = "field_id")
     wide = moved.groupBy("crop", (F.col("i") + F.col("s")).alias("i")).agg(*[
         F.max(F.when(F.col("s") == s, F.col("v"))).alias(f"r{k}") for k, s in enumerate(shifts)])
     gap = [F.col("v") - F.col(f"r{k}") for k in range(len(shifts))]
-    sums = (points.join(wide, "i").groupBy(key, "crop")
+    # one row a crop kind and curve position: bounded by the nine kinds and the days of a season
+    sums = (points.join(F.broadcast(wide), "i").groupBy(key, "crop")
             .agg(*[F.struct(F.count(g).alias("n"), F.sum(g * g).alias("ss")).alias(f"f{k}") for k, g in enumerate(gap)]))
     fits = F.array(*[F.when(F.col(f"f{k}.n") >= 4, F.struct(
         (F.sqrt(F.col(f"f{k}.ss") / F.col(f"f{k}.n"))

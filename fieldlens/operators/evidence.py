@@ -56,9 +56,11 @@ def matched_evidence(cameras: DataFrame, hours: DataFrame, sightings: DataFrame,
     """Per question and camera: matched hours, detections and rate on the chosen rung.
 
     The chosen rung is the narrowest on which two cameras clear the minimum (or the
-    only camera does) and is the same for all cameras of the question. Hours are first
-    folded to a (band, wind) profile per camera, so asking many questions costs nothing
-    in photo volume. sightings: camera_id, taken_at.
+    only camera does) and is the same for all cameras of the question. Every camera has a
+    row for every question: zero hours where nothing of it matched, and a null rung for a
+    question no rung can answer. Hours are first folded to a (band, wind) profile per
+    camera, so asking many questions costs nothing in photo volume. sightings: camera_id,
+    taken_at.
     """
     hits = sightings.groupBy("camera_id", utc_hour(solar.millis(F.col("taken_at")))
                              .alias("hour_no")).agg(F.count("*").alias("hits"))
@@ -71,7 +73,7 @@ def matched_evidence(cameras: DataFrame, hours: DataFrame, sightings: DataFrame,
              .withColumn("k_band", F.explode(F.array_compact(F.array(
                  F.when(F.col("band").isin("dawn", "dusk"), F.col("band")),
                  F.when(F.col("daylight"), F.lit("daylight"))))))
-             .join(keyed, "k_band")
+             .join(F.broadcast(keyed), "k_band")          # at most 34 questions of four rungs
              .where((F.col("rung") <= 1) | (points_apart(F.col("cell_wind"), F.col("wind")) <= 1)))
     matched = cells.groupBy("question", "rung", "camera_id").agg(
         F.sum("hours").alias("hours"), F.sum("hits").alias("detections"))
@@ -83,7 +85,12 @@ def matched_evidence(cameras: DataFrame, hours: DataFrame, sightings: DataFrame,
     chosen = enough.groupBy("question").agg(F.max("rung").alias("rung"))
     rate = F.when(F.col("hours") >= min_hours, half_up_to(
         100.0 * F.col("detections") / F.col("hours"), 1))
-    return (matched.join(chosen, ["question", "rung"])
+    # one row that lists the questions, at most 34, so every camera meets each of them once
+    answers = (asked.select("question").distinct().join(chosen, "question", "left")
+               .agg(F.collect_list(F.struct("question", "rung")).alias("answers")))
+    spine = (cameras.select("camera_id").join(F.broadcast(answers))
+             .select("camera_id", F.explode("answers").alias("a")).select("camera_id", "a.question", "a.rung"))
+    return (spine.join(matched, ["question", "rung", "camera_id"], "left").na.fill(0, ["hours", "detections"])
             .withColumn("enough", F.col("hours") >= min_hours).withColumn("per100", rate))
 
 
@@ -102,20 +109,19 @@ def nocturnal_shares(sightings: DataFrame, cameras: DataFrame) -> DataFrame:
 
 
 def confidence(evidence: DataFrame) -> DataFrame:
-    """Tier per question from volume, separation of the top two and narrowness."""
-    ranked = evidence.where(F.col("enough"))
-    top = ranked.withColumn("r", F.row_number().over(
-        W.partitionBy("question").orderBy(F.col("per100").desc(), "camera_id")))
-    agg = top.groupBy("question", "rung").agg(
-        F.count("*").alias("cameras"), F.sum("hours").alias("hours"),
-        F.max(F.when(F.col("r") == 1, F.col("per100"))).alias("best"),
-        F.max(F.when(F.col("r") == 2, F.col("per100"))).alias("next"))
+    """Tier per question from volume, separation of the top two and narrowness; `none` without enough hours."""
+    top = evidence.where(F.col("enough")).withColumn("r", F.row_number().over(
+        W.partitionBy("question").orderBy(F.col("per100").desc(), "camera_id"))).where(F.col("r") <= 2)
+    two = top.groupBy("question").agg(F.max(F.when(F.col("r") == 1, F.col("per100"))).alias("best"),
+                                      F.max(F.when(F.col("r") == 2, F.col("per100"))).alias("next"))
+    agg = evidence.groupBy("question", "rung").agg(
+        F.count_if("enough").alias("cameras"), F.sum(F.when(F.col("enough"), F.col("hours"))).alias("hours")).join(two, "question", "left")
     gap = F.col("best") - F.col("next")
     floor = F.when(F.col("best") == 0, 1.0).otherwise(F.col("best")) * 0.5
     volume = F.when(F.col("hours") >= 400, 3).when(F.col("hours") >= 120, 2).otherwise(1)
     separation = F.when(gap >= floor, 2).when(gap > 0, 1).otherwise(0)
-    score = volume + separation + F.when(F.col("rung") >= 2, 1).otherwise(0)
+    score = F.when(F.col("cameras") > 0, volume + separation + F.when(F.col("rung") >= 2, 1).otherwise(0))
     return (agg.withColumn("gap", gap).withColumn("score", score)
-            .withColumn("tier", F.when(F.col("score") >= 5, "strong")
+            .withColumn("tier", F.when(F.col("cameras") == 0, "none").when(F.col("score") >= 5, "strong")
                         .when(F.col("score") >= 3, "moderate").otherwise("weak"))
             .drop("best", "next"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.constants import (GAP_RECENT_DAYS, QUOTA_MIN_ELAPSED_DAYS,
-                                 QUOTA_PROJECTION_FLOOR_DAYS, QUOTA_WARN_AT, SILENT_AFTER_HOURS)
+from fieldlens.constants import (QUOTA_MIN_ELAPSED_DAYS,
+                                 QUOTA_PROJECTION_FLOOR_DAYS, QUOTA_WARN_AT, SILENT_AFTER_HOURS, SILENT_DAYS)
 
 from fieldlens.functions.num import at_least, at_most
 
@@ -59,8 +59,8 @@ def health(quotas: DataFrame, now: Column) -> DataFrame:
     gap = F.col("gap_recent") if "gap_recent" in quotas.columns else F.lit(0)
     rules = [
         (age.isNull(), 1, F.lit("never reported")),
-        (age >= GAP_RECENT_DAYS, 2, F.concat(F.lit("silent "), age.cast("string"), F.lit(" days"))),
-        ((age >= 7) & (age < GAP_RECENT_DAYS), 1, F.concat(F.lit("quiet "), age.cast("string"), F.lit(" days"))),
+        (age >= SILENT_DAYS, 2, F.concat(F.lit("silent "), age.cast("string"), F.lit(" days"))),
+        ((age >= 7) & (age < SILENT_DAYS), 1, F.concat(F.lit("quiet "), age.cast("string"), F.lit(" days"))),
         (F.col("battery") <= 10, 2, F.concat(F.lit("battery "), F.col("battery").cast("string"), F.lit("%"))),
         ((F.col("battery") > 10) & (F.col("battery") <= 30), 1,
          F.concat(F.lit("battery "), F.col("battery").cast("string"), F.lit("%"))),

@@ -17,7 +17,7 @@ def by_hour(records: DataFrame, sex: str | None = None) -> DataFrame:
     """24 rows: count and median rate relative to the overall median."""
     use = records if sex is None else records.where(F.col("sex") == sex)
     base = base_rate(use).select("base")
-    hourly = order_statistic(use, ["hour"], "rate", 0.5, "median")
+    hourly = order_statistic(use, ["hour"], "rate", 0.5, "median", few=True)
     spine = base.withColumn("hour", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(23).cast("bigint"))))
     return (spine.join(hourly, "hour", "left").na.fill(0, ["n"])
             .select("hour", "n", F.when(F.col("base") != 0, half_up_to(
@@ -40,14 +40,14 @@ def by_bucket(records: DataFrame, value: Column, edges: list[float],
     """
     rows = records.withColumn("_bucket_value", value.cast("double"))
     if control_for_hour:
-        hourly = order_statistic(records, ["hour"], "rate", 0.5, "base").select("hour", "base")
-        rows = rows.join(hourly, "hour")
+        hourly = order_statistic(records, ["hour"], "rate", 0.5, "base", few=True).select("hour", "base")
+        rows = rows.join(F.broadcast(hourly), "hour")      # 24 rows
     else:
         rows = rows.join(F.broadcast(base_rate(records).select("base")))
     rows = (rows.withColumn("norm", F.when(F.col("base") != 0, F.col("rate") / F.col("base")))
             .withColumn("bucket", bucket_of(F.col("_bucket_value"), edges))
             .where(F.col("norm").isNotNull() & F.col("bucket").isNotNull()))
-    med = order_statistic(rows, ["bucket"], "norm", 0.5, "median").select("bucket", "median")
+    med = order_statistic(rows, ["bucket"], "norm", 0.5, "median", few=True).select("bucket", "median")
     agg = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("norm").alias("mean"))
     bounds = F.array(*[F.struct(F.lit(i).alias("bucket"), F.lit(float(edges[i])).alias("lo"),
                                 F.lit(float(edges[i + 1])).alias("hi")) for i in range(len(edges) - 1)])

@@ -3,7 +3,8 @@
 `percentile` keeps every distinct value of a group in one buffer, which a hot group
 cannot afford. Here a mergeable sketch brackets the wanted rank, the rows outside the
 bracket are only counted, and just the narrow bracket is ordered. The answer is exact:
-the sketch decides what to look at, never what to return.
+the sketch decides what to look at, never what to return, and a rank that falls outside
+its bracket stops the job instead of giving a wrong value.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 ACCURACY = 10000
 
 
-def _bracket_counts(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """Distinct values near rank q with how many rows lie at or below each (`_upto`)."""
+def _bracket_counts(df: DataFrame, keys: list[str], value: str, q: float, few: bool = False) -> DataFrame:
+    """Distinct values near rank q with how many rows lie at or below each (`_upto`).
+
+    few: the caller's keys have few values by construction (hours of a day, buckets), so the
+    brackets may be sent to all tasks instead of all rows to a few keys.
+    """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     margin = 20.0 / ACCURACY
     low, high = max(0.0, q - margin), min(1.0, q + margin)
@@ -26,7 +31,7 @@ def _bracket_counts(df: DataFrame, keys: list[str], value: str, q: float) -> Dat
     bracket = sketch.select(*keys, "n", (F.col("_min") if low == 0.0 else F.col("_b")[0]).alias("_lo"),
                             (F.col("_max") if high == 1.0 else F.col("_b")[1]).alias("_hi"))
     # without keys the bracket is a single row, so broadcasting it is bounded by construction
-    tagged = rows.join(bracket, keys) if keys else rows.join(F.broadcast(bracket))
+    tagged = rows.join(F.broadcast(bracket) if few else bracket, keys) if keys else rows.join(F.broadcast(bracket))
     below, above = F.col("_v") < F.col("_lo"), F.col("_v") > F.col("_hi")
     counts = (tagged.groupBy(*keys, "n", above.alias("_above"), F.when(~below & ~above, F.col("_v")).alias("_c"))
               .agg(F.count("*").alias("_m")))
@@ -36,17 +41,18 @@ def _bracket_counts(df: DataFrame, keys: list[str], value: str, q: float) -> Dat
 
 
 def _first_past(index):
-    return F.min(F.when(F.col("_upto") > index, F.col("_c")))
+    missed = (F.min(F.col("_upto") - F.col("_m")) > F.min(index)) | (F.max("_upto") <= F.max(index))
+    return F.when(missed, F.raise_error(F.lit("rank outside its bracket"))).otherwise(F.min(F.when(F.col("_upto") > index, F.col("_c"))))
 
 
 def order_statistic(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
-                    name: str = "stat") -> DataFrame:
+                    name: str = "stat", few: bool = False) -> DataFrame:
     """Per group: the element at index floor(n * q) of the ascending values, and n.
 
     q = 0.5 is the upper median. Null values are ignored; groups without values vanish.
     """
     index = F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    return _bracket_counts(df, keys, value, q).groupBy(*keys, "n").agg(_first_past(index).alias(name))
+    return _bracket_counts(df, keys, value, q, few).groupBy(*keys, "n").agg(_first_past(index).alias(name))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:

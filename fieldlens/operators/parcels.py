@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldlens.constants import OWNER_SEARCH_MAX, PARCEL_CLASSES
+from fieldlens.constants import PARCEL_CLASSES
 from fieldlens.functions.num import half_up, half_up_to
 from fieldlens.operators.spatial import points_in_polygons
 
@@ -40,15 +39,10 @@ def owner_term(name: Column) -> Column:
     return F.trim(F.regexp_replace(odd, r"\s+", " "))
 
 
-def by_owner(parcels: DataFrame, name: str, limit: int = OWNER_SEARCH_MAX) -> DataFrame:
-    """Largest parcels whose owner contains the text; `truncated` says there were more."""
-    term = owner_term(F.lit(name))
-    hits = (parcels.where(F.contains(F.upper("owner"), term))
-            .orderBy(F.col("acres").desc_nulls_last(), "parcel_id").limit(limit + 1))
-    numbered = hits.withColumn("rank", F.row_number().over(
-        W.orderBy(F.col("acres").desc_nulls_last(), "parcel_id")))
-    more = numbered.agg((F.count("*") > limit).alias("truncated"))
-    return numbered.where(F.col("rank") <= limit).join(F.broadcast(more)).drop("rank")
+def by_owner(parcels: DataFrame, name: str) -> DataFrame:
+    """All parcels whose owner contains the text, the largest first."""
+    return (parcels.where(F.contains(F.upper("owner"), owner_term(F.lit(name))))
+            .orderBy(F.col("acres").desc_nulls_last(), "parcel_id"))
 
 
 def parcel_key(parcel_id: Column, owner: Column) -> Column:
@@ -56,14 +50,9 @@ def parcel_key(parcel_id: Column, owner: Column) -> Column:
 
 
 def home_parcels(anchors: DataFrame, parcels: DataFrame, group: str, order: str,
-                 anchors_per_group: int = 8, step: float = 0.01) -> DataFrame:
-    """Distinct parcels under each group's first anchors.
-
-    A group looks at its first eight anchors only: a feature of the question asked.
-    """
-    w = W.partitionBy(group).orderBy(order)
-    first = anchors.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= anchors_per_group)
-    under = points_in_polygons(first.select(group, order, "lat", "lng"), parcels, step)
+                 step: float = 0.01) -> DataFrame:
+    """The parcels under each group's anchors, with the key that tells them apart."""
+    under = points_in_polygons(anchors.select(group, order, "lat", "lng"), parcels, step)
     key = parcel_key(F.col("parcel_id"), F.col("owner"))
     return under.withColumn("key", key)
 

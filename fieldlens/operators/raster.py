@@ -264,18 +264,23 @@ def hillshade(cells: DataFrame, grids: DataFrame, azimuth: float = 315.0, altitu
 # ---- contours -----------------------------------------------------------------------
 
 def contour_steps(cells: DataFrame, target: int = 12, max_levels: int = 60) -> DataFrame:
-    """Per grid the contour interval in feet, from its typical relief."""
+    """Per grid the contour interval in feet, from its typical relief.
+
+    An interval giving more than `max_levels` lines gives way to a coarser one; beyond the
+    fixed steps the ladder goes on by 2, 5 and 10 hundreds, thousands and so on, never cut.
+    """
     s = grid_stats(cells).where(F.col("relief") > 0)
     base = F.when(F.col("typical_relief") > 0, F.col("typical_relief")).otherwise(F.col("relief"))
     ideal = base * FEET_PER_METRE / target
-    steps = F.array(*[F.lit(x) for x in CONTOUR_STEPS_FT])
-    first = F.coalesce(F.get(F.filter(steps, lambda x: x >= ideal), F.lit(0)), F.lit(CONTOUR_STEPS_FT[-1]))
+    ladder = CONTOUR_STEPS_FT + [m * CONTOUR_STEPS_FT[-1] * 10 ** e for e in range(5) for m in (2, 5, 10)]
+    steps = F.array(*[F.lit(x) for x in ladder])
+    first = F.least(F.coalesce(F.get(F.filter(steps, lambda x: x >= ideal), F.lit(0)), F.lit(ladder[-1])), F.lit(CONTOUR_STEPS_FT[-1]))
     fits = F.filter(steps, lambda x: (x >= F.col("first")) & (F.ceil(F.col("relief") * FEET_PER_METRE / x) <= max_levels))
     return s.withColumn("first", first).select("grid_id", "min", "max", F.coalesce(
-        F.get(fits, F.lit(0)), F.lit(CONTOUR_STEPS_FT[-1])).alias("step_ft"))
+        F.get(fits, F.lit(0)), F.lit(ladder[-1])).alias("step_ft"))
 
 
-def contour_segments(cells: DataFrame, steps: DataFrame, max_levels: int = 60) -> DataFrame:
+def contour_segments(cells: DataFrame, steps: DataFrame) -> DataFrame:
     """Line pieces crossing each cell: (grid, level, cell, piece, ends in grid units).
 
     Only the levels between a cell's lowest and highest corner are tried for it.
@@ -286,7 +291,7 @@ def contour_segments(cells: DataFrame, steps: DataFrame, max_levels: int = 60) -
     lo, hi = F.least("n0", "n1", "n2", "n3"), F.greatest("n0", "n1", "n2", "n3")
     first = F.ceil(F.col("min") / step)
     k0 = F.greatest(first, F.floor(lo / step))
-    k1 = F.least(first + max_levels - 1, F.ceil(hi / step))
+    k1 = F.ceil(hi / step)
     lev = (corners.join(steps, "grid_id").where(k0 <= k1).withColumn("k", F.explode(F.sequence(k0, k1)))
            .withColumn("level", F.col("k") * step).where(F.col("level") <= F.col("max")))
     z = [F.col(f"n{i}") for i in range(4)]

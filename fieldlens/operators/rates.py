@@ -141,12 +141,14 @@ def rate_lookup(rates: DataFrame, claim: str, axis: str, bucket: str) -> DataFra
 
 def individual_camera_rates(hours: DataFrame, sight: DataFrame, individuals: DataFrame,
                             min_hours: int = MIN_HOURS) -> DataFrame:
-    """Per named animal and camera it was confirmed at; unseen pairs are left out."""
+    """Per named animal and camera it was confirmed at; other pairs are left out.
+
+    An animal confirmed nowhere has one row with no camera and zero hits.
+    """
     denom = hours.groupBy("camera_id").agg(F.count("*").alias("hours"))
     num = (sight.where((F.col("claim") == "yours") & F.col("individual_id").isNotNull())
            .groupBy("individual_id", "camera_id").agg(F.count("*").alias("hits")))
-    return (num.join(denom, "camera_id", "left").na.fill(0, ["hours"])
-            .join(individuals, "individual_id")
+    return (individuals.join(num, "individual_id", "left").join(denom, "camera_id", "left").na.fill(0, ["hits", "hours"])
             .withColumn("rate", rate_per_100(F.col("hits"), F.col("hours"), min_hours)))
 
 

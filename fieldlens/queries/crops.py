@@ -72,13 +72,11 @@ def reference_curves(b):
 
 table_sql("fit", """SELECT field_id, crop, min(rmse) AS rmse, arg_min(s, rmse) * 4 AS shift_days FROM (
   SELECT c.field_id, r.crop, c.s, sqrt(sum((c.v - r.v) * (c.v - r.v)) / count(*)) * (1 + 0.35e0 * abs(c.s * 4) / 12e0) AS rmse
-  FROM (SELECT *, unnest([-3, -2, -1, 0, 1, 2, 3]) AS s FROM curve) c JOIN refcurve r ON r.i = c.i - c.s
-    AND r.crop IN ('corn', 'soybeans', 'alfalfa') GROUP BY 1, 2, 3 HAVING count(*) >= 4) GROUP BY 1, 2""", ("curve", "refcurve"))
+  FROM (SELECT *, unnest([-3, -2, -1, 0, 1, 2, 3]) AS s FROM curve) c JOIN refcurve r ON r.i = c.i - c.s GROUP BY 1, 2, 3 HAVING count(*) >= 4) GROUP BY 1, 2""", ("curve", "refcurve"))
 
 
 def _fits(b):
-    refs = _references(b).where(F.col("crop").isin("corn", "soybeans", "alfalfa"))
-    return crops.best_shifts(crops.curve_points(b.readings()), refs)
+    return crops.best_shifts(crops.curve_points(b.readings()), _references(b))
 
 
 @query("best_shifts", needs=("fit",), sql="""

@@ -130,8 +130,8 @@ def terrain_benches(b):
     return raster.benches(slopes, b.elevation_grids())
 
 
-table_sql("cstep", """SELECT grid_id, lo, hi, coalesce(list_filter([1, 2, 5, 10, 20, 40, 100], lambda x: x >= coalesce(
-    list_filter([1, 2, 5, 10, 20, 40, 100], lambda y: y >= typ * 3.280839895e0 / 12)[1], 100) AND ceil((hi - lo) * 3.280839895e0 / x) <= 60)[1], 100) AS step_ft
+table_sql("cstep", """SELECT grid_id, lo, hi, list_filter([1, 2, 5, 10, 20, 40, 100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000], lambda x: x >= coalesce(
+    list_filter([1, 2, 5, 10, 20, 40, 100], lambda y: y >= typ * 3.280839895e0 / 12)[1], 100) AND ceil((hi - lo) * 3.280839895e0 / x) <= 60)[1] AS step_ft
   FROM (SELECT grid_id, min(z) AS lo, max(z) AS hi, list_sort(list(z))[CAST(floor(0.95e0 * (count(*) - 1) + 0.5) AS INT) + 1]
     - list_sort(list(z))[CAST(floor(0.05e0 * (count(*) - 1) + 0.5) AS INT) + 1] AS typ FROM cell WHERE z IS NOT NULL GROUP BY 1)""", ("cell",))
 
@@ -145,7 +145,7 @@ def contour_intervals(b):
 WITH q AS (SELECT a.grid_id, a.z AS z0, b.z AS z1, d.z AS z2, e.z AS z3 FROM cell a
   JOIN cell b ON b.grid_id = a.grid_id AND b.c = a.c + 1 AND b.r = a.r JOIN cell d ON d.grid_id = a.grid_id AND d.c = a.c + 1 AND d.r = a.r + 1
   JOIN cell e ON e.grid_id = a.grid_id AND e.c = a.c AND e.r = a.r + 1 WHERE a.z IS NOT NULL AND b.z IS NOT NULL AND d.z IS NOT NULL AND e.z IS NOT NULL),
-l AS (SELECT grid_id, step_ft, hi, CAST(unnest(range(CAST(ceil(lo / (step_ft / 3.280839895e0)) AS BIGINT), CAST(ceil(lo / (step_ft / 3.280839895e0)) AS BIGINT) + 60)) AS BIGINT) AS k FROM cstep),
+l AS (SELECT grid_id, step_ft, hi, CAST(unnest(range(CAST(ceil(lo / (step_ft / 3.280839895e0)) AS BIGINT), CAST(floor(hi / (step_ft / 3.280839895e0)) AS BIGINT) + 2)) AS BIGINT) AS k FROM cstep),
 m AS (SELECT grid_id, k, k * (step_ft / 3.280839895e0) AS lev FROM l WHERE k * (step_ft / 3.280839895e0) <= hi),
 c AS (SELECT q.grid_id, m.k, (z0 > lev)::INT + 2 * (z1 > lev)::INT + 4 * (z2 > lev)::INT + 8 * (z3 > lev)::INT AS code FROM q JOIN m ON m.grid_id = q.grid_id)
 SELECT grid_id, k, CAST(sum(CASE WHEN code IN (5, 10) THEN 2 ELSE 1 END) AS BIGINT) AS pieces FROM c WHERE code BETWEEN 1 AND 14 GROUP BY 1, 2""")
@@ -186,5 +186,5 @@ def elevation_at_points(b):
 
 @query("grid_pack_round_trip", needs=("cell",), sql="SELECT grid_id, c, r, round(z, 6) AS z FROM cell")
 def grid_pack_round_trip(b):
-    packed = grid_source.pack_grids(b.elevation_cells())
-    return grid_source.explode_grids(packed).withColumn("z", round6("z"))
+    packed = grid_source.pack_rows(b.elevation_cells())
+    return grid_source.explode_rows(packed).withColumn("z", round6("z"))

@@ -131,11 +131,10 @@ def camera_board(b):
 
 
 @query("individual_camera_rates", needs=("watched", "sight", "indiv"), sql="""
-SELECT s.individual_id, i.individual_name, s.camera_id, count(*) AS hits, any_value(w.hours) AS hours,
-  round(CASE WHEN any_value(w.hours) >= 10 THEN count(*) / any_value(w.hours) * 100e0 END, 6) AS rate
-FROM sight s JOIN indiv i ON i.individual_id = s.individual_id
-LEFT JOIN (SELECT camera_id, count(*) AS hours FROM watched GROUP BY 1) w ON w.camera_id = s.camera_id
-WHERE s.claim = 'yours' GROUP BY 1, 2, 3""")
+SELECT i.individual_id, i.individual_name, s.camera_id, count(s.claim) AS hits, coalesce(any_value(w.hours), 0) AS hours,
+  round(CASE WHEN any_value(w.hours) >= 10 THEN count(s.claim) / any_value(w.hours) * 100e0 END, 6) AS rate
+FROM indiv i LEFT JOIN (SELECT * FROM sight WHERE claim = 'yours') s ON i.individual_id = s.individual_id
+LEFT JOIN (SELECT camera_id, count(*) AS hours FROM watched GROUP BY 1) w ON w.camera_id = s.camera_id GROUP BY 1, 2, 3""")
 def individual_camera_rates(b):
     return rates.individual_camera_rates(_hours(b), _sight(b), b.individuals()).select(
         "individual_id", "individual_name", "camera_id", "hits", "hours", round6("rate").alias("rate"))

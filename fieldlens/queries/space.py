@@ -141,10 +141,9 @@ def parcels_normalised(b):
 
 
 @query("parcels_by_owner", needs=("parcel",), sql="""
-WITH h AS (SELECT * FROM parcel WHERE upper(owner) LIKE '%RED%' ORDER BY acres DESC NULLS LAST, parcel_id LIMIT 51)
-SELECT parcel_id, owner, acres, (SELECT count(*) > 50 FROM h) AS truncated FROM (SELECT * FROM h ORDER BY acres DESC NULLS LAST, parcel_id LIMIT 50)""")
+SELECT parcel_id, owner, acres FROM parcel WHERE upper(owner) LIKE '%RED%'""")
 def parcels_by_owner(b):
-    return parcels.by_owner(parcels.normalise(b.raw_parcels()), "red").select("parcel_id", "owner", "acres", "truncated")
+    return parcels.by_owner(parcels.normalise(b.raw_parcels()), "red").select("parcel_id", "owner", "acres")
 
 
 table_sql("inpar", """SELECT s.stand_id, s.ground_id, p.parcel_id, p.owner, p.acres, p.county FROM (SELECT stand_id, ground_id,
@@ -165,8 +164,7 @@ def points_in_parcels(b):
 
 
 @query("home_parcels", needs=("inpar", "sstand"), sql="""
-WITH a AS (SELECT stand_id, row_number() OVER (PARTITION BY ground_id ORDER BY stand_id) AS r FROM sstand),
-u AS (SELECT i.*, coalesce('id:' || parcel_id, 'owner:' || owner) AS key FROM inpar i JOIN a ON a.stand_id = i.stand_id AND a.r <= 8),
+WITH u AS (SELECT *, coalesce('id:' || parcel_id, 'owner:' || owner) AS key FROM inpar),
 h AS (SELECT ground_id, key, min(stand_id) AS f, arg_min(acres, stand_id) AS acres, arg_min(county, stand_id) AS county FROM u WHERE key IS NOT NULL GROUP BY 1, 2),
 v AS (SELECT ground_id, owner, row_number() OVER (PARTITION BY ground_id ORDER BY count(*) DESC, min(stand_id)) AS r FROM u WHERE owner IS NOT NULL GROUP BY 1, 2)
 SELECT CAST(h.ground_id AS BIGINT) AS ground_id, count(*) AS parcels, CAST(floor(sum(coalesce(h.acres, 0)) + 0.5) AS BIGINT) AS acres,

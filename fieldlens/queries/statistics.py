@@ -93,9 +93,11 @@ m AS (SELECT r."window" || '/' || r.wind AS question, r.rung, h.camera_id, count
     AND (r.rung <= 1 OR least((h.wi - r.qi + 16) % 16, (r.qi - h.wi + 16) % 16) <= 1) GROUP BY 1, 2, 3),
 ch AS (SELECT question, max(rung) AS rung FROM (SELECT question, rung FROM m WHERE hours >= 10
   GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1)
-SELECT m.question, m.rung, m.camera_id, m.hours, m.detections, m.hours >= 10 AS enough,
+SELECT k.question, k.rung, k.camera_id, coalesce(m.hours, 0) AS hours, coalesce(m.detections, 0) AS detections, coalesce(m.hours, 0) >= 10 AS enough,
   CASE WHEN m.hours >= 10 THEN floor(100e0 * m.detections / m.hours * 10 + 0.5) / 10 END AS per100
-FROM m JOIN ch ON ch.question = m.question AND ch.rung = m.rung""", ("etag", "sight", "sit"))
+FROM (SELECT q.question, ch.rung, cam.camera_id FROM (SELECT DISTINCT "window" || '/' || wind AS question FROM r) q
+  LEFT JOIN ch ON ch.question = q.question, cam) k
+LEFT JOIN m ON m.question = k.question AND m.rung = k.rung AND m.camera_id = k.camera_id""", ("etag", "sight", "sit", "cam"))
 
 
 def _evidence(b):
@@ -112,14 +114,14 @@ def matched_evidence(b):
 
 
 @query("evidence_confidence", needs=("evid",), sql="""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY per100 DESC, camera_id) AS rn FROM evid WHERE enough),
-a AS (SELECT question, rung, count(*) AS cameras, CAST(sum(hours) AS BIGINT) AS hours,
+WITH r AS (SELECT *, CASE WHEN enough THEN row_number() OVER (PARTITION BY question, enough ORDER BY per100 DESC, camera_id) END AS rn FROM evid),
+a AS (SELECT question, rung, count(*) FILTER (WHERE enough) AS cameras, CAST(sum(hours) FILTER (WHERE enough) AS BIGINT) AS hours,
   max(CASE WHEN rn = 1 THEN per100 END) AS best, max(CASE WHEN rn = 2 THEN per100 END) AS next FROM r GROUP BY 1, 2),
 s AS (SELECT *, best - next AS gap, CASE WHEN hours >= 400 THEN 3 WHEN hours >= 120 THEN 2 ELSE 1 END
   + CASE WHEN best - next >= CASE WHEN best = 0 THEN 1e0 ELSE best END * 0.5 THEN 2 WHEN best - next > 0 THEN 1 ELSE 0 END
   + CASE WHEN rung >= 2 THEN 1 ELSE 0 END AS score FROM a)
-SELECT question, rung, cameras, hours, round(gap, 6) AS gap, score,
-  CASE WHEN score >= 5 THEN 'strong' WHEN score >= 3 THEN 'moderate' ELSE 'weak' END AS tier FROM s""")
+SELECT question, rung, cameras, hours, round(gap, 6) AS gap, CASE WHEN cameras > 0 THEN score END AS score,
+  CASE WHEN cameras = 0 THEN 'none' WHEN score >= 5 THEN 'strong' WHEN score >= 3 THEN 'moderate' ELSE 'weak' END AS tier FROM s""")
 def evidence_confidence(b):
     return evidence.confidence(_evidence(b)).withColumn("gap", round6("gap"))
 

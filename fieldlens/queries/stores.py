@@ -63,11 +63,11 @@ def replace_latest(b):
 
 @query("insert_new_names", sql="""
 SELECT r_name AS name, CAST(r_regionkey AS BIGINT) AS id FROM region UNION ALL
-SELECT p_type, max(p_partkey) FROM part WHERE p_type NOT IN (SELECT r_name FROM region) GROUP BY 1""")
+SELECT p_type, arg_min(p_partkey, {'at': p_retailprice, 'k': p_partkey}) FROM part WHERE p_type NOT IN (SELECT r_name FROM region) GROUP BY 1""")
 def insert_new_names(b):
     held = b.table("region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("bigint").alias("id"))
-    sent = b.table("part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("id"))
-    return store.insert_new(held, sent, "name")
+    sent = b.table("part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("sent_at"))
+    return store.insert_new(held, sent, "name", "sent_at")
 
 
 @query("apply_patches", sql="""

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlens.constants import PHOTO_DATE_KEYS, UNKNOWN_WORDS
@@ -137,8 +136,8 @@ def redacted(path: Column, value: Column) -> Column:
             .when(value.startswith("["), "[<numbers>]").when(value.isin("true", "false"), "<boolean>").otherwise(number))
 
 
-def blank_fields(rows: DataFrame, leaves: DataFrame, key: str, most: int = 6) -> DataFrame:
-    """Fields that came out blank although the document mentions them, with a few candidates.
+def blank_fields(rows: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
+    """Fields that came out blank although the document mentions them, with all candidates in order.
 
     rows: normal camera rows. One row per (document, probe) with something missing.
     """
@@ -153,8 +152,7 @@ def blank_fields(rows: DataFrame, leaves: DataFrame, key: str, most: int = 6) ->
     usable = number.isNotNull() | (v.rlike(r'^".*\S.*"$')) | v.startswith("[")
     hits = (probes.join(leaves, key).where(F.rlike("path", F.col("words")) & F.when(
         F.col("timed"), F.coalesce(timeish, F.lit(False))).otherwise(usable)))
-    few = hits.withColumn("i", F.row_number().over(W.partitionBy(key, "label").orderBy("pos"))).where(F.col("i") <= most)
-    found = few.groupBy(key, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))),
+    found = hits.groupBy(key, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))),
                                                       lambda x: x["path"]).alias("candidates"))
     return probes.join(found, [key, "label"], "left").select(key, "label", "missing", "candidates")
 

@@ -36,11 +36,22 @@ def explode_grids(grids: DataFrame) -> DataFrame:
                        F.when(~F.isnan("z"), F.col("z")).alias("z"))
 
 
-def pack_grids(cells: DataFrame) -> DataFrame:
-    """Cells back to one array per grid, south row first. A grid is a bounded patch of ground."""
-    return cells.groupBy("grid_id").agg(
-        (F.max("c") + 1).alias("cols"), (F.max("r") + 1).alias("rows"),
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "z"))), lambda x: x["z"]).alias("z"))
+def pack_rows(cells: DataFrame) -> DataFrame:
+    """Cells to one array per grid row: (grid_id, r, z), a null for every cell that is absent.
+
+    An array is as long as its grid is wide, so a grid of any size is spread over its rows.
+    """
+    size = cells.groupBy("grid_id").agg(F.max("c").alias("last_c"), F.max("r").alias("last_r"))
+    spine = (size.withColumn("r", F.explode(F.sequence(F.lit(0), "last_r")))
+             .select("grid_id", "r", F.explode(F.sequence(F.lit(0), "last_c")).alias("c")))
+    full = spine.join(cells.select("grid_id", "r", "c", "z"), ["grid_id", "r", "c"], "left")
+    return full.groupBy("grid_id", "r").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("c", "z"))), lambda x: x["z"]).alias("z"))
+
+
+def explode_rows(rows: DataFrame) -> DataFrame:
+    """Packed rows back to one row per cell."""
+    return rows.select("grid_id", "r", F.posexplode("z").alias("c", "z"))
 
 
 def grid_bounds(grids: DataFrame) -> DataFrame:

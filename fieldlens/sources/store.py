@@ -53,9 +53,14 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
         order, *[c for c in rest if c != order])).alias("l")).select(*keys, *[F.col(f"l.{c}").alias(c) for c in rest])
 
 
-def insert_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Append incoming keys the table does not hold; what is there stays untouched."""
-    fresh_rows = latest_by_key(incoming, [key], [c for c in incoming.columns if c != key][0])
+def insert_new(existing: DataFrame, incoming: DataFrame, key: str, arrival: str) -> DataFrame:
+    """Append incoming keys the table does not hold, each as it arrived first.
+
+    What is there stays untouched, and so does a key's first row when it is sent again.
+    """
+    rest = [c for c in incoming.columns if c != key]
+    fresh_rows = (incoming.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(arrival, *rest)).alias("f"))
+                  .select(key, *[F.col(f"f.{c}").alias(c) for c in rest if c in existing.columns]))
     return existing.unionByName(fresh_rows.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
