@@ -2,15 +2,20 @@
 
 Sources are any streaming frame with the named columns. Stateful jobs keep bounded state
 per key: an id until the watermark passes, an open session, a few numbers per camera.
+What a key gets in one trigger is put in order before its state is touched, so answers do not
+depend on how rows are dealt into Arrow batches; it is held as a few numbers a row, and the
+source's files per trigger bound it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldlens.constants import (COUNTER_RESET_DROP, MAX_ACCURACY_M, MAX_SPEED_MPS, MIN_EPSILON_M,
@@ -43,21 +48,26 @@ def camera_day_upsert(target: str) -> Callable[[DataFrame, int], None]:
 
     Only the touched days are read and rewritten. A batch goes to a new version folder per
     day first, so a lost executor or a replayed batch leaves the old version readable.
+    Versions grow with what the table holds, whatever checkpoint the stream started from.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = merge_camera_days(batch)
+        version = F.lit(0)
         try:
             held = spark.read.parquet(target)
-        except Exception:                       # nothing stored yet
-            held = None
+        except AnalysisException as nothing:
+            if nothing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            held = None                         # nothing stored yet
         if held is not None:
+            version = F.lit((held.agg(F.max("version")).first()[0] or 0) + 1)
             # the small list of touched days prunes partitions before anything else is read
             held = held.join(F.broadcast(rows.select("day").distinct()), "day", "left_semi")
             newest = held.groupBy("day").agg(F.max("version").alias("version"))
             current = held.join(newest, ["day", "version"], "left_semi").drop("version")
             rows = merge_camera_days(rows.unionByName(current))
-        rows.withColumn("version", F.lit(batch_id)).write.mode("overwrite").option(
+        rows.withColumn("version", version).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("day", "version").parquet(target)
     return write
 
@@ -82,27 +92,29 @@ def hourly_rates(counts: DataFrame, live_hours: DataFrame, min_hours: int = MIN_
 
 
 def live_track(fixes: DataFrame) -> DataFrame:
-    """Accepted fixes of running walks: the accuracy, speed and step gates with state per track."""
+    """Fixes of running walks with their fate: position, accuracy, speed and step gates with state per track."""
     out = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double, fate string"
     state = "t_ms double, lat double, lng double, m_lat double, m_lng double"
 
     def run(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         last = list(st.get) if st.exists else None
-        for batch in batches:
-            rows = []
-            for r in batch.sort_values("seq").itertuples(index=False):
-                if pd.isna(r.acc) or r.acc > MAX_ACCURACY_M:
-                    fate = "accuracy"
-                elif last is not None and r.t_ms > last[0] and \
-                        _metres(last[1], last[2], r.lat, r.lng) / ((r.t_ms - last[0]) / 1000.0) > MAX_SPEED_MPS:
-                    fate = "speed"
-                else:
-                    far = last is None or _metres(last[3], last[4], r.lat, r.lng) >= max(MIN_EPSILON_M, 2 * r.acc)
-                    fate = "kept" if far else "stationary"
-                    moved = (r.lat, r.lng) if far else (last[3], last[4])
-                    last = [r.t_ms, r.lat, r.lng, *moved]
-                rows.append((int(key[0]), int(r.seq), r.t_ms, r.lat, r.lng, r.acc, fate))
-            yield pd.DataFrame(rows, columns=["track_id", "seq", "t_ms", "lat", "lng", "acc", "fate"])
+        whole = pd.concat([b[["seq", "t_ms", "lat", "lng", "acc"]] for b in batches]).sort_values("seq", kind="stable")
+        fates = []
+        placed = (whole["t_ms"].notna() & (whole["lat"].abs() <= 90) & (whole["lng"].abs() <= 180)).tolist()
+        for (t, lat, lng, acc), known in zip(whole[["t_ms", "lat", "lng", "acc"]].itertuples(index=False, name=None), placed):
+            if not known:
+                fate = "unusable"
+            elif pd.isna(acc) or acc > MAX_ACCURACY_M:
+                fate = "accuracy"
+            elif last is not None and t > last[0] and _metres(last[1], last[2], lat, lng) / ((t - last[0]) / 1000.0) > MAX_SPEED_MPS:
+                fate = "speed"
+            else:
+                far = last is None or _metres(last[3], last[4], lat, lng) >= max(MIN_EPSILON_M, 2 * acc)
+                fate = "kept" if far else "stationary"
+                last = [t, lat, lng, *((lat, lng) if far else (last[3], last[4]))]
+            fates.append(fate)
+        whole.insert(0, "track_id", int(key[0]))
+        yield whole.assign(fate=fates)
         if last is not None:
             st.update(tuple(float(x) for x in last))
 
@@ -118,14 +130,16 @@ def counter_monitor(photos: DataFrame) -> DataFrame:
 
     def run(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
         top = st.get[0] if st.exists else None
-        for batch in batches:
-            rows = []
-            for n in batch.sort_values(["taken_at", "n"])["n"].dropna().astype(int):
-                if top is not None and n > top + 1:
-                    rows.append((int(key[0]), int(top), int(n), int(n - top - 1)))
-                if top is None or n > top or n < top - COUNTER_RESET_DROP:
-                    top = n
-            yield pd.DataFrame(rows, columns=["camera_id", "after_n", "before_n", "missing"])
+        held = [b[["taken_at", "n"]].dropna() for b in batches]
+        at = np.concatenate([b["taken_at"].to_numpy("datetime64[us]") for b in held])
+        counters = np.concatenate([b["n"].to_numpy(np.int64) for b in held])
+        rows = []
+        for n in counters[np.lexsort((counters, at))].tolist():
+            if top is not None and n > top + 1:
+                rows.append((int(key[0]), int(top), int(n), int(n - top - 1)))
+            if top is None or n > top or n < top - COUNTER_RESET_DROP:
+                top = n
+        yield pd.DataFrame(rows, columns=["camera_id", "after_n", "before_n", "missing"])
         if top is not None:
             st.update((int(top),))
 

@@ -84,3 +84,64 @@ def test_hourly_counts_and_rates(spark, tmp_path):
     assert {r.hits for r in counts.collect()} == {6}
     live = counts.select("camera_id", "hour_utc").withColumn("hours_to_date", F.lit(12))
     assert {r.rate for r in jobs.hourly_rates(counts, live).collect()} == {50.0}
+
+
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+
+
+def test_counters_do_not_depend_on_arrow_batches(spark, tmp_path):
+    small_batches(spark)
+    try:
+        order = [7, 2, 11, 0, 5, 9, 1, 10, 3, 8, 4, 6]
+        rows = [(1, n + 1, T0 + dt.timedelta(seconds=n)) for n in order] + [(2, n + (n > 5), T0 + dt.timedelta(seconds=n)) for n in order]
+        spark.createDataFrame(rows, "camera_id bigint, n bigint, taken_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema("camera_id bigint, n bigint, taken_at timestamp").parquet(str(tmp_path / "in"))
+        got = {tuple(r) for r in drain(spark, jobs.counter_monitor(src), tmp_path / "c").collect()}
+        assert got == {(2, 5, 7, 1)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_live_track_equals_the_batch_gates_in_any_order(spark, tmp_path):
+    import random
+
+    from fieldlens.operators.tracks import gate_fixes, usable_fixes
+    small_batches(spark)
+    try:
+        draw = random.Random(1)
+        rows = [(t, i, i * 15000.0, None if i % 13 == 0 else 44 + i * 0.0001 + (i % 11 == 0), 200.0 if i % 17 == 0 else -90.0, None if i % 7 == 0 else float(i % 60))
+                for t in (1, 2) for i in range(60)]
+        draw.shuffle(rows)
+        schema = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double"
+        fixes = spark.createDataFrame(rows, schema)
+        fixes.coalesce(1).write.parquet(str(tmp_path / "in"))
+        out = drain(spark, jobs.live_track(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path / "t")
+        want = {(r.track_id, r.seq): r.fate for r in usable_fixes(fixes).collect()} | {(r.track_id, r.seq): r.fate for r in gate_fixes(fixes).collect()}
+        got = {(r.track_id, r.seq): r.fate for r in out.collect()}
+        for t in (1, 2):                        # the batch keeps a walk's last accepted fix; a stream does not know it is the last
+            end = max(k for k, f in want.items() if k[0] == t and f in ("kept", "stationary"))
+            assert want.pop(end) == "kept" and got.pop(end) in ("kept", "stationary")
+        assert got == want
+        assert set(want.values()) == {"unusable", "accuracy", "speed", "kept", "stationary"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_camera_day_versions_grow_with_a_new_checkpoint(spark, tmp_path):
+    target = str(tmp_path / "days")
+    cols = "camera_id bigint, state string, day date, photos bigint, observed_at timestamp"
+    for n, batch_id in ((5, 0), (6, 7), (9, 0)):
+        rows = spark.createDataFrame([(1, f"s{n}", dt.date(2024, 1, 1), n, T0 + dt.timedelta(hours=n))], cols)
+        jobs.camera_day_upsert(target)(rows, batch_id)
+    assert [(r.state, r.photos) for r in jobs.current_camera_days(spark, target).collect()] == [("s9", 9)]
+
+
+def test_camera_day_upsert_does_not_hide_read_errors(spark, tmp_path):
+    import pytest
+    (tmp_path / "days" / "day=2024-01-01" / "version=0").mkdir(parents=True)
+    (tmp_path / "days" / "day=2024-01-01" / "version=0" / "part.parquet").write_bytes(b"not parquet")
+    rows = spark.createDataFrame([(1, "live", dt.date(2024, 1, 1), 1, T0)], "camera_id bigint, state string, day date, photos bigint, observed_at timestamp")
+    with pytest.raises(Exception):
+        jobs.camera_day_upsert(str(tmp_path / "days"))(rows, 0)
+    assert (tmp_path / "days" / "day=2024-01-01" / "version=0" / "part.parquet").read_bytes() == b"not parquet"
