@@ -1,14 +1,18 @@
 """Terrain from elevation cells: cells(grid_id, c, r, z), row 0 at the south edge.
 
-Neighbourhood work shifts cells onto their neighbours and meets them in one equi join on
-(grid, c, r): no grid is gathered in a task, so one huge grid spreads like many small
-ones. `grids` carries west, south, d_lng, d_lat, cols, rows, spacing_m per grid_id.
+Neighbourhood work cuts grids into tiles of TILE x TILE cells. A tile also gets the cells
+just outside its edge, a few per cent of all, so each cell crosses the shuffle about once and
+meets its neighbours inside a tile. No grid is gathered in a task, so one huge grid spreads
+like many small ones. `grids` carries west, south, d_lng, d_lat, cols, rows, spacing_m per grid_id.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +26,44 @@ from fieldlens.session import cut_lineage
 CELL = ["grid_id", "c", "r"]
 
 
-def _offsets(pairs: list[tuple[int, int]]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dc).alias("dc"), F.lit(dr).alias("dr"))
-                               for i, (dc, dr) in enumerate(pairs)]))
+TILE = 128
 
 
-def neighbours(cells: DataFrame, pairs: list[tuple[int, int]], value: str = "z") -> DataFrame:
-    """Per cell the map offset index -> neighbour value, for known neighbours only.
+def tiled(cells: DataFrame, value: str, halo: int, names: list[str], work: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """Per position the arrays `work` gives for a tile: (grid_id, c, r, *names as doubles).
 
-    Each known cell sends its value to the cells that look at it, then one grouping by
-    cell collects at most len(pairs) values.
+    work gets a tile's values with `halo` cells around it, NaN where nothing is known, and
+    returns one TILE x TILE array a name; positions where all are NaN give no row.
     """
-    sent = (cells.where(F.col(value).isNotNull()).withColumn("o", _offsets(pairs))
-            .select("grid_id", (F.col("c") - F.col("o.dc")).alias("c"), (F.col("r") - F.col("o.dr")).alias("r"),
-                    F.col("o.i").alias("i"), F.col(value).alias("v")))
-    return sent.groupBy(*CELL).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"n{i}")
-                                     for i in range(len(pairs))])
+    def reach(x: str) -> Column:
+        return F.explode(F.array_distinct(F.array(*[F.floor((F.col(x) + d) / TILE).cast("int") for d in (-halo, 0, halo)])))
+
+    known = cells.where(F.col(value).isNotNull()).select("grid_id", F.col("c").cast("int").alias("c"), F.col("r").cast("int").alias("r"),
+                                                         F.col(value).cast("double").alias("v"))
+    spread = known.withColumn("tc", reach("c")).withColumn("tr", reach("r"))
+    grid_type = known.schema["grid_id"].dataType.simpleString()
+    wide = TILE + 2 * halo
+
+    def run(key, table):
+        west, south = key[1].as_py() * TILE, key[2].as_py() * TILE
+        z = np.full((wide, wide), np.nan)
+        z[table["r"].to_numpy() - south + halo, table["c"].to_numpy() - west + halo] = table["v"].to_numpy()
+        made = work(z)
+        r, c = np.nonzero(~np.logical_and.reduce([np.isnan(m) for m in made]))
+        columns = [pa.array(m[r, c], from_pandas=True) for m in made]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(r), table["grid_id"].type), pa.array((c + west).astype(np.int32)),
+                                     pa.array((r + south).astype(np.int32)), *columns], ["grid_id", "c", "r", *names])
+    return spread.groupBy("grid_id", "tc", "tr").applyInArrow(
+        run, f"grid_id {grid_type}, c int, r int, " + ", ".join(f"{n} double" for n in names))
+
+
+def neighbours(cells: DataFrame, pairs: list[tuple[int, int]], value: str = "z") -> DataFrame:
+    """Per position the values at the given offsets, n0, n1 and so on; null where not known."""
+    halo = max(max(abs(dc), abs(dr)) for dc, dr in pairs)
+
+    def work(z: np.ndarray) -> list[np.ndarray]:
+        return [z[halo + dr:halo + dr + TILE, halo + dc:halo + dc + TILE] for dc, dr in pairs]
+    return tiled(cells, value, halo, [f"n{i}" for i in range(len(pairs))], work)
 
 
 # north-west, north, north-east, west, east, south-west, south, south-east
@@ -96,9 +122,12 @@ def grid_stats(cells: DataFrame) -> DataFrame:
 
 def smoothed(cells: DataFrame) -> DataFrame:
     """Mean of the known cells of each 3x3 block; holes stay holes."""
-    sent = (cells.where(F.col("z").isNotNull()).withColumn("o", _offsets(EIGHT + [(0, 0)]))
-            .select("grid_id", (F.col("c") + F.col("o.dc")).alias("c"), (F.col("r") + F.col("o.dr")).alias("r"), "z"))
-    mean = sent.groupBy(*CELL).agg(F.avg("z").alias("mean"))
+    def work(z: np.ndarray) -> list[np.ndarray]:
+        parts = [z[1 + dr:1 + dr + TILE, 1 + dc:1 + dc + TILE] for dc, dr in EIGHT + [(0, 0)]]
+        seen = sum((~np.isnan(p)).astype(float) for p in parts)
+        with np.errstate(invalid="ignore"):
+            return [sum(np.nan_to_num(p) for p in parts) / np.where(seen > 0, seen, np.nan)]
+    mean = tiled(cells, "z", 1, ["mean"], work)
     return cells.join(mean, CELL, "left").select(*CELL, F.when(F.col("z").isNotNull(), F.col("mean")).alias("z"))
 
 
@@ -212,11 +241,15 @@ def benches(slopes: DataFrame, grids: DataFrame, max_slope: float = 4.0, steep:
             radius: int = 4, min_share: float = 0.35) -> DataFrame:
     """Flat cells with steep ground around them. A cell's window is counted, not collected."""
     known = slopes.where(F.col("slope").isNotNull())
-    step = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = (known.select(*CELL, (F.col("slope") >= steep).cast("int").alias("s"), F.explode(step).alias("dc"))
-            .withColumn("dr", F.explode(step))
-            .groupBy("grid_id", (F.col("c") + F.col("dc")).alias("c"), (F.col("r") + F.col("dr")).alias("r"))
-            .agg(F.count("*").alias("seen"), F.sum("s").alias("steep")))
+
+    def work(flag: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for a in (~np.isnan(flag), np.nan_to_num(flag)):                # sums over squares by running sums
+            total = np.pad(np.cumsum(np.cumsum(a.astype(float), 0), 1), ((1, 0), (1, 0)))
+            far, side = 2 * radius + 1, slice(0, TILE)
+            out.append(total[far:far + TILE, far:far + TILE] - total[side, far:far + TILE] - total[far:far + TILE, side] + total[side, side])
+        return [np.where(out[0] > 0, x, np.nan) for x in out]
+    sent = tiled(known.select(*CELL, (F.col("slope") >= steep).cast("double").alias("s")), "s", radius, ["seen", "steep"], work)
     inside = (F.col("c").between(F.lit(radius), F.col("cols") - radius - 1)
               & F.col("r").between(F.lit(radius), F.col("rows") - radius - 1))
     found = (known.where(F.col("slope") <= max_slope).join(grids.select("grid_id", "cols", "rows"), "grid_id").where(inside)
