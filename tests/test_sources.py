@@ -214,3 +214,40 @@ def test_unconfirmed_assist_rows_fall_in_neither_set(spark):
     d = spark.createDataFrame([(1, "deer", "assist", False), (2, "deer", "camera-ai", False), (3, "deer", "camera-ai", True)],
                               "photo_id bigint, species string, source string, confirmed boolean")
     assert sorted((r.photo_id, r.claim) for r in rates.sightings(d, p).collect()) == [(2, "camera"), (3, "yours")]
+
+
+def test_insert_keeps_the_first_arrival(spark):
+    held = spark.createDataFrame([("a", 1)], "name string, id bigint")
+    sent = spark.createDataFrame([("n", 9, 2), ("n", 1, 5), ("a", 7, 0)], "name string, id bigint, seq int")
+    assert {tuple(r) for r in store.insert_new(held, sent, "name", "seq").collect()} == {("a", 1), ("n", 9)}
+
+
+def test_an_absent_cell_moves_no_other(spark):
+    from fieldlens.sources import grids
+    cells = {(1, c, r): float(10 * c + r) for c in range(3) for r in range(3) if (c, r) != (1, 0)}
+    df = spark.createDataFrame([(*k, z) for k, z in cells.items()], "grid_id bigint, c int, r int, z double")
+    back = {(x.grid_id, x.c, x.r): x.z for x in grids.explode_rows(grids.pack_rows(df)).collect()}
+    assert back == cells | {(1, 1, 0): None}
+
+
+def test_every_camera_answers_every_question(spark):
+    from fieldlens.operators import evidence
+    cameras = spark.createDataFrame([(1,), (2,), (3,)], "camera_id bigint")
+    hours = spark.createDataFrame([(c, h, "dawn", True, "N", 30.0) for c in (1, 2) for h in range(12)],
+                                  "camera_id bigint, hour_no bigint, band string, daylight boolean, wind string, pressure_inhg double")
+    none = spark.createDataFrame([], "camera_id bigint, taken_at timestamp")
+    sits = spark.createDataFrame([("AM", "N"), ("PM", "S")], "window string, wind string")
+    got = {(r.question, r.camera_id): (r.rung, r.hours, r.enough) for r in evidence.matched_evidence(cameras, hours, none, sits).collect()}
+    assert got["AM/N", 1] == (3, 12, True) and got["AM/N", 3] == (3, 0, False) and len(got) == 6
+    assert got["PM/S", 1][0] == 0
+    short = evidence.matched_evidence(cameras, hours.where("hour_no < 3"), none, sits)
+    assert {(r.rung, r.hours) for r in short.collect()} == {(None, 0)}
+    assert {r.tier for r in evidence.confidence(short).collect()} == {"none"}
+
+
+def test_animals_never_confirmed_stay(spark):
+    hours = spark.createDataFrame([(1,)] * 12, "camera_id bigint")
+    sight = spark.createDataFrame([(1, "yours", 7)], "camera_id bigint, claim string, individual_id bigint")
+    animals = spark.createDataFrame([(7, "A"), (8, "B")], "individual_id bigint, individual_name string")
+    got = {(r.individual_id, r.camera_id, r.hits) for r in rates.individual_camera_rates(hours, sight, animals).collect()}
+    assert got == {(7, 1, 1), (8, None, 0)}

@@ -275,3 +275,31 @@ def test_unknown_wind_is_not_clean(spark):
     near = routes.points_near_targets(walks, target)
     got = {r.route_id: r.ok for r in routes.assess_routes(walks, routes.scent_hits(near, winds), winds).collect()}
     assert got == {1: False, 2: True, 3: None}
+
+
+def test_neighbours_across_tile_borders(spark, monkeypatch):
+    monkeypatch.setattr(raster, "TILE", 5)
+    draw = random.Random(8)
+    known = {(g, c, r): draw.random() for g in (1, 2) for c in range(13) for r in range(11) if draw.random() < 0.8}
+    cells = spark.createDataFrame([(g, c, r, known.get((g, c, r))) for g in (1, 2) for c in range(13) for r in range(11)], "grid_id bigint, c int, r int, z double")
+    pairs = [(-3, 1), (0, 0), (2, -2), (0, 3)]
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in raster.neighbours(cells, pairs).collect()}
+    want = {}
+    for g, c, r in itertools.product((1, 2), range(-4, 18), range(-4, 16)):
+        row = tuple(known.get((g, c + dc, r + dr)) for dc, dr in pairs)
+        if any(v is not None for v in row):
+            want[g, c, r] = row
+    assert got == want
+    smooth = {tuple(x)[:3]: x.z for x in raster.smoothed(cells).collect()}
+    for (g, c, r), z in smooth.items():
+        near = [known[k] for dc in (-1, 0, 1) for dr in (-1, 0, 1) if (k := (g, c + dc, r + dr)) in known]
+        assert (z is None) == ((g, c, r) not in known) and (z is None or abs(z - sum(near) / len(near)) < 1e-12)
+
+
+def test_contours_reach_the_top_of_great_relief(spark):
+    cells = spark.createDataFrame([(1, c, r, 200.0 * (c + r)) for c in range(11) for r in range(11)], "grid_id bigint, c int, r int, z double")
+    steps = raster.contour_steps(cells)
+    step = steps.first().step_ft
+    assert step == 500
+    levels = sorted({round(x.level * 3.280839895 / step) for x in raster.contour_segments(cells, steps).select("level").collect()})
+    assert levels[-1] == int(4000 * 3.280839895 // step) and levels == list(range(levels[0], levels[-1] + 1))
