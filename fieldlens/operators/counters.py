@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlens.constants import COUNTER_RESET_DROP, GAP_RECENT_DAYS
+from fieldlens.session import cut_lineage
 
 COUNTER_BLOCK = 10_000
 
@@ -18,50 +19,56 @@ def counter_of(name: Column) -> Column:
     return F.when(F.size(runs) > 0, F.element_at(runs, -1).try_cast("bigint"))
 
 
-def _day_epochs(photos: DataFrame) -> DataFrame:
-    """Usable rows with the epoch they fall in, counted from the start of their own day."""
-    w = W.partitionBy("camera_id", "day").orderBy("taken_at", "n")
+def _chunk_epochs(photos: DataFrame) -> DataFrame:
+    """Usable rows with the epoch they fall in, counted from the start of their own hour.
+
+    An hour of one camera is what one task orders, however many photos the camera has.
+    """
+    w = W.partitionBy("camera_id", "chunk").orderBy("taken_at", "n")
     rows = (photos.where(F.col("n").isNotNull() & F.col("taken_at").isNotNull())
-            .select("camera_id", F.to_date("taken_at").alias("day"), "taken_at", "n"))
+            .select("camera_id", F.date_trunc("hour", "taken_at").alias("chunk"), "taken_at", "n"))
     reset = F.coalesce(F.col("n") < F.lag("n").over(w) - COUNTER_RESET_DROP, F.lit(False))
     return rows.withColumn("reset", reset.cast("int")).withColumn(
         "local", F.sum("reset").over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def _day_offsets(rows: DataFrame) -> DataFrame:
-    """How many epochs a camera had started before each day: one row per camera-day."""
+def _chunk_offsets(rows: DataFrame) -> DataFrame:
+    """How many epochs a camera had started before each hour: one row per camera-hour.
+
+    Kept as files: the photos are ordered once for it, whatever is asked of it later.
+    """
     order = F.struct("taken_at", "n")
-    days = rows.groupBy("camera_id", "day").agg(
+    chunks = rows.groupBy("camera_id", "chunk").agg(
         F.min_by("n", order).alias("first_n"), F.max_by("n", order).alias("last_n"), F.max("local").alias("inner"))
-    w = W.partitionBy("camera_id").orderBy("day")
+    w = W.partitionBy("camera_id").orderBy("chunk")
     edge = F.coalesce(F.col("first_n") < F.lag("last_n").over(w) - COUNTER_RESET_DROP, F.lit(False)).cast("int")
-    started = (days.withColumn("edge", edge)
+    started = (chunks.withColumn("edge", edge)
                .withColumn("before", F.coalesce(F.sum(F.col("inner") + F.col("edge")).over(
                    w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
-    return started.select("camera_id", "day", (F.col("before") + F.col("edge")).alias("offset"), "inner")
+    return cut_lineage(started.select("camera_id", "chunk", (F.col("before") + F.col("edge")).alias("offset"), "inner"))
 
 
-def first_arrivals(photos: DataFrame) -> DataFrame:
+def first_arrivals(photos: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """Earliest instant of every counter of every epoch.
 
-    The ordered work is one window per camera-day; what crosses midnight is carried by a
-    table with one row per camera-day. A drop of more than the reset limit against the
+    The ordered work is one window per camera-hour; what crosses the hour is carried by a
+    table with one row per camera-hour. A drop of more than the reset limit against the
     photo before starts an epoch.
     """
-    rows = _day_epochs(photos)
-    daily = rows.groupBy("camera_id", "day", "local", "n").agg(F.min("taken_at").alias("at"))
-    return (daily.join(_day_offsets(rows), ["camera_id", "day"])
+    rows = _chunk_epochs(photos)
+    hourly = rows.groupBy("camera_id", "chunk", "local", "n").agg(F.min("taken_at").alias("at"))
+    return (hourly.join(_chunk_offsets(rows) if offsets is None else offsets, ["camera_id", "chunk"])
             .groupBy("camera_id", (F.col("offset") + F.col("local")).alias("epoch"), "n")
             .agg(F.min("at").alias("at")))
 
 
-def counter_gaps(photos: DataFrame) -> DataFrame:
+def counter_gaps(photos: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """One row per hole: the counters either side, when they were taken, how many are missing.
 
     Counters are ordered inside blocks; the hole between two blocks comes from the blocks'
     own first and last counters.
     """
-    firsts = first_arrivals(photos).withColumn("block", F.floor(F.col("n") / COUNTER_BLOCK))
+    firsts = first_arrivals(photos, offsets).withColumn("block", F.floor(F.col("n") / COUNTER_BLOCK))
     group = ["camera_id", "epoch"]
     w = W.partitionBy(*group, "block").orderBy("n")
     here = F.struct("n", "at")
@@ -79,10 +86,11 @@ def gap_summary(photos: DataFrame, now: Column) -> DataFrame:
     base = photos.groupBy("camera_id").agg(
         F.count_if(F.col("n").isNotNull() & F.col("taken_at").isNotNull()).alias("counted"),
         F.count_if(F.col("n").isNull() | F.col("taken_at").isNull()).alias("skipped"))
-    resets = _day_offsets(_day_epochs(photos)).groupBy("camera_id").agg(
+    offsets = _chunk_offsets(_chunk_epochs(photos))
+    resets = offsets.groupBy("camera_id").agg(
         F.max(F.col("offset") + F.col("inner")).alias("resets"))
     fresh = F.unix_micros(now) - F.unix_micros("before_at") <= GAP_RECENT_DAYS * 86_400_000_000
-    gaps = counter_gaps(photos).groupBy("camera_id").agg(
+    gaps = counter_gaps(photos, offsets).groupBy("camera_id").agg(
         F.count("*").alias("gaps"), F.sum("missing").alias("missing"),
         F.sum(F.when(fresh, F.col("missing")).otherwise(0)).alias("recent"),
         F.max_by(F.struct("after_at", "before_at"), F.struct("before_at", "after_at")).alias("newest"))
