@@ -231,6 +231,24 @@ def sits_with_stand(b):
         "sit_id", "stand_id", "stand_name", F.col("date").cast("string").alias("date"), "window", "deer")
 
 
+@query("routes_with_stand", needs=("stand",), sql="""
+SELECT c_custkey AS route_id, c_custkey AS stand_id, t.stand_name, 6 AS points FROM customer LEFT JOIN stand t ON t.stand_id = c_custkey AND t.stand_id % 3 <> 0""")
+def routes_with_stand(b):
+    named = b.stands().where(F.col("stand_id") % 3 != 0).select("stand_id", "stand_name")
+    return b.routes().join(named, "stand_id", "left").select("route_id", "stand_id", "stand_name", F.size("points").alias("points"))
+
+
+@query("tracks_with_stand_and_route", needs=("stand",), sql="""
+SELECT o_orderkey AS track_id, t.stand_name, r.c_name AS route_name FROM orders LEFT JOIN stand t ON t.stand_id = CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END
+LEFT JOIN customer r ON r.c_custkey = o_custkey * 2""")
+def tracks_with_stand_and_route(b):
+    o = F.col("o_custkey")
+    tracks = b.table("orders").select(F.col("o_orderkey").alias("track_id"), F.when(F.col("o_orderkey") % 5 != 0, o).alias("stand_id"), (o * 2).alias("route_id"))
+    routes = b.table("customer").select(F.col("c_custkey").alias("route_id"), F.col("c_name").alias("route_name"))
+    return (tracks.join(b.stands().select("stand_id", "stand_name"), "stand_id", "left").join(routes, "route_id", "left")
+            .select("track_id", "stand_name", "route_name"))
+
+
 @query("usable_sits", needs=("sit",), sql="""
 SELECT sit_id, rating, deer FROM sit WHERE rating IS NOT NULL AND deer IS NOT NULL""")
 def usable_sits(b):

@@ -158,6 +158,27 @@ def accepted_sits(b):
     return store.existing_parent(good, b.stands(), "stand_id", "stand_id").select("sit_id", "stand_id")
 
 
+@query("track_violations", sql="""
+SELECT p_partkey AS track_id, CASE WHEN p_partkey % 4 < 2 THEN 'a track needs at least 2 points' WHEN p_size = 50 THEN 'a track needs real coordinates' ELSE '' END AS why FROM part""")
+def track_violations(b):
+    k = F.col("p_partkey")
+    point = F.struct(F.when((F.col("p_size") == 50) & (k % 4 >= 2), 181.0).otherwise(-90.0).alias("lng"), F.lit(44.0).alias("lat"))
+    rows = b.table("part").select(k.alias("track_id"), F.array_repeat(point, (k % 4).cast("int")).alias("points"))
+    out = store.with_violations(rows, store.track_rules())
+    return out.select("track_id", F.array_join("violations", "; ").alias("why"))
+
+
+@query("field_cut_dates", sql="""
+SELECT o_orderkey AS field_id, CASE WHEN o_orderkey % 6 >= 3 THEN 'a cut needs a date' ELSE '' END AS why,
+  CASE WHEN o_orderkey % 6 = 0 THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d') END AS cut_on FROM orders""")
+def field_cut_dates(b):
+    day, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 6
+    told = (F.when(kind == 0, F.concat(day, F.lit("T06:00:00Z"))).when(kind == 1, "").when(kind == 2, F.lit(None))
+            .when(kind == 3, "2024-02-31").when(kind == 4, "last week").otherwise(F.substring(day, 1, 7)))
+    rows = store.with_violations(b.table("orders").select(F.col("o_orderkey").alias("field_id"), told.alias("cut_at")), store.cut_date_rules("cut_at"))
+    return rows.select("field_id", F.array_join("violations", "; ").alias("why"), store.cut_date(F.col("cut_at")).cast("string").alias("cut_on"))
+
+
 @query("ring_violations", sql="""
 SELECT p_partkey AS field_id, CASE WHEN p_partkey % 5 < 3 THEN 'a field needs at least 3 points' WHEN p_size = 50 THEN 'a field needs real coordinates' ELSE '' END AS why FROM part""")
 def ring_violations(b):

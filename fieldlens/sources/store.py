@@ -163,6 +163,21 @@ def path_rules(least: int, what: str) -> list[tuple[Column, str]]:
             (odd, f"{what} needs real coordinates")]
 
 
+def track_rules() -> list[tuple[Column, str]]:
+    return path_rules(2, "a track")
+
+
+def cut_date(text: Column) -> Column:
+    """The day a field was cut; blank is not recorded."""
+    return F.try_to_date(F.substring(F.nullif(text, F.lit("")), 1, 10), "yyyy-MM-dd")
+
+
+def cut_date_rules(column: str) -> list[tuple[Column, str]]:
+    told = F.nullif(F.col(column), F.lit(""))
+    shaped = F.substring(told, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return [(told.isNotNull() & ~(shaped & cut_date(told).isNotNull()), "a cut needs a date")]
+
+
 def sit_rules(windows: list[str]) -> list[tuple[Column, str]]:
     dated = F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd").isNotNull()
     return [(~F.coalesce(dated, F.lit(False)), "needs a date"),
