@@ -5,10 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import fieldlens.queries.sequences  # noqa: F401
 import fieldlens.queries.statistics  # noqa: F401
+from fieldlens.functions.num import round6
+from fieldlens.operators import exposure
 from fieldlens.queries.registry import query
 from fieldlens.session import ensure_checkpoint_dir
 from fieldlens.streaming import jobs
@@ -55,6 +58,38 @@ def stream_hourly_counts(b):
     return out.select("camera_id", F.floor(F.unix_seconds("hour_utc") / 3600).alias("hour_no"), "hits")
 
 
+@query("stream_hourly_rates", needs=("photo", "watched"), sql="""
+WITH n AS (SELECT camera_id, us // 3600000000 AS hour_no, count(*) AS hits FROM photo GROUP BY 1, 2
+  HAVING (us // 3600000000 + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 FROM photo)),
+h AS (SELECT camera_id, hour_no, count(*) AS k FROM watched GROUP BY 1, 2),
+l AS (SELECT camera_id, hour_no, CAST(sum(k) OVER (PARTITION BY camera_id ORDER BY hour_no) AS BIGINT) AS hours FROM h)
+SELECT n.camera_id, n.hour_no, n.hits, l.hours, round(CASE WHEN l.hours >= 10 THEN n.hits / l.hours * 100e0 END, 6) AS rate
+FROM n JOIN l ON l.camera_id = n.camera_id AND l.hour_no = n.hour_no""")
+def stream_hourly_rates(b):
+    """Finished hours of the stream against the camera's watched hours up to then."""
+    counts = _drain(b, jobs.hourly_counts(_photos(b), late="0 seconds"))
+    hours = exposure.watched_hours(b.camera_days(), b.cameras(), b.weather()).groupBy("camera_id", "hour_no").agg(F.count("*").alias("k"))
+    so_far = F.sum("k").over(W.partitionBy("camera_id").orderBy("hour_no"))
+    live = hours.select("camera_id", F.timestamp_seconds(F.col("hour_no") * 3600).alias("hour_utc"), so_far.alias("hours_to_date"))
+    return jobs.hourly_rates(counts, live).select(
+        "camera_id", F.floor(F.unix_seconds("hour_utc") / 3600).alias("hour_no"), "hits", F.col("hours_to_date").alias("hours"), round6("rate").alias("rate"))
+
+
+@query("stream_camera_days", needs=("photo",), sql="""
+SELECT camera_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, arg_max(event_id % 4, {'t': ts, 'e': event_id % 4}) AS state, max(event_id % 50) AS photos
+FROM (SELECT user_id % 5 AS camera_id, ts, event_id FROM events) GROUP BY 1, 2""")
+def stream_camera_days(b):
+    """Observations merged into camera-days micro-batch by micro-batch, then read back."""
+    ensure_checkpoint_dir(b.spark)
+    base = f"{b.spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    seen = _photos(b).select("camera_id", F.to_date("taken_at").alias("day"), (F.col("event_id") % 4).alias("state"),
+                             (F.col("event_id") % 50).alias("photos"), F.col("taken_at").alias("observed_at"))
+    q = (seen.writeStream.foreachBatch(jobs.camera_day_upsert(f"{base}/days")).option("checkpointLocation", f"{base}/state")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return jobs.current_camera_days(b.spark, f"{base}/days").select("camera_id", F.col("day").cast("string").alias("day"), "state", "photos")
+
+
 @query("stream_counter_holes", needs=("epoched",), sql="""
 SELECT camera_id, after_n, n AS before_n, n - after_n - 1 AS missing FROM (SELECT *, lag(n) OVER (PARTITION BY camera_id, epoch ORDER BY us, n) AS after_n FROM epoched)
 WHERE n > after_n + 1""")
