@@ -9,9 +9,9 @@ The vocabulary and the order of its scores exist: the scores are ranks, read as
 One round of expected counts over the corpus words (forward-backward, weighted by how often
 each word occurs) turns them into probabilities.
 
-Words are counted and scored once each, in a table spread over the cluster. Words of high
-count, a table of at most FREQUENT rows, are sent to all tasks; the others are joined, and as
-none of them holds more than 1 / FREQUENT of all tokens no key is hot.
+Words are counted and scored once each, in a table spread over the cluster. Words that hold at
+least 1 / FREQUENT of all tokens, so at most FREQUENT of them, are sent to all tasks; the
+others are joined, and as none of them is as common as that no key is hot.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from fieldlens.llm.common import fold, slices, stored
 
 MARK = "▁"
-FREQUENT = 65_536
+FREQUENT = 1 << 19
 #: Distinct words a task holds before it hands their counts on; bounds memory only.
 HELD_WORDS = 150_000
 #: Words per numpy batch, and symbols per batch at most (one long word is a batch of its own).
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, model_path: str, held_fold: int = 1) -> Dat
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (fold(F.col("doc_id")) != held_fold).alias("train"))
     counts = stored(word_counts(rows), "words")
     train_docs = rows.where("train").count()
-    known, tokens = counts.agg(F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    known, tokens, every = counts.agg(F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     train_tokens, distinct = tokens + train_docs, known + (train_docs > 0)
     floor = train_tokens + 0.5 * (distinct + 1)
 
@@ -251,7 +251,7 @@ def score_documents(docs: DataFrame, model_path: str, held_fold: int = 1) -> Dat
                                              ["word", "n", "c", "base", "score"])
     scored = stored(counts.mapInArrow(score_words, "word string, n long, c long, base double, score double"), "scored")
     often = spark.sparkContext.broadcast({r.word.encode("utf-8"): (r.c > 0, r.base, r.score) for r in
-                                          scored.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()})
+                                          scored.where(F.col("n") * FREQUENT >= every).collect()})
     end = (train_docs > 0, math.log10((train_docs + 0.5) / floor), float(logp[-1]) / math.log(10))
 
     def divide(batches):
