@@ -185,7 +185,8 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """docs without rows that no learned language explains.
 
     A row goes if its text is null or has no letter, or if its trigrams are likelier as even
-    noise over all buckets than under its language mixture. A model of no languages keeps all.
+    noise over all buckets than under its language mixture, by more than the penalty of one
+    language: a short text with a key or a password in it stays. A model of no languages keeps all.
     """
     shipped = ship(docs.sparkSession, model)
     at = docs.columns.index("text")
@@ -197,6 +198,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             if not m.names:
                 return part
             _, value, size = mixtures(m, part.column(at).to_pylist())
-            return part.filter(pa.array((size > 0) & (value > -size * np.log(BUCKETS))))
+            noise = -size * np.log(BUCKETS) - value
+            return part.filter(pa.array((size > 0) & (noise <= PENALTY * np.log(size + 1))))
         return work
     return map_slices(docs, make, docs.schema)

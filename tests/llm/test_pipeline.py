@@ -22,7 +22,7 @@ def test_run_equals_brute_force(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = langmix.learn(docs)
     _, value, size = langmix.mixtures(model, [rows[i].text for i in rows])
-    kept = [i for i, v, n in zip(rows, value, size) if n > 0 and v > -n * np.log(langmix.BUCKETS)]
+    kept = [i for i, v, n in zip(rows, value, size) if n > 0 and -n * np.log(langmix.BUCKETS) - v <= langmix.PENALTY * np.log(n + 1)]
     assert any(re.search(r"[^\W\d_]", rows[i].text) for i in kept)
 
     prints = np.array([text_fingerprint(rows[i].text) for i in kept], np.uint64)
