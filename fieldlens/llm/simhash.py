@@ -29,7 +29,8 @@ from fieldlens.llm.components import linked_components
 RADIUS = 3
 WORDS = 3
 BUCKET = 4096
-ROW_COST, PAIR_COST = 1e-6, 5e-9
+#: Seconds a probe row and a candidate pair cost, and the rows that a mask's place in the plan is worth.
+ROW_COST, PAIR_COST, PLAN_ROWS = 1e-6, 5e-9, 1000
 ALL = (1 << 64) - 1
 
 
@@ -150,7 +151,7 @@ def probe_masks(nodes: DataFrame, radius: int = RADIUS) -> tuple[list[int], int]
             ways = [1]
             for _ in g:
                 ways = [x + (ways[i - 1] if i else 0) for i, x in enumerate(ways + [0])][:radius + 1]
-            costs.append([0.0] + [rows * ways[t] * ROW_COST + exact * loose[t] * PAIR_COST for t in range(min(radius, len(g)) + 1)])
+            costs.append([0.0] + [(rows + PLAN_ROWS) * ways[t] * ROW_COST + exact * loose[t] * PAIR_COST for t in range(min(radius, len(g)) + 1)])
         chosen = allocate(costs, radius + 1)
         total = sum(c[t + 1] for c, t in zip(costs, chosen))
         if best is None or total < best[0]:
