@@ -31,14 +31,13 @@ from fieldlens.llm.presplit import Presplit, ship_file
 
 FOREVER = 1 << 40
 #: Entries a task keeps of chunks and transitions before it starts over; bounds memory only.
-KEPT_CHUNKS, KEPT_ARCS = 200_000, 400_000
+KEPT_CHUNKS, KEPT_ARCS = 500_000, 1_000_000
 
 
 class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list, end: str):
         self.vocab, self.end = vocab, end
         self.label = {i: s for s, i in vocab.items()}
-        self.longest = max(map(len, vocab))
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}                 # token -> number of the gadget that made it
@@ -48,11 +47,18 @@ class MergeAutomaton:
             a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
             self.add_gadget(number, vocab[a], vocab[b], vocab[a + b])
         self.start = {t for t in self.label if t in self.made or self.label[t] in self.base_symbols()}
-        self.reach: dict[str, int] = {}                # longest label that begins with these (up to three) symbols
+        self.root: dict = {}                           # symbols to follow; "" holds the arc that ends here
         for t in self.start:
-            spelled = self.label[t].removesuffix(end) if end else self.label[t]
-            for head in (spelled[:1], spelled[:2], spelled[:3]):
-                self.reach[head] = max(self.reach.get(head, 0), len(spelled))
+            node = self.root
+            for c in self.symbols(self.label[t]):
+                node = node.setdefault(c, {})
+            node[""] = t
+
+    def symbols(self, spelled: str) -> list[str]:
+        """Letters; the last one and the mark that closes a word are one symbol."""
+        if self.end and spelled.endswith(self.end) and spelled != self.end:
+            return [*spelled[:-len(self.end) - 1], spelled[-len(self.end) - 1:]]
+        return list(spelled)
 
     def base_symbols(self) -> set[str]:
         if not hasattr(self, "_base"):
@@ -94,50 +100,41 @@ class MergeAutomaton:
 
     def encode_word(self, word: str) -> list[int]:
         """The accepted tokens that spell a word given in base symbols."""
-        n, vocab, end = len(word), self.vocab, self.end
-        whole = vocab.get(word + end)
+        whole = self.vocab.get(word + self.end)
         if whole in self.start:
             return [whole]
-        straight, at, last = [], 0, -1                 # longest arc each time: any path to the end is the one path
-        reach, start, step = self.reach, self.start, self.step
-        while at < n:
-            far = reach.get(word[at:at + 3]) or reach.get(word[at:at + 2]) or reach[word[at]]
-            for stop in range(min(n, at + far), at, -1):
-                token = vocab.get(word[at:stop] + end if stop == n else word[at:stop])
-                if token is not None and token in start and (last < 0 or step(last, token)):
-                    straight.append(token)
-                    at, last = stop, token
-                    break
-            else:
-                break
-        if at == n:
-            return straight
+        symbols = self.symbols(word + self.end)
+        n, root, step, known = len(symbols), self.root, self.step, self.arcs.get
         seen = bytearray(n + 1)
         path: list[int] = []
-        stack = [self.choices(word, 0, None, seen)]
-        while stack:
-            nxt = next(stack[-1], None)
-            if nxt is None:
-                stack.pop()
-                if path:
+        left: list[tuple[list, int]] = []              # arcs not tried yet at each step of the path
+        at, last = 0, -1
+        while at < n:
+            arcs, node = [], root
+            for stop in range(at, n):
+                node = node.get(symbols[stop])
+                if node is None:
+                    break
+                token = node.get("")
+                if token is not None:
+                    arcs.append((token, stop + 1))
+            while True:
+                while arcs:                            # longest first
+                    token, stop = arcs.pop()
+                    if not seen[stop] and (last < 0 or known(last << 24 | token) or step(last, token)):
+                        break
+                else:
+                    if not path:
+                        raise ValueError(f"no accepted sequence spells {word!r}")
                     path.pop()
-                continue
-            token, at = nxt
+                    arcs, last = left.pop()
+                    continue
+                break
+            seen[stop] = 1
+            left.append((arcs, last))
             path.append(token)
-            if at == n:
-                return path
-            stack.append(self.choices(word, at, token, seen))
-        raise ValueError(f"no accepted sequence spells {word!r}")
-
-    def choices(self, word: str, at: int, last: int | None, seen: bytearray):
-        n = len(word)
-        for stop in range(min(n, at + self.longest), at, -1):
-            token = self.vocab.get(word[at:stop] + self.end if stop == n else word[at:stop])
-            if token is None or seen[stop] or token not in self.start:
-                continue
-            if last is None or self.step(last, token):
-                seen[stop] = 1
-                yield token, stop
+            at, last = stop, token
+        return path
 
     def decode(self, ids) -> list[str]:
         return [self.label[i] for i in ids]
