@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.llm import nearcopies
 from fieldlens.llm.common import map_slices, stored
 from fieldlens.llm.components import linked_components
 
@@ -283,11 +284,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
                     F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with only the smallest doc_id of each near-duplicate group, once.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with only the smallest doc_id of each group of near copies, once.
 
-    Rows without doc_id cannot be named in a group and all stay.
+    Near copies share at least four fifths of their five-word shingles (`nearcopies`); the three
+    words and three bits of `near_duplicates` miss an eighth of them. Rows without doc_id cannot
+    be named in a group and all stay.
     """
-    kept = near_duplicates(docs, words, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = nearcopies.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
