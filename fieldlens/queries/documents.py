@@ -79,6 +79,39 @@ def document_redaction(b):
                                           F.count_if(F.col("shown").rlike('^"#+"$')).alias("masked"))
 
 
+@query("document_redaction_leaves", sql="""
+WITH s AS (SELECT *, CAST(s_suppkey AS VARCHAR) AS k, s_suppkey % 6 <> 0 AS placed FROM supplier), f AS (SELECT s.*, i, 'status.coordinates[' || i || ']' AS spot,
+  CASE WHEN i = 0 THEN '2024-01-10T00:00:00Z' WHEN s_suppkey % 2 = 1 THEN '2024-01-12T00:00:00Z' ELSE '2024-01-02T00:00:00Z' END AS t,
+  CASE WHEN i = 1 AND s_suppkey % 4 = 1 THEN 'a' ELSE '#' END AS hash,
+  44e0 + CAST(s_suppkey % 97 AS DOUBLE) * 0.01e0 + CASE WHEN i = 1 THEN 0.01e0 ELSE 0e0 END AS la, 90e0 + CAST(s_suppkey % 89 AS DOUBLE) * 0.012e0 AS lo
+  FROM s, (SELECT unnest(range(2)) AS i) WHERE placed),
+leaf AS (
+  SELECT k, 'id' AS path, '"' || repeat('#', length(k)) || '"' AS shown FROM s
+  UNION ALL SELECT k, 'config.name', '"' || s_name || '"' FROM s
+  UNION ALL SELECT k, spot || '.dateTime', '"' || t || '"' FROM f
+  UNION ALL SELECT k, spot || '.latitude', '"A ## ' || CASE WHEN (la - floor(la)) * 60 >= 10 THEN '##' ELSE '#' END || '.######"' FROM f
+  UNION ALL SELECT k, spot || '.longitude', '"A ## ' || CASE WHEN (lo - floor(lo)) * 60 >= 10 THEN '##' ELSE '#' END || '.######"' FROM f
+  UNION ALL SELECT k, spot || '.position.coordinates[0]', '<number ' || length(split_part(CAST(lo AS VARCHAR), '.', 2)) || 'dp>' FROM f
+  UNION ALL SELECT k, spot || '.position.coordinates[1]', '<number ' || length(split_part(CAST(la AS VARCHAR), '.', 2)) || 'dp>' FROM f
+  UNION ALL SELECT k, spot || '.geohash', '"' || hash || '"' FROM f
+  UNION ALL SELECT k, spot || '.position.coordinates', '[<numbers>]' FROM f
+  UNION ALL SELECT k, 'status.powerSources[0].type', CASE WHEN s_suppkey % 3 = 0 THEN '"UNK"' ELSE '"Lithium"' END FROM s
+  UNION ALL SELECT k, 'status.powerSources[0].percentage', CAST(s_suppkey % 100 AS VARCHAR) || '.0' FROM s WHERE s_suppkey % 5 <> 0
+  UNION ALL SELECT k, 'status.powerSources[0].level', '"ok"' FROM s
+  UNION ALL SELECT k, 'status.model', '"X-1"' FROM s
+  UNION ALL SELECT k, 'status.lastUpdate', '"2024-01-20T10:00:00Z"' FROM s WHERE s_suppkey % 7 <> 0
+  UNION ALL SELECT k, 'subscriptions[0].plan.name', '"Basic"' FROM s
+  UNION ALL SELECT k, 'subscriptions[0].plan.photoCountPerMonth', '1000' FROM s
+  UNION ALL SELECT k, 'subscriptions[0].photoCount', CAST(s_suppkey * 3 % 900 AS VARCHAR) FROM s
+  UNION ALL SELECT k, 'subscriptions[0].photoLimit', '250' FROM s WHERE s_suppkey % 4 <> 0
+  UNION ALL SELECT k, 'link.heartbeat', '"2024-01-19 08:00:00"' FROM s WHERE s_suppkey % 7 = 0)
+SELECT k AS camera_id, path, shown FROM leaf""")
+def document_redaction_leaves(b):
+    """Every leaf of every document as it is shown."""
+    leaves = documents.leaf_table(camera_documents(b), "camera_id")
+    return leaves.select("camera_id", "path", documents.redacted(F.col("path"), F.col("value")).alias("shown"))
+
+
 def photo_documents(b):
     e = F.col("event_id")
     iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
