@@ -288,7 +288,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with only the smallest doc_id of each group of near copies, once.
 
     Near copies share at least four fifths of their five-word shingles (`nearcopies`); the three
-    words and three bits of `near_duplicates` miss an eighth of them. Rows without doc_id cannot
+    words and three bits of `near_duplicates` miss most that are not equal. Rows without doc_id cannot
     be named in a group and all stay.
     """
     kept = nearcopies.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
