@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices that hold at most `size` bytes of a text column, or one row."""
+    for part in slices(batches):
+        cost = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(cost.tolist()):
+            if i > start and held + n > size:
+                yield part.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if part.num_rows:
+            yield part.slice(start)
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
     """Apply a function of Arrow slices; `make` runs once a task and returns the function."""
     def run(batches):

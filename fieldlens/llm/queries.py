@@ -123,3 +123,29 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""
     from fieldlens.llm import topk
     return topk.top_k(read_table(spark, folder, "embeddings"))
+
+
+@query("op12_importance_resampling", r"""
+    WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                     lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    df AS (SELECT row, unnest(w) AS word FROM d),
+    bf AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+    v AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(word), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+              lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+          FROM (SELECT word FROM df UNION SELECT word FROM bf), crc),
+    s AS (SELECT bucket, count(*) AS n FROM df JOIN v USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS n FROM bf JOIN v USING (word) GROUP BY bucket),
+    g AS (SELECT b.bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE)
+                                                / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE))) AS BIGINT) AS gain
+          FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+    w AS (SELECT row, CAST(sum(gain) AS BIGINT) AS weight FROM df JOIN v USING (word) JOIN g USING (bucket) GROUP BY row),
+    x AS (SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+          FROM d LEFT JOIN w USING (row)),
+    r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM x)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100 THEN place END AS rank FROM r""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, drawn by likeness of their words to the benchmark's."""
+    from fieldlens.llm import resample
+    return resample.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
