@@ -149,3 +149,25 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of the documents, drawn by likeness of their words to the benchmark's."""
     from fieldlens.llm import resample
     return resample.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query("op11_hard_negatives", """
+    WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label AS label, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+    p AS (SELECT anchor_id, own, id AS positive_id, score AS positive_score FROM s WHERE label = own
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    n AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+                 CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+          FROM p JOIN s USING (anchor_id, own) WHERE label <> own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has its label moved by one."""
+    from pyspark.sql import functions as F
+
+    from fieldlens.llm import hardneg
+    rows = read_table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", moved))
