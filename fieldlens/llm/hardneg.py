@@ -29,7 +29,7 @@ from fieldlens.llm.common import slices, stored
 
 #: Split points and members of a leaf, at most, in a block's tree.
 SPLITS, LEAF = 16, 96
-#: Cells of the root at most, rows for each cell at least, and vectors they are chosen from.
+#: Cells of the root at most, rows for each cell at least, and vectors they are chosen from (on average).
 CELLS, CELL_ROWS, SAMPLE = 64, 2048, 2048
 #: Rows of a block: at most, and at least if there are enough (on average).
 BLOCK, LEAST_BLOCK = 4096, 512
@@ -207,7 +207,7 @@ class Root:
     def __init__(self, members: DataFrame, rows: int, block: int | None) -> None:
         spark = members.sparkSession
         self.top = float(members.agg(F.max("norm")).first()[0] or 0.0)
-        sample = [r.vec for r in members.orderBy(F.xxhash64("vec", "vec_id")).limit(SAMPLE).select("vec").collect()]
+        sample = [r.vec for r in members.sample(min(1.0, SAMPLE / rows), seed=1).select("vec").collect()] or [members.first().vec]
         vecs = np.frombuffer(b"".join(sample), "<i8").reshape(len(sample), -1)
         every = Lifted(vecs, self.top)
         self.splits = every.take(np.array(spread_points(every.dots(every), max(1, min(CELLS, rows // CELL_ROWS)))))

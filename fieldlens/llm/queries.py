@@ -171,3 +171,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.hard_negatives(rows.withColumn("label", moved))
+
+
+@query("op13_document_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    from fieldlens.llm import fingerprints
+    return fingerprints.edited_likeness(read_table(spark, folder, "documents"))
