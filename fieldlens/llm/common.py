@@ -50,6 +50,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """From now on no Arrow batch of the session holds more than `size` of rows, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices that hold at most `size` bytes of a text column, or one row."""
     for part in slices(batches):

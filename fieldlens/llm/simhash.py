@@ -285,12 +285,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with only the smallest doc_id of each group of near copies, once.
+    """docs with one row of each group of near copies: that of its smallest doc_id.
 
-    Near copies share at least four fifths of their five-word shingles (`nearcopies`); the three
-    words and three bits of `near_duplicates` miss most that are not equal. Rows without doc_id cannot
-    be named in a group and all stay.
+    Near copies share at least four fifths of their five-word shingles; the three words and three
+    bits of `near_duplicates` miss most that are not equal. `nearcopies` says which row stays where
+    ids or rows repeat.
     """
-    kept = nearcopies.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return nearcopies.keep_one(docs)

@@ -11,8 +11,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from fieldlens.llm import crfpii, langmix
 from fieldlens.llm.queries import QUERIES, tokenizer
-from fieldlens.llm.simhash import text_fingerprint
 from test_decontam import brute
+from test_nearcopies import slow_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,16 +25,8 @@ def test_run_equals_brute_force(spark):
     kept = [i for i, v, n in zip(rows, value, size) if n > 0 and -n * np.log(langmix.BUCKETS) - v <= langmix.PENALTY * np.log(n + 1)]
     assert any(re.search(r"[^\W\d_]", rows[i].text) for i in kept)
 
-    prints = np.array([text_fingerprint(rows[i].text) for i in kept], np.uint64)
-    label = np.array(kept)
-    while True:
-        old = label.copy()
-        for p in prints:
-            near = np.bitwise_count(prints ^ p) <= 3
-            label[near] = label[near].min()
-        if (old == label).all():
-            break
-    kept = [i for i, x in zip(kept, label) if i == x]
+    groups = slow_groups([(i, rows[i].text) for i in kept])
+    kept = [i for i in kept if groups[i] == i]
 
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     words = {i: set(re.findall(r"[^\W_]+", t.lower())) for i, t in items}
