@@ -7,6 +7,7 @@ import gzip
 import hashlib
 
 import compare
+import pytest
 from fieldlens.llm import warc
 from fieldlens.llm.common import shared_folder
 from fieldlens.llm.queries import QUERIES, SQL
@@ -65,3 +66,11 @@ def test_query_equals_sql(spark):
     cur = compare.duck(folder).execute(SQL["op2_warc_revisits"])
     want = compare.normal([d[0] for d in cur.description], cur.fetchall())
     assert compare.normal(got.columns, got.collect()) == want
+
+
+def test_cut_archives_are_an_error():
+    record = warc.response("<r>", 1, "u", b"body of it", "D") + warc.END
+    for cut in (5, len(record) - 9):
+        with pytest.raises(ValueError, match="ends within a record"):
+            list(warc.parse([("a", record[:cut].removesuffix(warc.END))]))
+    assert len(list(warc.parse([("a", x) for x in record.split(warc.END)[:-1]] + [("b", x) for x in record.split(warc.END)[:-1]]))) == 2
