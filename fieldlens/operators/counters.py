@@ -81,6 +81,44 @@ def counter_gaps(photos: DataFrame, offsets: DataFrame | None = None) -> DataFra
                         (F.col("b.n") - F.col("a.n") - 1).alias("missing"))
 
 
+def live_holes(photos: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Holes of photos(camera_id, taken_at, n) after carried(camera_id, last_n, top), and what to carry on.
+
+    Each row is (camera_id, after_n, before_n, missing): a counter, and the highest of its run before
+    it. Photos are ordered inside their camera-hour; runs that cross hours, and the carried row of a
+    camera, meet in tables of a row an hour and run.
+    """
+    rows = (photos.where(F.col("n").isNotNull() & F.col("taken_at").isNotNull())
+            .select(F.col("camera_id").cast("long"), F.date_trunc("hour", "taken_at").alias("chunk"), "taken_at", F.col("n").cast("long")))
+    hour = W.partitionBy("camera_id", "chunk").orderBy("taken_at", "n")
+    rows = cut_lineage(rows.withColumn("prev", F.lag("n").over(hour)))
+    order = F.struct("taken_at", "n")
+    chunks = rows.groupBy("camera_id", "chunk").agg(F.min_by("n", order).alias("first_n"), F.max_by("n", order).alias("last_n"))
+    by_camera = W.partitionBy("camera_id").orderBy("chunk")
+    edge = (chunks.withColumn("prev_n", F.lag("last_n").over(by_camera)).join(carried.select("camera_id", F.col("last_n").alias("old_n")), "camera_id", "left")
+            .select("camera_id", "chunk", "last_n", F.coalesce(F.col("first_n") < F.coalesce("prev_n", "old_n") - COUNTER_RESET_DROP, F.lit(False)).cast("int").alias("edge")))
+    reset = F.coalesce(F.col("n") < F.col("prev") - COUNTER_RESET_DROP, F.lit(False)).cast("int")
+    local = rows.withColumn("local", F.sum(reset).over(hour.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy("camera_id", "chunk", "local").orderBy("taken_at", "n").rowsBetween(W.unboundedPreceding, -1)
+    local = cut_lineage(local.withColumn("inside", F.max("n").over(run)))
+
+    runs = local.groupBy("camera_id", "chunk", "local").agg(F.max("n").alias("most"))
+    inner = runs.groupBy("camera_id", "chunk").agg(F.max("local").alias("inner")).join(edge, ["camera_id", "chunk"])
+    before = F.coalesce(F.sum(F.col("inner") + F.col("edge")).over(by_camera.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("edge")
+    runs = runs.join(inner.select("camera_id", "chunk", before.alias("offset")), ["camera_id", "chunk"]).withColumn("epoch", F.col("offset") + F.col("local"))
+    old = carried.select("camera_id", F.lit(None).cast("timestamp").alias("chunk"), F.lit(0).cast("long").alias("local"), F.col("top").alias("most"),
+                         F.lit(0).cast("long").alias("epoch"))
+    in_epoch = W.partitionBy("camera_id", "epoch").orderBy(F.col("chunk").asc_nulls_first(), "local").rowsBetween(W.unboundedPreceding, -1)
+    runs = cut_lineage(runs.select("camera_id", "chunk", "local", "most", "epoch").unionByName(old).withColumn("handed", F.max("most").over(in_epoch)))
+    top = F.greatest("inside", "handed")
+    holes = (local.join(runs.select("camera_id", "chunk", "local", "handed"), ["camera_id", "chunk", "local"])
+             .select("camera_id", top.alias("after_n"), F.col("n").alias("before_n")).where(F.col("before_n") > F.col("after_n") + 1)
+             .withColumn("missing", F.col("before_n") - F.col("after_n") - 1))
+    last = chunks.groupBy("camera_id").agg(F.max_by("last_n", "chunk").alias("last_n"))
+    tops = runs.groupBy("camera_id").agg(F.max_by(F.greatest("most", "handed"), F.struct("epoch", F.coalesce("chunk", F.lit("0001-01-01").cast("timestamp")), "local")).alias("top"))
+    return holes, last.join(tops, "camera_id").select("camera_id", "last_n", "top")
+
+
 def gap_summary(photos: DataFrame, now: Column) -> DataFrame:
     """Per camera: counted, skipped, resets, missing, recent missing, level, newest hole."""
     base = photos.groupBy("camera_id").agg(

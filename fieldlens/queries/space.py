@@ -271,6 +271,35 @@ def nearest_access(b):
 
 # ---- walked tracks ----------------------------------------------------------------------
 
+table_sql("fix", """SELECT user_id AS track_id, event_id AS seq, epoch_us(ts) / 1000.0e0 AS t_ms,
+  44e0 + CAST(event_id % 500 AS DOUBLE) * 0.0002e0 + CASE WHEN event_id % 23 = 0 THEN 1e0 ELSE 0e0 END AS lat,
+  -90e0 + CAST(event_id * 7 % 11 AS DOUBLE) * 0.00002e0 AS lng,
+  CASE WHEN event_id % 31 <> 0 THEN CAST(event_id % 60 + 3 AS DOUBLE) END AS acc FROM events""")
+table_sql("track_fate", """WITH RECURSIVE good AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k FROM fix WHERE acc <= 50),
+  pass AS (
+    SELECT track_id, k, seq, 'kept' AS fate, t_ms AS s_t, lat AS s_lat, lng AS s_lng, lat AS m_lat, lng AS m_lng FROM good WHERE k = 1
+    UNION ALL
+    SELECT track_id, k, seq, CASE WHEN fast THEN 'speed' WHEN far THEN 'kept' ELSE 'stationary' END AS fate,
+      CASE WHEN fast THEN s_t ELSE t_ms END, CASE WHEN fast THEN s_lat ELSE lat END, CASE WHEN fast THEN s_lng ELSE lng END,
+      CASE WHEN NOT fast AND far THEN lat ELSE m_lat END, CASE WHEN NOT fast AND far THEN lng ELSE m_lng END
+    FROM (SELECT g.*, p.s_t, p.s_lat, p.s_lng, p.m_lat, p.m_lng,
+        g.t_ms > p.s_t AND 2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians(g.lat - p.s_lat) / 2), 2)
+          + cos(radians(p.s_lat)) * cos(radians(g.lat)) * pow(sin(radians(g.lng - p.s_lng) / 2), 2)))) / ((g.t_ms - p.s_t) / 1000e0) > 3 AS fast,
+        2 * 6371000e0 * asin(least(1e0, sqrt(pow(sin(radians(g.lat - p.m_lat) / 2), 2)
+          + cos(radians(p.m_lat)) * cos(radians(g.lat)) * pow(sin(radians(g.lng - p.m_lng) / 2), 2)))) >= greatest(4e0, 2 * g.acc) AS far
+      FROM pass p JOIN good g ON g.track_id = p.track_id AND g.k = p.k + 1))
+  SELECT track_id, seq, fate FROM pass UNION ALL SELECT track_id, seq, 'accuracy' AS fate FROM fix WHERE acc IS NULL OR acc > 50""", ("fix",))
+
+
+@query("track_gate_fates", needs=("track_fate",), sql="""
+SELECT f.track_id, f.seq, CASE WHEN f.fate = 'stationary' AND f.seq = e.seq THEN 'kept' ELSE f.fate END AS fate
+FROM track_fate f JOIN (SELECT track_id, max(seq) AS seq FROM track_fate WHERE fate IN ('kept', 'stationary') GROUP BY 1) e ON e.track_id = f.track_id
+WHERE f.fate <> 'accuracy'""")
+def track_gate_fates(b):
+    """What the speed and step gates make of every usable fix."""
+    return tracks.gate_fixes(b.fixes()).select("track_id", "seq", "fate")
+
+
 @query("track_cleaning")
 def track_cleaning(b):
     return tracks.build_tracks(b.fixes())

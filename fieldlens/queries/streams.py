@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import fieldlens.queries.sequences  # noqa: F401
+import fieldlens.queries.space  # noqa: F401
 import fieldlens.queries.statistics  # noqa: F401
 from fieldlens.functions.num import round6
 from fieldlens.operators import exposure
-from fieldlens.queries.registry import query
+from fieldlens.queries.registry import query, table_sql
 from fieldlens.session import ensure_checkpoint_dir
 from fieldlens.streaming import jobs
+from fieldlens.streaming.ordered import answers
 
 
 def _stream(b, table: str) -> DataFrame:
@@ -90,20 +92,48 @@ def stream_camera_days(b):
     return jobs.current_camera_days(b.spark, f"{base}/days").select("camera_id", F.col("day").cast("string").alias("day"), "state", "photos")
 
 
-@query("stream_counter_holes", needs=("epoched",), sql="""
-SELECT camera_id, after_n, n AS before_n, n - after_n - 1 AS missing FROM (SELECT *, lag(n) OVER (PARTITION BY camera_id, epoch ORDER BY us, n) AS after_n FROM epoched)
-WHERE n > after_n + 1""")
+def _arrivals(b, table: str, at: str, parts: int = 4) -> tuple[DataFrame, object]:
+    """A table as it would land: by quarters of its time span one after the other, each in several files in any order."""
+    ensure_checkpoint_dir(b.spark)
+    folder = f"{b.spark.sparkContext.getCheckpointDir()}/landed-{uuid.uuid4().hex}"
+    rows = b.table(table)
+    lo, hi = rows.agg(F.min(F.unix_micros(F.col(at).cast("timestamp"))), F.max(F.unix_micros(F.col(at).cast("timestamp")))).first()
+    span = ((hi or 0) - (lo or 0)) // parts + 1
+    quarter = F.floor((F.unix_micros(F.col(at).cast("timestamp")) - F.lit(lo or 0)) / span)
+    for k in range(parts):
+        rows.where(quarter == k).repartition(3, F.xxhash64(at)).write.mode("append").parquet(folder)
+    stream = b.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return stream, span // 1_000_000 + 1
+
+
+def _drain_ordered(b, rows: DataFrame, writer, schema: str) -> DataFrame:
+    q = (rows.writeStream.foreachBatch(writer).option("checkpointLocation", f"{writer.target}-state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    writer.finish(b.spark, rows.schema)
+    return answers(b.spark, writer.target, schema)
+
+
+def _target(b) -> str:
+    ensure_checkpoint_dir(b.spark)
+    return f"{b.spark.sparkContext.getCheckpointDir()}/ordered-{uuid.uuid4().hex}"
+
+
+table_sql("live_hole", """SELECT camera_id, max(n) OVER (PARTITION BY camera_id, epoch ORDER BY us, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_n, n AS before_n
+  FROM epoched""", ("epoched",))
+
+
+@query("stream_counter_holes", needs=("live_hole",), sql="""
+SELECT camera_id, after_n, before_n, before_n - after_n - 1 AS missing FROM live_hole WHERE before_n > after_n + 1""")
 def stream_counter_holes(b):
-    numbered = _photos(b).select("camera_id", "taken_at", F.when(F.col("event_id") % 17 != 0, F.col("event_id") % 3000).alias("n"))
-    return _drain(b, jobs.counter_monitor(numbered))
+    """The events as landing files, several triggers, files of a quarter in any order."""
+    events, late = _arrivals(b, "events", "ts")
+    numbered = events.select((F.col("user_id") % 5).alias("camera_id"), F.col("ts").cast("timestamp").alias("taken_at"),
+                             F.when(F.col("event_id") % 17 != 0, F.col("event_id") % 3000).alias("n"))
+    return _drain_ordered(b, numbered, jobs.counter_monitor(_target(b), late), jobs.COUNTER_HOLES)
 
 
-@query("stream_live_tracks")
+@query("stream_live_tracks", needs=("track_fate",), sql="SELECT track_id, seq, fate FROM track_fate")
 def stream_live_tracks(b):
-    e = F.col("event_id")
-    fixes = _stream(b, "events").select(
-        F.col("user_id").alias("track_id"), e.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("t_ms"),
-        (F.lit(44.0) + (e % 500).cast("double") * 0.0002 + F.when(e % 23 == 0, 1.0).otherwise(0.0)).alias("lat"),
-        (F.lit(-90.0) + (e * 7 % 11).cast("double") * 0.00002).alias("lng"),
-        F.when(e % 31 != 0, (e % 60 + 3).cast("double")).alias("acc"))
-    return _drain(b, jobs.live_track(fixes))
+    events, late = _arrivals(b, "events", "ts")
+    fixes = b.fixes(events).withColumn("at", F.timestamp_micros((F.col("t_ms") * 1000).cast("long")))
+    return _drain_ordered(b, fixes, jobs.live_track(_target(b), late), jobs.TRACK_FATES).select("track_id", "seq", "fate")

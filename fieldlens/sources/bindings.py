@@ -270,10 +270,10 @@ class Bindings:
         return self.table("customer").select(k.alias("route_id"), F.when(k % 10 != 0, (k * 37 % 360).cast("double"))
                                              .alias("wind_from_deg"))
 
-    def fixes(self) -> DataFrame:
+    def fixes(self, events: DataFrame | None = None) -> DataFrame:
         """Recorded walks: one track per user, with poor fixes and wild jumps in it."""
         e = F.col("event_id")
-        return self.table("events").select(
+        return (self.table("events") if events is None else events).select(
             F.col("user_id").alias("track_id"), e.alias("seq"),
             (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("t_ms"),
             (F.lit(44.0) + (e % 500).cast("double") * 0.0002 + F.when(e % 23 == 0, 1.0).otherwise(0.0)).alias("lat"),

@@ -1,28 +1,26 @@
 """Continuous forms of the batch jobs.
 
 Sources are any streaming frame with the named columns. Stateful jobs keep bounded state
-per key: an id until the watermark passes, an open session, a few numbers per camera.
-What a key gets in one trigger is put in order before its state is touched, so answers do not
-depend on how rows are dealt into Arrow batches; it is held as a few numbers a row, and the
-source's files per trigger bound it.
+per key: an id until the watermark passes, an open session, one carried row per camera or track
+(`ordered`), whose rows are put in order by Spark before the state is touched, so answers do not
+depend on how rows are dealt into files, triggers or Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldlens.constants import (COUNTER_RESET_DROP, MAX_ACCURACY_M, MAX_SPEED_MPS, MIN_EPSILON_M,
-                                 MIN_HOURS, VISIT_GAP_SECONDS)
+from fieldlens.constants import MIN_HOURS, VISIT_GAP_SECONDS
+from fieldlens.operators import counters, gates
 from fieldlens.operators.rates import rate_per_100
-from fieldlens.operators.tracks import _metres
+from fieldlens.operators.tracks import usable_fixes
+from fieldlens.session import cut_lineage
 from fieldlens.sources.store import merge_camera_days
+from fieldlens.streaming.ordered import OrderedBatches
 
 
 def landed_photos(spark: SparkSession, folder: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -91,56 +89,35 @@ def hourly_rates(counts: DataFrame, live_hours: DataFrame, min_hours: int = MIN_
         "rate", rate_per_100(F.col("hits"), F.col("hours_to_date"), min_hours))
 
 
-def live_track(fixes: DataFrame) -> DataFrame:
-    """Fixes of running walks with their fate: position, accuracy, speed and step gates with state per track."""
-    out = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double, fate string"
-    state = "t_ms double, lat double, lng double, m_lat double, m_lng double"
-
-    def run(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(st.get) if st.exists else None
-        whole = pd.concat([b[["seq", "t_ms", "lat", "lng", "acc"]] for b in batches]).sort_values("seq", kind="stable")
-        fates = []
-        placed = (whole["t_ms"].notna() & (whole["lat"].abs() <= 90) & (whole["lng"].abs() <= 180)).tolist()
-        for (t, lat, lng, acc), known in zip(whole[["t_ms", "lat", "lng", "acc"]].itertuples(index=False, name=None), placed):
-            if not known:
-                fate = "unusable"
-            elif pd.isna(acc) or acc > MAX_ACCURACY_M:
-                fate = "accuracy"
-            elif last is not None and t > last[0] and _metres(last[1], last[2], lat, lng) / ((t - last[0]) / 1000.0) > MAX_SPEED_MPS:
-                fate = "speed"
-            else:
-                far = last is None or _metres(last[3], last[4], lat, lng) >= max(MIN_EPSILON_M, 2 * acc)
-                fate = "kept" if far else "stationary"
-                last = [t, lat, lng, *((lat, lng) if far else (last[3], last[4]))]
-            fates.append(fate)
-        whole.insert(0, "track_id", int(key[0]))
-        yield whole.assign(fate=fates)
-        if last is not None:
-            st.update(tuple(float(x) for x in last))
-
-    return fixes.groupBy("track_id").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def counter_monitor(photos: DataFrame) -> DataFrame:
-    """Holes as they appear: photos(camera_id, taken_at, n) against the highest counter so far.
-
-    A fall of more than the reset limit starts a new run; a smaller step back is a late photo.
+TRACK_FATES = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double, fate string"
+FIXES = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double, at timestamp"
+
+
+def live_track(target: str, late_seconds: int = 0) -> OrderedBatches:
+    """Fates of running walks' fixes: position, accuracy, speed and step gates, the last fix of each track carried.
+
+    A foreachBatch writer for fixes(track_id, seq, t_ms, lat, lng, acc, at): `at` is when a fix was
+    recorded and says how long it may be late. Fixes of a trigger are gated in order of seq by `gates`.
+    Unlike the batch, a stream does not know a walk's last fix, so none is kept for being it.
+    """
+    def step(rows: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        tagged = cut_lineage(usable_fixes(rows).withColumn("fate", F.when(F.col("t_ms").isNull(), "unusable").otherwise(F.col("fate"))))
+        fates, last = gates.gated(tagged.where("fate = 'fix'").drop("fate", "at"), carried)
+        return tagged.where("fate != 'fix'").drop("at").unionByName(fates), last
+    return OrderedBatches(target, step, ["track_id"], "at", gates.STATE_SCHEMA, late_seconds)
+
+
+COUNTER_HOLES = "camera_id bigint, after_n bigint, before_n bigint, missing bigint"
+COUNTER_CARRY = "camera_id bigint, last_n bigint, top bigint"
+
+
+def counter_monitor(target: str, late_seconds: int = 0) -> OrderedBatches:
+    """Holes as they appear: a counter more than one above the highest of its run so far.
+
+    A foreachBatch writer for photos(camera_id, taken_at, n). A fall of more than the reset limit
+    below the photo before starts a new run; a smaller step back is a late photo. Photos are ordered
+    by camera-hour; between hours and triggers goes one row a camera.
     """
-    out = "camera_id bigint, after_n bigint, before_n bigint, missing bigint"
-
-    def run(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        top = st.get[0] if st.exists else None
-        held = [b[["taken_at", "n"]].dropna() for b in batches]
-        at = np.concatenate([b["taken_at"].to_numpy("datetime64[us]") for b in held])
-        counters = np.concatenate([b["n"].to_numpy(np.int64) for b in held])
-        rows = []
-        for n in counters[np.lexsort((counters, at))].tolist():
-            if top is not None and n > top + 1:
-                rows.append((int(key[0]), int(top), int(n), int(n - top - 1)))
-            if top is None or n > top or n < top - COUNTER_RESET_DROP:
-                top = n
-        yield pd.DataFrame(rows, columns=["camera_id", "after_n", "before_n", "missing"])
-        if top is not None:
-            st.update((int(top),))
-
-    return photos.groupBy("camera_id").applyInPandasWithState(run, out, "top bigint", "append", GroupStateTimeout.NoTimeout)
+    def step(rows: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return counters.live_holes(rows, carried)
+    return OrderedBatches(target, step, ["camera_id"], "taken_at", COUNTER_CARRY, late_seconds)

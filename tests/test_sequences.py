@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import chunked, counters, crops, exposure, frames, journal, orderstat, randomise, tracks
+from fieldlens.operators import gates, chunked, counters, crops, exposure, frames, journal, orderstat, randomise, tracks
 from fieldlens.operators.visits import assign_visits, carry_reviews, grouping_counts, visits
 
 T0 = dt.datetime(2024, 1, 1)
@@ -268,11 +268,11 @@ def test_gates_and_simplification_against_a_sequential_walk(spark):
     for _, s, tm, la, ln, acc in rows:
         if acc > 50:
             continue
-        if last and tracks._metres(last[1], last[2], la, ln) / ((tm - last[0]) / 1000) > 3:
+        if last and gates.metres(last[1], last[2], la, ln) / ((tm - last[0]) / 1000) > 3:
             want[s] = "speed"
             continue
         last = (tm, la, ln)
-        if moved is None or tracks._metres(*moved, la, ln) >= max(4, 2 * acc):
+        if moved is None or gates.metres(*moved, la, ln) >= max(4, 2 * acc):
             moved, want[s] = (la, ln), "kept"
         else:
             want[s] = "stationary"
@@ -298,7 +298,40 @@ def test_gates_and_simplification_against_a_sequential_walk(spark):
     line = recurse(0, len(kept) - 1) | {0, len(kept) - 1}
     pts = spark.createDataFrame([(1, *k) for k in kept], "track_id bigint, seq bigint, lat double, lng double")
     eps = spark.createDataFrame([(1, 4.0)], "track_id bigint, eps double")
-    assert {r.seq for r in tracks.simplify(pts, eps).collect()} == {kept[i][0] for i in line}
+    for few in (1, 6, 100):                     # splits in rounds only, some rounds, finished at once
+        assert {r.seq for r in tracks.simplify(pts, eps, few).collect()} == {kept[i][0] for i in line}
+
+
+def sequential_gates(rows):
+    """{(track, seq): fate} and each track's last state, one fix after the other."""
+    states, fates = {}, {}
+    for track, seq, t, lat, lng, acc in sorted(rows, key=lambda r: r[:2]):
+        fates[track, seq], states[track] = gates.passed(states.get(track), t, lat, lng, acc)
+    return fates, states
+
+
+@pytest.mark.parametrize("chunk", [3, 10, 64, 1000])
+def test_chunks_of_a_walk_agree_with_one_pass(spark, chunk):
+    """Standing still for long, jumps at chunk borders and a walk that is too fast throughout: states meet late or never."""
+    rng = random.Random(chunk)
+    rows = []
+    for track in range(1, 5):
+        lat, t = 44.0, 0
+        for i in range(300):
+            t += rng.choice([0, 1000, 20_000])
+            lat += {1: rng.choice([0.0, 0.00002, 0.0002]), 2: 0.0, 3: 0.01, 4: 0.00001}[track]
+            wild = 0.5 if track == 1 and i % 17 in (5, 6) else 0.0
+            rows.append((track, i * 3, None if i % 29 == 7 else float(t), lat + wild, -90.0 + rng.uniform(0, 0.00003), rng.choice([3.0, 8.0, 30.0])))
+    good = spark.createDataFrame(rows, "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double")
+    fates, last = gates.gated(good, chunk=chunk)
+    want, states = sequential_gates(rows)
+    assert {(r.track_id, r.seq): r.fate for r in fates.collect()} == want
+    assert {r.track_id: tuple(r)[1:] for r in last.collect()} == states
+
+
+def test_gates_of_no_fixes(spark):
+    empty = spark.createDataFrame([], "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double")
+    assert tracks.gate_fixes(empty).collect() == [] and tracks.build_tracks(empty).collect() == []
 
 
 def test_track_quality(spark):

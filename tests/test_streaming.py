@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.operators.visits import visits
 from fieldlens.streaming import jobs
+from fieldlens.streaming.ordered import answers
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "photo_id bigint, camera_id bigint, taken_at timestamp"
@@ -55,25 +56,86 @@ def test_camera_day_upsert_merges_and_survives_a_replay(spark, tmp_path):
     assert got == {("2024-01-01", "silent", 5), ("2024-01-02", "live", 7)}
 
 
+COUNTED = "camera_id bigint, n bigint, taken_at timestamp"
+FIXES = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double, at timestamp"
+
+
+def run_ordered(spark, folder, schema, writer, files=1, state="state"):
+    """Drain what landed in a folder, a few files a trigger, through a foreachBatch writer."""
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(str(folder)).writeStream.foreachBatch(writer)
+         .option("checkpointLocation", f"{writer.target}-{state}").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def highest_before(rows, drop=100):
+    """Holes of (camera, n, at) rows, one photo after the other."""
+    out, state = [], {}
+    for camera, n, at in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        prev, top = state.get(camera, (None, None))
+        if prev is not None and n < prev - drop:
+            top = None
+        if top is not None and n > top + 1:
+            out.append((camera, top, n, n - top - 1))
+        state[camera] = (n, n if top is None else max(n, top))
+    return sorted(out)
+
+
 def test_counter_monitor_reports_holes_and_tolerates_late_photos(spark, tmp_path):
-    rows = [(1, 1, 10, 0), (2, 1, 11, 5), (3, 1, 15, 10), (4, 1, 13, 11), (5, 1, 16, 12), (6, 1, 2, 20), (7, 1, 3, 30)]
-    schema = "photo_id bigint, camera_id bigint, n bigint, s int"
-    spark.createDataFrame([(a, b, n, s) for a, b, n, s in rows], schema).withColumn(
-        "taken_at", F.timestamp_seconds(F.lit(1704067200) + F.col("s"))).drop("s").coalesce(1).write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema("photo_id bigint, camera_id bigint, n bigint, taken_at timestamp").parquet(str(tmp_path / "in"))
-    # 2 is 14 below the top of 16: inside the tolerance, so no new run starts
-    got = {(r.after_n, r.before_n, r.missing) for r in drain(spark, jobs.counter_monitor(src), tmp_path / "c").collect()}
-    assert got == {(11, 15, 3)}
+    rows = [(1, 10, 0), (1, 11, 5), (1, 15, 10), (1, 13, 11), (1, 16, 12), (1, 2, 20), (1, 3, 30)]
+    spark.createDataFrame([(c, n, T0 + dt.timedelta(seconds=s)) for c, n, s in rows], COUNTED).coalesce(1).write.parquet(str(tmp_path / "in"))
+    # 2 is 14 below the photo before: inside the tolerance, so no new run starts
+    run_ordered(spark, tmp_path / "in", COUNTED, jobs.counter_monitor(str(tmp_path / "t")))
+    assert [tuple(r) for r in answers(spark, str(tmp_path / "t"), jobs.COUNTER_HOLES).collect()] == [(1, 11, 15, 3)]
+
+
+def test_counters_do_not_depend_on_files_triggers_or_hours(spark, tmp_path):
+    import random
+    draw = random.Random(4)
+    rows, n, at = [], {c: 5 for c in range(3)}, T0
+    for _ in range(600):
+        c = draw.randrange(3)
+        at += dt.timedelta(seconds=draw.choice([1, 60, 900, 4000]))
+        n[c] += draw.choice([1, 1, 1, 2, 5, -3, -250 if n[c] > 300 else 1])
+        rows.append((c, n[c], at))
+    want = highest_before(rows)
+    assert len(want) > 50
+    half = len(rows) // 2
+    for part in (rows[:half], rows[half:]):                   # two arrivals in time order, each in files of any order
+        shuffled = draw.sample(part, len(part))
+        spark.createDataFrame([*shuffled, (None, 1, None), (1, None, at)], COUNTED).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+    late = int((rows[-1][2] - T0).total_seconds())
+    for files in (1, 2, 100):
+        writer = jobs.counter_monitor(str(tmp_path / f"t{files}"), late)
+        run_ordered(spark, tmp_path / "in", COUNTED, writer, files)
+        writer.finish(spark, spark.createDataFrame([], COUNTED).schema)
+        assert sorted(tuple(r) for r in answers(spark, writer.target, jobs.COUNTER_HOLES).collect()) == want
+
+
+def test_ordered_batches_survive_a_replay_and_a_broken_trigger(spark, tmp_path):
+    import pytest
+    writer = jobs.counter_monitor(str(tmp_path / "t"))
+    rows = lambda *ns: spark.createDataFrame([(1, n, T0 + dt.timedelta(seconds=n)) for n in ns], COUNTED)
+    writer(rows(1, 2, 5), 0)
+    writer(rows(9), 1)
+    writer(rows(9), 1)
+    whole = writer.step
+    writer.step = lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        writer(rows(10, 12), 2)
+    writer.step = whole
+    writer(rows(10, 12), 2)
+    assert sorted(tuple(r) for r in answers(spark, writer.target, jobs.COUNTER_HOLES).collect()) == [(1, 2, 5, 2), (1, 5, 9, 3), (1, 10, 12, 1)]
+    assert answers(spark, str(tmp_path / "nothing"), jobs.COUNTER_HOLES).collect() == []
 
 
 def test_live_track_keeps_state_between_batches(spark, tmp_path):
-    schema = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double"
     first = [(1, 0, 0.0, 44.0, -90.0, 3.0), (1, 1, 20000.0, 44.0003, -90.0, 3.0)]
     later = [(1, 2, 40000.0, 45.0, -90.0, 3.0), (1, 3, 60000.0, 44.0006, -90.0, 3.0), (1, 4, 80000.0, 44.0006, -90.0, 70.0)]
+    writer = jobs.live_track(str(tmp_path / "t"))
     for part in (first, later):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        out = drain(spark, jobs.live_track(src), tmp_path / "t")
+        spark.createDataFrame([(*r, T0 + dt.timedelta(seconds=r[1])) for r in part], FIXES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_ordered(spark, tmp_path / "in", FIXES, writer)
+    out = answers(spark, writer.target, jobs.TRACK_FATES)
     assert {r.seq: r.fate for r in out.collect()} == {0: "kept", 1: "kept", 2: "speed", 3: "kept", 4: "accuracy"}
 
 
@@ -86,46 +148,28 @@ def test_hourly_counts_and_rates(spark, tmp_path):
     assert {r.rate for r in jobs.hourly_rates(counts, live).collect()} == {50.0}
 
 
-def small_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-
-
-def test_counters_do_not_depend_on_arrow_batches(spark, tmp_path):
-    small_batches(spark)
-    try:
-        order = [7, 2, 11, 0, 5, 9, 1, 10, 3, 8, 4, 6]
-        rows = [(1, n + 1, T0 + dt.timedelta(seconds=n)) for n in order] + [(2, n + (n > 5), T0 + dt.timedelta(seconds=n)) for n in order]
-        spark.createDataFrame(rows, "camera_id bigint, n bigint, taken_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-        src = spark.readStream.schema("camera_id bigint, n bigint, taken_at timestamp").parquet(str(tmp_path / "in"))
-        got = {tuple(r) for r in drain(spark, jobs.counter_monitor(src), tmp_path / "c").collect()}
-        assert got == {(2, 5, 7, 1)}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
 def test_live_track_equals_the_batch_gates_in_any_order(spark, tmp_path):
     import random
 
     from fieldlens.operators.tracks import gate_fixes, usable_fixes
-    small_batches(spark)
-    try:
-        draw = random.Random(1)
-        rows = [(t, i, i * 15000.0, None if i % 13 == 0 else 44 + i * 0.0001 + (i % 11 == 0), 200.0 if i % 17 == 0 else -90.0, None if i % 7 == 0 else float(i % 60))
-                for t in (1, 2) for i in range(60)]
-        draw.shuffle(rows)
-        schema = "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double"
-        fixes = spark.createDataFrame(rows, schema)
-        fixes.coalesce(1).write.parquet(str(tmp_path / "in"))
-        out = drain(spark, jobs.live_track(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path / "t")
-        want = {(r.track_id, r.seq): r.fate for r in usable_fixes(fixes).collect()} | {(r.track_id, r.seq): r.fate for r in gate_fixes(fixes).collect()}
-        got = {(r.track_id, r.seq): r.fate for r in out.collect()}
-        for t in (1, 2):                        # the batch keeps a walk's last accepted fix; a stream does not know it is the last
-            end = max(k for k, f in want.items() if k[0] == t and f in ("kept", "stationary"))
-            assert want.pop(end) == "kept" and got.pop(end) in ("kept", "stationary")
-        assert got == want
-        assert set(want.values()) == {"unusable", "accuracy", "speed", "kept", "stationary"}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    draw = random.Random(1)
+    rows = [(t, i, i * 15000.0, None if i % 13 == 0 else 44 + i * 0.0001 + (i % 11 == 0), 200.0 if i % 17 == 0 else -90.0, None if i % 7 == 0 else float(i % 60),
+             T0 + dt.timedelta(seconds=15 * i)) for t in (1, 2) for i in range(60)]
+    draw.shuffle(rows)
+    fixes = spark.createDataFrame(rows, FIXES)
+    fixes.repartition(4).write.parquet(str(tmp_path / "in"))
+    writer = jobs.live_track(str(tmp_path / "t"), late_seconds=3600)
+    run_ordered(spark, tmp_path / "in", FIXES, writer)
+    writer.finish(spark, fixes.schema)
+    out = answers(spark, writer.target, jobs.TRACK_FATES)
+    fixes = fixes.drop("at")
+    want = {(r.track_id, r.seq): r.fate for r in usable_fixes(fixes).collect()} | {(r.track_id, r.seq): r.fate for r in gate_fixes(fixes).collect()}
+    got = {(r.track_id, r.seq): r.fate for r in out.collect()}
+    for t in (1, 2):                            # the batch keeps a walk's last accepted fix; a stream does not know it is the last
+        end = max(k for k, f in want.items() if k[0] == t and f in ("kept", "stationary"))
+        assert want.pop(end) == "kept" and got.pop(end) in ("kept", "stationary")
+    assert got == want
+    assert set(want.values()) == {"unusable", "accuracy", "speed", "kept", "stationary"}
 
 
 def test_camera_day_versions_grow_with_a_new_checkpoint(spark, tmp_path):
