@@ -173,11 +173,83 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, step: float) -> DataFra
         & F.col("lat").between(F.col("south"), F.col("north")))
 
 
+#: Slack in degrees of a cell's borders: far above rounding, far below any cell.
+CELL_SLACK = 1e-9
+
+
+def _ring_corners(rings: Column) -> Column:
+    """Every edge a-b of every ring with the corner before a and the one after b."""
+    def of(ring):
+        open_ = F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+        n = F.size(open_)
+        at = lambda i: F.element_at(open_, (F.pmod(i, n) + 1).cast("int"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+            at(i - 1).alias("before"), at(i).alias("a"), at(i + 1).alias("b"), at(i + 2).alias("after"))))
+    return F.flatten(F.filter(F.transform(rings, of), lambda x: x.isNotNull()))
+
+
+def polygon_cells(polygons: DataFrame, step: float) -> DataFrame:
+    """Cells that polygons(rings, ...) cover wholly or in part, each with what decides the points in it.
+
+    One row a polygon and cell: its columns but rings, cell, near, flips, base. A point of the cell is
+    inside if base, the near edges that lie east of it at its latitude, and the flips above it are
+    odd together. near holds the edges that touch the cell; all others of its row of cells lie
+    wholly to one side. Those to the east cross the latitude of a point once for every end above it,
+    and ends cancel where two of them meet, so all that is left of them is base, the ends above
+    the row, and flips, the ends where one meets a near edge. Corners are only compared, never
+    computed with, so the answer is that of testing every edge. A cell no edge touches has neither
+    and is there only if it is inside.
+    """
+    keys = [c for c in polygons.columns if c != "rings"]
+    rows = polygons.select(F.monotonically_increasing_id().alias("_poly"), F.struct(*keys).alias("_row"), _ring_corners(F.col("rings")).alias("corners"))
+    rows = rows.select("_poly", "_row", F.explode("corners").alias("e"))
+    low, high = F.least("e.a.lat", "e.b.lat"), F.greatest("e.a.lat", "e.b.lat")
+    bands = F.sequence(F.floor((low - CELL_SLACK) / step), F.floor((high + CELL_SLACK) / step))
+    rows = rows.select("_poly", "_row", "e", F.explode(bands).alias("y"))
+    south, north = F.col("y") * step - CELL_SLACK, (F.col("y") + 1) * step + CELL_SLACK
+
+    def reach(p, q):
+        """Least and greatest longitude of the edge p-q inside the row of cells."""
+        rise = q["lat"] - p["lat"]
+        at = lambda lat: F.when(rise == 0, p["lng"]).otherwise(p["lng"] + (q["lng"] - p["lng"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - p["lat"]) / rise)))
+        one, other = F.when(rise == 0, p["lng"]).otherwise(at(south)), F.when(rise == 0, q["lng"]).otherwise(at(north))
+        return F.floor((F.least(one, other) - CELL_SLACK) / step), F.floor((F.greatest(one, other) + CELL_SLACK) / step)
+    in_row = lambda p: (p["lat"] >= south) & (p["lat"] <= north)
+    e = F.col("e")
+    first, last = reach(e["a"], e["b"])
+    rows = rows.withColumns({"first": first, "last": last,
+                             "from_a": F.when(in_row(e["a"]), reach(e["before"], e["a"])[0]),       # where the edge that meets a begins, if a lies in the row
+                             "from_b": F.when(in_row(e["b"]), reach(e["b"], e["after"])[0]),
+                             "above": (e["a"]["lat"] > north).cast("int") + (e["b"]["lat"] > north).cast("int")})
+    rows = rows.withColumn("x", F.explode(F.sequence("first", "last")))
+    x = F.col("x")
+    flip = lambda end, start: F.when(start > x, e[end]["lat"])
+    cells = rows.groupBy("_poly", "y", "x").agg(
+        F.first("_row").alias("_row"), F.collect_list(F.struct(e["a"].alias("a"), e["b"].alias("b"))).alias("near"),
+        F.flatten(F.collect_list(F.array_compact(F.array(flip("a", F.col("from_a")), flip("b", F.col("from_b")))))).alias("flips"),
+        F.sum(F.when(F.col("first") == x, F.col("above")).otherwise(0)).alias("t"))
+    eastward = W.partitionBy("_poly", "y").orderBy(F.desc("x"))
+    cells = cells.withColumns({"base": F.coalesce(F.sum("t").over(eastward.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2,
+                               "next": F.lag("x").over(eastward)})
+    border = cells.select("_row.*", F.struct(F.col("x"), F.col("y")).alias("cell"), "near", "flips", F.col("base").cast("int").alias("base"))
+    none = F.lit(None)
+    whole = (cells.where((F.col("next") > x + 1) & (F.col("base") == 1))
+             .select("_row", "y", F.explode(F.sequence(x + 1, F.col("next") - 1)).alias("x"))
+             .select("_row.*", F.struct(F.col("x"), F.col("y")).alias("cell"), none.cast(border.schema["near"].dataType).alias("near"),
+                     none.cast("array<double>").alias("flips"), F.lit(1).alias("base")))
+    return border.unionByName(whole)
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
-    """Points joined to the polygons (`rings`) that contain them, even-odd rule."""
-    boxed = polygons.withColumns({"bounds": geo.ring_bounds(F.flatten("rings")),
-                                  "edges": geo.ring_edges(F.col("rings"))}).select(
-        *polygons.columns, "edges", "bounds.west", "bounds.south", "bounds.east", "bounds.north")
-    return (points_in_boxes(points, boxed, step)
-            .where(geo.edges_contain(F.col("edges"), F.col("lng"), F.col("lat")))
-            .drop("west", "south", "east", "north", "edges"))
+    """Points joined to the polygons (`rings`) that contain them, even-odd rule; all columns but rings.
+
+    A point meets the edges that touch its own cell only, and none in a cell that lies inside.
+    """
+    cells = polygon_cells(polygons, step)
+    lat, lng = F.col("lat"), F.col("lng")
+    east = lambda s: ((s["a"]["lat"] > lat) != (s["b"]["lat"] > lat)) & (
+        lng < (s["b"]["lng"] - s["a"]["lng"]) * (lat - s["a"]["lat"]) / (s["b"]["lat"] - s["a"]["lat"]) + s["a"]["lng"])
+    odd = F.col("base") + F.size(F.filter("near", east)) + F.size(F.filter("flips", lambda v: v > lat))
+    inside = F.when(F.col("near").isNull(), True).otherwise(odd % 2 == 1)
+    return (points.withColumn("cell", point_box_cell(lat, lng, step)).join(cells, "cell").where(inside)
+            .drop("cell", "near", "flips", "base"))

@@ -303,3 +303,49 @@ def test_contours_reach_the_top_of_great_relief(spark):
     assert step == 500
     levels = sorted({round(x.level * 3.280839895 / step) for x in raster.contour_segments(cells, steps).select("level").collect()})
     assert levels[-1] == int(4000 * 3.280839895 // step) and levels == list(range(levels[0], levels[-1] + 1))
+
+
+# ---- polygons by cells ------------------------------------------------------------------
+
+def even_odd(rings, lat, lng):
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            odd ^= ((ay > lat) != (by > lat)) and lng < (bx - ax) * (lat - ay) / (by - ay) + ax
+    return odd
+
+
+def odd_shapes():
+    """Rings on cell borders, with holes, islands, slivers, spikes, repeated corners, and one far wider than a cell."""
+    rng = random.Random(9)
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    star = [(5 + (2.5 if k % 2 else 0.4) * math.cos(k * math.pi / 9), 5 + (2.5 if k % 2 else 0.4) * math.sin(k * math.pi / 9)) for k in range(18)]
+    comb = [(0.0, 0.0)] + [p for k in range(12) for p in ((k * 0.5, 3.0), (k * 0.5 + 0.25, 0.1))] + [(6.0, 0.0)]
+    wild = [(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(40)]
+    return [[box(0, 0, 1, 1)], [box(0, 0, 8, 8), box(2, 2, 3, 3)], [box(1, 1, 6, 6), box(2, 2, 4, 4), box(3, 3, 2, 2)], [star], [comb], [wild],
+            [box(2, 2, 5, 0.001)], [[(1, 1), (4, 1), (4, 1), (4, 4), (1, 1)]], [[(0, 0), (9, 0), (9, 5), (4.5, 5), (4.5, 9), (0, 9)]], [[(1, 1), (2, 2)]], [[]], [],
+            [box(0.25, 0.25, 0.1, 0.1), box(9.5, 9.5, 0.4, 0.4)], [[(-3, -3), (13, -3), (5, 13)]]]
+
+
+@pytest.mark.parametrize("step", [0.25, 1.0, 40.0])
+def test_points_in_polygons_equal_testing_every_edge(spark, step):
+    rng = random.Random(10)
+    shapes = odd_shapes()
+    spots = [(rng.uniform(-4, 14), rng.uniform(-4, 14)) for _ in range(500)]
+    spots += [(x * 0.5, y * 0.5) for x in range(-2, 20) for y in range(-2, 20)]                 # on corners, borders and cell edges
+    spots += [(x * 0.25 + rng.choice([0, 1e-12, -1e-12]), rng.choice([0.1, 1.0, 2.0, 3.0, 5.0]) + rng.choice([0, 1e-12, -1e-12])) for x in range(40)]
+    spots += [p for rings in shapes for ring in rings for p in ring]
+    pts = spark.createDataFrame([(i, float(y), float(x)) for i, (x, y) in enumerate(spots)], "i int, lat double, lng double")
+    struct = [(k, [[(float(x), float(y)) for x, y in ring] for ring in rings], f"n{k}") for k, rings in enumerate(shapes)] + [(99, None, None)]
+    polygons = spark.createDataFrame(struct, "k int, rings array<array<struct<lng:double,lat:double>>>, name string")
+    got = [(r.i, r.k) for r in spatial.points_in_polygons(pts, polygons, step).collect()]
+    want = {(i, k) for i, (x, y) in enumerate(spots) for k, rings in enumerate(shapes) if even_odd(rings, y, x)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cells_inside_a_polygon_hold_no_edges(spark):
+    """Edges stay with the cells they touch: their number follows the outline, not the area or the points."""
+    ring = [(5 + 5 * math.cos(k * math.pi / 100), 5 + 5 * math.sin(k * math.pi / 100)) for k in range(200)]
+    polygons = spark.createDataFrame([(1, [ring])], "k int, rings array<array<struct<lng:double,lat:double>>>")
+    cells = spatial.polygon_cells(polygons, 0.1).selectExpr("near is null as whole", "coalesce(size(near), 0) as n").collect()
+    assert sum(r.whole for r in cells) > 7000 and max(r.n for r in cells) <= 4 and sum(r.n for r in cells) < 900
