@@ -45,29 +45,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .withColumn("component", F.coalesce("component", "id")))
 
 
-def priority_independent_set(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Ids kept by a greedy pass in id order: keep unless a kept smaller id conflicts.
-
-    nodes(id), conflicts(lo, hi) with lo < hi. A round keeps every undecided id with no
-    undecided smaller rival and drops the rivals of what it kept.
-    """
-    undecided = cut_lineage(nodes.select("id").distinct())
-    edges = cut_lineage(conflicts.select("lo", "hi").where(F.col("lo") < F.col("hi")).distinct())
-    kept = None
-    while True:
-        blocked = edges.select(F.col("hi").alias("id")).distinct()
-        keep = cut_lineage(undecided.join(blocked, "id", "left_anti"))
-        kept = keep if kept is None else kept.unionByName(keep)
-        beaten = (edges.join(keep.withColumnRenamed("id", "lo"), "lo", "left_semi")
-                  .select(F.col("hi").alias("id")).distinct())
-        gone = keep.unionByName(beaten).distinct()
-        undecided = cut_lineage(undecided.join(gone, "id", "left_anti"))
-        if undecided.isEmpty():
-            return kept
-        edges = cut_lineage(edges.join(gone.withColumnRenamed("id", "lo"), "lo", "left_anti")
-                            .join(gone.withColumnRenamed("id", "hi"), "hi", "left_anti"))
-
-
 def accumulate_downstream(nodes: DataFrame, keys: list[str], value: str, how: str) -> DataFrame:
     """Fold `value` of every node into all nodes its `next` chain passes.
 

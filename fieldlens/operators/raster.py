@@ -1,8 +1,8 @@
 """Terrain from elevation cells: cells(grid_id, c, r, z), row 0 at the south edge.
 
 Neighbourhood work cuts grids into tiles of TILE x TILE cells. A tile also gets the cells
-just outside its edge, a few per cent of all, so each cell crosses the shuffle about once and
-meets its neighbours inside a tile. No grid is gathered in a task, so one huge grid spreads
+just outside its edge, a few per cent of all, so each cell crosses the shuffle about once,
+meets its neighbours inside a tile and comes back from there with its own value. No grid is gathered in a task, so one huge grid spreads
 like many small ones. `grids` carries west, south, d_lng, d_lat, cols, rows, spacing_m per grid_id.
 """
 
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.constants import CONTOUR_STEPS_FT, FEET_PER_METRE
 from fieldlens.functions.num import half_up, half_up_to, wrap360
-from fieldlens.operators.iterate import (accumulate_downstream, connected_components,
-                                         priority_independent_set)
+from fieldlens.operators.iterate import accumulate_downstream, connected_components
 from fieldlens.operators.orderstat import nearest_rank, order_statistic
 from fieldlens.session import cut_lineage
 
@@ -29,39 +28,45 @@ CELL = ["grid_id", "c", "r"]
 TILE = 128
 
 
-def tiled(cells: DataFrame, value: str, halo: int, names: list[str], work: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """Per position the arrays `work` gives for a tile: (grid_id, c, r, *names as doubles).
+def tiled(cells: DataFrame, value: str, halo: int, names: list[str], work: Callable[[np.ndarray, dict], list[np.ndarray]],
+          per_grid: DataFrame | None = None) -> DataFrame:
+    """Each cell with its own value and the arrays `work` gives for its tile: (grid_id, c, r, value, *names as doubles).
 
-    work gets a tile's values with `halo` cells around it, NaN where nothing is known, and
-    returns one TILE x TILE array a name; positions where all are NaN give no row.
+    work gets a tile's values with `halo` cells around it, NaN where nothing is known, and a dict of
+    the tile's west and south cell and the per_grid columns; it returns one TILE x TILE array a name.
+    Cells come back from the tile they belong to, so they cross the shuffle once and are not joined again.
     """
     def reach(x: str) -> Column:
         return F.explode(F.array_distinct(F.array(*[F.floor((F.col(x) + d) / TILE).cast("int") for d in (-halo, 0, halo)])))
 
-    known = cells.where(F.col(value).isNotNull()).select("grid_id", F.col("c").cast("int").alias("c"), F.col("r").cast("int").alias("r"),
-                                                         F.col(value).cast("double").alias("v"))
-    spread = known.withColumn("tc", reach("c")).withColumn("tr", reach("r"))
-    grid_type = known.schema["grid_id"].dataType.simpleString()
+    own = cells.select("grid_id", F.col("c").cast("int").alias("c"), F.col("r").cast("int").alias("r"), F.col(value).cast("double").alias("v"))
+    info = [] if per_grid is None else [n for n in per_grid.columns if n != "grid_id"]
+    if per_grid is not None:
+        own = own.join(per_grid, "grid_id")
+    spread = own.withColumn("tc", reach("c")).withColumn("tr", reach("r"))
+    grid_type = own.schema["grid_id"].dataType.simpleString()
     wide = TILE + 2 * halo
 
     def run(key, table):
         west, south = key[1].as_py() * TILE, key[2].as_py() * TILE
         z = np.full((wide, wide), np.nan)
-        z[table["r"].to_numpy() - south + halo, table["c"].to_numpy() - west + halo] = table["v"].to_numpy()
-        made = work(z)
-        r, c = np.nonzero(~np.logical_and.reduce([np.isnan(m) for m in made]))
-        columns = [pa.array(m[r, c], from_pandas=True) for m in made]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(r), table["grid_id"].type), pa.array((c + west).astype(np.int32)),
-                                     pa.array((r + south).astype(np.int32)), *columns], ["grid_id", "c", "r", *names])
+        c, r, v = (table[n].to_numpy() for n in ("c", "r", "v"))
+        z[r - south + halo, c - west + halo] = v
+        made = work(z, {"west": west, "south": south} | {n: table[n][0].as_py() for n in info})
+        home = (c >= west) & (c < west + TILE) & (r >= south) & (r < south + TILE)
+        c, r = c[home], r[home]
+        columns = [pa.array(m[r - south, c - west], pa.float64(), from_pandas=True) for m in (z[halo:halo + TILE, halo:halo + TILE], *made)]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(r), table["grid_id"].type), pa.array(c), pa.array(r), *columns],
+                                    ["grid_id", "c", "r", value, *names])
     return spread.groupBy("grid_id", "tc", "tr").applyInArrow(
-        run, f"grid_id {grid_type}, c int, r int, " + ", ".join(f"{n} double" for n in names))
+        run, f"grid_id {grid_type}, c int, r int, {value} double" + "".join(f", {n} double" for n in names))
 
 
 def neighbours(cells: DataFrame, pairs: list[tuple[int, int]], value: str = "z") -> DataFrame:
-    """Per position the values at the given offsets, n0, n1 and so on; null where not known."""
+    """Each cell with the values at the given offsets, n0, n1 and so on; null where not known."""
     halo = max(max(abs(dc), abs(dr)) for dc, dr in pairs)
 
-    def work(z: np.ndarray) -> list[np.ndarray]:
+    def work(z: np.ndarray, at: dict) -> list[np.ndarray]:
         return [z[halo + dr:halo + dr + TILE, halo + dc:halo + dc + TILE] for dc, dr in pairs]
     return tiled(cells, value, halo, [f"n{i}" for i in range(len(pairs))], work)
 
@@ -80,8 +85,7 @@ def _gradient(df: DataFrame, scale: Column | float = 1.0) -> DataFrame:
 
 def slope_aspect(cells: DataFrame, grids: DataFrame) -> DataFrame:
     """Horn slope and aspect in degrees; null at edges and holes, flat ground has no aspect."""
-    around = cells.select(*CELL).join(neighbours(cells, EIGHT), CELL, "left").join(
-        grids.select("grid_id", "spacing_m"), "grid_id")
+    around = neighbours(cells, EIGHT).join(grids.select("grid_id", "spacing_m"), "grid_id")
     g = _gradient(around).withColumn("rise", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
     aspect = wrap360(F.degrees(F.atan2(-F.col("dx"), -F.col("dy"))) + 360.0)
     return g.select(*CELL, F.degrees(F.atan("rise")).alias("slope"), F.when(F.col("rise") >= 1e-9, aspect).alias("aspect"))
@@ -122,13 +126,12 @@ def grid_stats(cells: DataFrame) -> DataFrame:
 
 def smoothed(cells: DataFrame) -> DataFrame:
     """Mean of the known cells of each 3x3 block; holes stay holes."""
-    def work(z: np.ndarray) -> list[np.ndarray]:
+    def work(z: np.ndarray, at: dict) -> list[np.ndarray]:
         parts = [z[1 + dr:1 + dr + TILE, 1 + dc:1 + dc + TILE] for dc, dr in EIGHT + [(0, 0)]]
         seen = sum((~np.isnan(p)).astype(float) for p in parts)
         with np.errstate(invalid="ignore"):
             return [sum(np.nan_to_num(p) for p in parts) / np.where(seen > 0, seen, np.nan)]
-    mean = tiled(cells, "z", 1, ["mean"], work)
-    return cells.join(mean, CELL, "left").select(*CELL, F.when(F.col("z").isNotNull(), F.col("mean")).alias("z"))
+    return tiled(cells, "z", 1, ["mean"], work).select(*CELL, F.when(F.col("z").isNotNull(), F.col("mean")).alias("z"))
 
 
 # ---- water --------------------------------------------------------------------------
@@ -146,7 +149,7 @@ def flow_directions(cells: DataFrame, invert: bool = False) -> DataFrame:
     """Where each cell drains: the steepest lower neighbour of eight (ridges: invert)."""
     z = -F.col("z") if invert else F.col("z")
     known = cells.where(F.col("z").isNotNull()).select(*CELL, z.alias("z"))
-    around = known.join(neighbours(known, FLOW), CELL)
+    around = neighbours(known, FLOW)
     options = F.array(*[F.struct(
         ((F.col("z") - F.col(f"n{i}")) / (1.0 if i < 4 else math.sqrt(2))).alias("drop"), F.lit(-i).alias("first"),
         F.lit(dc).alias("dc"), F.lit(dr).alias("dr")) for i, (dc, dr) in enumerate(FLOW)])
@@ -208,55 +211,104 @@ def channels(cells: DataFrame, grids: DataFrame, invert: bool = False, min_area:
 
 # ---- landforms ----------------------------------------------------------------------
 
-def _spaced(found: DataFrame, apart: int) -> DataFrame:
-    """Greedy thinning in cell order: nothing kept lies within `apart` cells of an earlier kept one."""
-    keyed = found.withColumn("id", F.struct("grid_id", "r", "c"))
-    step = F.sequence(F.lit(1 - apart), F.lit(apart - 1))
-    out = (found.select(*CELL, F.explode(step).alias("dc")).withColumn("dr", F.explode(step))
-           .select("grid_id", (F.col("c") + F.col("dc")).alias("c"), (F.col("r") + F.col("dr")).alias("r"),
-                   F.struct("grid_id", "r", "c").alias("lo")))
-    rivals = out.join(found.select(*CELL), CELL).select("lo", F.struct("grid_id", "r", "c").alias("hi"))
-    kept = priority_independent_set(keyed.select("id"), rivals.where(F.col("lo") < F.col("hi")))
-    return keyed.join(kept, "id", "left_semi").drop("id")
+#: Cells of a thinning tile each way.
+SPACED_TILE = 512
 
 
-def saddles(cells: DataFrame, grids: DataFrame, radius: int = 3, min_relief_m: float = 1.5) -> DataFrame:
-    """Cells with exactly two rising and two falling sectors around them."""
+def spaced(found: DataFrame, apart: int, tile: int = SPACED_TILE) -> DataFrame:
+    """Greedy thinning in cell order: nothing kept lies within `apart` cells of an earlier kept one.
+
+    Order is by row, then column, and distance the larger of the two offsets. A round settles
+    what it can of every tile in that order, knowing its neighbours' cells near the border as far as they are
+    settled; a cell waits only for earlier undecided ones beside it. What a round needs is the
+    tiles that still wait, so rounds follow the tiles that a chain of dense candidates crosses.
+    """
+    near = apart - 1
+    grid_type = found.schema["grid_id"].dataType.simpleString()
+    state = cut_lineage(found.select("grid_id", F.col("c").cast("int").alias("c"), F.col("r").cast("int").alias("r"), F.lit(2).cast("byte").alias("s")).distinct())
+    tile_of = lambda x, d=0: F.floor((F.col(x) + d) / tile).cast("int")
+    reach = lambda x: F.explode(F.array_distinct(F.array(*[tile_of(x, d) for d in (-near, 0, near)])))
+
+    def run(key, table):
+        west, south = key[1].as_py() * tile, key[2].as_py() * tile
+        c, r, s = (table[n].to_numpy() for n in ("c", "r", "s"))
+        at = np.zeros((tile + 2 * near, tile + 2 * near), np.int8)
+        y, x = r - south + near, c - west + near
+        at[y, x] = s
+        home = (c >= west) & (c < west + tile) & (r >= south) & (r < south + tile)
+        todo = np.flatnonzero(home & (s == 2))
+        for i in todo[np.lexsort((x[todo], y[todo]))].tolist():
+            j, k = y[i], x[i]
+            before = at[max(j - near, 0):j, max(k - near, 0):k + near + 1]
+            beside = at[j, max(k - near, 0):k]
+            if (before == 1).any() or (beside == 1).any():
+                at[j, k] = 0
+            elif not ((before == 2).any() or (beside == 2).any()):
+                at[j, k] = 1
+        c, r = c[home], r[home]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(c), table["grid_id"].type), pa.array(c), pa.array(r),
+                                     pa.array(at[r - south + near, c - west + near])], ["grid_id", "c", "r", "s"])
+    settled = None
+    while True:
+        spread = state.withColumn("tc", reach("c")).withColumn("tr", reach("r"))
+        state = cut_lineage(spread.groupBy("grid_id", "tc", "tr").applyInArrow(run, f"grid_id {grid_type}, c int, r int, s byte").where("s > 0"))
+        waits = state.where("s = 2").select("grid_id", tile_of("c").alias("tc"), tile_of("r").alias("tr")).distinct()
+        waits = cut_lineage(waits)
+        if waits.isEmpty():
+            break
+        # settled cells whose tile and neighbours wait for nothing are done with
+        around = waits.select("grid_id", F.explode(F.array(*[F.col("tc") + d for d in (-1, 0, 1)])).alias("tc"), "tr").select(
+            "grid_id", "tc", F.explode(F.array(*[F.col("tr") + d for d in (-1, 0, 1)])).alias("tr")).distinct()
+        placed = state.withColumns({"tc": tile_of("c"), "tr": tile_of("r")})
+        done = placed.join(around, ["grid_id", "tc", "tr"], "left_anti").select("grid_id", "c", "r")
+        settled = done if settled is None else settled.unionByName(done)
+        state = placed.join(around, ["grid_id", "tc", "tr"], "left_semi").select("grid_id", "c", "r", "s")
+    kept = state.select("grid_id", "c", "r")
+    return found.join(kept if settled is None else kept.unionByName(settled), CELL, "left_semi")
+
+
+def saddle_cells(cells: DataFrame, grids: DataFrame, radius: int = 3, min_relief_m: float = 1.5) -> DataFrame:
+    """All cells with exactly two rising and two falling sectors around them."""
     ring = [(int(math.floor(math.cos(s / 16 * 2 * math.pi) * radius + 0.5)),
              int(math.floor(math.sin(s / 16 * 2 * math.pi) * radius + 0.5))) for s in range(16)]
-    n = [F.col(f"n{i}") for i in range(16)]
-    diff = F.array(*[x - F.col("z") for x in n])
+    diff = F.array(*[F.col(f"n{i}") - F.col("z") for i in range(16)])
     inside = (F.col("c").between(F.lit(radius), F.col("cols") - radius - 1)
               & F.col("r").between(F.lit(radius), F.col("rows") - radius - 1))
-    full = cells.where(F.col("z").isNotNull()).join(grids.select("grid_id", "cols", "rows"), "grid_id").where(inside).join(
-        neighbours(cells, ring), CELL).withColumn("d", diff).where(~F.exists("d", lambda x: x.isNull()))
+    full = neighbours(cells, ring).where(F.col("z").isNotNull()).join(grids.select("grid_id", "cols", "rows"), "grid_id").where(inside)
+    full = full.withColumn("d", diff).where(~F.exists("d", lambda x: x.isNull()))
     turns = sum(((F.col("d")[i] > 0) != (F.col("d")[(i + 1) % 16] > 0)).cast("int") for i in range(16))
     up, down = F.array_max("d"), -F.array_min("d")
-    found = full.where((up >= min_relief_m) & (down >= min_relief_m) & (turns == 4)).select(
+    return full.where((up >= min_relief_m) & (down >= min_relief_m) & (turns == 4)).select(
         *CELL, half_up_to(F.least(up, down) * FEET_PER_METRE, 1).alias("relief_ft"))
-    return _spaced(found, radius * 2)
 
 
-def benches(slopes: DataFrame, grids: DataFrame, max_slope: float = 4.0, steep: float = 8.0,
-            radius: int = 4, min_share: float = 0.35) -> DataFrame:
-    """Flat cells with steep ground around them. A cell's window is counted, not collected."""
-    known = slopes.where(F.col("slope").isNotNull())
+def saddles(cells: DataFrame, grids: DataFrame, radius: int = 3, min_relief_m: float = 1.5) -> DataFrame:
+    """Saddle cells, thinned: none within twice the radius of an earlier one."""
+    return spaced(saddle_cells(cells, grids, radius, min_relief_m), radius * 2)
+
 
-    def work(flag: np.ndarray) -> list[np.ndarray]:
+def bench_cells(slopes: DataFrame, grids: DataFrame, max_slope: float = 4.0, steep: float = 8.0,
+                radius: int = 4, min_share: float = 0.35) -> DataFrame:
+    """All flat cells with steep ground around them. A cell's window is counted, not collected."""
+    def work(slope: np.ndarray, at: dict) -> list[np.ndarray]:
         out = []
-        for a in (~np.isnan(flag), np.nan_to_num(flag)):                # sums over squares by running sums
+        for a in (~np.isnan(slope), np.nan_to_num(slope, nan=-1.0) >= steep):   # sums over squares by running sums
             total = np.pad(np.cumsum(np.cumsum(a.astype(float), 0), 1), ((1, 0), (1, 0)))
             far, side = 2 * radius + 1, slice(0, TILE)
             out.append(total[far:far + TILE, far:far + TILE] - total[side, far:far + TILE] - total[far:far + TILE, side] + total[side, side])
         return [np.where(out[0] > 0, x, np.nan) for x in out]
-    sent = tiled(known.select(*CELL, (F.col("slope") >= steep).cast("double").alias("s")), "s", radius, ["seen", "steep"], work)
     inside = (F.col("c").between(F.lit(radius), F.col("cols") - radius - 1)
               & F.col("r").between(F.lit(radius), F.col("rows") - radius - 1))
-    found = (known.where(F.col("slope") <= max_slope).join(grids.select("grid_id", "cols", "rows"), "grid_id").where(inside)
-             .join(sent, CELL).where(F.col("steep") / F.col("seen") >= min_share)
-             .select(*CELL, half_up_to(F.col("slope"), 1).alias("slope_deg"),
-                     half_up(100.0 * F.col("steep") / F.col("seen")).alias("steep_around")))
-    return _spaced(found, radius * 2)
+    return (tiled(slopes, "slope", radius, ["seen", "steep"], work).where(F.col("slope") <= max_slope)
+            .join(grids.select("grid_id", "cols", "rows"), "grid_id").where(inside).where(F.col("steep") / F.col("seen") >= min_share)
+            .select(*CELL, half_up_to(F.col("slope"), 1).alias("slope_deg"),
+                    half_up(100.0 * F.col("steep") / F.col("seen")).alias("steep_around")))
+
+
+def benches(slopes: DataFrame, grids: DataFrame, max_slope: float = 4.0, steep: float = 8.0,
+            radius: int = 4, min_share: float = 0.35) -> DataFrame:
+    """Bench cells, thinned: none within twice the radius of an earlier one."""
+    return spaced(bench_cells(slopes, grids, max_slope, steep, radius, min_share), radius * 2)
 
 
 def terrain_summary(cells: DataFrame, slopes: DataFrame) -> DataFrame:
@@ -275,23 +327,28 @@ def terrain_summary(cells: DataFrame, slopes: DataFrame) -> DataFrame:
 def hillshade(cells: DataFrame, grids: DataFrame, azimuth: float = 315.0, altitude: float = 45.0,
               z_factor: float | None = None) -> DataFrame:
     """0..255 shade per cell; edge cells borrow the gradient of the cell just inside."""
-    around = neighbours(cells, EIGHT)
+    def work(z: np.ndarray, at: dict) -> list[np.ndarray]:
+        def shifted(dc: int, dr: int) -> np.ndarray:              # the tile and one cell around it
+            return z[1 + dr:z.shape[0] - 1 + dr, 1 + dc:z.shape[1] - 1 + dc]
+        nw, n, ne, w, e, sw, s, se = (shifted(*o) for o in EIGHT)
+        gx, gy = (ne + 2 * e + se) - (nw + 2 * w + sw), (nw + 2 * n + ne) - (sw + 2 * s + se)
+        c, r = at["west"] + np.arange(TILE), at["south"] + np.arange(TILE)
+        c = np.clip(np.minimum(at["cols"] - 2, np.maximum(1, c)) - at["west"] + 1, 0, TILE + 1)
+        r = np.clip(np.minimum(at["rows"] - 2, np.maximum(1, r)) - at["south"] + 1, 0, TILE + 1)
+        return [g[np.ix_(r, c)] for g in (gx, gy)]
     stats = cells.groupBy("grid_id").agg((F.max("z") - F.min("z")).alias("relief"))
     auto = F.when(F.col("relief") > 0, F.greatest(F.lit(1.0), F.least(
         F.lit(60.0), 0.15 * (F.col("cols") - 1) * F.col("spacing_m") / F.col("relief")))).otherwise(1.0)
     zf = auto if z_factor is None else F.lit(float(z_factor))
-    info = grids.select("grid_id", "cols", "rows", "spacing_m").join(stats, "grid_id").withColumn("zf", zf)
-    inner_c = F.least(F.col("cols") - 2, F.greatest(F.lit(1), F.col("c"))).cast("int")
-    inner_r = F.least(F.col("rows") - 2, F.greatest(F.lit(1), F.col("r"))).cast("int")
-    keyed = cells.select(*CELL).join(info, "grid_id").withColumns({"own_c": F.col("c"), "own_r": F.col("r")}).withColumns(
-        {"c": inner_c, "r": inner_r})
-    g = _gradient(keyed.join(around, CELL, "left"), F.col("zf"))
+    info = grids.select("grid_id", "cols", "rows", "spacing_m").join(stats, "grid_id").select("grid_id", "spacing_m", zf.alias("zf"))
+    g = tiled(cells, "z", 2, ["gx", "gy"], work, grids.select("grid_id", "cols", "rows")).join(info, "grid_id")
+    run = F.col("spacing_m") * 8.0
+    g = g.withColumns({"dx": F.col("gx") * F.col("zf") / run, "dy": F.col("gy") * F.col("zf") / run})
     alt, az = math.radians(altitude), math.radians(azimuth)
     lx, ly, lz = math.sin(az) * math.cos(alt), math.cos(az) * math.cos(alt), math.sin(alt)
     v = (-F.col("dx") * lx - F.col("dy") * ly + lz) / F.sqrt(
         F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + 1.0)
-    return g.select("grid_id", F.col("own_c").alias("c"), F.col("own_r").alias("r"),
-                    half_up(255.0 * F.when(v > 0, v).when(v.isNotNull(), 0.0)).alias("shade"))
+    return g.select(*CELL, half_up(255.0 * F.when(v > 0, v).when(v.isNotNull(), 0.0)).alias("shade"))
 
 
 # ---- contours -----------------------------------------------------------------------

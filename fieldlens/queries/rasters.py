@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 import fieldlens.queries.tables  # noqa: F401
@@ -119,12 +121,48 @@ def terrain_ridges(b):
     return raster.channels(b.elevation_cells(), b.elevation_grids(), invert=True)
 
 
-@query("terrain_saddles")
+_RING = ", ".join(f"({i}, {math.floor(math.cos(i / 8 * math.pi) * 3 + 0.5)}, {math.floor(math.sin(i / 8 * math.pi) * 3 + 0.5)})" for i in range(16))
+table_sql("saddle", f"""SELECT grid_id, c, r, floor(least(list_max(d), -list_min(d)) * 3.280839895e0 * 10 + 0.5) / 10 AS relief_ft
+  FROM (SELECT a.grid_id, a.c, a.r, list(b.z - a.z ORDER BY o.i) AS d FROM cell a CROSS JOIN (VALUES {_RING}) o(i, dc, dr)
+    JOIN cell b ON b.grid_id = a.grid_id AND b.c = a.c + o.dc AND b.r = a.r + o.dr
+    WHERE a.z IS NOT NULL AND b.z IS NOT NULL AND a.c BETWEEN 3 AND 16 AND a.r BETWEEN 3 AND 16 GROUP BY 1, 2, 3 HAVING count(*) = 16)
+  WHERE list_max(d) >= 1.5 AND -list_min(d) >= 1.5
+    AND list_sum(list_transform(range(16), lambda i: CASE WHEN (d[i + 1] > 0) <> (d[(i + 1) % 16 + 1] > 0) THEN 1 ELSE 0 END)) = 4""", ("cell",))
+table_sql("bench", """SELECT a.grid_id, a.c, a.r, floor(any_value(a.slope) * 10 + 0.5) / 10 AS slope_deg,
+    CAST(floor(100e0 * count(*) FILTER (WHERE b.slope >= 8) / count(*) + 0.5) AS BIGINT) AS steep_around
+  FROM slope a JOIN slope b ON b.grid_id = a.grid_id AND b.c BETWEEN a.c - 4 AND a.c + 4 AND b.r BETWEEN a.r - 4 AND a.r + 4
+  WHERE a.slope <= 4 AND b.slope IS NOT NULL AND a.c BETWEEN 4 AND 15 AND a.r BETWEEN 4 AND 15 GROUP BY 1, 2, 3
+  HAVING count(*) FILTER (WHERE b.slope >= 8) * 1e0 / count(*) >= 0.35""", ("slope",))
+
+
+def _thinned(table: str, apart: int) -> str:
+    """Greedy thinning one candidate after the other, by row, then column."""
+    from fieldlens.queries.registry import with_tables
+    return with_tables((table,), f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY r, c) AS k FROM {table}),
+walk AS (SELECT grid_id, k, [{{'c': c, 'r': r}}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.grid_id, o.k, CASE WHEN len(list_filter(walk.kept, lambda p: abs(p.c - o.c) < {apart} AND abs(p.r - o.r) < {apart})) = 0
+    THEN list_append(walk.kept, {{'c': o.c, 'r': o.r}}) ELSE walk.kept END FROM walk JOIN o ON o.grid_id = walk.grid_id AND o.k = walk.k + 1),
+last AS (SELECT grid_id, unnest(arg_max(kept, k)) AS p FROM walk GROUP BY 1)
+SELECT o.* EXCLUDE (k) FROM o JOIN last ON last.grid_id = o.grid_id AND last.p.c = o.c AND last.p.r = o.r""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("terrain_saddle_cells", needs=("saddle",), sql="SELECT * FROM saddle")
+def terrain_saddle_cells(b):
+    return raster.saddle_cells(b.elevation_cells(), b.elevation_grids())
+
+
+@query("terrain_saddles", sql=_thinned("saddle", 6))
 def terrain_saddles(b):
     return raster.saddles(b.elevation_cells(), b.elevation_grids())
 
 
-@query("terrain_benches")
+@query("terrain_bench_cells", needs=("bench",), sql="SELECT * FROM bench")
+def terrain_bench_cells(b):
+    slopes = raster.slope_aspect(b.elevation_cells(), b.elevation_grids())
+    return raster.bench_cells(slopes, b.elevation_grids())
+
+
+@query("terrain_benches", sql=_thinned("bench", 8))
 def terrain_benches(b):
     slopes = raster.slope_aspect(b.elevation_cells(), b.elevation_grids())
     return raster.benches(slopes, b.elevation_grids())

@@ -115,17 +115,6 @@ def test_first_come_locations_equal_a_sequential_pass(spark):
     assert [got[i] for i in range(80)] == want
 
 
-def test_independent_set_equals_greedy(spark):
-    rng = random.Random(6)
-    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(120)}
-    kept = []
-    for i in range(60):
-        if not any((k, i) in edges for k in kept):
-            kept.append(i)
-    got = iterate.priority_independent_set(spark.range(60), spark.createDataFrame(list(edges), "lo bigint, hi bigint"))
-    assert sorted(r.id for r in got.collect()) == kept
-
-
 def test_accumulation_along_a_forest(spark):
     rng = random.Random(10)
     nxt = [None if i == 0 or rng.random() < 0.05 else rng.randrange(max(0, i - 3), i) for i in range(200)]
@@ -285,10 +274,8 @@ def test_neighbours_across_tile_borders(spark, monkeypatch):
     pairs = [(-3, 1), (0, 0), (2, -2), (0, 3)]
     got = {tuple(x)[:3]: tuple(x)[3:] for x in raster.neighbours(cells, pairs).collect()}
     want = {}
-    for g, c, r in itertools.product((1, 2), range(-4, 18), range(-4, 16)):
-        row = tuple(known.get((g, c + dc, r + dr)) for dc, dr in pairs)
-        if any(v is not None for v in row):
-            want[g, c, r] = row
+    for g, c, r in itertools.product((1, 2), range(13), range(11)):         # every cell, known or not, with its own value first
+        want[g, c, r] = (known.get((g, c, r)), *(known.get((g, c + dc, r + dr)) for dc, dr in pairs))
     assert got == want
     smooth = {tuple(x)[:3]: x.z for x in raster.smoothed(cells).collect()}
     for (g, c, r), z in smooth.items():
@@ -349,3 +336,34 @@ def test_cells_inside_a_polygon_hold_no_edges(spark):
     polygons = spark.createDataFrame([(1, [ring])], "k int, rings array<array<struct<lng:double,lat:double>>>")
     cells = spatial.polygon_cells(polygons, 0.1).selectExpr("near is null as whole", "coalesce(size(near), 0) as n").collect()
     assert sum(r.whole for r in cells) > 7000 and max(r.n for r in cells) <= 4 and sum(r.n for r in cells) < 900
+
+
+# ---- thinning by tiles ------------------------------------------------------------------
+
+def greedy(spots, apart):
+    kept = set()
+    for r, c in sorted((r, c) for c, r in spots):
+        if not any(abs(c - kc) < apart and abs(r - kr) < apart for kc, kr in kept):
+            kept.add((c, r))
+    return kept
+
+
+@pytest.mark.parametrize("tile,apart", [(7, 4), (16, 6), (16, 16), (512, 8)])
+def test_thinning_equals_one_pass_in_cell_order(spark, tile, apart):
+    rng = random.Random(tile)
+    spots = {1: {(rng.randrange(60), rng.randrange(60)) for _ in range(900)}, 2: {(c, r) for c in range(40) for r in range(30)}, 3: {(c, 5) for c in range(150)},
+             4: {(c, c // 3 + 2) for c in range(90)} | {(80 - c, c) for c in range(80)}, 5: set()}
+    df = spark.createDataFrame([(g, c, r, float(c)) for g, found in spots.items() for c, r in found], "grid_id bigint, c int, r int, v double")
+    got = raster.spaced(df, apart, tile).collect()
+    assert len(got) == len(set(got)) and all(r.v == r.c for r in got)
+    assert {g: {(r.c, r.r) for r in got if r.grid_id == g} for g in spots} == {g: greedy(found, apart) for g, found in spots.items()}
+
+
+def test_thinning_rounds_follow_tiles_not_cells(spark, monkeypatch):
+    """A flat strip 1,500 cells wide: a chain of 250 kept cells across 12 tiles."""
+    rounds = []
+    whole = raster.cut_lineage
+    monkeypatch.setattr(raster, "cut_lineage", lambda df: rounds.append(1) or whole(df))
+    strip = spark.range(1500).selectExpr("1 as grid_id", "cast(id as int) as c", "3 as r")
+    assert {r.c for r in raster.spaced(strip, 6, 128).collect()} == set(range(0, 1500, 6))
+    assert len(rounds) <= 2 * 12 + 1
