@@ -79,7 +79,7 @@ def reference_curves(points: DataFrame, labels: DataFrame, key: str = "field_id"
     named = points.join(labels.select(key, "crop"), key)
     enough = (named.select("crop", key).distinct().groupBy("crop").agg(F.count("*").alias("curves"))
               .where(F.col("curves") >= min_curves))
-    return (exact_median(named, ["crop", "i"], "v", "v").drop("n").join(enough, "crop").drop("curves"))
+    return (exact_median(named, ["crop", "i"], "v", "v", few=True).drop("n").join(enough, "crop").drop("curves"))
 
 
 def best_shifts(points: DataFrame, references: DataFrame, key: str = "field_id") -> DataFrame:

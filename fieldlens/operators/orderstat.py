@@ -30,7 +30,7 @@ def _met(rows: DataFrame, told: DataFrame, keys: list[str], few: bool) -> DataFr
     """rows with their key's row of told. Without keys it is one row; `few` keys may go to all tasks."""
     if not keys:
         return rows.join(F.broadcast(told))
-    return rows.join(F.broadcast(told) if few else told, [rows[k].eqNullSafe(told[k]) for k in keys]).drop(*[told[k] for k in keys])
+    return rows.join(F.broadcast(told) if few else told, keys)
 
 
 def _bracketed(rows: DataFrame, keys: list[str], q: float, few: bool) -> DataFrame:
@@ -49,8 +49,7 @@ def _bracketed(rows: DataFrame, keys: list[str], q: float, few: bool) -> DataFra
     inside = counts.where(F.col("_c").isNotNull()).select(*keys, "n", F.col("_c").alias("_v"), "_m")
     if not keys:
         return inside.join(F.broadcast(least.groupBy().agg(F.coalesce(F.max("_below"), F.lit(0)).alias("_below"))))
-    joined = inside.alias("i").join(least.alias("l"), [F.col(f"i.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys], "left")
-    return joined.select(*[F.col(f"i.{k}").alias(k) for k in keys], "n", "_v", "_m", F.coalesce("_below", F.lit(0)).alias("_below"))
+    return inside.join(least, keys, "left").select(*keys, "n", "_v", "_m", F.coalesce("_below", F.lit(0)).alias("_below"))
 
 
 def _narrowed(left: DataFrame, keys: list[str], lower: Column, upper: Column, few: bool) -> DataFrame:
@@ -75,6 +74,8 @@ def _narrowed(left: DataFrame, keys: list[str], lower: Column, upper: Column, fe
 def _at_ranks(df: DataFrame, keys: list[str], value: str, q: float, lower: Callable[[Column], Column], upper: Callable[[Column], Column], few: bool) -> DataFrame:
     """(keys, n, _lower, _upper): the elements at the two ranks of each group's ascending values, counted from 0."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
     n = F.col("n")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     large = cut_lineage(sizes.where(n > ORDERED))
@@ -87,11 +88,9 @@ def _at_ranks(df: DataFrame, keys: list[str], value: str, q: float, lower: Calla
     elif not keys:
         left = _narrowed(_bracketed(rows, keys, q, few), keys, lower(n), upper(n), few)
     else:
-        told = large.select(*keys, F.lit(True).alias("_large"))
-        same = [rows[k].eqNullSafe(told[k]) for k in keys]
-        told = F.broadcast(told) if few else told
-        small = counted(rows.join(told, same, "left_anti")).select(*keys, F.sum("_m").over(whole).alias("n"), "_v", "_m", F.lit(0).cast("long").alias("_below"))
-        left = small.unionByName(_narrowed(_bracketed(rows.join(told, same, "left_semi"), keys, q, few), keys, lower(n), upper(n), few))
+        told = F.broadcast(large.select(*keys)) if few else large.select(*keys)
+        small = counted(rows.join(told, keys, "left_anti")).select(*keys, F.sum("_m").over(whole).alias("n"), "_v", "_m", F.lit(0).cast("long").alias("_below"))
+        left = small.unionByName(_narrowed(_bracketed(rows.join(told, keys, "left_semi"), keys, q, few), keys, lower(n), upper(n), few))
     upto = left.withColumn("_upto", F.sum("_m").over(ordered) + F.col("_below"))
     first_past = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
     missed = (F.min(F.col("_upto") - F.col("_m")) > F.min(lower(n))) | (F.max("_upto") <= F.max(upper(n)))
@@ -103,7 +102,7 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
                     name: str = "stat", few: bool = False) -> DataFrame:
     """Per group: the element at index floor(n * q) of the ascending values, and n.
 
-    q = 0.5 is the upper median. Null values are ignored; groups without values vanish.
+    q = 0.5 is the upper median. Null values and null keys are ignored; groups without values vanish.
     few: the keys have few values by construction (hours of a day, buckets), so a row a key may be
     sent to all tasks instead of all rows to a few keys.
     """

@@ -115,6 +115,36 @@ def test_order_statistics_are_exact(spark, n):
     assert orderstat.nearest_rank(df, ["g"], "v", 0.95, "p").first()["p"] == s[int(np.floor(0.95 * (n - 1) + 0.5))]
 
 
+@pytest.mark.parametrize("shape", ["spread", "copies", "two values", "skewed", "descending"])
+def test_ranks_are_refined_until_few_values_are_left(spark, monkeypatch, shape):
+    """Groups far above the bound, and some below it: never more than ORDERED values of a group are ordered."""
+    monkeypatch.setattr(orderstat, "ORDERED", 40)
+    monkeypatch.setattr(orderstat, "PARTS", 8)
+    rng = np.random.default_rng(1)
+    made = {"spread": lambda n: rng.normal(size=n), "copies": lambda n: np.round(rng.normal(size=n), 2), "two values": lambda n: np.r_[np.zeros(n // 2), np.ones(n - n // 2)],
+            "skewed": lambda n: np.exp(5 * rng.normal(size=n)), "descending": lambda n: np.arange(n, 0, -1.0)}[shape]
+    groups = {"a": made(9001), "b": made(6000), "c": made(41), "d": made(40), "e": made(7), "f": made(1)}
+    df = spark.createDataFrame([(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("none", None), (None, 1.0)], "g string, v double")
+    left = []
+    whole = orderstat._narrowed
+
+    def watched(*a):
+        out = whole(*a)
+        left.append(out.groupBy(*a[1]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0])
+        return out
+    monkeypatch.setattr(orderstat, "_narrowed", watched)
+    ranked = {g: np.sort(v) for g, v in groups.items()}
+    for few in (False, True):
+        got = {r.g: (r.n, r.stat) for r in orderstat.order_statistic(df, ["g"], "v", few=few).collect()}
+        assert got == {g: (len(v), v[len(v) // 2]) for g, v in ranked.items()}
+    assert {r.g: r.median for r in orderstat.exact_median(df, ["g"], "v").collect()} == {g: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 for g, v in ranked.items()}
+    assert {r.g: r.p for r in orderstat.nearest_rank(df, ["g"], "v", 0.05, "p").collect()} == {g: v[int(np.floor(0.05 * (len(v) - 1) + 0.5))] for g, v in ranked.items()}
+    everything = np.sort(np.concatenate([*groups.values(), [1.0]]))
+    assert orderstat.order_statistic(df, [], "v").first()["stat"] == everything[len(everything) // 2]
+    assert left and max(left) <= 40
+    assert orderstat.order_statistic(df.limit(0), ["g"], "v").collect() == []
+
+
 def test_order_statistic_in_a_hot_group_of_copies(spark):
     df = spark.range(30000).select(F.lit("g").alias("g"), F.when(F.col("id") < 20000, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
     assert orderstat.order_statistic(df, ["g"], "v").first()["stat"] == 5.0
