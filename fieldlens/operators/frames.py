@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,25 +14,97 @@ from fieldlens.functions.num import wrap360
 from fieldlens.operators.chunked import with_running_sum
 from fieldlens.session import cut_lineage
 
-BANDS = 16
+#: One more than the bits that may differ: hashes that close agree on all of at least one band.
+BANDS = WIND_BITS + 1
+#: Pairs that one band value may make before it is divided again, and how often it may be.
+HOT_PAIRS, DEPTH = 1 << 14, 3
+
+
+def bit_orders(base: DataFrame) -> DataFrame:
+    """(camera_id, order): the 256 bit positions of a camera's hashes, those that tell most first.
+
+    A bit tells most when half the hashes set it. Dealt out in turn, every band gets its share
+    of telling bits, and what never changes in a camera's view (a sky) makes no band of its own.
+    """
+    kind = base.schema["camera_id"].dataType.simpleString()
+
+    def count(batches):
+        held: dict = {}
+
+        def out():
+            rows = [(c, k, int(x), n) for c, (n, ones) in held.items() for k, x in enumerate(ones)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((camera, pa.int32(), pa.int64(), pa.int64()))],
+                                              ["camera_id", "bit", "ones", "n"])
+        camera = pa.null()
+        for batch in batches:
+            camera = batch.schema.field(0).type
+            cameras = batch.column(0).to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(bytes.fromhex(h[3:]) for h in batch.column(1).to_pylist()), np.uint8).reshape(-1, 32), axis=1)
+            for c in set(cameras):
+                mine = bits[[x == c for x in cameras]] if len(set(cameras)) > 1 else bits
+                n, ones = held.get(c, (0, np.zeros(256, np.int64)))
+                held[c] = (n + len(mine), ones + mine.sum(0, dtype=np.int64))
+            if len(held) > 1000:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+    counts = base.select("camera_id", "phash").mapInArrow(count, f"camera_id {kind}, bit int, ones long, n long").groupBy("camera_id", "bit").agg(
+        F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    tells = F.abs(F.col("ones") / F.col("n") - 0.5)
+    return counts.groupBy("camera_id").agg(F.sort_array(F.collect_list(F.struct(tells.alias("t"), "bit"))).alias("o")).select("camera_id", F.col("o.bit").alias("order"))
+
+
+def _banded(rows: DataFrame, orders: DataFrame, depth: int) -> DataFrame:
+    """rows(camera_id, h, key, p0 ..) once a band: key of the bits of one part, p<depth> which part.
+
+    Parts are dealt from the bits that the bands chosen before leave out.
+    """
+    rest = F.col("order")
+    left_out = lambda part: lambda x, i: i % BANDS != part
+    for d in range(depth):
+        rest = F.filter(rest, left_out(F.col(f"p{d}")))
+    binary = F.array_join(F.transform(F.split(F.substring("h", 4, 64), ""), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
+    held = rows.join(orders, "camera_id").select(*rows.columns, rest.alias("rest"), binary.alias("binary"))
+    of = lambda k: F.array_join(F.transform(F.filter("rest", lambda x, i: i % BANDS == k), lambda p: F.substring(F.col("binary"), p + 1, F.lit(1))), "")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.col("key"), k, of(k)))
+    kept = [c for c in rows.columns if c != "key"]
+    return held.select(*kept, keys.alias("keys")).select(*kept, F.posexplode("keys").alias(f"p{depth}", "key"))
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, orders: DataFrame) -> DataFrame:
+    """(camera_id, f, b): all pairs of hashes of left(camera_id, f) and right(camera_id, b) at most 12 bits apart, and some more.
+
+    Such hashes agree on all of one of BANDS bands. A band value that would make more than
+    HOT_PAIRS pairs is not joined but divided: its hashes agree on the band, so they agree on
+    all of one of BANDS parts of the bits it leaves out.
+    """
+    start = lambda df, name: df.select("camera_id", F.col(name).alias("h"), F.lit(0).cast("long").alias("key"))
+    one, other, pairs = start(left, "f"), start(right, "b"), None
+    group = ["camera_id", "key"]
+    for depth in range(DEPTH):
+        one, other = (cut_lineage(_banded(x, orders, depth)) for x in (one, other))
+        hot = (one.groupBy(*group).agg(F.count("*").alias("n")).join(other.groupBy(*group).agg(F.count("*").alias("m")), group)
+               .where(F.col("n") * F.col("m") > HOT_PAIRS).select(*group))
+        hot = cut_lineage(hot.limit(0) if depth == DEPTH - 1 else hot)
+        cold = one.join(hot, group, "left_anti").select(*group, F.col("h").alias("f")).join(other.select(*group, F.col("h").alias("b")), group).drop("key")
+        pairs = cold if pairs is None else pairs.unionByName(cold)
+        if hot.isEmpty():
+            break
+        one, other = (x.join(hot, group, "left_semi") for x in (one, other))
+    return pairs
 
 
 def empty_matches(frames: DataFrame, baseline: DataFrame) -> DataFrame:
     """Frames with the fewest bits to their own camera's empty scenes, null when none is close.
 
-    frames(photo_id, camera_id, phash), baseline(camera_id, phash). Two hashes at most 12
-    bits apart share at least four of sixteen 16-bit bands, so meeting on an equal band
-    loses nothing; copies of a hash are reduced to one first.
+    frames(photo_id, camera_id, phash), baseline(camera_id, phash). Hashes meet by bands of bits
+    that change (`candidate_pairs`), so none at most 12 bits apart is lost; copies of a hash are
+    reduced to one first.
     """
-    base = baseline.where(hashes.is_hash(F.col("phash"))).groupBy("camera_id", "phash").agg(
-        F.count("*").alias("copies"))
+    base = cut_lineage(baseline.where(hashes.is_hash(F.col("phash"))).groupBy("camera_id", "phash").agg(
+        F.count("*").alias("copies")))
     size = base.groupBy("camera_id").agg(F.sum("copies").alias("of"))
-
-    def banded(df, name):
-        pieces = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
-            i.alias("i"), F.substring(F.col(name), i * 4 + 4, F.lit(4)).alias("bits")))
-        return df.withColumn("band", F.explode(pieces))
-
     distinct = (frames.where(hashes.is_hash(F.col("phash"))).select("camera_id", F.col("phash").alias("f"))
                 .distinct())
     known = base.select("camera_id", F.col("phash").alias("b"))
@@ -38,10 +112,8 @@ def empty_matches(frames: DataFrame, baseline: DataFrame) -> DataFrame:
     same = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_semi").withColumn(
         "bits", F.lit(0))
     other = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_anti")
-    # hashes become words once per hash, not once per pair
-    left = banded(other, "f").withColumn("fw", hashes.words(F.col("f")))
-    right = banded(known, "b").withColumn("bw", hashes.words(F.col("b"))).drop("b")
-    close = (left.join(right, ["camera_id", "band"]).groupBy("camera_id", "f")
+    met = candidate_pairs(other, known, cut_lineage(bit_orders(base))).distinct()
+    close = (met.withColumns({"fw": hashes.words(F.col("f")), "bw": hashes.words(F.col("b"))}).groupBy("camera_id", "f")
              .agg(F.min(hashes.hamming_words(F.col("fw"), F.col("bw"))).alias("bits"))
              .where(F.col("bits") <= WIND_BITS))
     best = same.unionByName(close).withColumnRenamed("f", "phash")

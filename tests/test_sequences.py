@@ -369,3 +369,35 @@ def test_track_quality(spark):
     df = spark.createDataFrame(rows, "track_id bigint, seq bigint, t_ms double, lat double, lng double, acc double")
     got = {r.track_id: (r.quality, r.used, r.inaccurate) for r in tracks.build_tracks(df).collect()}
     assert got == {1: ("good", 2, 0), 2: ("unusable", 0, 6)}
+
+
+# ---- hash bands -------------------------------------------------------------------------
+
+def hashed(value):
+    return f"d1:{value:064x}"
+
+
+def test_constant_sky_does_not_raise_pairs(spark, monkeypatch):
+    """Half the frames of a camera share a plain sky of 96 bits; every near hash is still met, and few others are."""
+    rng = random.Random(12)
+    sky = (1 << 96) - 1
+    base = [rng.getrandbits(256) | (sky if k % 2 else 0) for k in range(400)]
+    shots = [rng.getrandbits(256) | (sky if k % 2 else 0) for k in range(400)]
+    for b in base[::5]:                             # some frames 0 to 14 bits from a scene
+        near = b
+        for bit in rng.sample(range(256), rng.randrange(15)):
+            near ^= 1 << bit
+        shots.append(near)
+    left = spark.createDataFrame([("c", hashed(x)) for x in shots] + [("other", hashed(base[0]))], "camera_id string, f string")
+    right = spark.createDataFrame([("c", hashed(x)) for x in base], "camera_id string, b string")
+    orders = frames.bit_orders(right.withColumnRenamed("b", "phash")).cache()
+    want = {(hashed(x), hashed(y)) for x in shots for y in base if (x ^ y).bit_count() <= 12}
+    for hot in (1 << 14, 30, 2):                    # groups joined as they are, some divided, all divided to the end
+        monkeypatch.setattr(frames, "HOT_PAIRS", hot)
+        met = frames.candidate_pairs(left, right, orders).collect()
+        assert {r.camera_id for r in met} == {"c"} and want <= {(r.f, r.b) for r in met}
+        assert len(met) < 0.02 * len(shots) * len(base) + 13 * len(want)
+    df = spark.createDataFrame([(k, "c", hashed(x)) for k, x in enumerate(shots)], "photo_id bigint, camera_id string, phash string")
+    got = {r.photo_id: r.bits for r in frames.empty_matches(df, right.withColumnRenamed("b", "phash")).collect()}
+    least = [min((x ^ y).bit_count() for y in base) for x in shots]
+    assert got == {k: (n if n <= 12 else None) for k, n in enumerate(least)}
