@@ -16,7 +16,8 @@ from fieldlens.constants import (CURVE_STEP_DAYS, CUT_DROP, CUT_LEVEL, FAST_DAYS
                                  UNUSABLE_SCENE_CLASSES)
 from fieldlens.functions.num import half_up
 from fieldlens.operators.orderstat import exact_median
-from fieldlens.operators.spatial import near_pairs, points_in_polygons, sites
+from fieldlens.operators.spatial import counts_within, points_in_polygons, sites
+from fieldlens.session import cut_lineage
 
 
 def clear_steps(readings: DataFrame, key: str = "field_id") -> DataFrame:
@@ -200,20 +201,19 @@ def reference_radius(targets: DataFrame, labelled: DataFrame,
                      radii: list[float] = SEARCH_RADII_M, need: int = MIN_REFERENCE_FIELDS) -> DataFrame:
     """Per target site: the least radius holding enough corn and soybean fields, or the widest.
 
-    One join at the widest radius; the narrower counts come from the same pairs. Labelled
-    points at one coordinate count together.
+    Fields are counted by cells, whole ones without looking at their fields; labelled points at
+    one coordinate count together.
     """
-    spots = targets.select("lat", "lng").distinct()
-    refs = sites(labelled.where(F.col("crop").isin("corn", "soybeans")), "field_id", "crop")
-    pairs = near_pairs(spots.withColumns({"s_lat": F.col("lat"), "s_lng": F.col("lng")}), refs, max(radii),
-                       ["s_lat", "s_lng"], ["crop", "at_site"])
-
-    def found(crop, r):
-        return F.coalesce(F.sum(F.when((F.col("crop") == crop) & (F.col("metres") <= r), F.col("at_site"))), F.lit(0))
-
-    counts = pairs.groupBy("s_lat", "s_lng").agg(*[
-        F.struct(F.lit(r).alias("radius"), found("corn", r).alias("corn"),
-                 found("soybeans", r).alias("soybeans")).alias(f"r{i}") for i, r in enumerate(radii)])
+    spots = targets.select("lat", "lng").where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).distinct()
+    refs = cut_lineage(sites(labelled.where(F.col("crop").isin("corn", "soybeans")), "field_id", "crop").select("lat", "lng", "crop", "at_site"))
+    found = None
+    for r in radii:
+        here = counts_within(spots, refs, r, "at_site", ["crop"]).withColumn("radius", F.lit(r))
+        found = here if found is None else found.unionByName(here)
+    many = lambda crop, r: F.coalesce(F.sum(F.when((F.col("crop") == crop) & (F.col("radius") == r), F.col("n"))), F.lit(0))
+    counts = found.groupBy(F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng")).agg(*[
+        F.struct(F.lit(r).alias("radius"), many("corn", r).alias("corn"),
+                 many("soybeans", r).alias("soybeans")).alias(f"r{i}") for i, r in enumerate(radii)])
     rungs = F.array(*[F.col(f"r{i}") for i in range(len(radii))])
     good = F.filter(rungs, lambda x: (x["corn"] >= need) & (x["soybeans"] >= need))
     pick = F.when(F.size(good) > 0, good[0]).otherwise(rungs[len(radii) - 1])

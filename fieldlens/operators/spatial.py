@@ -150,6 +150,88 @@ def nearest_any(left: DataFrame, right: DataFrame, candidate: str,
     return left.join(found, ["lat", "lng"], "left")
 
 
+# ---- counts in a circle -----------------------------------------------------------------
+
+#: Cells across a radius, and levels of a row's pyramid: a cell of level k is 2^k columns wide.
+ACROSS, LEVELS = 16, 5
+
+
+def _runs(first: Column, last: Column, n: Column) -> Column:
+    """Columns first to last of a row of n that closes on itself, as one or two runs (a, b) inside it."""
+    size = F.least(last - first + 1, n)
+    a = F.pmod(first, n)
+    run = lambda x, y: F.struct(x.cast("long").alias("a"), y.cast("long").alias("b"))
+    return (F.when(size <= 0, F.array().cast("array<struct<a:bigint,b:bigint>>")).when(a + size <= n, F.array(run(a, a + size - 1)))
+            .otherwise(F.array(run(a, n - 1), run(F.lit(0), a + size - 1 - n))))
+
+
+def _dyadic(a: Column, b: Column) -> Column:
+    """Pyramid cells (level, i) that make up columns a to b, a few a level: what the next level leaves at either end."""
+    none = F.array().cast("array<struct<level:int,i:bigint>>")
+    ends = [(F.floor((a + (1 << k) - 1) / (1 << k)), F.floor((b + 1) / (1 << k))) for k in range(LEVELS + 1)]
+
+    def cells(k, x, y):
+        return F.when(x < y, F.transform(F.sequence(x, y - 1), lambda i: F.struct(F.lit(k).alias("level"), i.cast("long").alias("i")))).otherwise(none)
+    out = [cells(LEVELS, *ends[LEVELS])]
+    for k in range(LEVELS):
+        (low, high), (up, down) = ends[k], ends[k + 1]
+        out.append(F.when(up < down, F.concat(cells(k, low, 2 * up), cells(k, 2 * down, high))).otherwise(cells(k, low, high)))
+    return F.concat(*out)
+
+
+def counts_within(spots: DataFrame, points: DataFrame, radius_m: float, weight: str, by: list[str]) -> DataFrame:
+    """(lat, lng, *by, n): how much weight of points(lat, lng, weight, *by) lies within the radius of each of spots(lat, lng).
+
+    The globe is cut into rows of cells about a sixteenth of the radius high. In each row a circle
+    holds a run of whole cells, whose counts come from the row's pyramid, a few rows a run however many
+    points they hold; only points of the cells its line crosses are measured one by one. The distance to a cell is
+    greatest at a corner, which says what is whole. Spots with nothing near give no row.
+    """
+    step = radius_m / ACROSS
+    height, reach = step / M_PER_DEGREE, radius_m / HAVERSINE_RADIUS_M
+    slack = 1e-9                                           # degrees of longitude: far above rounding
+    lat, lng = F.col("lat"), F.col("lng")
+    band = _band(lat, step)
+    held = points.where(lat.isNotNull() & lng.isNotNull()).withColumn("band", band.cast("long"))
+    held = held.withColumn("col", F.pmod(F.floor((lng + 180.0) / 360.0 * _columns_in_band(F.col("band"), step)), _columns_in_band(F.col("band"), step)).cast("long"))
+    pyramid = (held.select(*by, "band", "col", weight, F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
+               .groupBy(*by, "band", "level", F.expr("shiftright(col, level)").alias("i")).agg(F.sum(weight).alias("w")))
+
+    rows = spots.select("lat", "lng").where(lat.isNotNull() & lng.isNotNull()).distinct()
+    tall = math.degrees(reach) * (1 + 1e-9) + 1e-12
+    rows = rows.withColumn("band", F.explode(F.sequence(F.floor((F.greatest(lat - tall, F.lit(-90.0)) + 90.0) / height), F.floor((F.least(lat + tall, F.lit(90.0)) + 90.0) / height))))
+    p, low, high = F.radians("lat"), F.radians(F.greatest(F.col("band") * height - 90.0, F.lit(-90.0))), F.radians(F.least((F.col("band") + 1) * height - 90.0, F.lit(90.0)))
+
+    def half_width(edge: Column) -> Column:
+        """Degrees of longitude to either side at which a parallel meets the circle; null where it does not."""
+        room = math.sin(reach / 2) ** 2 - F.pow(F.sin((edge - p) / 2), 2)
+        s = room / F.greatest(F.cos(p) * F.cos(edge), F.lit(1e-15))
+        return F.when(room >= 0, F.when(s >= 1, 180.0).otherwise(2 * F.degrees(F.asin(F.sqrt(F.least(s, F.lit(1.0)))))))
+    pole = F.abs(p) + reach >= math.pi / 2 - 1e-9
+    widest = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(p) / math.cos(reach))))
+    bulge = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / F.greatest(F.cos(p), F.lit(1e-15)))))
+    rows = rows.withColumns({"n": _columns_in_band(F.col("band"), step), "w0": half_width(low), "w1": half_width(high)}).withColumns({
+        "out": F.when(pole, 180.0).otherwise(F.greatest(F.coalesce("w0", F.lit(0.0)), F.coalesce("w1", F.lit(0.0)), F.when(
+            (widest >= low - 1e-9) & (widest <= high + 1e-9), bulge).otherwise(0.0))) + slack,
+        "ins": F.when(~pole, F.least(F.when(F.col("w0").isNotNull(), F.col("w1")), F.col("w0")) - slack)})
+    at = lambda x: (x + 180.0) / 360.0 * F.col("n")
+    rows = rows.withColumns({"o1": F.floor(at(lng - F.col("out"))), "o2": F.floor(at(lng + F.col("out"))),
+                             "i1": F.ceil(at(lng - F.col("ins"))), "i2": F.floor(at(lng + F.col("ins"))) - 1})
+    # outside and inside runs of a row narrower than its circle; else all its columns are measured
+    whole = F.col("ins").isNotNull() & (F.col("w0").isNotNull() & F.col("w1").isNotNull()) & (F.col("i1") <= F.col("i2")) & (F.col("o2") - F.col("o1") + 1 <= F.col("n"))
+    rows = rows.withColumn("whole", whole)
+    inside = rows.where("whole").select("lat", "lng", "band", F.explode(_runs(F.col("i1"), F.col("i2"), F.col("n"))).alias("r"))
+    inside = inside.select("lat", "lng", "band", F.explode(_dyadic(F.col("r.a"), F.col("r.b"))).alias("c")).select("lat", "lng", "band", "c.level", "c.i")
+    summed = inside.join(pyramid, ["band", "level", "i"]).groupBy("lat", "lng", *by).agg(F.sum("w").alias("n"))
+    line = F.when(F.col("whole"), F.concat(_runs(F.col("o1"), F.col("i1") - 1, F.col("n")), _runs(F.col("i2") + 1, F.col("o2"), F.col("n")))).otherwise(
+        _runs(F.col("o1"), F.col("o2"), F.col("n")))
+    line = rows.select("lat", "lng", "band", F.explode(line).alias("r")).select("lat", "lng", "band", F.explode(F.sequence("r.a", "r.b")).alias("col"))
+    near = line.join(held.select(*by, "band", "col", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.col(weight).alias("_w")), ["band", "col"])
+    near = near.where(geo.haversine_m(lat, lng, F.col("_lat"), F.col("_lng")) <= radius_m)
+    measured = near.groupBy("lat", "lng", *by).agg(F.sum("_w").alias("n"))
+    return summed.unionByName(measured).groupBy("lat", "lng", *by).agg(F.sum("n").alias("n"))
+
+
 # ---- boxes and polygons -------------------------------------------------------------
 
 def box_cells(west: Column, south: Column, east: Column, north: Column, step: float) -> Column:

@@ -367,3 +367,61 @@ def test_thinning_rounds_follow_tiles_not_cells(spark, monkeypatch):
     strip = spark.range(1500).selectExpr("1 as grid_id", "cast(id as int) as c", "3 as r")
     assert {r.c for r in raster.spaced(strip, 6, 128).collect()} == set(range(0, 1500, 6))
     assert len(rounds) <= 2 * 12 + 1
+
+
+# ---- counts in a circle -----------------------------------------------------------------
+
+@pytest.mark.parametrize("centre,radius", [((44.0, -90.0), 2000.0), ((0.0, 0.0), 10_000.0), ((-33.0, 179.999), 5000.0), ((89.97, 10.0), 10_000.0), ((-89.999, 50.0), 2000.0),
+                                           ((60.0, -180.0), 10_000.0), ((71.0, 20.0), 300_000.0)])
+def test_counts_within_equal_measuring_every_pair(spark, centre, radius):
+    rng = random.Random(str(centre))
+    tall = 1.6 * radius / 111_000
+    wide = min(179.0, tall / max(1e-6, math.cos(math.radians(centre[0]))))
+    def spot():
+        return max(-90.0, min(90.0, centre[0] + rng.uniform(-tall, tall))), (centre[1] + rng.uniform(-wide, wide) + 540) % 360 - 180
+    targets, places = [spot() for _ in range(12)], [spot() for _ in range(1500)]
+    places += targets[:3] + [places[0]] * 2 + [(centre[0], centre[1])]
+    kinds = ["corn", "oats"]
+    pts = spark.createDataFrame([(*p, k % 3 + 1, kinds[k % 2]) for k, p in enumerate(places)] + [(None, 1.0, 5, "corn")], "lat double, lng double, w int, kind string")
+    left = spark.createDataFrame(targets + targets[:2] + [(None, 0.0)], "lat double, lng double")
+    got = {(r.lat, r.lng, r.kind): r.n for r in spatial.counts_within(left, pts, radius, "w", ["kind"]).collect()}
+    want = {}
+    for t in targets:
+        for k, p in enumerate(places):
+            if metres(t, p) <= radius:
+                key = (*t, kinds[k % 2])
+                want[key] = want.get(key, 0) + k % 3 + 1
+    assert got == want and want
+
+
+def test_counts_within_look_at_few_points(spark):
+    """Of 40,000 points inside the circle the plan measures those near its line; the rest are summed by cells."""
+    from fieldlens.functions import geo
+    points_ = spark.range(40_000).selectExpr("44 + (id % 200 - 100) * 0.0004 as lat", "-90 + (floor(id / 200) - 100) * 0.0006 as lng", "1 as w").cache()
+    target = spark.createDataFrame([(44.0, -90.0)], "lat double, lng double")
+    out = spatial.counts_within(target, points_, 6000.0, "w", [])
+    n = out.first()["n"]
+    want = points_.where(geo.haversine_m(F.lit(44.0), F.lit(-90.0), F.col("lat"), F.col("lng")) <= 6000.0).count()
+    assert n == want and want > 30_000
+    seen = joined_rows(out)
+    assert seen and max(seen) < 0.35 * want
+
+
+def joined_rows(df):
+    """Rows each join of a run of df gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if "Join" in node.nodeName():
+            metric = node.metrics().get("numOutputRows")
+            out.append(metric.get().value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
