@@ -106,7 +106,7 @@ WALK_MPS = 0.9
 FORECAST_TTL_MINUTES = 45
 SCAN_TTL_DAYS = 5
 
-# Parcel land-class codes
+# ---- fixed values: parcels and radar ------------------------------------------------
 PARCEL_CLASSES = {"1": "residential", "2": "commercial", "3": "manufacturing",
                   "4": "agricultural", "5": "undeveloped", "5M": "agricultural forest",
                   "6": "productive forest", "7": "other", "8": "tax-exempt"}
@@ -154,3 +154,12 @@ STRAY_M = 40.0
 
 # ---- fixed values: contours ---------------------------------------------------------
 CONTOUR_STEPS_FT = [1, 2, 5, 10, 20, 40, 100]     # goes on as 200, 500, 1000, ... for more relief
+
+# ---- fixed values: words of land-cover categories and the crop kind they tell, first match wins
+CROP_WORDS = [("corn", "corn"), ("soybean", "soybeans"), ("alfalfa", "alfalfa"), ("winter wheat", "winter-wheat"), ("oats", "oats"), ("clover", "clover"),
+              ("turnip", "brassicas"), ("radish", "brassicas"), ("canola", "brassicas"), ("rape seed", "brassicas"), ("mustard", "brassicas"),
+              ("grass", "pasture"), ("pasture", "pasture"), ("hay", "pasture"), ("fallow", "pasture"), ("sod", "pasture")]
+
+# ---- fixed values: words of a season phase and the advice that goes with it, first match wins
+SIT_ADVICE = [("best week", "sit all day"), ("seeking", "sit all day"), ("closing", "hunt the doe groups"), ("transition", "hunt tight to cover"),
+              ("Late season", "hunt the best feed in the afternoon"), ("recovery", "hunt the best feed in the afternoon")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldlens.constants import THERMAL_BANDS
+from fieldlens.constants import SIT_ADVICE, THERMAL_BANDS
 from fieldlens.functions.num import wrap360
 
 
@@ -29,9 +29,9 @@ def thermal(slope: Column, aspect: Column, window: Column) -> Column:
 
 
 def sit_advice(phase: Column) -> Column:
-    return (F.when(phase.rlike("best week|seeking"), "sit all day").when(phase.rlike("closing"), "hunt the doe groups")
-            .when(phase.rlike("transition"), "hunt tight to cover")
-            .when(phase.rlike("Late season|recovery"), "hunt the best feed in the afternoon"))
+    """Advice for a season phase: that of the first known word in it."""
+    known = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(advice).alias("advice")) for word, advice in SIT_ADVICE])
+    return F.get(F.filter(known, lambda k: F.contains(phase, k["word"])), F.lit(0))["advice"]
 
 
 # fixed values: weather codes to words

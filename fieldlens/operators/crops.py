@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldlens.constants import (CURVE_STEP_DAYS, CUT_DROP, CUT_LEVEL, FAST_DAYS, MAX_SHIFT_DAYS,
+from fieldlens.constants import (CROP_WORDS, CURVE_STEP_DAYS, CUT_DROP, CUT_LEVEL, FAST_DAYS, MAX_SHIFT_DAYS,
                                  MIN_CLEAR_PIXELS, MIN_REFERENCE_FIELDS, PERSISTENT_CROPS,
                                  PRIOR_WEIGHT, SEARCH_RADII_M, SHIFT_PENALTY, STANDING_FRACTION,
                                  UNUSABLE_SCENE_CLASSES)
@@ -167,13 +167,9 @@ def rotation_prior(history: DataFrame, key: str = "field_id") -> DataFrame:
 
 
 def crop_guess(category: Column) -> Column:
-    """Land-cover category text to a crop kind."""
-    c = F.lower(category)
-    return (F.when(c.contains("corn"), "corn").when(c.contains("soybean"), "soybeans")
-            .when(c.contains("alfalfa"), "alfalfa").when(c.contains("winter wheat"), "winter-wheat")
-            .when(c.contains("oats"), "oats").when(c.contains("clover"), "clover")
-            .when(c.rlike("turnip|radish|canola|rape seed|mustard"), "brassicas")
-            .when(c.rlike("grass|pasture|hay|fallow|sod"), "pasture"))
+    """Land-cover category text to a crop kind: that of the first known word in it."""
+    known = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(kind).alias("kind")) for word, kind in CROP_WORDS])
+    return F.get(F.filter(known, lambda k: F.contains(F.lower(category), k["word"])), F.lit(0))["kind"]
 
 
 def zonal_ndvi(pixels: DataFrame, fields: DataFrame, step: float = 0.01) -> DataFrame:
@@ -262,24 +258,26 @@ def fields_due(fields: DataFrame, scans: DataFrame, now: Column, ttl_days: int)
 def thin_scenes(scenes: DataFrame, keep: int, key: str = "field_id") -> DataFrame:
     """About `keep` scenes per field, evenly spread, the clearest near each even mark.
 
-    scenes(field, scene_id, date, cloud). A season's scenes of one tile are limited by the
-    satellite's revisits, so a field's list is short enough to fold in one expression.
+    scenes(field, scene_id, date, cloud). Marks are joined to the scenes around them and ask for
+    the clearest one, then the nearest; a scene asked for by several goes to the earliest mark, and the
+    others ask for their next best, round by round, until none is turned away. Fields of no more
+    scenes keep them all.
     """
-    lists = scenes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
-        "date", "scene_id", F.coalesce("cloud", F.lit(100.0)).alias("cloud")))).alias("s"))
-    n = F.size("s")
-
-    def pick(taken, i):
-        mark = (n - 1) * (i / float(keep - 1))
-        low = F.greatest(F.lit(0), F.floor(mark).cast("int") - 1)
-        high = F.least(n, F.ceil(mark).cast("int") + 2) - 1
-        free = F.filter(F.sequence(low, high), lambda j: ~F.array_contains(taken, j))
-        ranked = F.transform(free, lambda j: F.struct(
-            F.get(F.col("s"), j)["cloud"].alias("c"), F.abs(j - mark).alias("g"), j.alias("j")))
-        return F.when(F.size(ranked) > 0, F.array_append(taken, F.array_min(ranked)["j"])).otherwise(taken)
-
-    chosen = F.aggregate(F.sequence(F.lit(0), F.lit(keep - 1)), F.array().cast("array<int>"), pick)
-    every = F.sequence(F.lit(0), n - 1)
-    kept = lists.withColumn("keep", F.when(n <= keep, every).otherwise(chosen))
-    return kept.select(key, F.explode(F.array_sort("keep")).alias("at"), "s").select(
-        key, F.get(F.col("s"), F.col("at"))["scene_id"].alias("scene_id"))
+    by_date = W.partitionBy(key).orderBy("date", "scene_id")
+    placed = cut_lineage(scenes.select(key, "scene_id", "date", F.coalesce("cloud", F.lit(100.0)).alias("cloud"))
+                         .withColumns({"j": F.row_number().over(by_date) - 1, "n": F.count("*").over(W.partitionBy(key))}))
+    marks = (placed.where(F.col("n") > keep).select(key, "n").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(keep - 1))))
+             .withColumn("mark", (F.col("n") - 1) * (F.col("k") / float(keep - 1))))
+    around = marks.withColumn("j", F.explode(F.sequence((F.floor("mark") - 1).cast("int"), (F.ceil("mark") + 1).cast("int"))))
+    wish = F.struct("cloud", F.abs(F.col("j") - F.col("mark")).alias("gap"), "j").alias("wish")
+    open_ = cut_lineage(around.join(placed.select(key, "j", "cloud"), [key, "j"]).select(key, "k", wish))
+    while True:
+        asked = cut_lineage(open_.groupBy(key, "k").agg(F.min("wish").alias("wish")))
+        given = asked.groupBy(key, F.col("wish.j").alias("j")).agg(F.min("k").alias("first"))
+        refused = cut_lineage(asked.withColumn("j", F.col("wish.j")).join(given, [key, "j"]).where(F.col("k") != F.col("first")).select(key, "k", "wish"))
+        if refused.isEmpty():
+            break
+        open_ = cut_lineage(open_.join(refused, [key, "k", "wish"], "left_anti"))
+    chosen = asked.select(key, F.col("wish.j").alias("j"))
+    return (placed.where(F.col("n") <= keep).select(key, "scene_id")
+            .unionByName(placed.join(chosen, [key, "j"]).select(key, "scene_id")))

@@ -9,6 +9,7 @@ generator seeded by (seed, block), so a retried task repeats its draws.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,51 @@ def _mid(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts + (counts + 1) / 2.0
 
 
+def _log_gamma_step(a: float, d: float) -> float:
+    """ln gamma(a + d) - ln gamma(a), without the loss of digits that two large values would bring."""
+    if min(a, a + d) < 100:
+        return math.lgamma(a + d) - math.lgamma(a)
+    series = lambda x: (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    return (a + d - 0.5) * math.log1p(d / a) + d * math.log(a) - d + series(a + d) - series(a)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` from an urn are good, for urns of any size.
+
+    The generator's own method stops at 10**9. Beyond it a value is drawn from under a hat around
+    the mode (ratio of uniforms) and kept with the exact ratio of its chance to the mode's.
+    """
+    total = good + bad
+    if total < 10 ** 9:
+        return int(rng.hypergeometric(good, bad, draws))
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+    mean = draws * good / total
+    spread = math.sqrt(max(mean * (bad / total) * ((total - draws) / (total - 1)), 0.0) + 0.5)
+    centre, width = mean + 0.5, 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u = 1.0 - rng.random()
+        x = math.floor(centre + width * (rng.random() - 0.5) / u)
+        if low <= x <= high:
+            d = x - mode
+            chance = -(_log_gamma_step(mode + 1, d) + _log_gamma_step(good - mode + 1, -d) + _log_gamma_step(draws - mode + 1, -d)
+                       + _log_gamma_step(bad - draws + mode + 1, d))
+            if 2 * math.log(u) <= chance:
+                return x
+
+
+def multivariate(rng: np.random.Generator, counts: np.ndarray, draws: int) -> np.ndarray:
+    """Draws without replacement from kinds of the given counts, kind by kind."""
+    out, left = np.zeros(len(counts), np.int64), int(counts.sum())
+    for i, here in enumerate(counts.tolist()):
+        left -= here
+        out[i] = hypergeometric(rng, here, left, int(draws))
+        draws -= out[i]
+    return out
+
+
 def permutation_p(sits: DataFrame, iterations: int = ITERATIONS, seed: int = 1) -> DataFrame:
     """One row {rho, p}: chance of a rank correlation this strong when counts are shuffled.
 
@@ -63,7 +109,7 @@ def permutation_p(sits: DataFrame, iterations: int = ITERATIONS, seed: int = 1)
                 for _ in range(r.start, r.stop):
                     left, cross = cols.copy(), 0.0
                     for i in range(len(rows) - 1):
-                        took = rng.multivariate_hypergeometric(left, rows[i], method="marginals")
+                        took = multivariate(rng, left, rows[i])
                         cross += a[i] * (took * b).sum()
                         left = left - took
                     cross += a[-1] * (left * b).sum()

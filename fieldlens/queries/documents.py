@@ -70,16 +70,7 @@ def document_blanks(b):
                       F.array_join("candidates", ",").alias("candidates"))
 
 
-@query("document_redaction", sql="""
-SELECT CAST(s_suppkey AS VARCHAR) AS camera_id, count(*) AS leaves, count(*) AS masked FROM supplier, (SELECT unnest(range(1))) GROUP BY 1""")
-def document_redaction(b):
-    leaves = documents.leaf_table(camera_documents(b), "camera_id").where(F.col("path") == "id")
-    shown = leaves.withColumn("shown", documents.redacted(F.col("path"), F.col("value")))
-    return shown.groupBy("camera_id").agg(F.count("*").alias("leaves"),
-                                          F.count_if(F.col("shown").rlike('^"#+"$')).alias("masked"))
-
-
-@query("document_redaction_leaves", sql="""
+_SHOWN = """
 WITH s AS (SELECT *, CAST(s_suppkey AS VARCHAR) AS k, s_suppkey % 6 <> 0 AS placed FROM supplier), f AS (SELECT s.*, i, 'status.coordinates[' || i || ']' AS spot,
   CASE WHEN i = 0 THEN '2024-01-10T00:00:00Z' WHEN s_suppkey % 2 = 1 THEN '2024-01-12T00:00:00Z' ELSE '2024-01-02T00:00:00Z' END AS t,
   CASE WHEN i = 1 AND s_suppkey % 4 = 1 THEN 'a' ELSE '#' END AS hash,
@@ -105,7 +96,18 @@ leaf AS (
   UNION ALL SELECT k, 'subscriptions[0].photoCount', CAST(s_suppkey * 3 % 900 AS VARCHAR) FROM s
   UNION ALL SELECT k, 'subscriptions[0].photoLimit', '250' FROM s WHERE s_suppkey % 4 <> 0
   UNION ALL SELECT k, 'link.heartbeat', '"2024-01-19 08:00:00"' FROM s WHERE s_suppkey % 7 = 0)
-SELECT k AS camera_id, path, shown FROM leaf""")
+SELECT k AS camera_id, path, shown FROM leaf"""
+
+
+@query("document_redaction", sql=f"""
+SELECT camera_id, count(*) AS leaves, CAST(count(*) FILTER (WHERE regexp_matches(shown, '#|<number')) AS BIGINT) AS masked FROM ({_SHOWN}) GROUP BY 1""")
+def document_redaction(b):
+    """How many leaves each document has, and how many of them are masked."""
+    return document_redaction_leaves(b).groupBy("camera_id").agg(
+        F.count("*").alias("leaves"), F.count_if(F.col("shown").rlike("#|<number")).alias("masked"))
+
+
+@query("document_redaction_leaves", sql=_SHOWN)
 def document_redaction_leaves(b):
     """Every leaf of every document as it is shown."""
     leaves = documents.leaf_table(camera_documents(b), "camera_id")

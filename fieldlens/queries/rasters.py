@@ -224,5 +224,5 @@ def elevation_at_points(b):
 
 @query("grid_pack_round_trip", needs=("cell",), sql="SELECT grid_id, c, r, round(z, 6) AS z FROM cell")
 def grid_pack_round_trip(b):
-    packed = grid_source.pack_rows(b.elevation_cells())
+    packed = grid_source.pack_rows(b.elevation_cells(), b.elevation_grids())
     return grid_source.explode_rows(packed).withColumn("z", round6("z"))

@@ -36,14 +36,14 @@ def explode_grids(grids: DataFrame) -> DataFrame:
                        F.when(~F.isnan("z"), F.col("z")).alias("z"))
 
 
-def pack_rows(cells: DataFrame) -> DataFrame:
+def pack_rows(cells: DataFrame, grids: DataFrame) -> DataFrame:
     """Cells to one array per grid row: (grid_id, r, z), a null for every cell that is absent.
 
-    An array is as long as its grid is wide, so a grid of any size is spread over its rows.
+    grids(grid_id, cols, rows) says how large a grid is, so absent columns and rows at its edges
+    are there too. An array is as long as its grid is wide; a grid of any size is spread over its rows.
     """
-    size = cells.groupBy("grid_id").agg(F.max("c").alias("last_c"), F.max("r").alias("last_r"))
-    spine = (size.withColumn("r", F.explode(F.sequence(F.lit(0), "last_r")))
-             .select("grid_id", "r", F.explode(F.sequence(F.lit(0), "last_c")).alias("c")))
+    spine = (grids.select("grid_id", "cols", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("r"))
+             .select("grid_id", "r", F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)).alias("c")))
     full = spine.join(cells.select("grid_id", "r", "c", "z"), ["grid_id", "r", "c"], "left")
     return full.groupBy("grid_id", "r").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("c", "z"))), lambda x: x["z"]).alias("z"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlens.operators import gates, chunked, counters, crops, exposure, frames, journal, orderstat, randomise, tracks
+from fieldlens.operators import chunked, counters, crops, exposure, frames, gates, journal, orderstat, randomise, tracks
 from fieldlens.operators.visits import assign_visits, carry_reviews, grouping_counts, visits
 
 T0 = dt.datetime(2024, 1, 1)
@@ -401,3 +402,30 @@ def test_constant_sky_does_not_raise_pairs(spark, monkeypatch):
     got = {r.photo_id: r.bits for r in frames.empty_matches(df, right.withColumnRenamed("b", "phash")).collect()}
     least = [min((x ^ y).bit_count() for y in base) for x in shots]
     assert got == {k: (n if n <= 12 else None) for k, n in enumerate(least)}
+
+
+# ---- draws from urns of any size ---------------------------------------------------------
+
+def test_draws_from_large_urns_follow_their_law():
+    """Mean and spread of draws from urns of 3 * 10**9, and the step of ln gamma against its sum of logarithms."""
+    rng = np.random.default_rng(5)
+    for a, d in [(3e9, 7.0), (1e12, -2000.0), (150.0, 3.0)]:
+        assert randomise._log_gamma_step(a, d) == pytest.approx(sum(math.log(a + i) for i in range(int(d))) if d > 0 else -sum(math.log(a - i) for i in range(1, int(-d) + 1)), rel=1e-12)
+    for good, bad, draws in [(2 * 10**9, 10**9, 10**9), (40, 3 * 10**9, 10**9), (3 * 10**9, 25, 2 * 10**9), (10**9, 2 * 10**9, 30)]:
+        got = np.array([randomise.hypergeometric(rng, good, bad, draws) for _ in range(4000)], float)
+        n = good + bad
+        mean, var = draws * good / n, draws * (good / n) * (bad / n) * (n - draws) / (n - 1)
+        assert abs(got.mean() - mean) < 5 * math.sqrt(var / 4000) and abs(got.var() / var - 1) < 0.15
+    took = randomise.multivariate(rng, np.array([10**9, 2 * 10**9, 5, 0]), 2 * 10**9)
+    assert took.sum() == 2 * 10**9 and (took <= [10**9, 2 * 10**9, 5, 0]).all() and randomise.hypergeometric(rng, 3 * 10**9, 0, 7) == 7
+
+
+def test_permutation_of_three_billion_sits(spark, monkeypatch):
+    """Counts stand for the sits: 3 * 10**9 of them, with a link between rating and deer, and without."""
+    def chance(more):
+        rows = [(x, y, 10**8 + (more if x == y else 0)) for x in range(5) for y in range(6)]
+        return randomise.permutation_p(spark.createDataFrame(rows, "x bigint, y bigint, m bigint"), 60).first()
+    monkeypatch.setattr(randomise, "contingency", lambda sits: sits)
+    assert chance(10**5)["p"] < 0.02
+    even = chance(0)
+    assert even is None or even["p"] > 0.02

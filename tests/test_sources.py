@@ -222,12 +222,14 @@ def test_insert_keeps_the_first_arrival(spark):
     assert {tuple(r) for r in store.insert_new(held, sent, "name", "seq").collect()} == {("a", 1), ("n", 9)}
 
 
-def test_an_absent_cell_moves_no_other(spark):
+def test_absent_cells_move_no_other_and_edges_come_back(spark):
     from fieldlens.sources import grids
-    cells = {(1, c, r): float(10 * c + r) for c in range(3) for r in range(3) if (c, r) != (1, 0)}
+    cells = {(1, c, r): float(10 * c + r) for c in range(3) for r in range(3) if (c, r) != (1, 0) and c != 2 and r != 2} | {(2, 0, 0): 1.0}
     df = spark.createDataFrame([(*k, z) for k, z in cells.items()], "grid_id bigint, c int, r int, z double")
-    back = {(x.grid_id, x.c, x.r): x.z for x in grids.explode_rows(grids.pack_rows(df)).collect()}
-    assert back == cells | {(1, 1, 0): None}
+    sizes = spark.createDataFrame([(1, 3, 3), (2, 2, 1), (3, 1, 2)], "grid_id bigint, cols int, rows int")
+    back = {(x.grid_id, x.c, x.r): x.z for x in grids.explode_rows(grids.pack_rows(df, sizes)).collect()}
+    whole = [(g, c, r) for g, cols, rows in [(1, 3, 3), (2, 2, 1), (3, 1, 2)] for c in range(cols) for r in range(rows)]
+    assert back == {k: cells.get(k) for k in whole}
 
 
 def test_every_camera_answers_every_question(spark):
