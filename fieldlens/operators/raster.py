@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlens.constants import CONTOUR_STEPS_FT, FEET_PER_METRE
@@ -414,18 +415,47 @@ def contour_segments(cells: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def contour_lines(segments: DataFrame) -> DataFrame:
-    """Pieces joined end to end: adds `line_id`, shared by the pieces of one line.
+    """Pieces joined end to end: adds `line_id`, the `position` of a piece in its line from 1, and whether it runs from b to a there.
 
-    Ends meet on seven decimals; the stitched line is a connected component of pieces.
+    Ends meet on seven decimals, two and two in cell order where more than two do. A line starts at the lesser
+    of its open ends; a closed one is cut at its least end. Places come from ranking the chain of pieces in
+    both directions by pointer doubling, so a line may be of any length.
     """
-    def key(p):
+    def spot(p):
         return F.concat_ws("/", F.col("grid_id").cast("string"), F.format_string("%.7f", F.col("level")),
                            F.format_string("%.7f", p["x"]), F.format_string("%.7f", p["y"]))
 
-    ends = segments.withColumns({"ka": key(F.col("a")), "kb": key(F.col("b"))})
-    nodes = ends.select(F.col("ka").alias("id")).unionByName(ends.select(F.col("kb").alias("id"))).distinct()
-    comps = connected_components(nodes, ends.select(F.col("ka").alias("src"), F.col("kb").alias("dst")))
-    return ends.join(comps.select(F.col("id").alias("ka"), F.col("component").alias("line_id")), "ka").drop("ka", "kb")
+    pid = F.concat_ws("/", F.col("grid_id").cast("string"), F.format_string("%.7f", F.col("level")), F.format_string("%09d", F.col("r").cast("long")),
+                      F.format_string("%09d", F.col("c").cast("long")), F.col("piece").cast("string"))
+    pieces = cut_lineage(segments.withColumns({"pid": pid, "ka": spot(F.col("a")), "kb": spot(F.col("b"))}))
+    ends = pieces.select("pid", F.posexplode(F.array("ka", "kb")).alias("side", "key"))
+    slot = F.floor((F.row_number().over(W.partitionBy("key").orderBy("pid", "side")) - 1) / 2)
+    met = (ends.withColumn("slot", slot).groupBy("key", "slot").agg(F.sort_array(F.collect_list(F.struct("pid", "side"))).alias("e")).where(F.size("e") == 2))
+    links = cut_lineage(met.select("key", F.col("e")[0].alias("p"), F.col("e")[1].alias("q")))
+    nodes = pieces.select(F.col("pid").alias("id"))
+    lines = cut_lineage(connected_components(nodes, links.select(F.col("p.pid").alias("src"), F.col("q.pid").alias("dst"))).select(
+        F.col("id").alias("pid"), F.col("component").alias("line_id")))
+    linked = links.withColumn("pid", F.col("p.pid")).join(lines, "pid").drop("pid")
+    size = lines.groupBy("line_id").agg(F.count("*").alias("n"))
+    closed = linked.groupBy("line_id").agg(F.count("*").alias("m"), F.min("key").alias("cut")).join(size, "line_id").where("m = n")
+    first = linked.join(closed.select("line_id", "cut"), "line_id").where(F.col("key") == F.col("cut")).groupBy("line_id").agg(
+        F.min(F.struct("p", "q")).alias("x")).select(F.col("x.p").alias("p"), F.col("x.q").alias("q"))
+    held = links.join(first, ["p", "q"], "left_anti")
+
+    # an arc is a piece walked one way: 0 from a to b, 1 back; it goes on where the next piece is entered
+    arc = lambda pid, way: F.concat_ws("#", pid, way.cast("string"))
+    onward = lambda p, q: held.select(arc(F.col(f"{p}.pid"), 1 - F.col(f"{p}.side")).alias("id"), arc(F.col(f"{q}.pid"), F.col(f"{q}.side")).alias("next"))
+    onward = onward("p", "q").unionByName(onward("q", "p"))
+    arcs = pieces.select("grid_id", "pid", "ka", "kb", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
+    arcs = arcs.select("grid_id", "pid", "way", arc(F.col("pid"), F.col("way")).alias("id"), F.when(F.col("way") == 0, F.col("ka")).otherwise(F.col("kb")).alias("from"))
+    arcs = cut_lineage(arcs.join(onward, "id", "left"))
+    starts = arcs.join(onward.select(F.col("next").alias("id")), "id", "left_anti").join(lines, "pid")
+    chosen = cut_lineage(starts.groupBy("line_id").agg(F.min_by("id", F.struct("from", "id")).alias("start")))
+    begun = arcs.join(chosen.select(F.col("start").alias("id"), F.lit(1).alias("s")), "id", "left").withColumn("s", F.coalesce("s", F.lit(0)).cast("long"))
+    walked = accumulate_downstream(begun.select("grid_id", "id", "next", "s"), ["grid_id"], "s", "sum").where("s = 1").select("grid_id", "id")
+    ones = arcs.join(walked, ["grid_id", "id"], "left_semi").select("grid_id", "id", "next", F.lit(1).cast("long").alias("position"))
+    place = accumulate_downstream(ones, ["grid_id"], "position", "sum").join(arcs.select("grid_id", "id", "pid", "way"), ["grid_id", "id"])
+    return (pieces.join(lines, "pid").join(place.select("pid", "position", (F.col("way") == 1).alias("turned")), "pid").drop("pid", "ka", "kb"))
 
 
 def line_summary(lines: DataFrame) -> DataFrame:

@@ -201,6 +201,14 @@ def contour_lines(b):
     return raster.line_summary(raster.contour_lines(raster.contour_segments(cells, raster.contour_steps(cells))))
 
 
+@query("contour_line_pieces")
+def contour_line_pieces(b):
+    """Every piece of every contour line with its place in the line."""
+    cells = b.elevation_cells()
+    lines = raster.contour_lines(raster.contour_segments(cells, raster.contour_steps(cells)))
+    return lines.select("grid_id", round6("level").alias("level"), "line_id", "position", "turned", "c", "r", "piece")
+
+
 @query("elevation_at_points", needs=("cell",), sql="""
 WITH p AS (SELECT c_custkey AS point_id, g, (c_custkey % 230) / 12e0 AS fc, (c_custkey % 190) / 10e0 AS fr FROM (SELECT c_custkey,
     c_custkey % (SELECT max(grid_id) + 1 FROM cell) AS g FROM customer)),

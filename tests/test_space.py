@@ -425,3 +425,26 @@ def joined_rows(df):
         kids = node.children()
         todo += [kids.apply(i) for i in range(kids.size())]
     return out
+
+
+# ---- contour lines in order -------------------------------------------------------------
+
+def test_pieces_of_contour_lines_follow_each_other(spark):
+    """Every line is walked once from end to end: closed rings, lines cut off by the edge, several levels and grids."""
+    rng = random.Random(3)
+    hills = {1: lambda c, r: 30 - math.hypot(c - 9, r - 8), 2: lambda c, r: 3 * math.sin(c / 2.3) + 2 * math.cos(r / 1.7) + 0.01 * rng.random(), 3: lambda c, r: c * 1.03 + 0.2}
+    cells = spark.createDataFrame([(g, c, r, float(f(c, r))) for g, f in hills.items() for c in range(20) for r in range(18)], "grid_id bigint, c int, r int, z double")
+    segments = raster.contour_segments(cells, raster.contour_steps(cells))
+    rows = raster.contour_lines(segments).collect()
+    assert len(rows) == segments.count()
+    by_line = {}
+    for x in rows:
+        a, b = ((round(p.x, 6), round(p.y, 6)) for p in ((x.b, x.a) if x.turned else (x.a, x.b)))
+        by_line.setdefault(x.line_id, []).append((x.position, a, b, x.grid_id, x.level))
+    closed = 0
+    for line in by_line.values():
+        line.sort()
+        assert [p[0] for p in line] == list(range(1, len(line) + 1)) and len({p[3:] for p in line}) == 1
+        assert all(one[2] == other[1] for one, other in zip(line, line[1:]))
+        closed += line[0][1] == line[-1][2]
+    assert 0 < closed < len(by_line)
