@@ -87,6 +87,16 @@ def top_plan(b):
     return out.select(F.col("day").cast("string").alias("day"), "window", "total")
 
 
+@query("plan_leading_parts", needs=("sitscore",), sql="""
+SELECT location_id, CAST(day AS VARCHAR) AS day, "window", array_to_string(list_transform(list_filter([sp, tp, dp, wp, rp, -cut], lambda x: abs(x) >= 3)[1:3],
+  lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS leading FROM sitscore""")
+def plan_leading_parts(b):
+    """The first three parts of every sit's score that weigh three points or more."""
+    parts = planner.leading_parts(F.col("parts"))
+    points = F.array_join(F.transform(parts, lambda p: p["points"].cast("string")), ",")
+    return _scored(b).select("location_id", F.col("day").cast("string").alias("day"), "window", points.alias("leading"))
+
+
 NOW_MS = 1713182400000                    # 2024-04-15T12:00:00Z
 table_sql("clocked", """SELECT *, epoch_us(CAST(day AS TIMESTAMP)) / 1000e0 + CASE "window" WHEN 'AM' THEN 5 ELSE 14 END * 3600000e0 AS starts_ms,
   epoch_us(CAST(day AS TIMESTAMP)) / 1000e0 + CASE "window" WHEN 'AM' THEN 10 ELSE 18 END * 3600000e0 AS ends_ms FROM sitscore""", ("sitscore",))
