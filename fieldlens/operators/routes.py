@@ -20,8 +20,13 @@ def route_points(routes: DataFrame) -> DataFrame:
 
 
 def points_near_targets(routes: DataFrame, targets: DataFrame, reach_m: float = CONE_REACH_M) -> DataFrame:
-    """Route points with every target in reach and the bearing to it: wind-free, reusable."""
-    pairs = near_pairs(route_points(routes), targets, reach_m, ["route_id", "pos"], ["target_id"])
+    """Route points with every target in reach and the bearing to it: wind-free, reusable.
+
+    Targets look up the cells around them, as a route has many points.
+    """
+    pairs = near_pairs(targets, route_points(routes), reach_m, ["target_id"], ["route_id", "pos"])
+    pairs = pairs.select("route_id", "pos", F.col("r_lat").alias("l_lat"), F.col("r_lng").alias("l_lng"), "target_id",
+                         F.col("l_lat").alias("r_lat"), F.col("l_lng").alias("r_lng"), "metres")
     return pairs.withColumn("to_target", geo.bearing_deg(F.col("l_lat"), F.col("l_lng"), F.col("r_lat"), F.col("r_lng")))
 
 
@@ -43,12 +48,11 @@ def assess_routes(routes: DataFrame, hits: DataFrame, winds: DataFrame) -> DataF
 
     routes(route_id, stand_id, points); hits come from `scent_hits`.
     """
-    own = hits.join(routes.select("route_id", F.col("stand_id").alias("target_id")), ["route_id", "target_id"]).select(
-        "route_id", F.col("metres").alias("own_m"))
-    crossed = hits.join(routes.select("route_id", F.col("stand_id").alias("target_id")), ["route_id", "target_id"],
-                        "left_anti").groupBy("route_id").agg(F.count("*").alias("crossed"))
+    mine = F.coalesce(F.col("target_id") == F.col("stand_id"), F.lit(False))
+    met = hits.join(routes.select("route_id", "stand_id"), "route_id").groupBy("route_id").agg(
+        F.min(F.when(mine, F.col("metres"))).alias("own_m"), F.count_if(~mine).alias("crossed"))
     judged = (F.size("points") >= 2) & F.col("stand_id").isNotNull() & F.col("wind_from_deg").isNotNull()
-    return (routes.join(winds, "route_id", "left").join(own, "route_id", "left").join(crossed, "route_id", "left")
+    return (routes.join(winds, "route_id", "left").join(met, "route_id", "left")
             .select("route_id", "stand_id", geo.route_length_m(F.col("points")).alias("length_m"),
                     F.when(judged, F.col("own_m").isNull()).alias("ok"), "own_m",
                     F.coalesce("crossed", F.lit(0)).alias("crossed")))

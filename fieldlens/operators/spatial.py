@@ -65,7 +65,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float,
     """Pairs within the radius. Inputs carry lat, lng; kept columns must not clash.
 
     The result is as large as the number of true pairs: reduce copies at equal
-    coordinates first when only counts or the nearest are wanted.
+    coordinates first when only counts or the nearest are wanted. Spark's size check does not see
+    that a row becomes one a cell, so the join is told to shuffle: no side goes whole to a task.
     """
     a = (left.select(*keep_left, F.col("lat").alias("l_lat"), F.col("lng").alias("l_lng"))
          .where(F.col("l_lat").isNotNull() & F.col("l_lng").isNotNull())
@@ -74,7 +75,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float,
          .where(F.col("r_lat").isNotNull() & F.col("r_lng").isNotNull())
          .withColumn("cell", home_cell(F.col("r_lat"), F.col("r_lng"), radius_m)))
     metres = geo.haversine_m(F.col("l_lat"), F.col("l_lng"), F.col("r_lat"), F.col("r_lng"))
-    return a.join(b, "cell").drop("cell").withColumn("metres", metres).where(F.col("metres") <= radius_m)
+    return a.join(b.hint("merge"), "cell").drop("cell").withColumn("metres", metres).where(F.col("metres") <= radius_m)
 
 
 def sites(points: DataFrame, key: str, *by: str) -> DataFrame:
