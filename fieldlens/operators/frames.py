@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from fieldlens.constants import (MIN_DRIFT_COLS, MIN_FRAMES_SELF, MIN_SUBJECT_BITS, WIND_BITS,
                                  WIND_MIN_BASELINE)
@@ -56,20 +57,39 @@ def bit_orders(base: DataFrame) -> DataFrame:
 
 
 def _banded(rows: DataFrame, orders: DataFrame, depth: int) -> DataFrame:
-    """rows(camera_id, h, key, p0 ..) once a band: key of the bits of one part, p<depth> which part.
+    """rows(camera_id, h, key, p0 ..) once a band: key of the bits of one part (at most 20), p<depth> which part.
 
     Parts are dealt from the bits that the bands chosen before leave out.
     """
-    rest = F.col("order")
-    left_out = lambda part: lambda x, i: i % BANDS != part
-    for d in range(depth):
-        rest = F.filter(rest, left_out(F.col(f"p{d}")))
-    binary = F.array_join(F.transform(F.split(F.substring("h", 4, 64), ""), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
-    held = rows.join(orders, "camera_id").select(*rows.columns, rest.alias("rest"), binary.alias("binary"))
-    of = lambda k: F.array_join(F.transform(F.filter("rest", lambda x, i: i % BANDS == k), lambda p: F.substring(F.col("binary"), p + 1, F.lit(1))), "")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.col("key"), k, of(k)))
-    kept = [c for c in rows.columns if c != "key"]
-    return held.select(*kept, keys.alias("keys")).select(*kept, F.posexplode("keys").alias(f"p{depth}", "key"))
+    names = [c for c in rows.columns if c != "key"]
+    held = rows.join(orders, "camera_id").select(*names, "key", "order")
+    schema = held.drop("order").schema.add("values", ArrayType(LongType()))
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            bits = np.unpackbits(np.frombuffer(b"".join(bytes.fromhex(h[3:]) for h in at["h"].to_pylist()), np.uint8).reshape(-1, 256 // 8), axis=1)
+            bits = np.take_along_axis(bits, at["order"].flatten().to_numpy(zero_copy_only=False).reshape(-1, 256), axis=1)
+            values = np.zeros((batch.num_rows, BANDS), np.int64)
+            chosen = np.zeros((batch.num_rows, depth), np.int64)
+            for d in range(depth):
+                chosen[:, d] = at[f"p{d}"].to_numpy(zero_copy_only=False)
+            for parts in set(map(tuple, chosen.tolist())):
+                mine = np.flatnonzero((chosen == parts).all(axis=1))
+                rest = np.arange(256)
+                for part in parts:
+                    rest = rest[np.arange(len(rest)) % BANDS != part]
+                for k in range(BANDS):
+                    of = rest[k::BANDS]
+                    values[mine, k] = bits[np.ix_(mine, of)].astype(np.int64) @ (1 << np.arange(len(of), dtype=np.int64))
+            spans = pa.array(np.arange(0, values.size + 1, BANDS, dtype=np.int32))
+            out = pa.ListArray.from_arrays(spans, pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*(at[c] for c in (*names, "key")), out], [*names, "key", "values"])
+    part = F.col(f"p{depth}")
+    return (held.mapInArrow(work, schema).select(*names, "key", F.posexplode("values").alias(f"p{depth}", "value"))
+            .select(*names, part, F.xxhash64("key", part, "value").alias("key")))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, orders: DataFrame) -> DataFrame:
@@ -112,7 +132,7 @@ def empty_matches(frames: DataFrame, baseline: DataFrame) -> DataFrame:
     same = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_semi").withColumn(
         "bits", F.lit(0))
     other = distinct.join(known.withColumnRenamed("b", "f"), ["camera_id", "f"], "left_anti")
-    met = candidate_pairs(other, known, cut_lineage(bit_orders(base))).distinct()
+    met = candidate_pairs(other, known, cut_lineage(bit_orders(base)))
     close = (met.withColumns({"fw": hashes.words(F.col("f")), "bw": hashes.words(F.col("b"))}).groupBy("camera_id", "f")
              .agg(F.min(hashes.hamming_words(F.col("fw"), F.col("bw"))).alias("bits"))
              .where(F.col("bits") <= WIND_BITS))

@@ -1,6 +1,8 @@
 """Joins whose sides grow are shuffled; what a task or the driver holds does not grow with the tables."""
 
-from fieldlens.operators import routes, spatial
+import random
+
+from fieldlens.operators import frames, routes, spatial
 
 
 def plan_of(df):
@@ -21,3 +23,26 @@ def test_points_near_targets_are_those_of_all_pairs(spark):
     targets = spark.createDataFrame([(5, 44.0015, -90.0), (6, 0.0, -179.9999)], "target_id long, lat double, lng double")
     got = {(r.route_id, r.pos, r.target_id, round(r.to_target)) for r in routes.points_near_targets(walks, targets).collect()}
     assert got == {(1, 0, 5, 0), (1, 1, 5, 0), (2, 0, 6, 90)}
+
+
+def test_band_keys_are_made_once_a_hash(spark):
+    """No expression a bit (before: conv of every digit once a bit of every band); keys agree just where the bits of a band do."""
+    rng = random.Random(4)
+    values = [rng.getrandbits(256) for _ in range(20)]
+    values += [x ^ (1 << rng.randrange(256)) for x in values]
+    order = list(range(256))
+    rng.shuffle(order)
+    rows = spark.createDataFrame([("c", f"d1:{x:064x}", 0, k % 2) for k, x in enumerate(values)], "camera_id string, h string, key long, p0 int")
+    got = frames._banded(rows, spark.createDataFrame([("c", order)], "camera_id string, order array<int>"), 1)
+    assert "conv(" not in plan_of(got)
+    keys = {(r.h, r.p0, r.p1): r.key for r in got.collect()}
+    assert len(keys) == len(values) * frames.BANDS
+    parts = {}
+    for k, x in enumerate(values):
+        bits = [x >> (255 - p) & 1 for i, p in enumerate(order) if i % frames.BANDS != k % 2]
+        for part in range(frames.BANDS):
+            parts[f"d1:{x:064x}", k % 2, part] = (k % 2, part, tuple(bits[part::frames.BANDS]))
+    for a in parts:
+        for b in parts:
+            if a[1:] == b[1:]:
+                assert (keys[a] == keys[b]) == (parts[a] == parts[b])
