@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from fieldlens.constants import (CROP_WORDS, CURVE_STEP_DAYS, CUT_DROP, CUT_LEVEL, FAST_DAYS, MAX_SHIFT_DAYS,
                                  MIN_CLEAR_PIXELS, MIN_REFERENCE_FIELDS, PERSISTENT_CROPS,
@@ -244,7 +245,7 @@ def tile_with_most_scenes(scenes: DataFrame, key: str = "field_id") -> DataFrame
     """Keep each field's scenes from the imagery tile that has most of them."""
     counts = scenes.groupBy(key, "tile").agg(F.count("*").alias("n"))
     best = counts.groupBy(key).agg(F.max_by("tile", F.struct(F.col("n"), F.col("tile"))).alias("tile"))
-    return scenes.join(best, [key, "tile"], "left_semi")
+    return scenes.join(best.hint("merge"), [key, "tile"], "left_semi")
 
 
 def fields_due(fields: DataFrame, scans: DataFrame, now: Column, ttl_days: int) -> DataFrame:
@@ -258,26 +259,31 @@ def fields_due(fields: DataFrame, scans: DataFrame, now: Column, ttl_days: int)
 def thin_scenes(scenes: DataFrame, keep: int, key: str = "field_id") -> DataFrame:
     """About `keep` scenes per field, evenly spread, the clearest near each even mark.
 
-    scenes(field, scene_id, date, cloud). Marks are joined to the scenes around them and ask for
-    the clearest one, then the nearest; a scene asked for by several goes to the earliest mark, and the
-    others ask for their next best, round by round, until none is turned away. Fields of no more
-    scenes keep them all.
+    scenes(field, scene_id, date, cloud). A mark wants the clearest of the scenes around it, then the
+    nearest; a scene wanted by several goes to the earliest mark and the others take their next best.
+    So marks choose in order, from at most five scenes each: a field's choice is one small array
+    however many scenes it has, and no rows are joined. Fields of no more scenes keep them all.
     """
     by_date = W.partitionBy(key).orderBy("date", "scene_id")
-    placed = cut_lineage(scenes.select(key, "scene_id", "date", F.coalesce("cloud", F.lit(100.0)).alias("cloud"))
-                         .withColumns({"j": F.row_number().over(by_date) - 1, "n": F.count("*").over(W.partitionBy(key))}))
-    marks = (placed.where(F.col("n") > keep).select(key, "n").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(keep - 1))))
-             .withColumn("mark", (F.col("n") - 1) * (F.col("k") / float(keep - 1))))
-    around = marks.withColumn("j", F.explode(F.sequence((F.floor("mark") - 1).cast("int"), (F.ceil("mark") + 1).cast("int"))))
-    wish = F.struct("cloud", F.abs(F.col("j") - F.col("mark")).alias("gap"), "j").alias("wish")
-    open_ = cut_lineage(around.join(placed.select(key, "j", "cloud"), [key, "j"]).select(key, "k", wish))
-    while True:
-        asked = cut_lineage(open_.groupBy(key, "k").agg(F.min("wish").alias("wish")))
-        given = asked.groupBy(key, F.col("wish.j").alias("j")).agg(F.min("k").alias("first"))
-        refused = cut_lineage(asked.withColumn("j", F.col("wish.j")).join(given, [key, "j"]).where(F.col("k") != F.col("first")).select(key, "k", "wish"))
-        if refused.isEmpty():
-            break
-        open_ = cut_lineage(open_.join(refused, [key, "k", "wish"], "left_anti"))
-    chosen = asked.select(key, F.col("wish.j").alias("j"))
-    return (placed.where(F.col("n") <= keep).select(key, "scene_id")
-            .unionByName(placed.join(chosen, [key, "j"]).select(key, "scene_id")))
+    placed = (scenes.select(key, "scene_id", "date", F.coalesce("cloud", F.lit(100.0)).alias("cloud"))
+              .withColumns({"j": F.row_number().over(by_date) - 1, "n": F.count("*").over(W.partitionBy(key))}))
+    j, n = F.col("j"), F.col("n")
+    mark = lambda k: (n - 1) * (k / float(keep - 1))
+    near = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(keep - 1)).cast("int")
+    step = F.lit(float(keep - 1)) / F.greatest(n - 1, F.lit(1))
+    marks = F.filter(F.sequence(near(F.floor((j - 3) * step)), near(F.ceil((j + 3) * step))),
+                     lambda k: (j >= F.floor(mark(k)) - 1) & (j <= F.ceil(mark(k)) + 1))
+    asks = F.transform(marks, lambda k: F.struct(k.alias("k"), "cloud", F.abs(j - mark(k)).alias("gap"), "j", "scene_id"))
+    rows = placed.select(key, "scene_id", F.when(n > keep, asks).alias("asks"))
+    few = rows.where(F.col("asks").isNull()).select(key, "scene_id")
+    wishes = rows.where(F.col("asks").isNotNull()).select(key, F.explode("asks").alias("ask")).groupBy(key).agg(F.sort_array(F.collect_list("ask")).alias("asks"))
+    scene = placed.select(F.struct("j", "scene_id").alias("s")).schema["s"].dataType
+    none = F.struct(F.lit(-1).alias("k"), F.array().cast(ArrayType(scene)).alias("taken"))
+
+    def choose(held, ask):
+        """Wishes come by mark, best first: a mark not served yet takes a scene not taken yet."""
+        took = F.struct(ask["j"].alias("j"), ask["scene_id"].alias("scene_id"))
+        return F.when((ask["k"] > held["k"]) & ~F.exists(held["taken"], lambda x: x["j"] == ask["j"]), F.struct(
+            ask["k"].alias("k"), F.concat(held["taken"], F.array(took)).alias("taken"))).otherwise(held)
+    chosen = wishes.select(key, F.explode(F.aggregate("asks", none, choose)["taken"]).alias("s")).select(key, "s.scene_id")
+    return few.unionByName(chosen)

@@ -1,8 +1,10 @@
 """Joins whose sides grow are shuffled; what a task or the driver holds does not grow with the tables."""
 
+import datetime as dt
+import math
 import random
 
-from fieldlens.operators import frames, routes, spatial
+from fieldlens.operators import crops, frames, routes, spatial
 
 
 def plan_of(df):
@@ -46,3 +48,21 @@ def test_band_keys_are_made_once_a_hash(spark):
         for b in parts:
             if a[1:] == b[1:]:
                 assert (keys[a] == keys[b]) == (parts[a] == parts[b])
+
+
+def test_thin_scenes_needs_no_rounds_of_jobs(spark):
+    """One plan without a join, whose rows are those of a pick mark by mark (before: jobs and joins round by round)."""
+    rng = random.Random(6)
+    clouds = {f: [rng.choice([0.0, 0.0, 10.0, None]) for _ in range(n)] for f, n in [("a", 15), ("b", 16), ("c", 29), ("d", 14), ("e", 200)]}
+    rows = [(f, 7 if f == "c" else i, dt.date(2024, 1, 1) + dt.timedelta(days=i), c) for f, cs in clouds.items() for i, c in enumerate(cs)]
+    out = crops.thin_scenes(spark.createDataFrame(rows, "field_id string, scene_id bigint, date date, cloud double"), 14)
+    assert "Join" not in plan_of(out)
+    want = []
+    for f, cs in clouds.items():
+        n, taken = len(cs), []
+        for k in range(14 if n > 14 else 0):
+            mark = (n - 1) * (k / 13.0)
+            free = [j for j in range(max(0, math.floor(mark) - 1), min(n, math.ceil(mark) + 2)) if j not in taken]
+            taken += [min(free, key=lambda j: (100.0 if cs[j] is None else cs[j], abs(j - mark), j))] if free else []
+        want += [(f, 7 if f == "c" else j) for j in (taken if n > 14 else range(n))]
+    assert sorted((r.field_id, r.scene_id) for r in out.collect()) == sorted(want)
