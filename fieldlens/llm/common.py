@@ -50,7 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """From now on no Arrow batch of the session holds more than `size` of rows, whatever their length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm import nearcopies
-from fieldlens.llm.common import map_slices, stored
+from fieldlens.llm.common import bounded_batches, map_slices, stored
 from fieldlens.llm.components import linked_components
 
 RADIUS = 3
@@ -287,8 +287,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies: that of its smallest doc_id.
 
-    Near copies share at least four fifths of their five-word shingles; the three words and three
-    bits of `near_duplicates` miss most that are not equal. `nearcopies` says which row stays where
-    ids or rows repeat.
+    Near copies share at least four fifths of their five-word shingles. The components of
+    `near_duplicates` are decided on the texts; what three words and three bits miss, `nearcopies`
+    finds. It also says which row stays where ids or rows repeat.
     """
-    return nearcopies.keep_one(docs)
+    bounded_batches(docs.sparkSession)
+    return nearcopies.keep_one(docs, near_duplicates(docs))

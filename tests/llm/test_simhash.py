@@ -114,3 +114,16 @@ def test_components_of_chains_and_stars(spark):
     assert {i: got[i] for i in range(61)} == dict.fromkeys(range(61), 0)
     assert {got[i] for i in range(100, 180)} == {100} and got[301] == got[300] == 300 and 200 not in got
     assert np.unique(list(got.values())).tolist() == [0, 100, 300]
+
+
+def test_the_stage_goes_through_near_duplicates(spark, monkeypatch):
+    """keep_one takes the components of the operator (before: it never called it) and decides them on the texts."""
+    same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, same), (2, same + " end"), (3, other)], "doc_id long, text string")
+    called, whole = [], simhash.near_duplicates
+
+    def put_in_one(rows):
+        called.append(whole(rows).count())
+        return rows.selectExpr("doc_id", "'' as fingerprint", "1L as component_id")
+    monkeypatch.setattr(simhash, "near_duplicates", put_in_one)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3] and called == [3]
