@@ -43,6 +43,11 @@ def lane_geometry(lat: Column, lng: Column, lane: Column, fallback: float = LANE
                     half_up_to(lane_width_m(metres, spread), 1).alias("width_m"))
 
 
+def _held(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often `use` and what a filter copies of it name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blocked_winds(lanes: Column, half_angle: float = CONE_HALF_ANGLE_DEG) -> Column:
     """For each of the sixteen winds the lane it blows scent down, if any.
 
@@ -51,21 +56,25 @@ def blocked_winds(lanes: Column, half_angle: float = CONE_HALF_ANGLE_DEG) -> Col
     winds = F.array(*[F.struct(F.lit(p).alias("point"), F.lit(i * 22.5).alias("deg"))
                       for i, p in enumerate(COMPASS)])
 
-    def judge(w):
+    def judge(held, w):
         down = wrap360(w["deg"] + 180.0)
-        offs = F.transform(lanes, lambda g: F.struct(
+        offs = F.transform(held, lambda g: F.struct(
             angle_between(down, g["bearing"]).alias("off"), g["label"].alias("label"), g["spread"].alias("spread")))
-        hit = F.array_min(F.filter(offs, lambda o: o["off"] <= half_angle + o["spread"]))
-        return F.struct(w["point"].alias("point"), hit.isNotNull().alias("blocked"),
-                        half_up(hit["off"]).alias("off_deg"), hit["label"].alias("label"))
+        return _held(F.array_min(F.filter(offs, lambda o: o["off"] <= half_angle + o["spread"])), lambda hit: F.struct(
+            w["point"].alias("point"), hit.isNotNull().alias("blocked"), half_up(hit["off"]).alias("off_deg"), hit["label"].alias("label")))
 
-    return F.transform(winds, judge)
+    return _held(lanes, lambda held: F.transform(winds, lambda w: judge(held, w)))
 
 
 def huntable_winds(lanes: Column, half_angle: float = CONE_HALF_ANGLE_DEG) -> Column:
     """Winds that keep scent out of every lane; null without lanes."""
-    clean = F.filter(blocked_winds(lanes, half_angle), lambda w: ~w["blocked"])
-    return F.when(F.size(lanes) > 0, F.transform(clean, lambda w: w["point"]))
+    downs = F.array(*[F.struct(F.lit(p).alias("point"), F.lit((i * 22.5 + 180.0) % 360.0).alias("down")) for i, p in enumerate(COMPASS)])
+
+    def clean(held):
+        blocks = lambda w, g: F.coalesce(angle_between(w["down"], g["bearing"]) <= half_angle + g["spread"], F.lit(False))
+        kept = F.filter(downs, lambda w: ~F.exists(held, lambda g: blocks(w, g)))
+        return F.when(F.size(held) > 0, F.transform(kept, lambda w: w["point"]))
+    return _held(lanes, clean)
 
 
 def stand_winds(lanes: Column, ticked: Column) -> Column:
@@ -81,9 +90,12 @@ def winds_compared(derived: Column, ticked: Column) -> Column:
     """{agree, only_ticked, only_derived}; null when there is nothing to compare."""
     known = F.array(*map(F.lit, COMPASS))
     manual = F.filter(ticked, lambda w: F.array_contains(known, w))
-    a, b = F.array_except(manual, derived), F.array_except(derived, manual)
-    return F.when(derived.isNotNull() & (F.size(manual) > 0), F.struct(
-        ((F.size(a) == 0) & (F.size(b) == 0)).alias("agree"), a.alias("only_ticked"), b.alias("only_derived")))
+
+    def compare(winds):
+        a, b = F.array_except(manual, winds), F.array_except(winds, manual)
+        return F.when(winds.isNotNull() & (F.size(manual) > 0), F.struct(
+            ((F.size(a) == 0) & (F.size(b) == 0)).alias("agree"), a.alias("only_ticked"), b.alias("only_derived")))
+    return _held(derived, compare)
 
 
 def camera_view(lat: Column, lng: Column, view: Column) -> Column:

@@ -355,13 +355,19 @@ def _laned(b):
             F.concat(F.lit("L"), i.cast("string")).alias("label"),
             F.when(s != 0, F.lit(4.0) + i * 30).alias("spread"))
 
-    rows = b.table("customer").select(k.alias("stand_id"), lat, lng, n.alias("n"))
+    # a small file is read by one task, but its lanes are much work: stands are dealt to all cores
+    rows = b.table("customer").select(k.alias("stand_id"), lat, lng, n.alias("n")).repartition(4 * b.spark.sparkContext.defaultParallelism, "stand_id")
     made = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lane)).otherwise(
         F.slice(F.transform(F.sequence(F.lit(0), F.lit(0)), lane), 1, 0))
     return rows.withColumn("raw", made).withColumn("lanes", F.transform("raw", lambda x: lanes.lane_geometry(
         F.col("lat"), F.col("lng"), x)))
 
 
+def _once(value):
+    """A value that a filter on it neither works out again nor takes down to where the file is read."""
+    return F.explode(F.array(value))
+
+
 @query("lane_geometry", needs=("lane",), sql="""
 SELECT stand_id, 'L' || i AS label, bearing, CAST(metres AS BIGINT) AS metres, coalesce(greatest(3e0, least(80e0, spread)), 10e0) AS spread,
   floor(2 * metres * tan(radians(coalesce(greatest(3e0, least(80e0, CASE WHEN spread IS NOT NULL THEN spread END)), 10e0))) * 10 + 0.5) / 10 AS width_m FROM (
@@ -377,7 +383,7 @@ WITH w AS (SELECT CAST(unnest(range(16)) AS INT) AS i), j AS (SELECT DISTINCT l.
 SELECT s.stand_id, string_agg(['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][w.i + 1], ',' ORDER BY w.i) AS winds
 FROM (SELECT DISTINCT stand_id FROM lane) s, w WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.stand_id = s.stand_id AND j.i = w.i) GROUP BY 1""")
 def lane_huntable_winds(b):
-    out = _laned(b).select("stand_id", lanes.huntable_winds(F.col("lanes")).alias("w"))
+    out = _laned(b).select("stand_id", _once(lanes.huntable_winds(F.col("lanes"))).alias("w"))
     return out.where(F.size("w") > 0).select("stand_id", F.array_join("w", ",").alias("winds"))
 
 
@@ -437,6 +443,6 @@ SELECT stand_id, count(*) FILTER (WHERE ticked AND NOT derived) = 0 AND count(*)
   count(*) FILTER (WHERE ticked AND NOT derived) AS only_ticked, count(*) FILTER (WHERE derived AND NOT ticked) AS only_derived FROM c GROUP BY 1""")
 def winds_compared(b):
     ticked = F.array(F.lit("N"), F.lit("E"), F.lit("S"), F.lit("bogus"))
-    out = _laned(b).select("stand_id", lanes.winds_compared(lanes.huntable_winds(F.col("lanes")), ticked).alias("c")).where(F.col("c").isNotNull())
+    out = _laned(b).select("stand_id", _once(lanes.winds_compared(lanes.huntable_winds(F.col("lanes")), ticked)).alias("c")).where(F.col("c").isNotNull())
     return out.select("stand_id", "c.agree", F.size("c.only_ticked").cast("bigint").alias("only_ticked"),
                       F.size("c.only_derived").cast("bigint").alias("only_derived"))

@@ -161,6 +161,19 @@ def test_lanes_block_the_winds_behind_them(spark):
     assert one(spark, s=lanes.spread_for_width(lit(0.0), lit(5.0))) is None
 
 
+def test_lanes_are_worked_out_once(spark):
+    """A filter on the winds must not put the lanes' geometry into the test of each of the sixteen winds."""
+    rows = spark.range(3).select((F.col("id") * 1.0).alias("lat"), F.array(F.lit(0.5)).alias("raw"))
+    rows = rows.withColumn("lanes", F.transform("raw", lambda x: F.struct(
+        F.lit("a").alias("label"), F.asinh(F.col("lat") + x).alias("bearing"), F.lit(10.0).alias("spread"))))
+    derived = lanes.huntable_winds(F.col("lanes"))
+    for found in (derived, lanes.blocked_winds(F.col("lanes")), lanes.winds_compared(derived, F.array(lit("N")))["only_derived"]):
+        kept = rows.select("lat", found.alias("w")).where(F.size("w") > 0)
+        assert kept.count() == 3
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("asinh(") <= 2                          # once where tested, once where returned
+
+
 def test_parcel_texts(spark):
     assert one(spark, c=clean_text(lit(" None "))) is None
     assert one(spark, c=class_names(lit("5M, 4 4"))) == "agricultural forest, agricultural"
