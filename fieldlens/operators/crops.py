@@ -6,17 +6,20 @@ bounded by the season's dates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from fieldlens.constants import (CROP_WORDS, CURVE_STEP_DAYS, CUT_DROP, CUT_LEVEL, FAST_DAYS, MAX_SHIFT_DAYS,
                                  MIN_CLEAR_PIXELS, MIN_REFERENCE_FIELDS, PERSISTENT_CROPS,
                                  PRIOR_WEIGHT, SEARCH_RADII_M, SHIFT_PENALTY, STANDING_FRACTION,
                                  UNUSABLE_SCENE_CLASSES)
 from fieldlens.functions.num import half_up
-from fieldlens.operators.orderstat import exact_median
 from fieldlens.operators.spatial import counts_within, points_in_polygons, sites
 from fieldlens.session import cut_lineage
 
@@ -75,38 +78,183 @@ def curve_points(readings: DataFrame, key: str = "field_id", step: int = CURVE_S
                                / (F.col("x1") - F.col("x0"))).alias("v")))
 
 
-def reference_curves(points: DataFrame, labels: DataFrame, key: str = "field_id",
-                     min_curves: int = 3) -> DataFrame:
-    """Position-wise median curve of each crop's labelled fields, three curves at least."""
-    named = points.join(labels.select(key, "crop"), key)
-    enough = (named.select("crop", key).distinct().groupBy("crop").agg(F.count("*").alias("curves"))
-              .where(F.col("curves") >= min_curves))
-    return (exact_median(named, ["crop", "i"], "v", "v", few=True).drop("n").join(enough, "crop").drop("curves"))
-
+def field_looks(readings: DataFrame, key: str = "field_id") -> DataFrame:
+    """(key, x, y): a field's clear looks in order of date, days since the first and greenness.
 
-def best_shifts(points: DataFrame, references: DataFrame, key: str = "field_id") -> DataFrame:
+    One row a field with three clear looks or more, bounded by the season's dates. Its curve is
+    interpolated where it is needed and never stored: it has many more points than looks.
+    """
+    spark = readings.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    looks = (readings.where(F.col("ndvi").isNotNull()).repartition(parts, key).groupBy(key)
+             .agg(F.sort_array(F.collect_list(F.struct("date", "ndvi"))).alias("l")).where(F.size("l") >= 3)
+             .select(key, F.filter("l", lambda p: p["date"].isNotNull()).alias("l")).where(F.size("l") >= 2))
+    return cut_lineage(looks.select(key, F.transform("l", lambda p: F.datediff(p["date"], F.col("l")[0]["date"])).alias("x"),
+                                    F.col("l.ndvi").cast("array<double>").alias("y")))
+
+
+#: Fields whose curves are worked out at once in a task.
+CURVES_AT_ONCE = 256
+#: Fields looked at to say where a reference's median may lie; every field is counted.
+SAMPLED_FIELDS = 40_000
+
+
+def _points_of(batch: pa.RecordBatch, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, v) of the curve points of a batch's fields, as `curve_points` has them."""
+    lengths = batch.column("x").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    y = batch.column("y").flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.flatnonzero(row[1:] == row[:-1]) + 1
+    x0, x1, y0, rise = x[at - 1], x[at], y[at - 1], y[at] - y[at - 1]
+    low, high = np.where(x0 == 0, 0, x0 // step + 1), x1 // step
+    many = np.maximum(high - low + 1, 0)
+    k = np.repeat(np.arange(len(at)), many)
+    i = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + low[k]
+    return row[at][k], i, y0[k] + rise[k] * (i * step - x0[k]) / (x1 - x0)[k]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, CURVES_AT_ONCE):
+            yield batch.slice(start, CURVES_AT_ONCE)
+
+
+def _brackets(crop: str, step: int):
+    """Per crop the values between which the median of a position lies by the sampled curves, none where there are few."""
+    def work(sample: pa.Table) -> pa.Table:
+        parts = [_points_of(part, step) for batch in sample.combine_chunks().to_batches() for part in _sliced(iter([batch]))]
+        i, v = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        order = np.lexsort((v, i))
+        i, v = i[order], v[order]
+        at, first, m = np.unique(i, return_index=True, return_counts=True)
+        margin = 2.25 * np.sqrt(m)                          # four and a half deviations of a sample's median
+        low, high = np.floor(m / 2 - margin).astype(np.int64) - 1, np.ceil(m / 2 + margin).astype(np.int64) + 1
+        least = np.where(low >= 0, v[first + np.clip(low, 0, m - 1)], -np.inf)
+        most = np.where(high < m, v[first + np.clip(high, 0, m - 1)], np.inf)
+        return pa.table({"crop": pa.array([sample.column(crop)[0].as_py()] * len(at)), "i": at.astype(np.int32), "lo": least, "hi": most})
+    return work
+
+
+def reference_curves(looks: DataFrame, labels: DataFrame, key: str = "field_id",
+                     min_curves: int = 3, step: int = CURVE_STEP_DAYS) -> DataFrame:
+    """Position-wise median curve of each crop's labelled fields, three curves at least.
+
+    A sample of the fields says between which values a position's median lies. All curves are then
+    counted: only values between them leave their task, of the lesser ones how many there are. A median that does
+    not lie there is looked for among all values of its position in a second pass, so the result is exact.
+    Crop kinds and positions are few, so tables of them are held by every task.
+    """
+    named = cut_lineage(looks.join(labels.select(key, "crop"), key).where(F.col("crop").isNotNull()))
+    kinds = named.groupBy("crop").agg(F.count_distinct(key).alias("curves"), F.count("*").alias("n"), F.max(F.element_at("x", -1)).alias("last")).collect()
+    total, width = sum(k["n"] for k in kinds), max((k["last"] // step + 1 for k in kinds), default=1)
+    crops = sorted(k["crop"] for k in kinds if k["curves"] >= min_curves)
+    lo, hi = np.full((len(crops), width), -np.inf), np.full((len(crops), width), np.inf)
+    which = {c: n for n, c in enumerate(crops)}
+    if total > SAMPLED_FIELDS:
+        sample = named.where(F.pmod(F.xxhash64(key), F.lit(-(-total // SAMPLED_FIELDS))) == 0)
+        for r in sample.groupBy("crop").applyInArrow(_brackets("crop", step), "crop string, i int, lo double, hi double").collect():
+            if r["crop"] in which:
+                lo[which[r["crop"]], r["i"]], hi[which[r["crop"]], r["i"]] = r["lo"], r["hi"]
+    wanted, found = np.ones((len(crops), width), bool), None
+    while crops and wanted.any():
+        now = cut_lineage(_ranked(named, crops, lo, hi, wanted, step))
+        lost = now.where(F.col("a").isNull() | F.col("b").isNull()).select("c", "i").collect()
+        good = now.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        found = good if found is None else found.unionByName(good)
+        wanted = np.zeros_like(wanted)
+        for r in lost:
+            wanted[r["c"], r["i"]], lo[r["c"], r["i"]], hi[r["c"], r["i"]] = True, -np.inf, np.inf
+    names = F.array(*map(F.lit, crops))
+    if found is None:
+        return looks.sparkSession.createDataFrame([], "crop string, i int, v double")
+    return found.select(F.get(names, F.col("c")).alias("crop"), "i", ((F.col("a") + F.col("b")) / 2).alias("v"))
+
+
+def _ranked(named: DataFrame, crops: list[str], lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, step: int) -> DataFrame:
+    """(c, i, a, b): the two middle values of each wanted crop and position; null where outside lo to hi."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        which = {c: n for n, c in enumerate(crops)}
+        below, n = np.zeros(lo.shape, np.int64), np.zeros(lo.shape, np.int64)
+        for part in _sliced(batches):
+            kind = np.array([which.get(c, -1) for c in part.column("crop").to_pylist()], np.int64)
+            row, i, v = _points_of(part, step)
+            c = kind[row]
+            kept = c >= 0
+            kept[kept] = wanted[c[kept], i[kept]]
+            c, i, v = c[kept], i[kept], v[kept]
+            under = v < lo[c, i]
+            flat = c * lo.shape[1] + i
+            below += np.bincount(flat[under], minlength=lo.size).reshape(lo.shape)
+            n += np.bincount(flat, minlength=lo.size).reshape(lo.shape)
+            near = ~under & ~(v > hi[c, i])                  # not a number stays here, the greatest of all
+            yield pa.record_batch([pa.array(c[near].astype(np.int32)), pa.array(i[near].astype(np.int32)), pa.array(v[near]),
+                                   pa.nulls(int(near.sum()), pa.int64()), pa.nulls(int(near.sum()), pa.int64())], ["c", "i", "v", "below", "n"])
+        c, i = np.nonzero(n)
+        yield pa.record_batch([pa.array(c.astype(np.int32)), pa.array(i.astype(np.int32)), pa.nulls(len(c), pa.float64()),
+                               pa.array(below[c, i]), pa.array(n[c, i])], ["c", "i", "v", "below", "n"])
+    rows = named.select("crop", "x", "y").mapInArrow(work, "c int, i int, v double, below long, n long")
+    whole = W.partitionBy("c", "i")
+    rank = F.count("v").over(whole.orderBy("v").rowsBetween(W.unboundedPreceding, 0)) + F.sum("below").over(whole) - 1
+    ranked = rows.withColumns({"rank": rank, "total": F.sum("n").over(whole)}).where(F.col("v").isNotNull() | F.col("n").isNotNull())
+    at = lambda r: F.max(F.when(F.col("v").isNotNull() & (F.col("rank") == r), F.col("v")))
+    return ranked.groupBy("c", "i").agg(at(F.floor((F.col("total") - 1) / 2)).alias("a"), at(F.floor(F.col("total") / 2)).alias("b"))
+
+
+def best_shifts(looks: DataFrame, references: DataFrame, key: str = "field_id", step: int = CURVE_STEP_DAYS) -> DataFrame:
     """Smallest penalised distance of every field's curve to every reference over shifts.
 
-    The references are few, so they are laid out once with all their shifts side by side;
-    a field's points then meet each crop once and fold into one row of sums per shift.
-    Four common positions at least.
+    The references are few (crop kinds times positions of a season), so every task holds them with all their shifts
+    side by side. Products of matrices give all distances of some fields at once, with a bound of their rounding; those that may be the
+    least of their crop are then summed point by point. Four common positions at least.
     """
     span = MAX_SHIFT_DAYS // CURVE_STEP_DAYS
-    shifts = list(range(-span, span + 1))
-    moved = references.withColumn("s", F.explode(F.sequence(F.lit(-span), F.lit(span))))
-    wide = moved.groupBy("crop", (F.col("i") + F.col("s")).alias("i")).agg(*[
-        F.max(F.when(F.col("s") == s, F.col("v"))).alias(f"r{k}") for k, s in enumerate(shifts)])
-    gap = [F.col("v") - F.col(f"r{k}") for k in range(len(shifts))]
-    # one row a crop kind and curve position: bounded by the nine kinds and the days of a season
-    sums = (points.join(F.broadcast(wide), "i").groupBy(key, "crop")
-            .agg(*[F.struct(F.count(g).alias("n"), F.sum(g * g).alias("ss")).alias(f"f{k}") for k, g in enumerate(gap)]))
-    fits = F.array(*[F.when(F.col(f"f{k}.n") >= 4, F.struct(
-        (F.sqrt(F.col(f"f{k}.ss") / F.col(f"f{k}.n"))
-         * (1.0 + SHIFT_PENALTY * abs(s * CURVE_STEP_DAYS) / MAX_SHIFT_DAYS)).alias("rmse"), F.lit(s).alias("s")))
-        for k, s in enumerate(shifts)])
-    best = F.array_min(F.array_compact(fits))
-    return (sums.select(key, "crop", best.alias("m")).where(F.col("m").isNotNull())
-            .select(key, "crop", F.col("m.rmse").alias("rmse"), (F.col("m.s") * CURVE_STEP_DAYS).alias("shift_days")))
+    shifts = np.arange(-span, span + 1)
+    rows = references.collect()
+    crops = sorted({r["crop"] for r in rows})
+    width = max((r["i"] for r in rows), default=0) + span + 1
+    ref = np.full((len(crops), len(shifts), width), np.nan)
+    has = np.zeros(ref.shape, bool)
+    for r in rows:
+        for k, s in enumerate(shifts):
+            if r["i"] + s >= 0 and r["v"] is not None:
+                ref[crops.index(r["crop"]), k, r["i"] + s], has[crops.index(r["crop"]), k, r["i"] + s] = r["v"], True
+    ref, has = ref.reshape(-1, width), has.reshape(-1, width)
+    penalty = np.tile([1.0 + SHIFT_PENALTY * abs(int(s) * CURVE_STEP_DAYS) / MAX_SHIFT_DAYS for s in shifts], len(crops))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = has.astype(float).T
+        zeroed = np.where(has, ref, 0.0)
+        for part in _sliced(batches):
+            row, i, v = _points_of(part, step)
+            near = i < width
+            row, i, v = row[near], i[near], v[near]
+            curve, seen = np.zeros((part.num_rows, width)), np.zeros((part.num_rows, width), bool)
+            curve[row, i], seen[row, i] = v, True
+            with np.errstate(all="ignore"):
+                n, square = seen.astype(float) @ held, (curve * curve) @ held
+                own = seen.astype(float) @ (zeroed * zeroed).T
+                apart, slack = square - 2.0 * (curve @ zeroed.T) + own, 1e-11 * (square + own)
+                least, most = (np.where(n >= 4, np.sqrt(np.maximum(a, 0.0) / n) * penalty, np.inf) for a in (apart - slack, apart + slack))
+                ceiling = np.fmin.reduce(most.reshape(len(most), len(crops), -1), axis=2)
+                maybe = (n >= 4) & ~(least > np.repeat(ceiling, len(shifts), axis=1))
+            f, k = np.nonzero(maybe)
+            exact, order = np.full(maybe.shape, np.nan), np.full(maybe.shape, np.inf)
+            for at in range(0, len(f), 2048):
+                a, b = f[at:at + 2048], k[at:at + 2048]
+                gap = np.where(seen[a] & has[b], curve[a] - zeroed[b], 0.0)
+                exact[a, b] = np.sqrt(np.einsum("ij,ij->i", gap, gap) / n[a, b]) * penalty[b]
+            order[f, k] = np.where(np.isnan(exact[f, k]), np.finfo(float).max, exact[f, k])
+            order = order.reshape(len(order), len(crops), -1)
+            f, c = np.nonzero(np.isfinite(order).any(axis=2))
+            s = order.argmin(axis=2)[f, c]
+            yield pa.record_batch([part.column(key).take(pa.array(f)), pa.array([crops[x] for x in c], pa.string()),
+                                   pa.array(exact[f, c * len(shifts) + s]), pa.array((shifts[s] * CURVE_STEP_DAYS).astype(np.int32))],
+                                  [key, "crop", "rmse", "shift_days"])
+    schema = StructType([looks.schema[key], StructField("crop", StringType()), StructField("rmse", DoubleType()), StructField("shift_days", IntegerType())])
+    if not crops:
+        return looks.sparkSession.createDataFrame([], schema)
+    return looks.select(key, "x", "y").mapInArrow(work, schema)
 
 
 def classify(fits: DataFrame, prior: DataFrame, key: str = "field_id",

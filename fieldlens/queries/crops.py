@@ -60,8 +60,8 @@ table_sql("refcurve", f"""SELECT crop, i, median(v) AS v FROM (SELECT c.*, {CROP
     JOIN part p ON p.p_partkey = c.field_id) GROUP BY 1 HAVING count(*) >= 3)""", ("curve",))
 
 
-def _references(b):
-    return crops.reference_curves(crops.curve_points(b.readings()), b.fields())
+def _references(b, looks=None):
+    return crops.reference_curves(crops.field_looks(b.readings()) if looks is None else looks, b.fields())
 
 
 @query("reference_curves", needs=("refcurve",), sql="""
@@ -76,7 +76,8 @@ table_sql("fit", """SELECT field_id, crop, min(rmse) AS rmse, arg_min(s, rmse) *
 
 
 def _fits(b):
-    return crops.best_shifts(crops.curve_points(b.readings()), _references(b))
+    looks = crops.field_looks(b.readings())
+    return crops.best_shifts(looks, _references(b, looks))
 
 
 @query("best_shifts", needs=("fit",), sql="""

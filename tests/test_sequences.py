@@ -429,3 +429,69 @@ def test_permutation_of_three_billion_sits(spark, monkeypatch):
     assert chance(10**5)["p"] < 0.02
     even = chance(0)
     assert even is None or even["p"] > 0.02
+
+
+# ---- crop curves ---------------------------------------------------------------------------------------------
+
+
+def _season(spark, seed, fields=120):
+    """Looks of fields with gaps and equal values, and their curves point by point."""
+    rng = np.random.default_rng(seed)
+    rows, curves = [], {}
+    for f in range(fields):
+        days = np.sort(rng.choice(200, int(rng.integers(3, 14)), replace=False))
+        values = np.round(rng.integers(0, 11, len(days)) * 0.09, 6)
+        rows += [(f, dt.date(2024, 4, 1) + dt.timedelta(days=int(d)), float(v)) for d, v in zip(days, values)]
+        x = days - days[0]
+        curves[f] = {0: values[0]}
+        for i in range(1, int(x[-1]) // 4 + 1):
+            k = int(np.searchsorted(x, i * 4))
+            curves[f][i] = values[k - 1] + (values[k] - values[k - 1]) * (i * 4 - x[k - 1]) / (x[k] - x[k - 1])
+    labels = [(f, ["corn", "oats", "clover"][f % 3]) for f in range(fields - 1)] + [(fields - 1, "pasture")]
+    readings = spark.createDataFrame(rows + [(0, dt.date(2024, 3, 1), None)], "field_id long, date date, ndvi double")
+    return readings, spark.createDataFrame(labels, "field_id long, crop string"), curves, labels
+
+
+def _medians(curves, labels):
+    held = {}
+    for f, crop in labels:
+        for i, v in curves[f].items():
+            held.setdefault((crop, i), []).append(v)
+    return {k: float(np.median(v)) for k, v in held.items() if k[0] != "pasture"}
+
+
+@pytest.mark.parametrize("miss", [False, True])
+def test_reference_curves_are_exact_medians_whatever_the_sample_says(spark, monkeypatch, miss):
+    readings, labels, curves, known = _season(spark, 5)
+    monkeypatch.setattr(crops, "SAMPLED_FIELDS", 40)
+    if miss:                                                 # a sample that misleads: every bracket lies too high
+        import pyarrow as pa
+        real = crops._brackets
+        monkeypatch.setattr(crops, "_brackets", lambda *a: lambda t: (lambda r: r.set_column(2, "lo", pa.array([0.85] * len(r))))(real(*a)(t)))
+    got = {(r.crop, r.i): r.v for r in crops.reference_curves(crops.field_looks(readings), labels).collect()}
+    want = _medians(curves, known)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_best_shifts_are_those_of_trying_all(spark):
+    readings, labels, curves, known = _season(spark, 6)
+    looks = crops.field_looks(readings)
+    assert looks.count() == len(curves) and set(looks.columns) == {"field_id", "x", "y"}     # a row a field, not one a point
+    refs = _medians(curves, known)
+    refs |= {("own", i): v for i, v in curves[7].items()}                                    # a field's own curve: nothing apart
+    got = {(r.field_id, r.crop): (r.rmse, r.shift_days) for r in crops.best_shifts(
+        looks, spark.createDataFrame([(c, i, float(v)) for (c, i), v in refs.items()], "crop string, i int, v double")).collect()}
+    want = {}
+    for f, curve in curves.items():
+        for crop in {c for c, _ in refs}:
+            fits = []
+            for s in range(-3, 4):
+                gaps = [v - refs[crop, i - s] for i, v in curve.items() if (crop, i - s) in refs]
+                if len(gaps) >= 4:
+                    fits.append((float(np.sqrt(np.sum(np.square(gaps)) / len(gaps)) * (1 + 0.35 * abs(s * 4) / 12)), s * 4))
+            if fits:
+                want[f, crop] = min(fits)
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-12) for k in want)
+    assert all(got[k][1] == want[k][1] for k in want) and got[7, "own"] == (0.0, 0)
