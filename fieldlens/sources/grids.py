@@ -70,12 +70,19 @@ def finest_grid_at(points: DataFrame, boxes: DataFrame, step: float = 0.05) -> D
 
 
 def grid_covering(wanted: DataFrame, boxes: DataFrame, step: float = 0.05) -> DataFrame:
-    """The finest stored grid, no coarser than asked, that covers each wanted box whole."""
-    ask = wanted.select("want_id", F.col("west").alias("w1"), F.col("south").alias("s1"), F.col("east").alias("e1"),
-                        F.col("north").alias("n1"), F.col("spacing_m").alias("ask_m"),
-                        F.col("south").alias("lat"), F.col("west").alias("lng"))
+    """The finest stored grid, no coarser than asked, that covers each wanted box whole.
+
+    Equal boxes and equal wishes are reduced first; a box keeps its finest grid only, which is no coarser
+    than asked wherever any of its grids is. So pairs grow with the distinct places, not with the rows.
+    """
+    asked = ["west", "south", "east", "north", "spacing_m"]
+    ask = wanted.where(F.col("west").isNotNull() & F.col("south").isNotNull()).select(
+        F.col("west").alias("w1"), F.col("south").alias("s1"), F.col("east").alias("e1"), F.col("north").alias("n1"), F.col("spacing_m").alias("ask_m")
+    ).distinct().withColumns({"lat": F.col("s1"), "lng": F.col("w1")})
     best = boxes.groupBy("west", "south", "east", "north").agg(F.min(F.struct("spacing_m", "grid_id")).alias("g"))
     held = points_in_boxes(ask, best, step).where(
         (F.col("east") >= F.col("e1")) & (F.col("north") >= F.col("n1")) & (F.col("g.spacing_m") <= F.col("ask_m")))
-    pick = held.groupBy("want_id").agg(F.min("g").alias("g"))
-    return wanted.join(pick, "want_id", "left").withColumn("grid_id", F.col("g.grid_id")).drop("g")
+    pick = held.groupBy("w1", "s1", "e1", "n1", "ask_m").agg(F.min("g").alias("g")).select(
+        F.col("w1").alias("west"), F.col("s1").alias("south"), F.col("e1").alias("east"), F.col("n1").alias("north"),
+        F.col("ask_m").alias("spacing_m"), F.col("g.grid_id").alias("grid_id"))
+    return wanted.join(pick, asked, "left").select(*wanted.columns, "grid_id")

@@ -448,3 +448,18 @@ def test_pieces_of_contour_lines_follow_each_other(spark):
         assert all(one[2] == other[1] for one, other in zip(line, line[1:]))
         closed += line[0][1] == line[-1][2]
     assert 0 < closed < len(by_line)
+
+
+def test_equal_wishes_meet_the_grids_once(spark, monkeypatch):
+    """Twelve hundred wishes at four places: the pairs are those of four, and every wish has its answer."""
+    from fieldlens.sources import grids as stored
+    boxes = spark.createDataFrame([(1, 5, 0.0, 0.0, 1.0, 1.0), (2, 10, 0.0, 0.0, 1.0, 1.0), (3, 5, 2.0, 2.0, 2.2, 2.2), (4, 20, 4.0, 4.0, 5.0, 5.0)],
+                                  "grid_id int, spacing_m int, west double, south double, east double, north double")
+    at = {0: (0.5, 1), 1: (2.1, 3), 2: (2.15, None), 3: (4.5, None)}
+    wanted = spark.createDataFrame([(n, at[n % 4][0], at[n % 4][0], at[n % 4][0] + 0.1, at[n % 4][0] + 0.1, 10) for n in range(1200)] + [(-1, None, 0.5, 0.6, 0.6, 10)],
+                                   "want_id int, west double, south double, east double, north double, spacing_m int")
+    met, real = [], stored.points_in_boxes
+    monkeypatch.setattr(stored, "points_in_boxes", lambda points, *rest: (met.append(points.count()), real(points, *rest))[1])
+    out = stored.grid_covering(wanted, boxes)
+    assert {r.want_id: r.grid_id for r in out.collect()} == {n: at[n % 4][1] for n in range(1200)} | {-1: None}
+    assert met == [4]
