@@ -284,8 +284,9 @@ def polygon_cells(polygons: DataFrame, step: float) -> DataFrame:
     and is there only if it is inside.
     """
     keys = [c for c in polygons.columns if c != "rings"]
-    rows = polygons.select(F.monotonically_increasing_id().alias("_poly"), F.struct(*keys).alias("_row"), _ring_corners(F.col("rings")).alias("corners"))
-    rows = rows.select("_poly", "_row", F.explode("corners").alias("e"))
+    # a polygon is dealt to one task before it becomes many rows: no task holds what a file's reader saw, and nothing is grouped twice
+    rows = polygons.select(F.monotonically_increasing_id().alias("_poly"), F.struct(*keys).alias("_row"), "rings").repartition("_poly")
+    rows = rows.select("_poly", "_row", F.explode(_ring_corners(F.col("rings"))).alias("e"))
     low, high = F.least("e.a.lat", "e.b.lat"), F.greatest("e.a.lat", "e.b.lat")
     bands = F.sequence(F.floor((low - CELL_SLACK) / step), F.floor((high + CELL_SLACK) / step))
     rows = rows.select("_poly", "_row", "e", F.explode(bands).alias("y"))
@@ -326,7 +327,8 @@ def polygon_cells(polygons: DataFrame, step: float) -> DataFrame:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> DataFrame:
     """Points joined to the polygons (`rings`) that contain them, even-odd rule; all columns but rings.
 
-    A point meets the edges that touch its own cell only, and none in a cell that lies inside.
+    A point meets the edges that touch its own cell only, and none in a cell that lies inside. The join is
+    told to shuffle: no side goes whole to a task.
     """
     cells = polygon_cells(polygons, step)
     lat, lng = F.col("lat"), F.col("lng")
@@ -334,5 +336,5 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, step: float) -> D
         lng < (s["b"]["lng"] - s["a"]["lng"]) * (lat - s["a"]["lat"]) / (s["b"]["lat"] - s["a"]["lat"]) + s["a"]["lng"])
     odd = F.col("base") + F.size(F.filter("near", east)) + F.size(F.filter("flips", lambda v: v > lat))
     inside = F.when(F.col("near").isNull(), True).otherwise(odd % 2 == 1)
-    return (points.withColumn("cell", point_box_cell(lat, lng, step)).join(cells, "cell").where(inside)
+    return (points.withColumn("cell", point_box_cell(lat, lng, step)).join(cells.hint("merge"), "cell").where(inside)
             .drop("cell", "near", "flips", "base"))

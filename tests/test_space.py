@@ -463,3 +463,14 @@ def test_equal_wishes_meet_the_grids_once(spark, monkeypatch):
     out = stored.grid_covering(wanted, boxes)
     assert {r.want_id: r.grid_id for r in out.collect()} == {n: at[n % 4][1] for n in range(1200)} | {-1: None}
     assert met == [4]
+
+
+def test_polygons_are_dealt_before_they_become_cells(spark):
+    """Edges and cells are made after the shuffle, grouped once, and no side of the join goes whole to a task."""
+    ring = F.array(*[F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
+    polygons = spark.range(3).select(F.col("id").alias("k"), F.array(ring).alias("rings"))
+    found = spatial.points_in_polygons(spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5)], "i int, lat double, lng double"), polygons, 0.3)
+    assert sorted((r.i, r.k) for r in found.collect()) == [(1, 0), (1, 1), (1, 2)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert "RepartitionByExpression [_poly" in spatial.polygon_cells(polygons, 0.3)._jdf.queryExecution().optimizedPlan().toString()
