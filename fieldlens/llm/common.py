@@ -14,6 +14,8 @@ from fieldlens.session import ensure_checkpoint_dir
 
 #: Rows a task turns into Python objects at a time; bounds memory, not results.
 SLICE = 512
+#: With it, Spark removes the shuffle files of a query at its end, not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,11 +39,26 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a derived table to the shared folder and go on from its files.
 
-    Later stages reread files that outlive any executor instead of repeating the work.
+    Later stages reread files that outlive any executor instead of repeating the work, so the
+    shuffle files of the write go with it. `discard` removes the files when nothing reads them any more.
     """
-    folder = shared_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.stored_folder = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that `stored` returned and that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -5,35 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import stored
+from fieldlens.llm.common import discard, stored
 
 
 def linked_components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable, for every id on an edge. edges(src, dst) of longs.
+    """(id, component): the least id reachable, for every id on an edge, as a stored table. edges(src, dst) of longs.
 
-    Large-star then small-star until nothing changes. The least neighbour of an id is a
-    map-side minimum kept as a table of one row an id, so both sides of each join are plain
-    shuffles and Spark can split the rows of a busy id. Null ends and loops are ignored;
-    repeated edges count once; no edges give no rows.
+    Large-star then small-star until every id but the least of its component has that one as its only
+    neighbour. The least neighbour of an id is a map-side minimum kept as a table of one row an id, so
+    both sides of each join are plain shuffles and Spark can split the rows of a busy id. Tables of past
+    rounds are discarded. Null ends and loops are ignored; repeated edges count once; no edges give no rows.
     """
     state = stored(edges.where(F.col("src") != F.col("dst"))
                    .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
-    mark = None
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"))
+                       .select("u", F.least("u", "m").alias("m"), ((F.col("m") < F.col("u")) & (F.col("far") != F.col("m"))).alias("moves")), "least")
+        if least.where("moves").isEmpty():                 # stars only: whoever has a lesser neighbour has no other
+            discard(state)
+            found = least.select(F.col("u").alias("id"), F.col("m").alias("component"))
+            found.stored_folder = least.stored_folder
+            return found
         large = stored(state.select(F.col("v").alias("c"), F.col("u").alias("w"))
-                       .join(least.withColumnRenamed("u", "c"), "c").where(F.col("w") != F.col("m"))
+                       .join(least.select(F.col("u").alias("c"), "m"), "c").where(F.col("w") != F.col("m"))
                        .select(F.col("w").alias("u"), F.col("m").alias("v"))
                        .unionByName(least.where(F.col("u") != F.col("m")).select("u", F.col("m").alias("v")))
                        .distinct(), "large")
+        discard(state, least)
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         state = stored(large.join(least, "u").where(F.col("v") != F.col("m"))
                        .select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
-    own = state.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own).groupBy("id").agg(F.min("component").alias("component"))
+        discard(large, least)

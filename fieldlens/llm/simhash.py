@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm import nearcopies
-from fieldlens.llm.common import bounded_batches, map_slices, stored
+from fieldlens.llm.common import bounded_batches, discard, map_slices, stored
 from fieldlens.llm.components import linked_components
 
 RADIUS = 3
@@ -279,6 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, b
     found = linked_components(close_links(nodes, radius, bucket))
     labels = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     labels = stored(labels, "labels")
+    discard(nodes, found)
     return (prints.join(labels, "fp", "left")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
