@@ -7,6 +7,7 @@ number of rounds is logarithmic in path length.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +17,20 @@ from fieldlens.session import cut_lineage
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): least id reachable. nodes(id), edges(src, dst), any direction.
 
-    Alternating large-star and small-star rounds. A busy node meets its neighbours
-    through one row holding their minimum, never through a collected list.
+    Alternating large-star and small-star rounds, until whoever has a lesser neighbour has
+    no other. A busy node meets its neighbours through one row holding their minimum, never
+    through a collected list.
     """
     both = edges.where(F.col("src") != F.col("dst")).select("src", "dst")
     state = cut_lineage(both.select(F.greatest("src", "dst").alias("u"),
                                     F.least("src", "dst").alias("v")).distinct())
-    mark = None
     while True:
-        # large star: every larger neighbour of u points at the least of u's circle
         sym = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = sym.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("far"))
+        if least.where("m < u and far != m").isEmpty():
+            break
+        # large star: every larger neighbour of u points at the least of u's circle
+        least = least.select("u", F.least("m", "u").alias("m"))
         large = (sym.join(least, "u").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where(F.col("u") != F.col("v")).distinct())
@@ -36,15 +40,34 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                  .unionByName(least.select("u", F.col("m").alias("v")))
                  .where(F.col("u") != F.col("v")).distinct())
         state = cut_lineage(small)
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
     labels = state.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return (nodes.select("id").join(labels, "id", "left")
             .withColumn("component", F.coalesce("component", "id")))
 
 
+def local_stars(links: DataFrame, block: list[str]) -> DataFrame:
+    """(src, dst): edges that join the same ids as links(*block, src, dst) of longs, mostly one an id.
+
+    Rows of a block come together, and what a batch of them joins becomes stars around its least ids;
+    a block of any size takes as many batches as it needs.
+    """
+    def run(batches):
+        for part in batches:
+            above: dict[int, int] = {}
+
+            def top(x):
+                while (up := above.setdefault(x, x)) != x:
+                    above[x] = x = above[up]
+                return x
+            for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                a, b = top(a), top(b)
+                above[max(a, b)] = min(a, b)
+            ids = list(above)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], ["src", "dst"])
+    dealt = links.repartition(*block).sortWithinPartitions(*block)
+    return dealt.select("src", "dst").mapInArrow(run, "src long, dst long")
+
+
 def accumulate_downstream(nodes: DataFrame, keys: list[str], value: str, how: str) -> DataFrame:
     """Fold `value` of every node into all nodes its `next` chain passes.
 

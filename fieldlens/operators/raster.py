@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.constants import CONTOUR_STEPS_FT, FEET_PER_METRE
 from fieldlens.functions.num import half_up, half_up_to, wrap360
-from fieldlens.operators.iterate import accumulate_downstream, connected_components
+from fieldlens.operators.iterate import accumulate_downstream, connected_components, local_stars
 from fieldlens.operators.orderstat import nearest_rank, order_statistic
 from fieldlens.session import cut_lineage
 
@@ -414,6 +414,12 @@ def contour_segments(cells: DataFrame, steps: DataFrame) -> DataFrame:
             .select("grid_id", "level", "c", "r", "piece", F.col("s.a").alias("a"), F.col("s.b").alias("b")))
 
 
+#: Cells along a side of the tiles whose links are joined first.
+CONTOUR_TILE = 64
+#: More than a line has pieces.
+CHOSEN = 1 << 50
+
+
 def contour_lines(segments: DataFrame) -> DataFrame:
     """Pieces joined end to end: adds `line_id`, the `position` of a piece in its line from 1, and whether it runs from b to a there.
 
@@ -427,35 +433,41 @@ def contour_lines(segments: DataFrame) -> DataFrame:
 
     pid = F.concat_ws("/", F.col("grid_id").cast("string"), F.format_string("%.7f", F.col("level")), F.format_string("%09d", F.col("r").cast("long")),
                       F.format_string("%09d", F.col("c").cast("long")), F.col("piece").cast("string"))
-    pieces = cut_lineage(segments.withColumns({"pid": pid, "ka": spot(F.col("a")), "kb": spot(F.col("b"))}))
-    ends = pieces.select("pid", F.posexplode(F.array("ka", "kb")).alias("side", "key"))
+    # n numbers the pieces of one written table, so joins and rounds carry longs; order among pieces is that of pid
+    pieces = cut_lineage(segments.withColumns({"pid": pid, "ka": spot(F.col("a")), "kb": spot(F.col("b"))}).withColumn("n", F.monotonically_increasing_id()))
+    tile = [F.floor(F.col(x) / CONTOUR_TILE).alias(f"tile_{x}") for x in ("c", "r")]
+    ends = pieces.select("pid", "n", "grid_id", *tile, F.posexplode(F.array("ka", "kb")).alias("side", "key"))
     slot = F.floor((F.row_number().over(W.partitionBy("key").orderBy("pid", "side")) - 1) / 2)
-    met = (ends.withColumn("slot", slot).groupBy("key", "slot").agg(F.sort_array(F.collect_list(F.struct("pid", "side"))).alias("e")).where(F.size("e") == 2))
+    met = (ends.withColumn("slot", slot).groupBy("key", "slot").agg(F.sort_array(F.collect_list(F.struct("pid", "side", "n", "grid_id", "tile_c", "tile_r"))).alias("e")).where(F.size("e") == 2))
     links = cut_lineage(met.select("key", F.col("e")[0].alias("p"), F.col("e")[1].alias("q")))
-    nodes = pieces.select(F.col("pid").alias("id"))
-    lines = cut_lineage(connected_components(nodes, links.select(F.col("p.pid").alias("src"), F.col("q.pid").alias("dst"))).select(
-        F.col("id").alias("pid"), F.col("component").alias("line_id")))
-    linked = links.withColumn("pid", F.col("p.pid")).join(lines, "pid").drop("pid")
-    size = lines.groupBy("line_id").agg(F.count("*").alias("n"))
-    closed = linked.groupBy("line_id").agg(F.count("*").alias("m"), F.min("key").alias("cut")).join(size, "line_id").where("m = n")
-    first = linked.join(closed.select("line_id", "cut"), "line_id").where(F.col("key") == F.col("cut")).groupBy("line_id").agg(
-        F.min(F.struct("p", "q")).alias("x")).select(F.col("x.p").alias("p"), F.col("x.q").alias("q"))
-    held = links.join(first, ["p", "q"], "left_anti")
+    # links of a tile become stars at once; rounds are for lines that cross tiles
+    stars = local_stars(links.select(F.col("p.grid_id"), F.col("p.tile_c"), F.col("p.tile_r"), F.col("p.n").alias("src"), F.col("q.n").alias("dst")), ["grid_id", "tile_c", "tile_r"])
+    found = connected_components(pieces.select(F.col("n").alias("id")), stars)
+    found = cut_lineage(found.select(F.col("id").alias("n"), "component").join(pieces.select("n", "pid"), "n"))
+    names = cut_lineage(found.groupBy("component").agg(F.min("pid").alias("line_id"), F.count("*").alias("many")))
+    linked = links.withColumn("n", F.col("p.n")).join(found.select("n", "component"), "n").drop("n")
+    closed = linked.groupBy("component").agg(F.count("*").alias("m"), F.min("key").alias("cut")).join(names, "component").where("m = many")
+    first = linked.join(closed.select("component", "cut"), "component").where(F.col("key") == F.col("cut")).groupBy("component").agg(
+        F.min(F.struct("p", "q")).alias("x")).select(F.col("x.p.n").alias("n"), F.col("x.p.side").alias("side"))
+    held = links.select(F.col("p.n").alias("n"), F.col("p.side").alias("side"), F.col("q.n").alias("qn"), F.col("q.side").alias("qside")).join(first, ["n", "side"], "left_anti")
 
     # an arc is a piece walked one way: 0 from a to b, 1 back; it goes on where the next piece is entered
-    arc = lambda pid, way: F.concat_ws("#", pid, way.cast("string"))
-    onward = lambda p, q: held.select(arc(F.col(f"{p}.pid"), 1 - F.col(f"{p}.side")).alias("id"), arc(F.col(f"{q}.pid"), F.col(f"{q}.side")).alias("next"))
-    onward = onward("p", "q").unionByName(onward("q", "p"))
-    arcs = pieces.select("grid_id", "pid", "ka", "kb", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
-    arcs = arcs.select("grid_id", "pid", "way", arc(F.col("pid"), F.col("way")).alias("id"), F.when(F.col("way") == 0, F.col("ka")).otherwise(F.col("kb")).alias("from"))
-    arcs = cut_lineage(arcs.join(onward, "id", "left"))
-    starts = arcs.join(onward.select(F.col("next").alias("id")), "id", "left_anti").join(lines, "pid")
-    chosen = cut_lineage(starts.groupBy("line_id").agg(F.min_by("id", F.struct("from", "id")).alias("start")))
-    begun = arcs.join(chosen.select(F.col("start").alias("id"), F.lit(1).alias("s")), "id", "left").withColumn("s", F.coalesce("s", F.lit(0)).cast("long"))
-    walked = accumulate_downstream(begun.select("grid_id", "id", "next", "s"), ["grid_id"], "s", "sum").where("s = 1").select("grid_id", "id")
-    ones = arcs.join(walked, ["grid_id", "id"], "left_semi").select("grid_id", "id", "next", F.lit(1).cast("long").alias("position"))
-    place = accumulate_downstream(ones, ["grid_id"], "position", "sum").join(arcs.select("grid_id", "id", "pid", "way"), ["grid_id", "id"])
-    return (pieces.join(lines, "pid").join(place.select("pid", "position", (F.col("way") == 1).alias("turned")), "pid").drop("pid", "ka", "kb"))
+    arc = lambda n, way: 2 * F.col(n) + way
+    onward = held.select(F.explode(F.array(F.struct(arc("n", 1 - F.col("side")).alias("id"), arc("qn", F.col("qside")).alias("next")),
+                                           F.struct(arc("qn", 1 - F.col("qside")).alias("id"), arc("n", F.col("side")).alias("next")))).alias("x")).select("x.*")
+    onward = cut_lineage(onward)
+    arcs = pieces.select("n", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
+    arcs = cut_lineage(arcs.select(arc("n", F.col("way")).alias("id")).join(onward, "id", "left"))
+    starts = arcs.join(onward.select(F.col("next").alias("id")), "id", "left_anti").select("id", F.floor(F.col("id") / 2).alias("n"), (F.col("id") % 2).alias("way"))
+    starts = starts.join(pieces.select("n", "ka", "kb"), "n").join(found, "n").select(
+        "id", "component", F.when(F.col("way") == 0, F.col("ka")).otherwise(F.col("kb")).alias("from"), F.concat_ws("#", "pid", F.col("way").cast("string")).alias("arc"))
+    chosen = starts.groupBy("component").agg(F.min_by("id", F.struct("from", "arc")).alias("id")).select("id", F.lit(CHOSEN).alias("s"))
+    # one walk tells both: an arc has its place in its chain, and CHOSEN on top in the chain of a chosen start
+    begun = arcs.join(chosen, "id", "left").select("id", "next", (F.coalesce("s", F.lit(0)) + 1).alias("position"))
+    place = accumulate_downstream(begun, [], "position", "sum").where(F.col("position") > CHOSEN)
+    place = place.select(F.floor(F.col("id") / 2).alias("n"), (F.col("position") - CHOSEN).alias("position"), (F.col("id") % 2 == 1).alias("turned"))
+    lines = found.join(names.select("component", "line_id"), "component").select("n", "line_id")
+    return pieces.join(lines, "n").join(place, "n").drop("n", "pid", "ka", "kb")
 
 
 def line_summary(lines: DataFrame) -> DataFrame:

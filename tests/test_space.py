@@ -450,6 +450,35 @@ def test_pieces_of_contour_lines_follow_each_other(spark):
     assert 0 < closed < len(by_line)
 
 
+def test_contour_rounds_carry_longs_and_walk_once(spark, monkeypatch):
+    """Before, texts of some fifty characters went through all rounds and the chains were walked twice."""
+    cells = spark.createDataFrame([(1, c, r, 30 - math.hypot(c - 9.0, r - 8.0)) for c in range(80) for r in range(18)], "grid_id bigint, c int, r int, z double")
+    walked, real = [], raster.accumulate_downstream
+    monkeypatch.setattr(raster, "accumulate_downstream", lambda nodes, *rest: (walked.append(nodes.schema["id"].dataType.typeName()), real(nodes, *rest))[1])
+    segments = raster.contour_segments(cells, raster.contour_steps(cells))
+    rows = raster.contour_lines(segments).collect()
+    assert walked == ["long"] and len(rows) == segments.count()
+    places = {}
+    for x in rows:
+        places.setdefault(x.line_id, []).append(x.position)
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+
+
+def test_stars_need_no_rounds(spark, monkeypatch):
+    """What is a star already is told from one count of neighbours; before, two rounds of joins found nothing to change."""
+    from fieldlens.operators import iterate
+    written, real = [], iterate.cut_lineage
+    monkeypatch.setattr(iterate, "cut_lineage", lambda df: (written.append(1), real(df))[1])
+    nodes = spark.range(30)
+    edges = nodes.where("id % 10 > 0").select(F.col("id").alias("src"), (F.col("id") - F.col("id") % 10).alias("dst"))
+    got = {r.id: r.component for r in iterate.connected_components(nodes, edges).collect()}
+    assert got == {i: i - i % 10 for i in range(30)} and len(written) == 1
+    chain = nodes.where("id > 0").select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
+    assert {r.component for r in iterate.connected_components(nodes, chain).collect()} == {0}
+    local = iterate.local_stars(chain.withColumn("block", F.col("src") % 3), ["block"])
+    assert {r.component for r in iterate.connected_components(nodes, local).collect()} == {0}
+
+
 def test_equal_wishes_meet_the_grids_once(spark, monkeypatch):
     """Twelve hundred wishes at four places: the pairs are those of four, and every wish has its answer."""
     from fieldlens.sources import grids as stored
